@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds at most max_bytes of the column's text, or a single row."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column).fill_null("")).cast(pa.int64()))
+    lengths = np.asarray(pc.binary_length(batch.column(column).fill_null("")).cast(pa.int64()))
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > max_bytes:
