@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, lm, packing, simhash, toxicity
 
 QUERIES = {
+    "op2_packing": packing.op2,
+    "op4_toxicity": toxicity.op4,
+    "op5_lm_scores": lm.op5,
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash": simhash.op9,
 }
