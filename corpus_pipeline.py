@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import decontaminate, simhash
+from gridlens.llm import decontaminate, packing, pii, quality, simhash
 from gridlens.llm.common import stage_table, table
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least id."""
     return simhash.drop_near_duplicates(docs)
@@ -18,9 +23,22 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text gives way to the name of its kind."""
+    return pii.redact(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's pieces lie in the training sequences."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
 STAGES = [
+    ("quality_classifier", good_documents),
     ("simhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", benchmark_leaks),
+    ("personal_data", personal_data),
+    ("best_fit_packing", packed_sequences),
 ]
 
 #: SQL can't express tokenizers, fitted classifiers or fingerprint components; tests hold run() against brute force.

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, packing, pii, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, lm, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op2_packing": packing.op2,
     "op3_secrets": secrets.op3,
     "op4_toxicity": toxicity.op4,
     "op5_lm_scores": lm.op5,
     "op6_pii": pii.op6,
+    "op7_neighbours": ann.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash": simhash.op9,
     "op10_chat": chat.op10,
