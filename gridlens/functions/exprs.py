@@ -72,15 +72,11 @@ NUMERIC_BINS = [(0, "0"), (1, "1"), (2, "2"), (4, "3_4"), (9, "5_9"), (19, "10_1
 
 def numeric_bin(raw: Column) -> Column:
     """A label for any raw value: missing, not a number, negative, or the class its number falls in."""
-    x = F.expr(f"try_cast({_sql(raw)} as double)") if isinstance(raw, str) else raw.try_cast("double")
+    x = raw.try_cast("double")
     missing = raw.isNull() | (F.trim(raw.cast("string")) == "") | F.isnan(x)
     return F.when(missing, "<missing>").when(x.isNull(), "<non_numeric>").when(x < 0, "negative").otherwise(bins(x, NUMERIC_BINS, "1000_plus"))
 
 
-def _sql(name: str) -> str:
-    return f"`{name}`"
-
-
 def normal_value(raw: Column) -> Column:
     """A value as a token: missing, empty, or trimmed lower case."""
     text = F.lower(F.trim(raw.cast("string")))
@@ -146,11 +142,11 @@ def word_ngrams(words: Column, n: int = 2, sep: str = "__") -> Column:
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of the text, lower-cased, spaces squeezed, padded by one space on either side."""
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(normal_text(text)), r"\s+", " ")), F.lit(" "))
-    grams = [
-        F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams)
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(grams, range(low, high + 1)))
 
 
 def strip_fence(text: Column) -> Column:
