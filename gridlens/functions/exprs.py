@@ -152,7 +152,8 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
 def strip_fence(text: Column) -> Column:
     """The inside of the first fenced block, or the text, trimmed."""
     inside = F.regexp_extract(text, r"(?is)```(?:python|py)?\s*(.*?)```", 1)
-    return F.trim(F.when(text.rlike(r"(?is)```(?:python|py)?\s*(.*?)```"), inside).otherwise(text))
+    body = F.when(text.rlike(r"(?is)```(?:python|py)?\s*(.*?)```"), inside).otherwise(text)
+    return F.regexp_replace(body, r"\A\s+|\s+\z", "")
 
 
 def normal_code(text: Column) -> Column:

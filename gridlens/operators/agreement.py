@@ -39,15 +39,21 @@ def cochran_q(items: DataFrame, *keys: str) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X <= k) for X ~ Binomial(n, 1/2), by the ratio of neighbouring terms, started in logs so that no term underflows."""
-    step = lambda acc, i: F.struct((acc["t"] * (n - i + 1) / i).alias("t"), (acc["s"] + acc["t"] * (n - i + 1) / i).alias("s"))
-    one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-    total = F.when(k >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), one, step, lambda acc: acc["s"])).otherwise(1.0)
-    return F.exp(F.log(total) - n * F.log(F.lit(2.0)))
+    """P(X <= k) for X ~ Binomial(n, 1/2), k at most n/2: terms relative to the largest, whose logarithm is summed apart, so
+    that nothing over- or underflows."""
+
+    def step(acc: Column, j: Column) -> Column:
+        i = k - j + 1
+        r = acc["r"] * i / (n - i + 1)
+        return F.struct(r.alias("r"), (acc["s"] + r).alias("s"), (acc["l"] + F.log((n - i + 1) / i)).alias("l"))
+
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s"), F.lit(0.0).alias("l"))
+    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), start, step, lambda acc: F.log(acc["s"]) + acc["l"])
+    return F.exp(F.when(k >= 1, whole).otherwise(0.0) - n * F.log(F.lit(2.0)))
 
 
 def mcnemar(pairs: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """Discordant counts and the exact two-sided p of two paired 0/1 columns. Up to about a thousand discordant pairs."""
+    """Discordant counts and the exact two-sided p of two paired 0/1 columns."""
     s = pairs.groupBy(*keys).agg(F.sum((F.col(x) > F.col(y)).cast("long")).alias("only_x"), F.sum((F.col(x) < F.col(y)).cast("long")).alias("only_y"))
     n, k = F.col("only_x") + F.col("only_y"), F.least("only_x", "only_y")
     return s.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(k, n))))
