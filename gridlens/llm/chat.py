@@ -30,7 +30,7 @@ MAPPINGS: list[dict[str, Any]] = [
     {"name": "question, answer", "turns": [("user", "question"), ("assistant", "answer")], "key": "conv_id"},
     {"name": "nested prompt and reply", "turns": [("user", "data.prompt"), ("assistant", "data.reply")], "key": "conv_id"},
 ]
-#: Names that layouts use for the canonical roles.
+#: Names that layouts with lists use for the canonical roles; a turn row's role stays as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -85,7 +85,9 @@ def turns_of(record: Any) -> tuple[str, list[tuple[int | None, str, str]]]:
         turns = [(k, field(e, role), field(e, text)) for k, e in enumerate(record[entries])]
     else:
         turns = [(k, role, "\n\n".join(t for f in fields.split("+") if (t := field(record, f)))) for k, (role, fields) in enumerate(m["turns"])]
-    return m["name"], [(k, ROLES.get(role, role), text) for k, role, text in turns]
+    if "each" in m:
+        turns = [(k, ROLES.get(role, role), text) for k, role, text in turns]
+    return m["name"], turns
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:

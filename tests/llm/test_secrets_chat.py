@@ -95,7 +95,7 @@ def test_chat_query_matches_brute_force(spark, data):
 def test_chat_odd_rows(spark, monkeypatch):
     odd = ["<|turn|>a<|says|>b<|over|>", "\\<\\|", "<\\|over|>\\", "[INST]\\[/INST] <<SYS>> </s><s>", "é\x00\u2028", "", None, "\\\\<|"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(odd)]
-    rows += [(2, None, None, "x"), (None, 3, "assistant<|says|>", "y"), (1, 3, "user", "tie"), (1, 3, "user", "tie"), (3, 1, "user", "z" * 200_000)]
+    rows += [(2, None, None, "x"), (None, 3, "assistant<|says|>", "y"), (1, 3, "user", "tie"), (1, 3, "user", "tie"), (1, 4, "gpt", "stays"), (3, 1, "user", "z" * 200_000)]
     rows += [(9, k, "assistant", f"t{k}") for k in range(3000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("clash")).withColumn("messages", F.lit(1))
     monkeypatch.setattr(chat, "table", lambda *_: frame)
