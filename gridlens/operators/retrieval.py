@@ -41,7 +41,7 @@ def tfidf(queries: DataFrame, index: DataFrame, n_docs: Column) -> DataFrame:
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Adds rank by (-score, doc) within a query; the first k."""
-    out = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+    out = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")).cast("long"))
     return out.where(F.col("rank") <= k) if k else out
 
 

@@ -19,7 +19,7 @@ def _grouped(spark, sf):
 
 
 
-@query("ols_gram", """SELECT round(sum(1.0), 4) AS n, round(sum(qubits), 4) AS sx, round(sum(qubits * ln(1 + gates)), 4) AS sxz, round(sum(ln(1 + gates) * ln(1 + gates)), 4) AS szz, round(sum(qubits * rate), 4) AS sxy
+@query("ols_gram", """SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(qubits) AS DOUBLE) AS sx, round(sum(qubits * ln(1 + gates)), 4) AS sxz, round(sum(ln(1 + gates) * ln(1 + gates)), 4) AS szz, round(sum(qubits * rate), 4) AS sxy
  FROM (SELECT prompt_id, avg(CAST(signature AS INT)) AS rate FROM cells GROUP BY 1) JOIN features USING (prompt_id)""")
 def _(spark, sf):
     g = M.gram(_grouped(spark, sf), [F.lit(1.0), F.col("qubits"), F.col("log_gates"), F.col("s") / F.col("n")])

@@ -244,3 +244,16 @@ def test_streams(spark, tmp_path):
     assert [r.prompt_id for r in attempts.unfinished(log.select("prompt_id").distinct(), log).collect()] == [2]
     days = {r.n: r.errors for r in attempts.error_rates(log).collect()}
     assert days == {3: 1, 1: 1}
+
+
+def test_records(spark):
+    from gridlens.operators import records
+
+    rows = spark.createDataFrame([("gold", " a ", "1"), ("gold", "b", None), ("gold", "c", ""), ("other", "d", "2"), ("gold", "  ", "3")], "role string, text string, id string")
+    assert {(r.id, r.text) for r in records.clean_rows(rows, "role", "text", "id", ("gold",)).collect()} == {("1", "a"), ("clean_0001", "b"), ("clean_0002", "c")}
+    assert one(spark, records.missing_name(F.lit("NameError: name 'qc' is not defined"))) == "qc"
+    log = spark.createDataFrame([("m", 1, False), ("m", 2, True), ("m", 2, True), ("k", 1, False), ("k", 2, False)], "model string, p int, bad boolean")
+    audit = {r.model: (r.answered, r.missing, r.repeated, r.errors_only, r.status) for r in records.run_audit(spark.createDataFrame([(1,), (2,)], "p int"), log, "p", "bad").collect()}
+    assert audit == {"m": (2, 0, 1, 1, "complete_with_errors"), "k": (2, 0, 0, 0, "complete")}
+    picks = records.select_prompts(spark.range(9).toDF("p"), "p", "p", exclude=[0, 2], limit=3)
+    assert [r.p for r in picks.collect()] == [1, 3, 4]
