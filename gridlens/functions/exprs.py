@@ -63,23 +63,29 @@ def bins(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
     return out.otherwise(last)
 
 
-#: Fixed values.
-WIDTH_BINS = ([(2, "1-2"), (4, "3-4"), (6, "5-6")], "7+")
+#: Fixed values: (upper edge, label) and the label beyond.
+WIDTH_BINS = ([(2, "1-2 qubits"), (3, "3 qubits"), (4, "4 qubits"), (8, "5-8 qubits")], "9+ qubits")
+COUNT_BINS = ([(4, "2-4 gates"), (8, "5-8 gates"), (12, "9-12 gates"), (20, "13-20 gates")], "21+ gates")
+DIVERSITY_BINS = ([(2, "1-2 gate types"), (4, "3-4 gate types")], "5+ gate types")
+CLBIT_BINS = ([(0, "0 clbits"), (2, "1-2 clbits"), (3, "3 clbits")], "4+ clbits")
 TYPE_BINS = ([(2, "1-2"), (4, "3-4")], "5+")
-COUNT_BINS = ([(4, "1-4"), (8, "5-8"), (12, "9-12")], "13+")
-NUMERIC_BINS = [(0, "0"), (1, "1"), (2, "2"), (4, "3_4"), (9, "5_9"), (19, "10_19"), (49, "20_49"), (99, "50_99"), (249, "100_249"), (999, "250_999")]
+#: Exact numbers first; what lies between them falls to the next edge.
+EXACT_BINS = [(0, "0"), (1, "1"), (2, "2")]
+NUMERIC_BINS = [(4, "3_4"), (9, "5_9"), (24, "10_24"), (49, "25_49"), (99, "50_99"), (249, "100_249"), (999, "250_999")]
 
 
 def numeric_bin(raw: Column) -> Column:
     """A label for any raw value: missing, not a number, negative, or the class its number falls in."""
     x = raw.try_cast("double")
-    missing = raw.isNull() | (F.trim(raw.cast("string")) == "") | F.isnan(x)
-    return F.when(missing, "<missing>").when(x.isNull(), "<non_numeric>").when(x < 0, "negative").otherwise(bins(x, NUMERIC_BINS, "1000_plus"))
+    out = F.when(raw.isNull() | F.isnan(x), "<missing>").when(x.isNull(), "<non_numeric>").when(x < 0, "negative")
+    for number, label in EXACT_BINS:
+        out = out.when(x == number, label)
+    return out.otherwise(bins(x, NUMERIC_BINS, "1000_plus"))
 
 
 def normal_value(raw: Column) -> Column:
-    """A value as a token: missing, empty, or trimmed lower case."""
-    text = F.lower(F.trim(raw.cast("string")))
+    """A value as a token: missing, empty, or trimmed."""
+    text = F.trim(raw.cast("string"))
     return F.when(raw.isNull(), "<missing>").when(text == "", "<empty>").otherwise(text)
 
 
@@ -110,8 +116,31 @@ def average_rank(value: Column, *within: str | Column, descending: bool = False)
 #: Letters that stand for words, the token pattern, and words that say nothing.
 GREEK = (("π", " pi "), ("θ", " theta "), ("λ", " lambda "), ("φ", " phi "), ("Φ", " phi "))
 TOKEN = r"[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?"
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "using", "with")
-SHORT_TOKENS = ("h", "x", "y", "z", "s", "t")
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "both", "by", "create", "for", "from", "in", "into", "is", "it", "make", "of", "on", "or", "that", "the", "then", "this", "to", "using", "with",
+)
+#: Single characters that stay, in text and in code.
+SHORT_TOKENS = ("h", "x", "y", "z", "s", "t", "u")
+SHORT_CODE_TOKENS = ("h", "x", "y", "z", "s", "t")
+#: Kinds of instruction by pattern, and the label of those that match none.
+FAMILIES = {
+    "teleportation": r"teleport",
+    "bell_or_superdense": r"\bbell\b|superdense",
+    "ghz": r"\bghz\b",
+    "fourier_qft_phase": r"qft|fourier|controlled-phase|controlled phase",
+    "deutsch_jozsa": r"deutsch",
+    "bernstein_vazirani": r"bernstein",
+    "simon": r"\bsimon\b",
+    "grover_setup": r"\bgrover\b",
+    "error_correction": r"bit-flip|bit flip|phase-flip|phase flip|error-correction|error correction",
+    "vqc_ansatz": r"vqc|variational|ansatz",
+    "oracle_logic": r"oracle|x-cx-x|x.cx.x",
+    "arithmetic_toffoli": r"half-adder|half adder|toffoli|ccx",
+    "qkd_e91": r"\be91\b|qkd",
+    "pauli_measurement": r"pauli|measure|measurement",
+    "deep_mixed_rotation": r"deep gate sequence|rxx|rzz|swap",
+}
+NO_FAMILY = "generic_or_low_level"
 
 
 def normal_text(text: Column) -> Column:
@@ -130,7 +159,7 @@ def tokens(text: Column) -> Column:
 
 def code_tokens(text: Column, most: int = 400) -> Column:
     raw = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
-    return F.slice(F.filter(raw, lambda w: (F.length(w) > 1) | w.isin(*SHORT_TOKENS)), 1, most)
+    return F.slice(F.filter(raw, lambda w: (F.length(w) > 1) | w.isin(*SHORT_CODE_TOKENS)), 1, most)
 
 
 def word_ngrams(words: Column, n: int = 2, sep: str = "__") -> Column:
@@ -173,15 +202,17 @@ def text_digest(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.sha2(text, 256))
 
 
-def short(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+def short(text: Column, most: int = 220) -> Column:
+    """The text on one line, cut to most characters."""
+    line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
 
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def any_labels(text: Column, patterns: dict[str, str], default: str) -> Column:
+def any_labels(text: Column, patterns: dict[str, str] = FAMILIES, default: str = NO_FAMILY) -> Column:
     """Every label whose pattern the text has, or the default."""
     found = F.filter(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))

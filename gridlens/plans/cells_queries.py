@@ -126,8 +126,12 @@ def _strata(spark, sf):
     return D.cells(spark, sf).join(F.broadcast(f), "prompt_id")
 
 
-_WIDTH = "CASE WHEN qubits <= 2 THEN '1-2' WHEN qubits <= 4 THEN '3-4' WHEN qubits <= 6 THEN '5-6' ELSE '7+' END"
-_GATES = "CASE WHEN gates <= 4 THEN '1-4' WHEN gates <= 8 THEN '5-8' WHEN gates <= 12 THEN '9-12' ELSE '13+' END"
+def _case(column, spec):
+    edges, last = spec
+    return "CASE " + " ".join(f"WHEN {column} <= {e} THEN '{n}'" for e, n in edges) + f" ELSE '{last}' END"
+
+
+_WIDTH, _GATES = _case("qubits", X.WIDTH_BINS), _case("gates", X.COUNT_BINS)
 
 
 @query("strata_rollup", f"""SELECT width_bin, count(*) AS n, count(DISTINCT prompt_id) AS prompts, count(DISTINCT model) AS models, round(avg(CAST(execution AS INT)), 6) AS execution_rate, round(avg(CAST(signature AS INT)), 6) AS signature_rate,

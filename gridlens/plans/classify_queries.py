@@ -10,10 +10,10 @@ from . import fixtures as D
 from .cells_queries import r6
 from .registry import query
 
-_BIN = "CASE WHEN x < 0 THEN 'negative' " + " ".join(f"WHEN x <= {e} THEN '{n}'" for e, n in X.NUMERIC_BINS) + " ELSE '1000_plus' END"
+_BIN = "CASE WHEN x < 0 THEN 'negative' " + " ".join(f"WHEN x = {e} THEN '{n}'" for e, n in X.EXACT_BINS) + " " + " ".join(f"WHEN x <= {e} THEN '{n}'" for e, n in X.NUMERIC_BINS) + " ELSE '1000_plus' END"
 
 
-@query("numeric_bins", f"SELECT bin, count(*) AS n FROM (SELECT CASE WHEN raw IS NULL OR trim(raw) = '' THEN '<missing>' WHEN x IS NULL THEN '<non_numeric>' ELSE {_BIN} END AS bin FROM (SELECT raw, try_cast(raw AS DOUBLE) AS x FROM (SELECT CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN event_type ELSE CAST(value - 5 AS VARCHAR) END AS raw FROM events))) GROUP BY bin")
+@query("numeric_bins", f"SELECT bin, count(*) AS n FROM (SELECT CASE WHEN raw IS NULL THEN '<missing>' WHEN x IS NULL THEN '<non_numeric>' ELSE {_BIN} END AS bin FROM (SELECT raw, try_cast(raw AS DOUBLE) AS x FROM (SELECT CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN event_type ELSE CAST(value - 5 AS VARCHAR) END AS raw FROM events))) GROUP BY bin")
 def _(spark, sf):
     raw = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 13 == 0, F.col("event_type")).otherwise((F.col("value") - 5).cast("string"))
     return D.table(spark, sf, "events").select(raw.alias("raw")).groupBy(X.numeric_bin(F.col("raw")).alias("bin")).agg(F.count("*").alias("n"))
@@ -27,7 +27,7 @@ def _tokens(df):
 
 
 _FIRST = r"coalesce(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?', 0), lambda w: lower(w)), lambda w: length(w) > 1 OR w IN ('h', 'x', 'y', 'z', 's', 't'))[1], '<none>')"
-_NB = f"""tk AS (SELECT doc_id, y, doc_id % 5 = 0 AS test, ['lang=' || lower(trim(lang)), 'source=' || lower(trim(source)), 'chars_bin=' || (SELECT {_BIN} FROM (SELECT CAST(n_chars AS DOUBLE) AS x)), 'first=' || {_FIRST}] AS tokens FROM labelled),
+_NB = f"""tk AS (SELECT doc_id, y, doc_id % 5 = 0 AS test, ['lang=' || trim(lang), 'source=' || trim(source), 'chars_bin=' || (SELECT {_BIN} FROM (SELECT CAST(n_chars AS DOUBLE) AS x)), 'first=' || {_FIRST}] AS tokens FROM labelled),
  pr AS (SELECT y, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM tk WHERE NOT test GROUP BY y), ct AS (SELECT y, term, count(*) AS c FROM (SELECT y, unnest(tokens) AS term FROM tk WHERE NOT test) GROUP BY 1, 2),
  sm AS (SELECT y, sum(c) AS t, (SELECT count(DISTINCT term) FROM ct) AS v FROM ct GROUP BY y), te AS (SELECT doc_id, y AS truth, unnest(tokens) AS term FROM tk WHERE test),
  sc AS (SELECT te.doc_id, pr.y, any_value(truth) AS truth, round(any_value(prior) + sum(ln((coalesce(c, 0) + 1) / (t + v))), 9) AS score FROM te CROSS JOIN pr JOIN sm ON sm.y = pr.y LEFT JOIN ct ON ct.y = pr.y AND ct.term = te.term GROUP BY 1, 2),

@@ -55,11 +55,13 @@ def _(spark, sf):
     return t.select("conv_id", "turn", X.text_digest(F.col("t")).alias("digest"), (X.normal_code(F.col("t")) == F.col("t")).alias("one_line"))
 
 
-@query("family_labels_rollup", """WITH f AS (SELECT quality_ AS q, unnest(CASE WHEN len(l) = 0 THEN ['generic'] ELSE l END) AS family FROM (SELECT n_chars AS quality_, list_filter([CASE WHEN regexp_matches(text, '(?i)password|token|key') THEN 'secret' END,
- CASE WHEN regexp_matches(text, '(?i)@') THEN 'mail' END, CASE WHEN regexp_matches(text, '(?i)\\+[0-9]') THEN 'phone' END], lambda x: x IS NOT NULL) AS l FROM documents)) SELECT family, count(*) AS n, round(avg(q), 6) AS mean_chars FROM f GROUP BY family""")
+_FAMILY = "[" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{k}' END" for k, p in X.FAMILIES.items()) + "]"
+
+
+@query("family_labels_rollup", f"""WITH f AS (SELECT n_chars, unnest(CASE WHEN len(l) = 0 THEN ['{X.NO_FAMILY}'] ELSE l END) AS family FROM (SELECT n_chars, list_filter({_FAMILY}, lambda x: x IS NOT NULL) AS l FROM documents))
+ SELECT family, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM f GROUP BY family""")
 def _(spark, sf):
-    labels = X.any_labels(F.col("text"), {"secret": "password|token|key", "mail": "@", "phone": r"\+[0-9]"}, "generic")
-    out = D.table(spark, sf, "documents").select("n_chars", F.explode(labels).alias("family")).groupBy("family")
+    out = D.table(spark, sf, "documents").select("n_chars", F.explode(X.any_labels(F.col("text"))).alias("family")).groupBy("family")
     return r6(out.agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars")), "mean_chars")
 
 

@@ -113,7 +113,7 @@ def test_text_forms(spark):
     assert spark.createDataFrame([("x=1",), ("x = 1",)], "c string").select(ast_hash("c").alias("h")).distinct().count() == 1
 
 
-@pytest.mark.parametrize("raw, want", [(None, "<missing>"), (" ", "<missing>"), ("nan", "<missing>"), ("x", "<non_numeric>"), ("-1", "negative"), ("0", "0"), ("0.5", "1"), ("3", "3_4"), ("1000", "1000_plus")])
+@pytest.mark.parametrize("raw, want", [(None, "<missing>"), (" ", "<non_numeric>"), ("nan", "<missing>"), ("x", "<non_numeric>"), ("-1", "negative"), ("0", "0"), ("0.5", "3_4"), ("1", "1"), ("24", "10_24"), ("3", "3_4"), ("1000", "1000_plus")])
 def test_numeric_bins(spark, raw, want):
     assert one(spark, X.numeric_bin(F.lit(raw).cast("string"))) == want
 
