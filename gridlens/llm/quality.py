@@ -99,7 +99,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 1 << 20):
                 x = text_features(batch.column(1)).astype(np.float32)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), flat, *batch.columns[2:]], ["doc_id", "x", "lang", "source", "chars", "known"])
@@ -269,7 +269,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, at["text_col"], 4 << 20):
+            for batch in slices(whole, at["text_col"], 1 << 20):
                 x = text_features(batch.column(at["text_col"])).astype(np.float32).astype(float)
                 chars = np.array([np.nan if c is None else float(c) for c in batch.column(at["chars_col"]).to_pylist()])
                 known = ~np.isnan(chars)

@@ -169,20 +169,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """Keep of each component the row with the least id, all columns as they are; of repeated rows with that id, one stays.
 
-    Rows with a null id stay only where their whole component has none, one for each component. A null text is empty.
+    Rows with a null id go where their component has an id; of one without any, one row stays. A null text is empty. Texts are
+    joined with the ids that go, once, and aren't aggregated.
     """
-    groups = components(docs, id_col, text_col, shingle, max_bits).select("doc_id", "component_id", "fingerprint")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    groups = components(docs, id_col, text_col, shingle, max_bits)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([id_col])
     bare = docs.where(F.col(id_col).isNull())
     if bare.isEmpty():
-        return kept.dropDuplicates([id_col])
-    lone = groups.where("component_id is null").select(F.col("fingerprint")).distinct()
-    marked = bare.withColumn("__hash", F.xxhash64(text_or_empty(text_col)))
-    own = components(bare.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("h")).select(F.col("h").alias("doc_id"), "text"), "doc_id", "text", shingle, max_bits)
-    own = own.join(lone, "fingerprint", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("__one")).select("__one")
-    lonely = marked.join(own, F.col("__hash") == F.col("__one"), "left_semi").dropDuplicates(["__hash"]).drop("__hash")
-    return kept.dropDuplicates([id_col]).unionByName(lonely)
+        return kept
+    # rows without ids: the hash of the text stands in for the id
+    mark = F.xxhash64(text_or_empty(text_col))
+    lone = groups.where("component_id is null").select("fingerprint").distinct()
+    own = components(bare.select(mark.alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", shingle, max_bits)
+    own = own.join(lone, "fingerprint", "left_semi").select(F.col("component_id").alias("__one")).distinct()
+    lonely = bare.withColumn("__hash", mark).join(own, F.col("__hash") == F.col("__one"), "left_semi").dropDuplicates(["__hash"])
+    return kept.unionByName(lonely.drop("__hash"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
