@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +51,32 @@ def suspicious_parts(rows: list[tuple[str, int]], ratio: float = 20.0) -> set[st
     What counts is in how many different company (word before and after) a part is seen: copies of a text add nothing. At
     least five, and one for a hundred toxic texts, so that a rare word doesn't count by chance.
     """
-    seen: dict[int, dict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
     known: dict[str, list[str]] = {}
+
+    def parts(word: str) -> list[str]:
+        if word not in known:
+            known[word] = [p for p in parts_of(word) if p[0] in "wp" and len(p) > 5]
+        return known[word]
+
     n = Counter(y for _, y in rows)
+    least = max(5, n[1] // 100)
+    scale = (n[0] + 1) / (n[1] + 1)
+    often = {0: Counter(), 1: Counter()}
+    for text, y in rows:
+        words = Counter(text.split())
+        for word, times in words.items():
+            for part in parts(word):
+                often[y][part] += times
+    # company is noted only of parts that may qualify, so that what is held stays small
+    may = {p for p, c in often[1].items() if c >= least and c * scale / (often[0][p] + 0.5) >= ratio / 10}
+    del often
+    seen: dict[int, dict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
     for text, y in rows:
         words = text.split()
         for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            if word not in known:
-                known[word] = [p for p in parts_of(word) if p[0] in "wp" and len(p) > 5]
-            for part in known[word]:
-                seen[y][part].add(hash((before, after)))
-    least = max(5, n[1] // 100)
-    scale = (n[0] + 1) / (n[1] + 1)
+            for part in parts(word):
+                if part in may:
+                    seen[y][part].add(hash((before, after)))
     return {p for p, c in seen[1].items() if len(c) >= least and len(c) * scale / (len(seen[0].get(p, ())) + 0.5) >= ratio}
 
 
@@ -113,26 +129,29 @@ def fit(rows: list[tuple[str, int]], rounds: int = 30, rate: float = 0.5, ridge:
     """Fit on (text, toxic): label tokens, learn the field's weights by AdaGrad on its likelihood, then the document's score."""
     suspicious = suspicious_parts(rows)
     rng = np.random.default_rng(seed)
-    with_toxic, without = [], []
-    for text, y in rows:
-        for words in lines_of(text):
-            labels = label_tokens(words, suspicious) if y else [0] * len(words)
-            (with_toxic if any(labels) else without).append((words, labels))
+    with_toxic, without = [], []  # lines as (row, line)
+    for r, (text, y) in enumerate(rows):
+        for k, words in enumerate(lines_of(text)):
+            (with_toxic if y and any(label_tokens(words, suspicious)) else without).append((r, k))
     keep = min(len(without), max(2000, PLAIN_LINES * len(with_toxic)))
-    chosen = with_toxic + [without[i] for i in sorted(rng.choice(len(without), keep, replace=False))] if without else with_toxic
+    picked = with_toxic + ([without[i] for i in sorted(rng.choice(len(without), keep, replace=False))] if without else [])
+    chosen = []
+    for r, own in groupby(sorted(picked), key=lambda x: x[0]):
+        lines = lines_of(rows[r][0])
+        chosen += [(lines[k], label_tokens(lines[k], suspicious) if rows[r][1] else [0] * len(lines[k])) for _, k in own]
     crf = Crf(np.zeros(WEIGHTS), -3.0, np.zeros((2, 2)))
     if with_toxic:
         known: dict[str, list[int]] = {}
-        token, feature, first, y = [], [], [0], []
+        token, feature, first, y = array("i"), array("i"), [0], []
         for words, labels in chosen:
             for k, w in enumerate(words):
-                own = known.setdefault(w, own_places(w)) if w not in known else known[w]
+                own = known[w] if w in known else known.setdefault(w, own_places(w))
                 near = [near_place(words[k - 1], "<") if k else place("<^"), near_place(words[k + 1], ">") if k + 1 < len(words) else place(">$")]
-                feature += own + near
-                token += [len(y) + k] * (len(own) + 2)
+                feature.extend(own + near)
+                token.extend([len(y) + k] * (len(own) + 2))
             y += labels
             first.append(len(y))
-        token, feature, first, y = np.array(token), np.array(feature), np.array(first), np.array(y, float)
+        token, feature, first, y = np.frombuffer(token, np.int32), np.frombuffer(feature, np.int32), np.array(first), np.array(y, float)
         inner = np.ones(len(y), bool)
         inner[first[:-1]] = False
         inner = np.flatnonzero(inner)
