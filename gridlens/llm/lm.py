@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_words, mix, slices, stage_table, table, text_bytes, text_or_empty
+from .common import find_words, free_shuffles, hash_words, mix, slices, stage_table, table, text_bytes, text_or_empty
 
 END = np.uint64(0x5E0FE0D5E0FE0D11)
 BEGIN = np.uint64(0xB0B0B0B0CAFE0123)
 PROBES = 4
 BASE = 1.5
-#: Bits of the filter at most: 32 MB are broadcast, whatever the corpus holds.
+#: Bits of a filter that is broadcast at most (32 MB); the segments of a larger one stay in the shared folder and are joined.
 MAX_BITS = 1 << 28
+#: Bits of a segment at most.
+SEGMENT_BITS = 1 << 24
 BITS_PER_ITEM = 12
 #: Words whose exact counts are broadcast at most; counts of all others are joined.
 HOT_WORDS = 1 << 19
@@ -77,7 +79,6 @@ class LogFrequencyFilter:
     bits: np.ndarray
     segments: int
     seg_bits: int
-    least: int
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one isn't there."""
@@ -99,8 +100,30 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return ((h >> np.uint64(64 - 40)) % np.uint64(segments)).astype(np.int32)
 
 
+def blobs(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """A binary row for each stretch of values that begins at one of heads."""
+    offsets = (np.append(heads, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unblob(array: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the binary rows, and the index of each row's first one."""
+    wide = pa.types.is_large_binary(array.type)
+    offsets = np.frombuffer(array.buffers()[1], np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    data = np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), (offsets[:-1] - offsets[0]) // np.dtype(kind).itemsize
+
+
+def by_segment(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted h by (segment, h), the segments at hand, and where each begins in that order."""
+    seg = segment_of(h, segments)
+    order = np.argsort(seg, kind="stable")
+    there, heads = np.unique(seg[order], return_index=True)
+    return order, there, heads
+
+
 def ngram_counts(docs: DataFrame, segments: int) -> DataFrame:
-    """(seg, h, uni, n): occurrences of each word and each pair of neighbours, summed over slices of text before any shuffle."""
+    """(seg, uni, h, n): for each slice of text and segment, its words or its pairs of neighbours and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,19 +133,26 @@ def ngram_counts(docs: DataFrame, segments: int) -> DataFrame:
                     continue
                 for uni, values in ((True, tokens), (False, bigrams(tokens, first)[0])):
                     h, n = np.unique(values, return_counts=True)
+                    order, there, heads = by_segment(h, segments)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(segment_of(h, segments)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), uni)), pa.array(n)],
-                        ["seg", "h", "uni", "n"],
+                        [pa.array(there), pa.array(np.full(len(there), uni)), blobs(h[order], heads), blobs(n[order].astype(np.uint32), heads)],
+                        ["seg", "uni", "h", "n"],
                     )
 
-    return docs.mapInArrow(run, "seg int, h long, uni boolean, n long")
+    return docs.mapInArrow(run, "seg int, uni boolean, h binary, n binary")
 
 
 @dataclass
 class Model:
-    """A fitted model: the filter, exact counts of words (h, n), their totals, and the frequent words' counts."""
+    """A fitted model: the filter, exact counts of words (h, n), their totals, and the frequent words' counts.
+
+    built holds the filter's segments (seg, bits); filter is None where it is too large for a broadcast.
+    """
 
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | None
+    built: DataFrame
+    segments: int
+    seg_bits: int
     words: DataFrame
     tokens: int
     distinct: int
@@ -131,52 +161,80 @@ class Model:
     hot_n: np.ndarray
 
 
+def runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each stretch of rows in which no column changes."""
+    cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+    return list(zip([0, *cut], [*cut, len(columns[0])], strict=True)) if len(columns[0]) else []
+
+
 def fit(docs: DataFrame, max_bits: int = MAX_BITS, hot_words: int = HOT_WORDS) -> Model:
-    """Count words and pairs over all of docs(text) and enter them in the filter.
+    """Count words and pairs over all of docs(text) and enter every one of them in the filter.
 
-    The filter grows with the text up to max_bits; beyond that, only n-grams of a higher least count are entered (a pair seen
-    less backs off to its word). Each segment of the filter is built in the task that sums its n-grams.
+    The filter grows with the text. Each segment of it is built in the task that sums its n-grams; only a filter of up to
+    max_bits is put together for a broadcast, which changes nothing in what it answers.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     expected = (size.b or 0) / 6 + size.n + 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = 1 << max(8, (8 * parts - 1).bit_length())
-    bits = 1 << max(18, segments.bit_length() + 5, min(max_bits.bit_length() - 1, int(np.ceil(np.log2(expected * BITS_PER_ITEM)))))
-    least = max(1, int(np.ceil(expected * BITS_PER_ITEM / bits)))
+    least = 1 << max(8, (8 * parts - 1).bit_length())
+    bits = 1 << max(18, least.bit_length() + 5, int(np.ceil(np.log2(expected * BITS_PER_ITEM))))
+    segments = max(least, bits // SEGMENT_BITS)
     seg_bits = bits // segments
 
-    summed = ngram_counts(docs, segments).repartition(parts, "seg").groupBy("seg", "h", "uni").agg(F.sum("n").alias("n"))
+    dealt = ngram_counts(docs, segments).repartition(parts, "seg").sortWithinPartitions("seg", "uni")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["seg", "bits", "h", "n"]
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            seg, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            uni, n = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-            q = levels(n, 1) if least == 1 else np.where(uni, levels(n, 1), levels(n, least))
-            for s in np.unique(seg).tolist():
-                own = seg == s
-                own_h, own_q = h[own], q[own]
-                bitmap = maps.setdefault(s, np.zeros(seg_bits, bool))
-                for level in range(1, int(own_q.max(initial=0)) + 1):
-                    at = own_h[own_q >= level]
-                    for probe in range(PROBES):
-                        bitmap[bit_places(at, level, probe, seg_bits)] = True
-            words = batch.filter(batch.column(2))
-            if words.num_rows:
-                none = pa.nulls(words.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([none, pa.nulls(words.num_rows, pa.binary()), words.column(1), words.column(3)], names)
-        for s, bitmap in maps.items():
+        now, bitmap = None, np.zeros(seg_bits, bool)
+        hs: list[np.ndarray] = []
+        ns: list[np.ndarray] = []
+
+        def enter() -> Iterator[pa.RecordBatch]:
+            """Sum the n-grams of one segment and kind, and enter them; words are handed on with their counts."""
+            h, where = np.unique(np.concatenate(hs), return_inverse=True)
+            n = np.bincount(where, np.concatenate(ns)).astype(np.int64)
+            q = levels(n, 1)
+            for level in range(1, int(q.max()) + 1):
+                at = h[q >= level]
+                for probe in range(PROBES):
+                    bitmap[bit_places(at, level, probe, seg_bits)] = True
+            if now[1]:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n)], names)
+            hs.clear()
+            ns.clear()
+
+        def whole() -> pa.RecordBatch:
             packed = np.packbits(bitmap, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
-
-    built = stage_table(summed.mapInArrow(build, "seg int, bits binary, h long, n long"), "lm")
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in built.where("seg is not null").select("seg", "bits").toLocalIterator():
-        at = row.seg * seg_bits // 8
-        whole[at : at + seg_bits // 8] |= np.frombuffer(row.bits, np.uint8)
-    words = built.where("seg is null").select("h", "n")
+            bitmap[:] = False
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([packed], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+
+        for batch in batches:
+            seg, uni = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in runs(seg, uni):
+                own = (int(seg[a]), bool(uni[a]))
+                if now is not None and own != now:
+                    yield from enter()
+                    if own[0] != now[0]:
+                        yield whole()
+                now = own
+                hs.append(unblob(batch.column(2).slice(a, b - a), np.uint64)[0].copy())
+                ns.append(unblob(batch.column(3).slice(a, b - a), np.uint32)[0].copy())
+        if now is not None:
+            yield from enter()
+            yield whole()
+
+    staged = stage_table(dealt.mapInArrow(build, "seg int, bits binary, h long, n long"), "lm")
+    del dealt
+    free_shuffles(spark)
+    built, lfbf = staged.where("seg is not null").select("seg", "bits"), None
+    if bits <= max_bits:
+        whole = np.zeros(bits // 8, np.uint8)
+        for row in built.toLocalIterator():
+            at = row.seg * seg_bits // 8
+            whole[at : at + seg_bits // 8] = np.frombuffer(row.bits, np.uint8)
+        lfbf = LogFrequencyFilter(whole, segments, seg_bits)
+    words = staged.where("seg is null").select("h", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # count classes: each count up to 1000, then by powers of two; a bounded table, whatever the vocabulary
     coarse = F.when(F.col("n") <= 1000, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
@@ -189,68 +247,175 @@ def fit(docs: DataFrame, max_bits: int = MAX_BITS, hot_words: int = HOT_WORDS) -
     hot = words.where(F.col("n") >= hot_from).toArrow()
     h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
     order = np.argsort(h)
-    return Model(LogFrequencyFilter(whole, segments, seg_bits, least), words, int(total[0]), int(total[1]), int(hot_from), h[order], n[order])
+    return Model(lfbf, built, segments, seg_bits, words, int(total[0]), int(total[1]), int(hot_from), h[order], n[order])
+
+
+def frequent(h: np.ndarray, hot_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of h are in sorted hot_h, and their places there."""
+    at = np.minimum(np.searchsorted(hot_h, h), max(0, len(hot_h) - 1))
+    return (hot_h[at] == h if len(hot_h) else np.zeros(len(h), bool)), at
+
+
+def slice_name(keys: np.ndarray, place: int) -> int:
+    """A name of a slice of rows, the same whenever the same rows are read in the same place."""
+    place = mix(np.array([place], np.uint64))
+    rows = mix(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return int(mix(place + rows.sum(dtype=np.uint64)).view(np.int64)[0])
+
+
+def answered(source: DataFrame, model: Model, hot: object) -> DataFrame:
+    """(slice, seg, levels, doc_id, k, text): the rows of each slice of text, after the levels of its n-grams by segment.
+
+    Each slice asks each segment of the filter once for all of its n-grams, so what is held at a time is a segment or a slice,
+    whatever the filter's size. source(doc_id, k, text) is read twice; a slice that isn't the same both times is an error.
+    """
+    spark = source.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments, seg_bits = model.segments, model.seg_bits
+    # the partition's number in the source itself; a task's own number counts what a union reads before it
+    source = source.withColumn("part", F.spark_partition_id())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        count = 0
+        for whole in batches:
+            for batch in slices(whole, 2, 6 << 20):
+                part = batch.column(3)[0].as_py()
+                yield slice_name(batch.column(1).to_numpy(), (part << 32) + count), batch
+                count += 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, batch in named(batches):
+            h = needed(*token_stream(batch.column(2)), hot.value[0])
+            order, there, heads = by_segment(h, segments)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(len(there), bool)), pa.array(np.full(len(there), name)), blobs(h[order], heads)], ["seg", "asks", "slice", "data"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lfbf = None, None
+        for batch in batches:
+            seg, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in runs(seg, asks):
+                part = batch.slice(a, b - a)
+                if seg[a] != now:
+                    now, lfbf = seg[a], None
+                if not asks[a]:
+                    lfbf = LogFrequencyFilter(np.frombuffer(part.column(3)[0].as_py(), np.uint8), 1, seg_bits)
+                    continue
+                h, heads = unblob(part.column(3), np.uint64)
+                found = lfbf.level(h) if lfbf else np.zeros(len(h))
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), blobs(found.astype(np.uint8), heads)], ["slice", "seg", "levels"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, batch in named(batches):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *batch.columns[:3]], ["slice", "seg", "levels", "doc_id", "k", "text"])
+
+    asked = source.mapInArrow(ask, "seg int, asks boolean, slice long, data binary")
+    bits = model.built.select("seg", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("slice"), F.col("bits").alias("data"))
+    found = bits.unionByName(asked).repartition(parts, "seg").sortWithinPartitions("seg", "asks").mapInArrow(probe, "slice long, seg int, levels binary")
+    kept = source.mapInArrow(keep, "slice long, seg int, levels binary, doc_id long, k long, text string")
+    return kept.unionByName(found, allowMissingColumns=True).repartition(parts, "slice").sortWithinPartitions("slice", F.asc_nulls_last("seg"))
+
+
+def needed(tokens: np.ndarray, first: np.ndarray, hot_h: np.ndarray) -> np.ndarray:
+    """The n-grams, sorted, whose levels no exact count gives."""
+    words = np.unique(tokens)
+    return np.union1d(words[~frequent(words, hot_h)[0]], bigrams(tokens, first)[0])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for each row.
 
     Frequent words are looked up in the worker; of all others a row (text, word, times) goes to a join with the exact counts.
-    Nulls: a null text is empty (one end token); a null doc_id stays. Repeated rows each get their row. Other columns are not
-    read. With an empty training set every word is unknown and the scores are those of the smoothing alone.
+    Levels of pairs and rare words come from the broadcast filter, or from its segments where it isn't broadcast; docs must then
+    be read in one order, as a stored table is. Nulls: a null text is empty (one end token); a null doc_id stays. Repeated rows
+    each get their row. Other columns are not read. With an empty training set every word is unknown and the scores are those of
+    the smoothing alone.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.filter, model.hot_h, model.hot_n, model.tokens, model.distinct))
+    shared = spark.sparkContext.broadcast((model.hot_h, model.hot_n, model.tokens, model.distinct, model.filter))
     id_text = text_or_empty(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_text, F.col(id_col).cast("long"), F.length(id_text)).alias("k"), id_text.alias("text"))
     schema = "doc_id long, k long, n_tokens long, known long, logs double, score double, h long, times long"
     names = [c.split()[0] for c in schema.split(", ")]
+    segments = model.segments
+
+    def rate(ids: pa.Array, keys: pa.Array, tokens: np.ndarray, first: np.ndarray, look: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows of a slice, and rows for its rare words. look gives the levels of n-grams."""
+        hot_h, hot_n, total, distinct, _ = shared.value
+        unseen, means = 1.0 / (total + distinct + 1), represented(1)
+        size = np.diff(first)
+        u, where = np.unique(tokens, return_inverse=True)
+        is_hot, at = frequent(u, hot_h)
+        exact = np.where(is_hot, hot_n[at] if len(hot_h) else 0, 0)
+        logs = np.add.reduceat(np.log10(exact + 1.0)[where], first[:-1])
+        known = np.add.reduceat(is_hot[where].astype(np.int64), first[:-1])
+        level = levels(exact, 1)
+        level[~is_hot] = look(u[~is_hot])
+        guess = means[level]
+        pair, _ = bigrams(tokens, first)
+        pu, pwhere = np.unique(pair, return_inverse=True)
+        together = means[look(pu)][pwhere]
+        alone = guess[where]
+        context = np.empty(len(tokens))
+        context[1:] = alone[:-1]
+        context[first[:-1]] = guess[np.searchsorted(u, END)]
+        together = np.minimum(together, np.minimum(alone, context))
+        p = (together + MU * (alone + 1) * unseen) / (np.maximum(context, together) + MU)
+        scores = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1])
+        rows = len(size)
+        none = pa.nulls(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(size), pa.array(known), pa.array(logs), pa.array(scores), none, none], names)
+        rare = np.flatnonzero(~is_hot[where])
+        owner = np.repeat(np.arange(rows), size)[rare]
+        order = np.lexsort((tokens[rare], owner))
+        owner, rare_h = owner[order], tokens[rare][order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (np.diff(owner) != 0) | (rare_h[1:] != rare_h[:-1])
+        heads = np.flatnonzero(new)
+        times = np.diff(np.append(heads, len(owner)))
+        n = len(heads)
+        if n:
+            nothing = pa.nulls(n, pa.int64())
+            key = keys.to_numpy()[owner[heads]]
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(key), nothing, nothing, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array(rare_h[heads].view(np.int64)), pa.array(times)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lfbf, hot_h, hot_n, total, distinct = shared.value
-        unseen = 1.0 / (total + distinct + 1)
-        words_for, pairs_for = represented(1), represented(lfbf.least)
         for whole in batches:
             for batch in slices(whole, 2, 6 << 20):
-                tokens, first = token_stream(batch.column(2))
-                size = np.diff(first)
-                if not len(size):
-                    continue
-                u, where = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(hot_h, u), max(0, len(hot_h) - 1))
-                is_hot = hot_h[at] == u if len(hot_h) else np.zeros(len(u), bool)
-                exact = np.where(is_hot, hot_n[at] if len(hot_h) else 0, 0)
-                logs = np.add.reduceat(np.log10(exact + 1.0)[where], first[:-1])
-                known = np.add.reduceat(is_hot[where].astype(np.int64), first[:-1])
-                guess = words_for[lfbf.level(u)]
-                pair, before = bigrams(tokens, first)
-                pu, pwhere = np.unique(pair, return_inverse=True)
-                together = pairs_for[lfbf.level(pu)][pwhere]
-                alone = guess[where]
-                context = np.empty(len(tokens))
-                context[1:] = alone[:-1]
-                context[first[:-1]] = guess[np.searchsorted(u, END)]
-                together = np.minimum(together, np.minimum(alone, context))
-                p = (together + MU * (alone + 1) * unseen) / (np.maximum(context, together) + MU)
-                scores = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1])
-                rows = len(size)
-                none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(known), pa.array(logs), pa.array(scores), none, none], names)
-                rare = np.flatnonzero(~is_hot[where])
-                owner = np.repeat(np.arange(rows), size)[rare]
-                order = np.lexsort((tokens[rare], owner))
-                owner, rare_h = owner[order], tokens[rare][order]
-                new = np.ones(len(owner), bool)
-                new[1:] = (np.diff(owner) != 0) | (rare_h[1:] != rare_h[:-1])
-                heads = np.flatnonzero(new)
-                times = np.diff(np.append(heads, len(owner)))
-                n = len(heads)
-                if n:
-                    nothing = pa.nulls(n, pa.int64())
-                    key = batch.column(1).to_numpy()[owner[heads]]
-                    yield pa.RecordBatch.from_arrays([nothing, pa.array(key), nothing, nothing, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array(rare_h[heads].view(np.int64)), pa.array(times)], names)
-
-    looked = stage_table(source.mapInArrow(run, schema), "lmscore")
+                yield from rate(batch.column(0), batch.column(1), *token_stream(batch.column(2)), shared.value[4].level)
+
+    def run_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        said: list[np.ndarray] = []
+        rows: list[pa.RecordBatch] = []
+
+        def rate_slice() -> Iterator[pa.RecordBatch]:
+            ids, keys, texts = (pa.concat_arrays([r.column(c) for r in rows]) for c in (3, 4, 5)) if rows else ([], [], pa.array([], pa.string()))
+            tokens, first = token_stream(texts)
+            h = needed(tokens, first, shared.value[0]) if rows else np.zeros(0, np.uint64)
+            level = np.zeros(len(h), np.int64)
+            if sum(map(len, said)) != len(h):
+                raise RuntimeError("a slice of documents changed between two readings: store the table before it is scored")
+            level[by_segment(h, segments)[0]] = np.concatenate(said)
+            yield from rate(ids, keys, tokens, first, lambda x: level[np.searchsorted(h, x)])
+            said.clear()
+            rows.clear()
+
+        for batch in batches:
+            name, answer = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            for a, b in runs(name, answer):
+                if now is not None and name[a] != now:
+                    yield from rate_slice()
+                now, part = name[a], batch.slice(a, b - a)
+                if answer[a]:
+                    said.append(unblob(part.column(2), np.uint8)[0].copy())
+                else:
+                    rows.append(part)
+        if now is not None:
+            yield from rate_slice()
+
+    mapped = source.mapInArrow(run, schema) if model.filter else answered(source, model, shared).mapInArrow(run_answered, schema)
+    looked = stage_table(mapped, "lmscore")
     rare = looked.where("h is not null").select("k", "h", "times")
     counts = model.words.where(F.col("n") < model.hot_from)
     c = F.coalesce(F.col("n"), F.lit(0))

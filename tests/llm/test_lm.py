@@ -72,3 +72,21 @@ def test_no_word_spans_rows():
     tokens, first = lm.token_stream(pa.array(["ab", "cd", None, "", "ab cd"]))
     assert first.tolist() == [0, 2, 4, 5, 6, 9]
     assert tokens[0] == tokens[6] and tokens[2] == tokens[7] and tokens[4] == lm.END
+
+
+def test_filter_that_is_not_broadcast_scores_alike(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = docs.select(lm.text_or_empty().alias("text"))
+    small, large = lm.fit(texts, hot_words=100), lm.fit(texts, max_bits=1 << 12, hot_words=100)
+    assert small.filter and not large.filter
+    want, got = (sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, m).collect()) for m in (small, large))
+    assert got == want
+    assert lm.score(docs.limit(0), large).collect() == []
+
+
+def test_every_pair_is_entered_at_any_size(spark):
+    rows = [(" ".join(f"w{j * 400 + k}" for k in range(400)),) for j in range(10)]
+    model = lm.fit(spark.createDataFrame(rows, "text string"), max_bits=1 << 12)
+    known = spark.createDataFrame([(1, "w7 w8"), (2, "w8 w7")], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in lm.score(known, model).collect()}
+    assert scores[1] > scores[2]  # the pair was seen once
