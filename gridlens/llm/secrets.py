@@ -20,9 +20,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|session.?id", re.ASCII | re.IGNORECASE)
+#: Characters of a candidate, at least.
+LEAST = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters after a sensitive word in which a candidate may begin, and of surrounding text that primes the compressor.
 REACH, AROUND = 64, 512
+#: The rest of the identifier that holds a sensitive word, and the sign before a value written directly after it.
+ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,63}=+")
 #: Compressed bytes a byte of the candidate, at least.
 NOVEL = 0.7
 #: Words that code and configuration are made of; they prime the compressor before the surrounding text.
@@ -56,22 +61,44 @@ def mixed(s: str) -> bool:
     return (letters and digits >= 2) or turns >= 4
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Values that begin within reach of a sensitive word, to their own end; some are given more than once.
+
+    A value is a whole run of its class, or in a run that holds the word what follows the identifier's '='.
+    """
+    begin = end = -1  # of the run looked at last: no run is measured again for each word in it
+    for word in SENSITIVE.finditer(text):
+        at = word.end()
+        if assigned := ASSIGNED.match(text, at):
+            a = assigned.end()
+            if not begin <= a < end:
+                run = RUN.match(text, a)
+                begin, end = a, run.end() if run else a
+            if end - a >= LEAST:
+                yield a, end
+        for m in CANDIDATE.finditer(text, at, at + REACH + LEAST):
+            a = m.start()
+            if a and RUN.match(text, a - 1, a):
+                continue
+            if not begin <= a < end:
+                begin, end = a, RUN.match(text, a).end()
+            own = SENSITIVE.search(text, a, min(end, a + REACH))
+            mark = own and ASSIGNED.match(text, own.end(), end)
+            if mark and end - mark.end() >= LEAST:
+                continue  # the run holds a word and its value; that word gives it
+            yield a, end
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates near a sensitive word that overlap no base span and that the primed compressor can't shorten."""
     out, done = [], -1
     ranges = sorted((a, b) for _, a, b in taken)
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH + 4096)):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
-            if a <= done:
-                continue
-            done = b
-            if (a and CANDIDATE.match(text[a - 1] * 16)) or any(x < b and a < y for x, y in ranges) or not mixed(m[0]):
-                continue
-            if novelty(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL:
-                out.append(("novel", a, b))
+    for a, b in candidates(text):
+        if a < done or any(x < b and a < y for x, y in ranges) or not mixed(text[a:b]):
+            continue
+        done = b
+        if novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL:
+            out.append(("novel", a, b))
     return out
 
 

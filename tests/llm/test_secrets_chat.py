@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -67,6 +68,33 @@ def test_secret_odd_rows(spark, monkeypatch):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_value_directly_after_its_word():
+    value = "Zk39fKd0sQ8xW2vB7nM4"
+    for name in ("access_key", "session_id", "private_key", "credential", "signature", "aws_secret_access_key", "SECRETS_FOR_AUTH", "api-key"):
+        for text in (f"{name}={value}", f"x {name}={value}\nnext", f"https://a.b/?q=1&{name}={value}&z=2", f"{name}: {value}"):
+            at = text.index(value)
+            assert secrets.novel_spans(text, secrets.base_spans(text)) == [("novel", at, at + len(value))], text
+    text = f"auth token signature={value} credential={value[::-1]}"
+    assert secrets.novel_spans(text, []) == [("novel", 21, 41), ("novel", 53, 73)]
+    assert secrets.novel_spans("private_key=private_key_for_the_host_name", []) == []
+
+
+def test_long_value_is_found_to_its_end():
+    rng = random.Random(8)
+    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(10_000))
+    for sign in (": ", "="):
+        text = f"private_key{sign}{value} end"
+        at = text.index(value)
+        assert secrets.novel_spans(text, []) == [("novel", at, at + 10_000)]
+
+
+def test_many_words_in_one_run_take_linear_time():
+    text = "x" + "secret" * 100_000 + " " + "token " * 50_000
+    began = time.monotonic()
+    assert secrets.novel_spans(text, []) == []
+    assert time.monotonic() - began < 10
+
+
 def brute_chat(rows):
     by = {}
     for conv, turn, role, text in rows:
