@@ -14,8 +14,10 @@ from .common import stage_table, table
 
 #: Orderings, dimensions of a projection, bits a dimension.
 CURVES, DIMENSIONS, BITS = 14, 6, 8
-#: Rows of a stretch of an ordering; a query is held against its own stretch and one on either side.
+#: Rows of a stretch of an ordering at least; a query is held against its own stretch and one on either side.
 STRETCH = 2048
+#: Queries that are held against every vector, and the share of their neighbours that the stretches must meet.
+PROBED, RECALL = 64, 0.95
 #: Vectors that the projections and the cuts between stretches are fitted on, and cuts of an ordering, at most.
 FIT_ROWS, CUTS = 50_000, 20_000
 
@@ -87,12 +89,60 @@ def fit(sample: np.ndarray, norm: float, rows: int, curves: int = CURVES, stretc
         sd = np.maximum(y.std(0), 1e-9)
         out.low[c] = y.mean(0) - sd * (2 + rng.uniform(-0.5, 0.5, k))
         out.scale[c] = (1 << BITS) / (4 * sd)
-    parts = max(1, min(-(-rows // stretch), CUTS, len(sample)))
-    for own in out.keys(sample, False):
-        out.cuts.append(np.unique(np.quantile(own, np.arange(1, parts) / parts, method="lower")).astype(np.int64) if parts > 1 else np.zeros(0, np.int64))
+    out.cuts = cut(out.keys(sample, False), rows, stretch)
     return out
 
 
+def cut(places: np.ndarray, rows: int, stretch: int) -> list[np.ndarray]:
+    """Cuts of each ordering at quantiles of the sample's places, so that a stretch has about as many of all rows."""
+    parts = max(1, min(-(-rows // stretch), CUTS, places.shape[1]))
+    return [np.unique(np.quantile(own, np.arange(1, parts) / parts, method="lower")).astype(np.int64) if parts > 1 else np.zeros(0, np.int64) for own in places]
+
+
+def probe(each: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query's vector and one of its true k nearest others, for a sample of the queries, by brute force."""
+    asked = each.where("asks").orderBy("h1", "h2").limit(PROBED).select("h1", "h2", "v").toArrow().combine_chunks()
+    none = np.zeros((0, 1))
+    if not asked.num_rows:
+        return none, none
+    shared = each.sparkSession.sparkContext.broadcast((matrix(asked.column("v").combine_chunks()), asked.column("h1").to_numpy(), asked.column("h2").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, h1, h2 = shared.value
+        best, vectors = np.full((len(q), k), -np.inf), np.zeros((len(q), k, q.shape[1]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = matrix(batch.column(2))
+            score = q @ v.T
+            score[(h1[:, None] == batch.column(0).to_numpy()) & (h2[:, None] == batch.column(1).to_numpy())] = -np.inf
+            top = np.argsort(-score, axis=1)[:, :k]
+            both = np.concatenate([best, np.take_along_axis(score, top, 1)], axis=1)
+            held = np.concatenate([vectors, v[top]], axis=1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            best, vectors = np.take_along_axis(both, order, 1), np.take_along_axis(held, order[:, :, None], 1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[i, j]), pa.array(list(vectors[i, j]), pa.list_(pa.float64()))], ["i", "score", "v"])
+
+    near = each.select("h1", "h2", "v").mapInArrow(run, "i long, score double, v array<double>")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    found = first.select("i", "v").toArrow().combine_chunks()
+    return shared.value[0][found.column("i").to_numpy()], matrix(found.column("v").combine_chunks()) if found.num_rows else none
+
+
+def widened(index: Curves, places: np.ndarray, rows: int, stretch: int, queries: np.ndarray, nearest: np.ndarray) -> Curves:
+    """index with the narrowest stretches, from stretch on by doubling, in which queries meet a share RECALL of their nearest."""
+    if not len(queries) or not len(nearest):
+        return index
+    asked, there = index.keys(queries, True), index.keys(nearest, False)
+    while True:
+        index.cuts = cut(places, rows, stretch)
+        sides = [np.abs(np.searchsorted(c, a, "right") - np.searchsorted(c, b, "right")) for c, a, b in zip(index.cuts, asked, there, strict=True)]
+        if (np.min(sides, axis=0) <= 1).mean() >= RECALL or stretch >= rows:
+            return index
+        stretch *= 2
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -140,7 +190,8 @@ def distinct_vectors(rows: DataFrame, most: int, modulus: int) -> DataFrame:
 def search(vectors: DataFrame, k: int = 20, modulus: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, stretch: int = STRETCH) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by modulus, in double precision.
 
-    Every row is in every ordering. Equal vectors are one entry with its least ids, which loses nothing since ties go to the
+    Every row is in every ordering. Stretches are widened until a sample of queries, held against every vector, meets a share
+    RECALL of its nearest; stretch is the least. Equal vectors are one entry with its least ids, which loses nothing since ties go to the
     smaller id. Null, zero and non-finite vectors, null ids, and vectors whose length isn't the most common one take no part;
     rows of one id are one candidate for each vector, and none of their own query. An empty table gives an empty result; other
     columns are not read.
@@ -153,7 +204,8 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, id_col: str = "ve
     if not size.n:
         return spark.createDataFrame([], schema)
     sample = matrix(each.orderBy("h1", "h2").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks())
-    shared = spark.sparkContext.broadcast(fit(sample, float(np.sqrt(size.s)), int(size.n), curves, stretch))
+    index = fit(sample, float(np.sqrt(size.s)), int(size.n), curves, stretch)
+    shared = spark.sparkContext.broadcast(widened(index, index.keys(sample, False), int(size.n), stretch, *probe(each, k)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

@@ -60,3 +60,18 @@ def test_few_and_no_rows(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(frame).collect()] == [(0, 1, 5, 0.5)]
     assert ann.search(frame.limit(0)).collect() == []
+
+
+def test_stretches_widen_until_independent_vectors_are_found(spark):
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=(4000, 24)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(frame, stretch=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 4000, 20):
+        s = e @ e[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 4000 >= 0.9
