@@ -17,8 +17,8 @@ from .common import slices, stage_table, table, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of a worker's cache of words; when it is full it starts anew.
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's cache of words, and of the one of their pieces (about 200 bytes each); when one is full it starts anew.
+CACHE_ENTRIES = 60_000
 
 # ---------------------------------------------------------------------------------------------------------------- tokens
 
@@ -88,14 +88,17 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): every text's tokens and one end token, cut only beyond capacity."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]): every text's tokens and one end token, cut only beyond capacity.
+
+    Texts are tokenised about 1 MB at a time, a longer one by itself.
+    """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 1 << 20):
                 out: list[list] = [[] for _ in range(6)]
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids = words.text(text) + end
@@ -303,26 +306,29 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return min(plans, key=lambda p: p.bins)
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 200_000) -> DataFrame:
-    """parts(doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
+def packed(parts: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 50_000) -> DataFrame:
+    """parts(doc_id, piece, start, length, ids_crc32, ..., row) with sequence_id and offset, without row.
 
-    Ranks within a length come from buckets of a hash, so a length that very many pieces share is ranked in many tasks: the
-    rows of each (length, bucket) are counted, counts are summed over the buckets before, and a row adds its place in its own.
+    row is a number that no two pieces share. Ranks within a length come from buckets of its hash, as many as the length's share
+    of all pieces needs, so a length that very many pieces have, or copies of one document, are ranked in many tasks: the rows of
+    each (length, bucket) are counted, counts are summed over the buckets before, and a row adds its place in its own.
     """
     spark = parts.sparkSession
     histogram = {int(n): int(c) for n, c in parts.groupBy("length").agg(F.count("*")).collect()}
+    columns = [c for c in parts.columns if c != "row"]
     if not histogram:
-        return parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return parts.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     shared = spark.sparkContext.broadcast(best_plan(histogram, capacity).table)
-    buckets = max(1, -(-sum(histogram.values()) // rows_per_bucket))
-    keyed = parts.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("length", "__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("length", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = keyed.withColumn("__own", own).join(counts, ["length", "__b"])
-    ranked = ranked.select(*parts.columns, (F.col("__own") + F.col("__before")).cast("long").alias("__rank"))
-    at = parts.columns.index("length")
+    hot = [F.lit(x) for n, c in histogram.items() if c > rows_per_bucket for x in (n, -(-c // rows_per_bucket))]  # lengths: at most capacity
+    buckets = F.coalesce(F.try_element_at(F.create_map(*hot), F.col("length").cast("int")), F.lit(1)) if hot else F.lit(1)
+    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("row"), buckets).cast("int"))
+    counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
+    ranked = keyed.withColumn("own", own).join(counts, ["length", "bucket"])
+    ranked = ranked.select(*columns, (F.col("own") + F.col("before")).cast("long").alias("rank"))
+    at = columns.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
@@ -339,7 +345,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 20
             columns = [*batch.columns[:-1], pa.array(bins), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "row") + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
 
 
@@ -350,7 +356,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     A text longer than capacity is cut into pieces of capacity tokens and a shorter last one; no other text is cut. An empty
     table gives an empty result. Other columns are not read, so clashing names do no harm.
     """
-    return packed(stage_table(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces"), capacity, **options)
+    found = pieces(docs, tokenizer, capacity, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id())
+    return packed(stage_table(found, "pieces"), capacity, **options)
 
 
 def default_tokenizer() -> str:

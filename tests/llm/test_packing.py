@@ -90,7 +90,7 @@ def test_plan_places_all_and_beats_first_fit(seed):
 
 
 def test_hot_length_is_ranked_in_buckets(spark):
-    parts = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 7L, id % 50 + 1) as length", "id as ids_crc32")
+    parts = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 7L, id % 50 + 1) as length", "7L as ids_crc32", "id as row")
     rows = packing.packed(parts, capacity=64, rows_per_bucket=100).collect()
     assert len(rows) == 5000
     check_layout(rows, 64)
