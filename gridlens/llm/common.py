@@ -37,23 +37,55 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+#: Bytes of an Arrow batch at most. Ten thousand documents (Spark's other bound) would be tens of MB, held several times over.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches at BATCH_BYTES; a smaller bound of the session stands."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().strip()
+    size = int(now.rstrip("bkmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables this process staged; call it once results that read them are stored."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def staged() -> int:
+    """How many staged tables there are; a mark for drop_staged."""
+    return len(_written)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Delete the tables this process staged after the mark, but for the last few; call it once what read them is stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    going = _written[since : len(_written) - but_last]
+    for name in going:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+        _written.remove(name)
+    return len(going)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -63,6 +95,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,14 +128,21 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row the index of its first word (rows + 1). No word spans two rows."""
+def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each row the index of its first word (rows + 1). No word spans two rows.
+
+    alone: the first bytes of three-byte characters that are each a word of their own, as in scripts without spaces.
+    """
     inside = ~_SPACE[data] if is_word is None else is_word[data]
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if alone is not None:
+        at = np.flatnonzero(alone[data])
+        edge[at] = True
+        edge[np.minimum(at + 3, n)] = True
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:n]
     last[:-1] &= ~inside[1:] | edge[1:n]
@@ -125,7 +165,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each word, A-Z lower-cased; equal words have equal hashes on every worker."""
     global _powers
     out = np.empty(len(starts), np.uint64)
@@ -157,6 +197,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates a large-star and a small-star step (Kiveris et al. 2014) until the edges are stars. Every step is joins and
     combinable minima, so a node of any degree is split among tasks; each round is written to the shared folder.
     """
+    mark = staged()
     now = stage_table(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc"
     )
@@ -169,6 +210,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = stage_table(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        drop_staged(now.sparkSession, mark, but_last=1)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

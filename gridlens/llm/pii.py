@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_table, table, text_or_empty
+from .common import fresh, stage_table, table, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("ssn", "iban", "person")
@@ -40,6 +40,20 @@ GUARDS: dict[str, Callable[[Column], Column]] = {
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     "person": lambda t: t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]"),
 }
+#: First and family names that are common in English, German, Spanish and French.
+NAMES = """
+Adam Alexander Alice Amanda Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Brian Carlos Carmen Carol Caroline Catherine
+Charles Charlotte Christian Christine Christopher Claire Claudia Daniel David Deborah Dennis Diego Donald Dorothy Edward Elena Elizabeth
+Emily Emma Eric Eva Florian Frank Gabriel George Hannah Helen Henri Ines Isabel Jack Jacob James Jane Jason Jean Jeffrey Jennifer Jessica
+Joan John Jonas Jonathan Jorge Joseph Juan Julia Julie Karen Karl Katharina Kenneth Kevin Klaus Laura Lea Leon Linda Lisa Louis Lucas
+Lucia Luis Luke Margaret Maria Marie Mark Markus Martha Martin Mary Matthew Max Michael Miguel Monica Nancy Natalie Nicolas Nicole Olivia
+Oscar Pablo Patricia Paul Pedro Peter Philip Pierre Rachel Rebecca Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Simon Sophie Stefan
+Stephen Steven Susan Thomas Timothy Ursula Victor Victoria William Wolfgang
+Bauer Becker Bernard Brown Clark Davis Diaz Dubois Durand Evans Fernandez Fischer Garcia Gonzalez Green Hall Harris Hernandez Hill Hoffmann
+Jackson Johnson Jones King Klein Koch Lefebvre Leroy Lewis Lopez Martinez Meyer Miller Moore Moreau Moreno Morris Mueller Müller Parker
+Perez Petit Richter Rivera Robinson Rodriguez Roberts Romero Sanchez Schmidt Schneider Schulz Scott Smith Taylor Thompson Torres Turner
+Wagner Walker Weber White Williams Wilson Wolf Wright Young Zimmermann
+"""
 #: Gazetteers as patterns on a span, and words before a span that speak for or against its kind.
 GAZETTEER = {
     "email": r"(?i)@(?:gmail|yahoo|hotmail|outlook|icloud|aol|proton(?:mail)?|gmx|web|mail[0-9]*|example)\.|\.(?:com|org|net|edu|gov|de|fr|es|it|uk|eu|io|info)$",
@@ -48,7 +62,7 @@ GAZETTEER = {
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "iban": r"^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK)",
-    "person": r"(?:James|John|Mary|Robert|Maria|Anna|Peter|Paul|Michael|David|Laura|Sarah|Thomas|Smith|Johnson|Brown|Garcia|Martin|M(?:ue|ü)ller)",
+    "person": r"\b(?:" + "|".join(NAMES.split()) + r")\b",
 }
 SPEAKS_FOR = {
     "email": r"(?i)e-?mail|contact|write|mail to|reach|@",
@@ -121,33 +135,65 @@ def votes(kind: str, value: Column, before: Column, after: Column) -> list[Colum
     return [format_vote(kind, value), known, context, F.when(clean, 1).otherwise(-1)]
 
 
-SPAN = "struct<kind:string,start:bigint,end:bigint,size:int," + ",".join(f"{v}:int" for v in LABELERS) + ">"
+#: What the span classifier knows beside the votes: length in tens, what stands on either side, share of digits in quarters,
+#: and parts between marks, each up to a largest value.
+SHAPES = {"size": 3, "ahead": 4, "behind": 4, "numeric": 4, "parts": 4}
+SPAN = "struct<kind:string,start:bigint,end:bigint," + ",".join(f"{v}:int" for v in (*SHAPES, *LABELERS)) + ">"
+#: Matches that are placed together; what is copied grows with this and not with the matches of a text.
+TOGETHER = 128
+
+
+def side(c: Column) -> Column:
+    """Class of the character beside a span: none, white space, bracket or quote, word character, other."""
+    return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[()\[\]{}<>\"']"), 2).when(c.rlike(r"\w"), 3).otherwise(4)
+
+
+def shapes(value: Column, before: Column, after: Column) -> list[Column]:
+    """The values of SHAPES."""
+    return [
+        F.least(F.lit(3), (F.length(value) / 10).cast("int")),
+        side(F.right(before, F.lit(1))),
+        side(after),
+        (4 * F.length(digits(value)) / F.greatest(F.length(value), F.lit(1))).cast("int"),
+        F.least(F.lit(4), F.length(F.regexp_replace(value, r"[A-Za-z0-9]+", ""))),
+    ]
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    """Spans of a kind with votes, in order. Matches and what lies between them alternate, so lengths add up to places."""
-    pieces = F.arrays_zip(
-        F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hit")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,v:string>>").alias("out"))
+    """Spans of a kind with shapes and votes, in order. Matches and what lies between them alternate, so lengths add up to places.
+
+    They are added up in stretches of TOGETHER matches, and a span looks at the text between it and its neighbours, so the work
+    is in proportion to the text however many matches it has.
+    """
+
+    def placed(p: Column) -> Column:
+        gaps, hits = p["gap"], p["hit"]
+        pieces = F.transform(hits, lambda h, i: F.struct(gaps[i].alias("gap"), h.alias("hit"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("next")))
+        long = lambda x: F.length(x["gap"]) + F.length(x["hit"])
+        many = F.ceil(F.size(hits) / TOGETHER).cast("int")
+        stretches = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.slice(pieces, k * TOGETHER + 1, F.lit(TOGETHER)))
+        sized = F.transform(stretches, lambda s: F.struct(s.alias("s"), F.aggregate(s, F.lit(0), lambda a, x: a + long(x)).alias("n")))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sized, none, lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+        empty = F.array().cast("array<struct<s:int,v:string,b:string,a:string>>")
+
+        def one(s: Column, at: Column) -> Column:
+            def add(acc: Column, x: Column) -> Column:
+                begin = acc["at"] + F.length(x["gap"])
+                put = F.array(F.struct(begin.alias("s"), x["hit"].alias("v"), F.right(x["gap"], F.lit(CONTEXT)).alias("b"), F.coalesce(x["next"], F.lit("")).alias("a")))
+                return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(acc["out"], put).alias("out"))
+
+            return F.aggregate(s["s"], F.struct(at.alias("at"), empty.alias("out")), add)["out"]
 
-    def add(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.length(piece["gap"])
-        put = F.array(F.struct(at.alias("s"), piece["hit"].alias("v")))
-        return F.when(piece["hit"].isNull(), acc).otherwise(
-            F.struct((at + F.length(piece["hit"])).alias("at"), F.concat(acc["out"], put).alias("out"))
-        )
+        return F.when(F.size(hits) > 0, F.flatten(F.zip_with(sized, starts, one))).otherwise(empty)
 
-    found = F.filter(F.aggregate(pieces, start, add, lambda acc: acc["out"]), lambda x: valid(kind, x["v"]))
+    both = F.struct(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hit"))
+    found = F.filter(F.transform(F.array(both), placed)[0], lambda x: valid(kind, x["v"]))
 
     def voted(x: Column) -> Column:
-        end = x["s"] + F.length(x["v"])
-        low = F.greatest(x["s"] - CONTEXT, F.lit(0).cast("long"))
-        before = F.substring(text, (low + 1).cast("int"), (x["s"] - low).cast("int"))
-        after = F.substring(text, (end + 1).cast("int"), F.lit(1))
-        size = F.least(F.lit(3), (F.length(x["v"]) / 10).cast("int"))
-        own = [v.cast("int").alias(name) for name, v in zip(LABELERS, votes(kind, x["v"], before, after), strict=True)]
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), end.alias("end"), size.alias("size"), *own)
+        values = dict(zip(SHAPES, shapes(x["v"], x["b"], x["a"]), strict=True)) | dict(zip(LABELERS, votes(kind, x["v"], x["b"], x["a"]), strict=True))
+        start = x["s"].cast("long")
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["v"])).alias("end"), *[v.cast("int").alias(name) for name, v in values.items()])
 
     return F.when(GUARDS[kind](text), F.transform(found, voted)).otherwise(F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
 
@@ -161,69 +207,64 @@ def candidates(text: Column) -> Column:
 
 @dataclass
 class SpanModel:
-    """Weights of the final span classifier: of each kind, of each labeler's votes for and against, and of the size class."""
+    """Weights of the final span classifier, by (feature, value), and of each labeler how often it is right about true and false spans."""
 
-    kind: dict[str, float]
-    votes: dict[tuple[str, int], float]
-    size: dict[int, float]
+    weights: dict[tuple[str, str | int], float]
     reliability: dict[str, tuple[float, float]]
 
     def logit(self, x: Column) -> Column:
-        out = F.coalesce(F.create_map(*[F.lit(v) for kv in self.kind.items() for v in kv])[x["kind"]], F.lit(0.0))
-        for name in LABELERS:
-            out = out + F.when(x[name] == 1, self.votes[name, 1]).when(x[name] == -1, self.votes[name, -1]).otherwise(0.0)
-        return out + F.coalesce(F.create_map(*[F.lit(v) for kv in self.size.items() for v in kv])[x["size"]], F.lit(0.0))
+        out = F.lit(0.0)
+        for name in ("kind", *SHAPES, *LABELERS):
+            own = [F.lit(v) for (f, value), w in self.weights.items() if f == name for v in (value, w)]
+            out = out + F.coalesce(F.try_element_at(F.create_map(*own), x[name]), F.lit(0.0))
+        return out
 
 
-def fit(counts: list[tuple[str, int, tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
-    """From (kind, size class, votes, spans): EM for labelers' reliabilities, then a logistic fit on the posteriors.
+def fit(counts: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
+    """From (kind, shapes, votes, spans): EM for the labelers' reliabilities, then a logistic fit on what EM believes.
 
-    Its input has a row for each combination, a few hundred at any corpus size.
+    EM sees kinds and votes; the classifier sees the shapes too, so it also says something of spans on which no labeler has an
+    opinion. The input has a row for each combination, a few thousand at any corpus size.
     """
-    n = len(LABELERS)
-    share = {k: 0.8 if k in BASE_KINDS else 0.5 for k in KINDS}
-    rate = [{1: {1: 0.7, 0: 0.2, -1: 0.1}, 0: {1: 0.2, 0: 0.4, -1: 0.4}} for _ in range(n)]
-    post: list[float] = []
+    kinds = np.array([KINDS.index(k) for k, *_ in counts], int)
+    vote = np.array([v for _, _, v, _ in counts], int).reshape(len(counts), len(LABELERS))
+    c = np.array([n for *_, n in counts], float)
+    based = np.array([k in BASE_KINDS for k in KINDS])
+    prior = np.where(based, 8.0, 5.0)
+    share = np.where(based, 0.8, 0.5)
+    # rate[j, y, v + 1]: how often labeler j votes v on spans that are (y = 1) or aren't personal data
+    rate = np.tile(np.array([[0.4, 0.4, 0.2], [0.1, 0.2, 0.7]]), (len(LABELERS), 1, 1))
+    post = share[kinds]
     for _ in range(rounds):
-        post = []
-        for kind, _size, vote, _c in counts:
-            yes, no = math.log(share[kind]), math.log(1 - share[kind])
-            for j, v in enumerate(vote):
-                yes, no = yes + math.log(rate[j][1][v]), no + math.log(rate[j][0][v])
-            post.append(1 / (1 + math.exp(min(500, no - yes))))
-        for j in range(n):
-            for y in (0, 1):
-                mass = {v: 1.0 + (2.0 if v == (1 if y else -1) else 0.0) for v in (-1, 0, 1)}
-                for (_, _, vote, c), p in zip(counts, post, strict=True):
-                    mass[vote[j]] += c * (p if y else 1 - p)
-                rate[j][y] = {v: m / sum(mass.values()) for v, m in mass.items()}
-        for k in KINDS:
-            own = [(c, p) for (kind, _, _, c), p in zip(counts, post, strict=True) if kind == k]
-            prior = 8.0 if k in BASE_KINDS else 5.0
-            share[k] = min(0.995, max(0.005, (prior + sum(c * p for c, p in own)) / (10.0 + sum(c for c, _ in own))))
-    reliability = {name: (rate[j][1][1], rate[j][0][-1]) for j, name in enumerate(LABELERS)}
-    names: list = [*KINDS, *[(name, v) for name in LABELERS for v in (1, -1)], 0, 1, 2, 3]
-    w = dict.fromkeys(names, 0.0)
-    total = sum(c for *_, c in counts) or 1
-    grad2 = dict.fromkeys(names, 1e-8)
-    active = [[kind, size, *[(name, v) for name, v in zip(LABELERS, vote, strict=True) if v]] for kind, size, vote, _ in counts]
-    for _ in range(300):
-        grad = {k: -1e-4 * v for k, v in w.items()}
-        for (*_, c), on, p in zip(counts, active, post, strict=True):
-            q = 1 / (1 + math.exp(-max(-500, min(500, sum(w[f] for f in on)))))
-            for f in on:
-                grad[f] += c * (p - q) / total
-        for f in names:
-            grad2[f] += grad[f] ** 2
-            w[f] += 0.3 * grad[f] / math.sqrt(grad2[f])
-    return SpanModel({k: w[k] for k in KINDS}, {k: w[k] for k in names if isinstance(k, tuple)}, {k: w[k] for k in (0, 1, 2, 3)}, reliability)
+        yes, no = np.log(share[kinds]), np.log(1 - share[kinds])
+        for j in range(len(LABELERS)):
+            yes, no = yes + np.log(rate[j, 1, vote[:, j] + 1]), no + np.log(rate[j, 0, vote[:, j] + 1])
+        post = 1 / (1 + np.exp(np.clip(no - yes, -500, 500)))
+        for j in range(len(LABELERS)):
+            for y, mass in ((0, c * (1 - post)), (1, c * post)):
+                seen = np.bincount(vote[:, j] + 1, mass, 3) + np.where(np.arange(3) == 2 * y, 3.0, 1.0)
+                rate[j, y] = seen / seen.sum()
+        share = np.clip((prior + np.bincount(kinds, c * post, len(KINDS))) / (10 + np.bincount(kinds, c, len(KINDS))), 0.005, 0.995)
+    names = [("kind", k) for k in KINDS] + [(f, v) for f, top in SHAPES.items() for v in range(top + 1)] + [(f, v) for f in LABELERS for v in (1, -1)]
+    x = np.zeros((len(counts), len(names)))
+    for r, (kind, shape, own, _) in enumerate(counts):
+        for key in (("kind", kind), *zip(SHAPES, shape, strict=True), *((f, v) for f, v in zip(LABELERS, own, strict=True) if v)):
+            x[r, names.index(key)] = 1
+    w = np.zeros(len(names))
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (c * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + np.eye(len(names))
+        step = np.linalg.solve(hess, x.T @ (c * (post - q)) - w)
+        w += step * min(1.0, 3 / max(1e-9, float(np.abs(step).max())))
+    return SpanModel(dict(zip(names, w.tolist(), strict=True)), {f: (float(rate[j, 1, 2]), float(rate[j, 0, 0])) for j, f in enumerate(LABELERS)})
 
 
 def fit_on(spans: DataFrame) -> SpanModel:
     """Fit on all spans of a table with a column spans."""
-    each = spans.select(F.explode("spans").alias("s")).select("s.kind", "s.size", *[f"s.{v}" for v in LABELERS])
-    rows = each.groupBy("kind", "size", *LABELERS).agg(F.count("*").alias("c")).orderBy("kind", "size", *LABELERS).collect()
-    return fit([(r.kind, r.size, tuple(r[v] for v in LABELERS), r.c) for r in rows])
+    names = ["kind", *SHAPES, *LABELERS]
+    each = spans.select(F.explode("spans").alias("s")).select(*[f"s.{v}" for v in names])
+    rows = each.groupBy(*names).agg(F.count("*").alias("c")).orderBy(*names).collect()
+    return fit([(r.kind, tuple(r[v] for v in SHAPES), tuple(r[v] for v in LABELERS), r.c) for r in rows])
 
 
 def decided(spans: Column, model: SpanModel) -> Column:
@@ -247,12 +288,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with each span replaced by its kind in angle brackets, and chars_col, where there is one, the new length.
 
-    Spans that overlap are one, named by the first. A null text stays null; all other columns stay as they are.
+    Spans that overlap are one, named by the first. A null text stays null, an empty one empty; repeated rows are treated alike;
+    all other columns stay as they are, whatever their names. An empty table gives an empty result. Rows are staged with their
+    spans, so texts are searched once.
     """
+    name = fresh(docs, "spans")[0]
+    held = stage_table(docs.withColumn(name, candidates(text_or_empty(text_col))), "pii")
+    model = fit_on(held.select(F.col(name).alias("spans")))
     text = text_or_empty(text_col)
-    marked = docs.withColumn("__spans", candidates(text))
-    model = fit_on(docs.select(candidates(text).alias("spans")))
-    spans = F.array_sort(F.transform(decided(F.col("__spans"), model), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(decided(F.col(name), model), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
@@ -262,10 +306,10 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
         return F.when(x["start"] >= acc["at"], new).otherwise(wider)
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(F.aggregate(spans, start, put, rest))
-    out = marked.withColumn(text_col, clean)
+    clean = F.when(F.size(name) == 0, F.col(text_col)).otherwise(F.aggregate(spans, start, put, rest))
+    out = held.withColumn(text_col, clean)
     if chars_col in docs.columns:
-        changed = (F.size("__spans") > 0) & F.col(chars_col).isNotNull()
+        changed = (F.size(name) > 0) & F.col(chars_col).isNotNull()
         out = out.withColumn(chars_col, F.when(changed, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return out.select(*docs.columns)
 

@@ -70,9 +70,23 @@ def test_plan_is_native(spark, data, capsys):
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
 
 
-def test_em_learns_who_is_right():
-    counts = [("email", 1, (1, 1, 1, 1), 900), ("email", 1, (-1, 0, 0, -1), 100), ("ssn", 1, (1, -1, 0, -1), 50), ("ssn", 1, (1, 1, 1, 1), 50)]
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"a{k}@b.co, 10.0.0.{k % 256};" for k in range(1000))
+    row = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first()
+    assert [f"{x.kind}:{x.start}:{x.end}" for x in row.spans] == brute_base(text)
+
+
+def test_em_learns_who_is_right(spark):
+    plain, odd = (1, 1, 1, 0, 2), (1, 3, 3, 4, 2)
+    counts = [("email", plain, (1, 1, 1, 1), 900), ("email", odd, (-1, 0, 0, -1), 100), ("ssn", odd, (1, -1, 0, -1), 50), ("ssn", plain, (1, 1, 1, 1), 50)]
     model = pii.fit(counts)
     assert all(0.5 < a <= 1 for a, _ in model.reliability.values())
-    score = lambda kind, v: model.kind[kind] + model.size[1] + sum(model.votes[n, x] for n, x in zip(pii.LABELERS, v, strict=True) if x)
-    assert score("ssn", (1, 1, 1, 1)) > 0 > score("email", (-1, 0, 0, -1))
+    score = lambda kind, shape, v: sum(model.weights.get(key, 0) for key in [("kind", kind), *zip(pii.SHAPES, shape, strict=True), *zip(pii.LABELERS, v, strict=True)])
+    assert score("ssn", plain, (1, 1, 1, 1)) > 0 > score("email", odd, (-1, 0, 0, -1))
+    # where no labeler has an opinion, the shape decides
+    assert score("ssn", plain, (0, 0, 0, 0)) > score("ssn", odd, (0, 0, 0, 0))
+    row = dict(zip([*pii.SHAPES, *pii.LABELERS], [*plain, 1, 1, 1, 1], strict=True)) | {"kind": "ssn"}
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([row], "kind string, " + ", ".join(f"{c} int" for c in [*pii.SHAPES, *pii.LABELERS])).select(F.struct("*").alias("x"))
+    assert abs(frame.select(model.logit(F.col("x"))).first()[0] - score("ssn", plain, (1, 1, 1, 1))) < 1e-9
