@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,21 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, slices, stage_table, table, text_or_empty
+from .common import connected_components, fresh, stage_table, table, text_or_empty
 
 BYTES = 8
 SEED = 42
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def key_positions(max_bits: int) -> list[tuple[int, ...]]:
-    """Byte positions of each posting list.
+#: Distinct fingerprints from which posting lists are keyed by four positional bytes instead of three.
+WIDE_FROM = 1 << 32
 
-    At most max_bits differing bits leave at least 8 - max_bits bytes equal (the guaranteed minimum). For a minimum of four,
-    twenty triples suffice for any four equal positions to contain a triple (Turan's construction on groups of 3, 3 and 2),
-    so a list is keyed by three positional bytes and holds 1/2^24 of unrelated fingerprints instead of 1/256.
+
+def key_positions(max_bits: int, wide: bool = False) -> list[tuple[int, ...]]:
+    """Byte positions of each posting list of the inverted index.
+
+    At most max_bits differing bits leave at least 8 - max_bits bytes equal: the guaranteed minimum. A list of one positional
+    byte would hold 1/256 of all fingerprints, so the lists of several positions are met before they are read: for a minimum of
+    four, twenty triples suffice for any four equal positions to contain a triple (Turan's construction on groups of 3, 3 and 2),
+    and a list holds 1/2^24 of unrelated fingerprints. Wide: all seventy sets of four positions, with lists of 1/2^32.
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("max_bits must be 0 to 4")
+    if wide:
+        return list(combinations(range(BYTES), 4))
     groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
     keys = [g for g in groups if len(g) == 3]
     for k, g in enumerate(groups):
@@ -34,22 +43,47 @@ def key_positions(max_bits: int) -> list[tuple[int, ...]]:
     return [tuple(sorted(k)) for k in keys]
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """The fingerprint of one text's words."""
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: max(1, len(words) - shingle + 1)].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+#: Bytes of a text that are cut into words at a time.
+BLOCK = 1 << 20
+
+
+def blocks_of(text: bytes) -> Iterator[bytes]:
+    """The text in blocks of about BLOCK bytes that end where a word does."""
+    at = 0
+    while len(text) - at > BLOCK:
+        tail = text[at : at + BLOCK].rsplit(None, 1)
+        cut = at + len(tail[0]) if len(tail) == 2 else at + BLOCK
+        if len(tail) != 2 and (end := SPACE.search(text, cut)):
+            cut = end.start()
+        elif len(tail) != 2:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint of a text: zero without words. A long text is worked through in blocks."""
+    ones, count, held = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        part = np.ascontiguousarray(h[at : at + (1 << 16)]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    for block in blocks_of(text):
+        words = held + block.lower().split()
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(size + 1) - 1
+            starts = (ends - size)[: len(words) - shingle + 1].tolist()
+            ends = ends[shingle - 1 :].tolist()
+            h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), "<u8", len(starts))
+            for at in range(0, len(h), 1 << 14):
+                ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            count += len(h)
+            held = words[len(words) - shingle + 1 :] if shingle > 1 else []
+        else:
+            held = words
+    if not count and held:  # fewer words than a shingle: the whole sequence
+        ones, count = np.unpackbits(np.array([digest(b" ".join(held), SEED)], "<u8").view(np.uint8), bitorder="little").astype(np.int64), 1
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -58,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            fps = [fingerprint(t.as_py().lower().split(), shingle) for t in texts]
+            fps = [fingerprint(t.as_py(), shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -88,14 +122,14 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(heads), np.concatenate(tails)
 
 
-def links(distinct: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 4, block: int = 2048, wide: bool = False) -> DataFrame:
     """Edges (a, b) between distinct fingerprints with the components of all pairs at most max_bits apart.
 
     A list of more than block rows is dealt into blocks and each pair of blocks is one group, so no task holds more than about
     two blocks of a list and no pair is lost. Within a group, shared positional bytes are tallied, pairs below the guaranteed
     minimum fall away, the rest are verified by bit count, and only a spanning forest is emitted.
     """
-    masks = [sum(0xFF << (8 * p) for p in key) for key in key_positions(max_bits)]
+    masks = [sum(0xFF << (8 * p) for p in key) for key in key_positions(max_bits, wide)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)]
     index = distinct.select("fp", F.explode(F.array(*keys)).alias("k"))
@@ -145,6 +179,13 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFram
     return found.distinct()
 
 
+def roots(marks: DataFrame, max_bits: int, wide_from: int = WIDE_FROM) -> DataFrame:
+    """(fp, root) of the fingerprints of marks(fp) that some other one is linked to."""
+    distinct = marks.select("fp").distinct()
+    found = stage_table(links(distinct, max_bits, wide=distinct.count() >= wide_from), "links")
+    return connected_components(found).select(F.col("node").alias("fp"), "root")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id (least doc_id reachable).
 
@@ -155,11 +196,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marks = stage_table(fingerprints(docs, id_col, text_col, shingle), "simhash")
     heads = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = stage_table(links(marks.select("fp").distinct(), max_bits), "links")
-    roots = connected_components(joined)
-    linked = roots.join(heads, roots.node == heads.fp).select("node", "root", "least")
+    linked = heads.join(roots(marks, max_bits), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
-    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "linked_id")
+    linked = linked.join(least, "root").select("fp", "linked_id")
     named = heads.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
     return marks.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -167,27 +206,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """Keep of each component the row with the least id, all columns as they are; of repeated rows with that id, one stays.
+    """One row of each component stays, all columns as they are, whatever their names: the one with the least id.
 
-    Rows with a null id go where their component has an id; of one without any, one row stays. A null text is empty. Texts are
-    joined with the ids that go, once, and aren't aggregated.
+    Each row is looked at by itself, so rows that share an id but not a component don't give way to each other; of those with
+    the least id of one component the first in the table stays. A row without an id stays only where no row of its component has
+    one, and then one does. A null text is empty. An empty table gives an empty result. Rows are staged with their fingerprints,
+    and texts meet the rows that stay in one join on a number that no two rows share.
     """
-    groups = components(docs, id_col, text_col, shingle, max_bits)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    bare = docs.where(F.col(id_col).isNull())
-    if bare.isEmpty():
-        return kept
-    # rows without ids: the hash of the text stands in for the id
-    mark = F.xxhash64(text_or_empty(text_col))
-    lone = groups.where("component_id is null").select("fingerprint").distinct()
-    own = components(bare.select(mark.alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", shingle, max_bits)
-    own = own.join(lone, "fingerprint", "left_semi").select(F.col("component_id").alias("__one")).distinct()
-    lonely = bare.withColumn("__hash", mark).join(own, F.col("__hash") == F.col("__one"), "left_semi").dropDuplicates(["__hash"])
-    return kept.unionByName(lonely.drop("__hash"))
+    row, fp, text = fresh(docs, "row", "fp", "own_text")
+    source = docs.withColumns({text: text_or_empty(text_col), fp: F.lit(0).cast("long")})
+    at = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(at).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(np.array(fps, np.uint64).view(np.int64))], [*batch.schema.names[:at], fp])
+
+    held = stage_table(source.mapInArrow(run, source.drop(text).schema).withColumn(row, F.monotonically_increasing_id()), "simhash")
+    marks = held.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    heads = marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    first = heads.join(roots(marks, max_bits), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    return held.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
