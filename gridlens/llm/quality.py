@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_words, slices, stage_table, table, text_bytes, text_or_empty
+from .common import find_words, fresh, hash_words, slices, stage_table, table, text_bytes, text_or_empty
 
-#: Labelled rows that are fitted on at most, chosen by a hash of the id; a fifth of them calibrates.
+#: Labelled rows that are fitted on, about, chosen by a hash of the id; a fifth of them calibrates.
 FIT_ROWS = 20_000
 ROUNDS = 3
-#: Documents of each class that a view hands to the other in a round at most, and how sure it must be.
+#: Documents of each class that a view hands to the other in a round, about, and how sure it must be.
 HANDED = 1000
 SURE = 0.98
 BUCKETS = 16
@@ -84,27 +86,38 @@ def text_features(array: pa.Array) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> DataFrame:
-    """(doc_id, x array<float> of TEXT_FEATURES, lang, source: buckets of their hashes, chars: log of n_chars, and whether null)."""
-    bucket = lambda c: F.coalesce(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS - 1)) + 1, F.lit(0))
+#: Columns of features() and their types.
+FEATURES = {"doc_id": "long", "x": "array<float>", "lang": "int", "source": "int", "chars": "double", "known": "boolean"}
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns of FEATURES, and their names there: x of TEXT_FEATURES, lang and source as buckets of their hashes,
+    chars as the log of n_chars, and whether that is known. Texts are looked at about 256 KB at a time, a longer one by itself."""
+    bucket = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS - 1)) + 1).cast("int")
     known = F.col(chars_col).isNotNull()
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        text_or_empty(text_col).alias("text"),
-        F.when(F.col(lang_col).isNull(), 0).otherwise(bucket(lang_col)).cast("int").alias("lang"),
-        F.when(F.col(source_col).isNull(), 0).otherwise(bucket(source_col)).cast("int").alias("source"),
-        F.when(known & (F.col(chars_col) >= 0), F.log1p(F.col(chars_col).cast("double"))).otherwise(F.lit(0.0)).alias("chars"),
-        known.alias("known"),
-    )
+    names = fresh(docs, *(f"q_{c}" for c in FEATURES))
+    text = fresh(docs, "q_text")[0]
+    own = [
+        F.col(id_col).cast("long"),
+        F.lit(None).cast("array<float>"),
+        bucket(lang_col),
+        bucket(source_col),
+        F.when(known & (F.col(chars_col) >= 0), F.log1p(F.col(chars_col).cast("double"))).otherwise(F.lit(0.0)),
+        known,
+    ]
+    source = docs.withColumns(dict(zip(names, own, strict=True)) | {text: text_or_empty(text_col)})
+    at = source.columns.index(names[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 1 << 20):
-                x = text_features(batch.column(1)).astype(np.float32)
+            for batch in slices(whole, whole.num_columns - 1, 1 << 18):
+                x = text_features(batch.column(batch.num_columns - 1)).astype(np.float32)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), flat, *batch.columns[2:]], ["doc_id", "x", "lang", "source", "chars", "known"])
+                columns = batch.columns[:-1]
+                columns[at] = flat
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return source.mapInArrow(run, "doc_id long, x array<float>, lang int, source int, chars double, known boolean")
+    return source.mapInArrow(run, source.drop(text).schema), names
 
 
 # ---------------------------------------------------------------------------------------------------------------- fitting
@@ -169,14 +182,18 @@ def linear_column(view: Linear, terms: list[Column]) -> Column:
     return out
 
 
-def text_logit(view: Linear) -> Column:
-    return linear_column(view, [F.col("x")[k].cast("double") for k in range(len(TEXT_FEATURES))])
+SELF = {c: c for c in FEATURES}
 
 
-def meta_logit(view: Linear) -> Column:
-    is_ = lambda c, k: (F.col(c) == k).cast("double")
+def text_logit(view: Linear, names: dict[str, str] = SELF) -> Column:
+    return linear_column(view, [F.col(names["x"])[k].cast("double") for k in range(len(TEXT_FEATURES))])
+
+
+def meta_logit(view: Linear, names: dict[str, str] = SELF) -> Column:
+    is_ = lambda c, k: (F.col(names[c]) == k).cast("double")
     terms = [is_("lang", k) for k in range(BUCKETS)] + [is_("source", k) for k in range(BUCKETS)]
-    return linear_column(view, [*terms, F.col("chars"), F.col("chars") * F.col("chars") / 10, F.col("known").cast("double")])
+    chars = F.col(names["chars"])
+    return linear_column(view, [*terms, chars, chars * chars / 10, F.col(names["known"]).cast("double")])
 
 
 def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -192,28 +209,43 @@ class CoTrained:
     blend: np.ndarray
     rounds: list[dict[str, int]]
 
-    def score(self) -> tuple[Column, Column, Column]:
+    def score(self, names: dict[str, str] = SELF) -> tuple[Column, Column, Column]:
         """Logits of the text view, the metadata view, and both."""
-        t, m = text_logit(self.text), meta_logit(self.meta)
+        t, m = text_logit(self.text, names), meta_logit(self.meta, names)
         return t, m, F.lit(float(self.blend[0])) + F.lit(float(self.blend[1])) * t + F.lit(float(self.blend[2])) * m
 
 
+def share(n: int, of: int) -> float:
+    return min(1.0, n / max(1, of))
+
+
+def drawn(part: float, *salt: int) -> Column:
+    """Whether a hash of the id falls into this share of all hashes."""
+    return F.pmod(F.xxhash64("doc_id", *map(F.lit, salt)), F.lit(1 << 30)) < int(part * (1 << 30))
+
+
 def fit(found: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = FIT_ROWS, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> CoTrained:
-    """Co-train on features(): each round both views score all unlabelled documents in Spark, and the most confident beyond
-    sure, at most handed of each class, join the other view's training rows with the label the first view gave them."""
+    """Co-train on the columns of FEATURES.
+
+    Each round both views score all unlabelled documents in Spark. Of those that a view is sure of, about handed of each class,
+    drawn by a hash of the id from all of them, join the other view's training rows for good, with the label that the first
+    view gave them. A round draws from its own share of the ids, so no document is handed over twice. Of rows that share an id
+    the least by features is the labelled one.
+    """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded sample of labelled rows
-    train = found.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    picked = own.where(drawn(share(rows, own.count())))  # a bounded sample of labelled rows
+    one = F.min(F.struct("x", "lang", "source", "chars", "known")).alias("r")
+    train = found.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(one, F.max("y").alias("y"))
+    train = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("r.*", "y").toArrow()
     x, m = arrays(train)
     y = np.array(train.column("y").to_pylist(), float)
     hold = np.arange(len(y)) % 5 == 4
     if len(set(y[~hold].tolist())) < 2:
         flat = lambda n: Linear(np.zeros(n), np.ones(n), np.zeros(n + 1))
-        prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 2.0
-        return CoTrained(flat(x.shape[1]), flat(m.shape[1]), np.array([prior if prior else 2.0, 0.0, 0.0]), [])
+        return CoTrained(flat(x.shape[1]), flat(m.shape[1]), np.array([np.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0, 0.0]), [])
     more: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"text": [], "meta": []}
-    unlabelled = found.join(own.select("doc_id"), "doc_id", "left_anti")
-    history = []
+    unlabelled = stage_table(found.join(own.select("doc_id"), "doc_id", "left_anti"), "unlabelled")
+    edge, history = float(np.log(sure / (1 - sure))), []
     for step in range(rounds + 1):
         views = {}
         for name, all_x in (("text", x), ("meta", m)):
@@ -224,62 +256,63 @@ def fit(found: DataFrame, labels: DataFrame, label_col: str = "quality", rows: i
             views[name] = fit_view(tx, ty, weight, all_x[hold], y[hold])
         if step == rounds:
             break
-        edge = float(np.log(sure / (1 - sure)))
+        turn = unlabelled.where(F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(rounds)) == step)
+        scored = turn.withColumns({"text_z": text_logit(views["text"]), "meta_z": meta_logit(views["meta"])})
+        certain = {(name, label): F.col(f"{name}_z") >= edge if label else F.col(f"{name}_z") <= -edge for name in ("text", "meta") for label in (0, 1)}
+        sure_of = scored.agg(*[F.count_if(c).alias(f"{name}{label}") for (name, label), c in certain.items()]).first()
+        chosen = {key: c & drawn(share(handed, sure_of[f"{key[0]}{key[1]}"]), step, k) for k, (key, c) in enumerate(certain.items())}
+        marked = scored.withColumns({f"{name}{label}": c for (name, label), c in chosen.items()})
+        taken = marked.where(reduce(or_, map(F.col, [f"{name}{label}" for name, label in chosen]))).toArrow()
+        tx, tm = arrays(taken)
         passed = {}
-        for name, other, logit in (("text", "meta", text_logit(views["text"])), ("meta", "text", meta_logit(views["meta"]))):
-            scored = unlabelled.withColumn("z", logit)
-            got = []
-            for label, sign in ((1.0, 1), (0.0, -1)):
-                best = scored.where(sign * F.col("z") >= edge).orderBy((-sign * F.col("z")), F.xxhash64("doc_id"), "doc_id").limit(handed)
-                taken = best.toArrow()
-                if taken.num_rows:
-                    pair = arrays(taken)
-                    got.append((pair[0] if other == "text" else pair[1], np.full(taken.num_rows, label)))
-            more[other] = got
-            passed[f"{name} to {other}"] = sum(len(g[1]) for g in got)
+        for name, other in (("text", "meta"), ("meta", "text")):
+            for label in (0, 1):
+                rows_of = np.flatnonzero(np.array(taken.column(f"{name}{label}").to_pylist(), bool))
+                more[other].append(((tx if other == "text" else tm)[rows_of], np.full(len(rows_of), float(label))))
+                passed[f"{name} to {other}, {label}"] = len(rows_of)
         history.append(passed)
     z = np.column_stack([np.ones(hold.sum()), views["text"].logit(x[hold]), views["meta"].logit(m[hold])])
     blend = newton(z, y[hold], np.ones(len(z)), np.array([0.1, 0.1, 1.0])) if len(set(y[hold].tolist())) == 2 else np.array([0.0, 1.0, 0.0])
     return CoTrained(views["text"], views["meta"], blend, history)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
+COLUMNS = {"id_col": "doc_id", "text_col": "text", "lang_col": "lang", "source_col": "source", "chars_col": "n_chars"}
+
+
+def judged(docs: DataFrame, labels: DataFrame, columns: dict[str, str], options: dict) -> tuple[DataFrame, CoTrained, DataFrame]:
+    """docs with their features, staged, so that features are made once; the model; and the features alone, by FEATURES."""
+    made, names = features(docs, **(COLUMNS | columns))
+    held = stage_table(made, "quality")
+    found = held.select(*[F.col(n).alias(c) for n, c in zip(names, FEATURES, strict=True)])
+    model = fit(found, labels, **options)
+    own = dict(zip(FEATURES, names, strict=True))
+    kept = held.withColumns({n: c for n, c in zip(fresh(held, "z_text", "z_meta", "z_both"), model.score(own), strict=True)})
+    return kept, model, found
+
+
+def score(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = None, **options) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep) for each row: probabilities that the document is good; keep from one half.
 
-    Null languages, sources and lengths are categories of their own; a null text is empty; a null id keeps its row and is
-    never a training row; repeated rows are scored each. Without labels of both classes every score is the labels' share.
+    columns: names of docs' columns where they differ from COLUMNS. Null languages, sources and lengths are categories of their
+    own; a null text is empty; a null id keeps its row and is never a training row; repeated rows are scored each; other columns
+    are not read. Without labels of both classes every score is the share (good + 1) / (labels + 2): one half without any, which
+    keeps all. An empty table gives an empty result.
     """
-    found = stage_table(features(docs, id_col, text_col, lang_col, source_col, chars_col), "quality")
-    model = fit(found, labels, **options)
-    t, m, z = model.score()
-    p = lambda c: 1 / (1 + F.exp(-c))
-    return found.select("doc_id", p(t).alias("text_score"), p(m).alias("meta_score"), p(z).alias("score")).withColumn("keep", F.col("score") >= 0.5)
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that are rejected; columns as they were. The model is fitted on the features of all rows, and rows
-    are then judged where they lie: no row meets another, so nothing is shuffled for the decision."""
-    args = {"id_col": "doc_id", "text_col": "text", "lang_col": "lang", "source_col": "source", "chars_col": "n_chars"} | {k: options.pop(k) for k in [k for k in options if k.endswith("_col") and k != "label_col"]}
-    model = fit(stage_table(features(docs, **args), "quality"), labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = {k: docs.columns.index(v) for k, v in args.items()}
-    bucket = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS - 1)) + 1).cast("int")
-    extended = docs.withColumns({"__lang": bucket(args["lang_col"]), "__source": bucket(args["source_col"])})
+    names = COLUMNS | (columns or {})
+    kept, _, _ = judged(docs.select(*dict.fromkeys(names.values())), labels, names, options)
+    p = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    t, m, z = kept.columns[-3:]
+    return kept.select(F.col(names["id_col"]).cast("long").alias("doc_id"), p(t).alias("text_score"), p(m).alias("meta_score"), p(z).alias("score")).withColumn("keep", F.col("score") >= 0.5)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for whole in batches:
-            for batch in slices(whole, at["text_col"], 1 << 20):
-                x = text_features(batch.column(at["text_col"])).astype(np.float32).astype(float)
-                chars = np.array([np.nan if c is None else float(c) for c in batch.column(at["chars_col"]).to_pylist()])
-                known = ~np.isnan(chars)
-                logs = np.log1p(np.where(known & (chars >= 0), chars, 0.0))
-                n = batch.num_columns
-                m = meta_matrix(batch.column(n - 2).to_numpy(), batch.column(n - 1).to_numpy(), logs, known.astype(float))
-                z = model.blend[0] + model.blend[1] * model.text.logit(x) + model.blend[2] * model.meta.logit(m)
-                yield batch.filter(pa.array(z >= 0))
-
-    return extended.mapInArrow(run, extended.schema).select(*docs.columns)
+
+def keep_good(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None = None, **options) -> DataFrame:
+    """docs without the rows that are rejected; columns as they were, whatever their names. Odd rows as in score().
+
+    Rows are staged with their features, the model is fitted on these, and each row is judged where it lies: no row meets
+    another, so nothing is shuffled for the decision.
+    """
+    kept, _, _ = judged(docs, labels, columns or {}, options)
+    return kept.where(F.col(kept.columns[-1]) >= 0).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
