@@ -21,6 +21,6 @@ def odd_documents(spark, texts=()):
         *[(100 + k, t, "en", "z", len(t)) for k, t in enumerate(texts)],
     ]
     frame = spark.createDataFrame(rows, SCHEMA)
-    for name in ("k", "h", "n", "fp", "u", "v", "score", "piece", "__n", "kind", "start"):
+    for name in ("k", "h", "n", "fp", "u", "v", "score", "piece", "__n", "kind", "start", "__hits", "__spans", "__lang", "__gone", "__b", "row", "found", "spans", "own_text", "q_x", "q_lang", "z_both"):
         frame = frame.withColumn(name, F.lit("clash"))
     return frame

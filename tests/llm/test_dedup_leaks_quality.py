@@ -57,8 +57,8 @@ def test_simhash_odd_rows(spark):
     assert [r.doc_id for r in kept.collect()].count(None) == 1
 
 
-@pytest.mark.parametrize("block", [2, 5, 2048])
-def test_links_lose_no_component(spark, block):
+@pytest.mark.parametrize("block, wide", [(2, False), (5, True), (2048, False)])
+def test_links_lose_no_component(spark, block, wide):
     rng = random.Random(block)
     centre = rng.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(150)}
@@ -69,7 +69,7 @@ def test_links_lose_no_component(spark, block):
             fps.add(x)
             x ^= sum(1 << b for b in rng.sample(range(64), 4))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block=block)
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block=block, wide=wide)
     roots = dict(common.connected_components(got).collect())
     neighbours = {x: {y for y in fps if (x ^ y).bit_count() <= 4} for x in fps}
     signed_of = lambda x: x - (1 << 64) if x >> 63 else x
@@ -93,37 +93,55 @@ def test_key_positions_cover_the_minimum():
     keys = simhash.key_positions(4)
     assert len(keys) == len(set(keys)) == 20
     assert all(any(set(k) <= set(four) for k in keys) for four in itertools.combinations(range(8), 4))
+    assert len(simhash.key_positions(4, wide=True)) == 70
+
+
+def test_rows_that_share_an_id_are_looked_at_one_by_one(spark):
+    near = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, near), (1, "a text of its own that is like no other one here"), (2, near), (None, near), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == [(0, "alone"), (1, "a text of its own that is like no other one here"), (1, near)]
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    text = " ".join(f"w{k % 97}" for k in range(500)) + " " + "x" * 300 + "  y"
+    whole = simhash.fingerprint(text.encode(), 4)
+    assert whole == brute_fingerprint(text)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        assert b"".join(simhash.blocks_of(text.encode())) == text.encode()
+        assert simhash.fingerprint(text.encode(), 4) == whole
 
 
 # ------------------------------------------------------------------------------------------------------- decontamination
 
 
 def brute_overlap(doc, item):
-    """The most tokens that agree at any shift with a window that passes, or None."""
+    """(first token, tokens, agreeing) of the window with most agreeing tokens, the first of these, at any shift; or None."""
     window = min(20, len(item))
-    if len(item) < 8:
-        return None
+    need = window if window < 8 else np.ceil(0.8 * window - 1e-9)
     best = None
-    for shift in range(-len(item), len(doc)):
+    for shift in range(-len(item), len(doc)) if item else ():
         a, b = max(0, -shift), min(len(item), len(doc) - shift)
         same = [doc[j + shift] == item[j] for j in range(a, b)]
-        if any(sum(same[k : k + window]) >= np.ceil(0.8 * window - 1e-9) for k in range(len(same) - window + 1)):
-            best = max(best or 0, sum(same))
-    return best
+        for k in range(len(same) - window + 1):
+            if (n := sum(same[k : k + window])) >= need:
+                best = max(best or (0, 0), (n, -(a + shift + k)))
+    return best and (-best[1], window, best[0])
 
 
 def tokens(text):
     import re
 
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return re.findall(r"[\u3000-\u9fff]|[a-z0-9\x80-\u2fff\ua000-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(60)] + ["the"] * 30
     items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([5, 8, 9, 10, 12, 15, 16, 18, 20, 33, 50])]
-    items += [(90, None), (91, ""), (92, "Straße über, alles! wird gut; so oder so eben")]
-    docs = []
+    items += [(90, None), (91, ""), (92, "Straße über, alles! wird gut; so oder so eben"), (93, "w1 w2"), (94, "seven words that are only here once"), (95, "東京都は日本の首都である"), (96, "?!")]
+    items += [(97, "twice " * 8), (97, "the same id once more but other words here")]
+    docs = [(999, "東京都は日本の首部である。"), (998, "x seven words that are only here once"), (997, "seven words that are only here twice"), (996, "twice " * 30)]
     for k in range(120):
         text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
         if k % 2:
@@ -135,16 +153,40 @@ def test_decontamination_matches_brute_force(spark):
         docs.append((1000 + k, ", ".join(text).upper() if k % 3 == 0 else " ".join(text)))
     frame = odd_documents(spark, [t for _, t in docs])
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
-    for chars in (4 << 20, 300):
-        got = {(r.doc_id, h.item_id): h.agree for r in decontaminate.mark(frame, bench, block_chars=chars).collect() for h in r["__hits"]}
-        want = {(r.doc_id, i): n for r in frame.collect() for i, t in items if (n := brute_overlap(tokens(r.text), tokens(t))) is not None}
-        assert got == want and len(want) > 20
+    got = sorted(tuple(r) for r in decontaminate.overlaps(frame, bench).collect())
+    best = {}
+    for n, r in enumerate(frame.collect()):
+        for i, t in items:
+            if over := brute_overlap(tokens(r.text), tokens(t)):
+                best[n, r.doc_id, i] = max(best.get((n, r.doc_id, i), over), over, key=lambda o: (o[2], -o[0]))
+    want = sorted((d, i, *over) for (_, d, i), over in best.items())
+    assert got == want and len(want) > 20
     clean = decontaminate.remove_contaminated(frame, bench)
-    assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in frame.collect()} - {d for d, _ in want}
+    assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in frame.collect()} - {d for d, *_ in want}
     assert decontaminate.remove_contaminated(frame, bench.limit(0)).count() == frame.count()
     assert decontaminate.remove_contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_filter_that_lets_all_pass_loses_nothing(spark, monkeypatch, data):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 15)
+    got = sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect())
+    assert got == want and want
+
+
+def test_decontamination_query_matches_brute_force(spark, data):
+    items = [(r.item_id, tokens(r.text)) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    want = []
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        doc = tokens(r.text)
+        have = set(doc)
+        for i, t in items:
+            if sum(x in have for x in t) >= 0.8 * min(20, len(t)) - 1e-9 and (over := brute_overlap(doc, t)):
+                want.append((r.doc_id, i, *over))
+    assert sorted(tuple(r) for r in decontaminate.op8(spark, data).collect()) == sorted(want) and want
+
+
 @pytest.mark.parametrize("masks, cases", [(decontaminate.SHORT_MASKS, [(n, int(n * 0.2 + 1e-9)) for n in range(8, 16)]), (decontaminate.LONG_MASKS, [(n, int(n * 0.2 + 1e-9)) for n in range(16, 21)])])
 def test_masks_hit_every_tolerated_window(masks, cases):
     for size, wrong in cases:
@@ -176,4 +218,6 @@ def test_quality_odd_rows(spark):
         assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
         kept = quality.keep_good(docs, rows)
         assert kept.columns == docs.columns and kept.count() == sum(r.keep for r in out)
+        if isinstance(labels, str):
+            assert {r.score for r in out} == {0.5}
     assert quality.score(docs.limit(0), rows).collect() == []

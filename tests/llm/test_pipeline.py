@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from gridlens.llm import decontaminate, packing, pii, quality
 
+from .odd import odd_documents
 from .test_dedup_leaks_quality import brute_components, tokens
 from .test_packing import TOKENIZER, brute_pieces, check_layout
 from .test_pii import brute_base
@@ -13,8 +14,8 @@ from .test_pii import brute_base
 def leaks(doc, item):
     """Whether a window of the item lies in the document at some shift, by trying all shifts."""
     window = min(decontaminate.WINDOW, len(item))
-    need = int(np.ceil(decontaminate.AGREE * window - 1e-9))
-    if len(item) < decontaminate.MIN_TOKENS or sum(t in set(doc) for t in item) < need:
+    need = decontaminate.least_agreeing(window)
+    if not item or sum(t in set(doc) for t in item) < need:
         return False
     a, b = np.array(doc, object), np.array(item, object)
     for shift in range(window - len(b), len(a) - window + 1):
@@ -67,3 +68,20 @@ def test_each_stage_matches_brute_force(spark, data):
     got = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows}
     assert got == set(brute_pieces([(r.doc_id, r.text) for r in before.values()])) and TOKENIZER == packing.default_tokenizer()
     check_layout(rows, 4096)
+
+
+def test_odd_rows_and_an_empty_table(spark, data, tmp_path):
+    odd = odd_documents(spark, ["mail me@x.org now", "plain words"])
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{data}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        frame, kept = spark.read.parquet(f"{folder}/documents.parquet"), None
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.stage_table(stage(spark, frame if kept is None else kept, folder), stage_name)
+            assert kept.columns == docs.columns
+        rows = corpus_pipeline.run(spark, folder).collect()
+        want = brute_pieces([(r.doc_id, r.text) for r in kept.collect()])
+        assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == sorted(want, key=repr)
+        check_layout(rows, 4096)
