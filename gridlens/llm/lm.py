@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import find_words, free_shuffles, hash_words, mix, slices, stage_table, table, text_bytes, text_or_empty
@@ -23,6 +24,10 @@ SEGMENT_BITS = 1 << 24
 BITS_PER_ITEM = 12
 #: Words whose exact counts are broadcast at most; counts of all others are joined.
 HOT_WORDS = 1 << 19
+#: Bytes of text that are scored at a time, and distinct n-grams of a task's text that are summed before they are handed on.
+SLICE, COMBINED = 4 << 20, 1_500_000
+#: Of an n-gram's hash the highest bits name its segment; these are entered there. Five bytes are moved instead of eight.
+KEY = np.uint64((1 << 40) - 1)
 #: Weight of the unigram estimate, in tokens seen after a context.
 MU = 400.0
 
@@ -74,7 +79,7 @@ def bit_places(h: np.ndarray, level: np.ndarray | int, probe: int, seg_bits: int
 
 @dataclass
 class LogFrequencyFilter:
-    """A Bloom filter in segments: an n-gram with level q is entered q times, as (n-gram, 1) to (n-gram, q)."""
+    """A Bloom filter in segments (a power of two): an n-gram with level q is entered q times, as (n-gram, 1) to (n-gram, q)."""
 
     bits: np.ndarray
     segments: int
@@ -83,7 +88,8 @@ class LogFrequencyFilter:
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probe (n-gram, 1), (n-gram, 2), ... until one isn't there."""
         out = np.zeros(len(h), np.int64)
-        base = (h >> np.uint64(64 - 40)) % np.uint64(self.segments) * np.uint64(self.seg_bits)
+        base = segment_of(h, self.segments).astype(np.uint64) * np.uint64(self.seg_bits)
+        h = h & KEY
         live, q = np.arange(len(h)), 1
         while len(live) and q < 119:
             hit = np.ones(len(live), bool)
@@ -97,47 +103,100 @@ class LogFrequencyFilter:
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(64 - 40)) % np.uint64(segments)).astype(np.int32)
+    bits = segments.bit_length() - 1
+    return (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+
+
+def five(h: np.ndarray) -> np.ndarray:
+    """The five bytes of each KEY, (rows, 5)."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def from_five(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def blobs(values: np.ndarray, heads: np.ndarray) -> pa.Array:
     """A binary row for each stretch of values that begins at one of heads."""
-    offsets = (np.append(heads, len(values)) * values.itemsize).astype(np.int32)
+    width = values.itemsize * (values.shape[1] if values.ndim == 2 else 1)
+    offsets = (np.append(heads, len(values)) * width).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def unblob(array: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of the binary rows, and the index of each row's first one."""
+def unblob(array: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the binary rows, one after the other, and how many values of so many bytes each has."""
     wide = pa.types.is_large_binary(array.type)
     offsets = np.frombuffer(array.buffers()[1], np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    data = np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(kind), (offsets[:-1] - offsets[0]) // np.dtype(kind).itemsize
+    raw = np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if array.buffers()[2] else np.zeros(0, np.uint8)
+    return raw, np.diff(offsets) // width
+
+
+def by_segment(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments at hand of sorted h, and where each begins."""
+    return np.unique(segment_of(h, segments), return_index=True)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and their counts from several such lists."""
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    heads = np.flatnonzero(new)
+    return h[heads], np.add.reduceat(n, heads) if len(heads) else n
 
 
-def by_segment(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of sorted h by (segment, h), the segments at hand, and where each begins in that order."""
+def counted(h: np.ndarray, n: np.ndarray, uni: bool, segments: int) -> pa.RecordBatch:
+    """A row for each segment: n-grams that occur more than once first, whose counts follow; all others occur once."""
     seg = segment_of(h, segments)
-    order = np.argsort(seg, kind="stable")
-    there, heads = np.unique(seg[order], return_index=True)
-    return order, there, heads
+    order = np.lexsort((n == 1, seg))
+    h, n, seg = h[order], n[order], seg[order]
+    there, heads = np.unique(seg, return_index=True)
+    often = np.flatnonzero(n > 1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(there), pa.array(np.full(len(there), uni)), blobs(h if uni else five(h), heads), blobs(n[often].astype(np.uint32), np.searchsorted(often, heads))],
+        ["seg", "uni", "h", "n"],
+    )
+
+
+def read_counted(uni: bool, h: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and counts of rows that counted() made; pairs by their KEY."""
+    raw, size = unblob(h, 8 if uni else 5)
+    counts, often = unblob(n, 4)
+    out = np.ones(int(size.sum()), np.int64)
+    begin = np.cumsum(size) - size
+    out[np.repeat(begin - (np.cumsum(often) - often), often) + np.arange(int(often.sum()))] = counts.view(np.uint32)
+    return (raw.view(np.uint64).copy() if uni else from_five(raw)), out
 
 
 def ngram_counts(docs: DataFrame, segments: int) -> DataFrame:
-    """(seg, uni, h, n): for each slice of text and segment, its words or its pairs of neighbours and how often they occur."""
+    """(seg, uni, h, n): words or pairs of neighbours and how often they occur, summed over a task's text as far as COMBINED allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+        size = 0
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for uni, parts in held.items():
+                if parts:
+                    yield counted(*summed(parts), uni, segments)
+                    parts.clear()
+
         for whole in batches:
-            for batch in slices(whole, 0, 6 << 20):
+            for batch in slices(whole, 0, SLICE):
                 tokens, first = token_stream(batch.column(0))
                 if not len(tokens):
                     continue
                 for uni, values in ((True, tokens), (False, bigrams(tokens, first)[0])):
-                    h, n = np.unique(values, return_counts=True)
-                    order, there, heads = by_segment(h, segments)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(there), pa.array(np.full(len(there), uni)), blobs(h[order], heads), blobs(n[order].astype(np.uint32), heads)],
-                        ["seg", "uni", "h", "n"],
-                    )
+                    held[uni].append(np.unique(values, return_counts=True))
+                    size += len(held[uni][-1][0])
+                if size > COMBINED:
+                    yield from hand_on()
+                    size = 0
+        yield from hand_on()
 
     return docs.mapInArrow(run, "seg int, uni boolean, h binary, n binary")
 
@@ -192,11 +251,10 @@ def fit(docs: DataFrame, max_bits: int = MAX_BITS, hot_words: int = HOT_WORDS) -
 
         def enter() -> Iterator[pa.RecordBatch]:
             """Sum the n-grams of one segment and kind, and enter them; words are handed on with their counts."""
-            h, where = np.unique(np.concatenate(hs), return_inverse=True)
-            n = np.bincount(where, np.concatenate(ns)).astype(np.int64)
+            h, n = summed(list(zip(hs, ns, strict=True)))
             q = levels(n, 1)
             for level in range(1, int(q.max()) + 1):
-                at = h[q >= level]
+                at = h[q >= level] & KEY
                 for probe in range(PROBES):
                     bitmap[bit_places(at, level, probe, seg_bits)] = True
             if now[1]:
@@ -218,8 +276,9 @@ def fit(docs: DataFrame, max_bits: int = MAX_BITS, hot_words: int = HOT_WORDS) -
                     if own[0] != now[0]:
                         yield whole()
                 now = own
-                hs.append(unblob(batch.column(2).slice(a, b - a), np.uint64)[0].copy())
-                ns.append(unblob(batch.column(3).slice(a, b - a), np.uint32)[0].copy())
+                h, n = read_counted(own[1], batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a))
+                hs.append(h)
+                ns.append(n)
         if now is not None:
             yield from enter()
             yield whole()
@@ -278,7 +337,7 @@ def answered(source: DataFrame, model: Model, hot: object) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         count = 0
         for whole in batches:
-            for batch in slices(whole, 2, 6 << 20):
+            for batch in slices(whole, 2, SLICE):
                 part = batch.column(3)[0].as_py()
                 yield slice_name(batch.column(1).to_numpy(), (part << 32) + count), batch
                 count += 1
@@ -286,8 +345,8 @@ def answered(source: DataFrame, model: Model, hot: object) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, batch in named(batches):
             h = needed(*token_stream(batch.column(2)), hot.value[0])
-            order, there, heads = by_segment(h, segments)
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(len(there), bool)), pa.array(np.full(len(there), name)), blobs(h[order], heads)], ["seg", "asks", "slice", "data"])
+            there, heads = by_segment(h, segments)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(len(there), bool)), pa.array(np.full(len(there), name)), blobs(five(h), heads)], ["seg", "asks", "slice", "data"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lfbf = None, None
@@ -300,9 +359,10 @@ def answered(source: DataFrame, model: Model, hot: object) -> DataFrame:
                 if not asks[a]:
                     lfbf = LogFrequencyFilter(np.frombuffer(part.column(3)[0].as_py(), np.uint8), 1, seg_bits)
                     continue
-                h, heads = unblob(part.column(3), np.uint64)
+                raw, size = unblob(part.column(3), 5)
+                h = from_five(raw)
                 found = lfbf.level(h) if lfbf else np.zeros(len(h))
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), blobs(found.astype(np.uint8), heads)], ["slice", "seg", "levels"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), blobs(found.astype(np.uint8), np.cumsum(size) - size)], ["slice", "seg", "levels"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, batch in named(batches):
@@ -339,7 +399,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [c.split()[0] for c in schema.split(", ")]
     segments = model.segments
 
-    def rate(ids: pa.Array, keys: pa.Array, tokens: np.ndarray, first: np.ndarray, look: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def numbered() -> Callable[[int], np.ndarray]:
+        """Numbers for a task's rows that no row of another task has."""
+        given = TaskContext.get().partitionId() << 33
+
+        def numbers(n: int) -> np.ndarray:
+            nonlocal given
+            given += n
+            return np.arange(given - n, given)
+
+        return numbers
+
+    def rate(ids: pa.Array, keys: np.ndarray, tokens: np.ndarray, first: np.ndarray, look: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The rows of a slice, and rows for its rare words. look gives the levels of n-grams."""
         hot_h, hot_n, total, distinct, _ = shared.value
         unseen, means = 1.0 / (total + distinct + 1), represented(1)
@@ -364,7 +435,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scores = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1])
         rows = len(size)
         none = pa.nulls(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(size), pa.array(known), pa.array(logs), pa.array(scores), none, none], names)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(size), pa.array(known), pa.array(logs), pa.array(scores), none, none], names)
         rare = np.flatnonzero(~is_hot[where])
         owner = np.repeat(np.arange(rows), size)[rare]
         order = np.lexsort((tokens[rare], owner))
@@ -376,28 +447,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         n = len(heads)
         if n:
             nothing = pa.nulls(n, pa.int64())
-            key = keys.to_numpy()[owner[heads]]
+            key = keys[owner[heads]]
             yield pa.RecordBatch.from_arrays([nothing, pa.array(key), nothing, nothing, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array(rare_h[heads].view(np.int64)), pa.array(times)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = numbered()
         for whole in batches:
-            for batch in slices(whole, 2, 6 << 20):
-                yield from rate(batch.column(0), batch.column(1), *token_stream(batch.column(2)), shared.value[4].level)
+            for batch in slices(whole, 2, SLICE):
+                yield from rate(batch.column(0), numbers(batch.num_rows), *token_stream(batch.column(2)), shared.value[4].level)
 
     def run_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, numbers = None, numbered()
         said: list[np.ndarray] = []
         rows: list[pa.RecordBatch] = []
 
         def rate_slice() -> Iterator[pa.RecordBatch]:
-            ids, keys, texts = (pa.concat_arrays([r.column(c) for r in rows]) for c in (3, 4, 5)) if rows else ([], [], pa.array([], pa.string()))
+            ids, texts = (pa.concat_arrays([r.column(c) for r in rows]) for c in (3, 5)) if rows else ([], pa.array([], pa.string()))
             tokens, first = token_stream(texts)
             h = needed(tokens, first, shared.value[0]) if rows else np.zeros(0, np.uint64)
             level = np.zeros(len(h), np.int64)
             if sum(map(len, said)) != len(h):
                 raise RuntimeError("a slice of documents changed between two readings: store the table before it is scored")
-            level[by_segment(h, segments)[0]] = np.concatenate(said)
-            yield from rate(ids, keys, tokens, first, lambda x: level[np.searchsorted(h, x)])
+            level[:] = np.concatenate(said)
+            yield from rate(ids, numbers(len(ids)), tokens, first, lambda x: level[np.searchsorted(h, x)])
             said.clear()
             rows.clear()
 
@@ -408,7 +480,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     yield from rate_slice()
                 now, part = name[a], batch.slice(a, b - a)
                 if answer[a]:
-                    said.append(unblob(part.column(2), np.uint8)[0].copy())
+                    said.append(unblob(part.column(2), 1)[0].copy())
                 else:
                     rows.append(part)
         if now is not None:
@@ -422,15 +494,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rest = rare.join(counts, "h", "left").groupBy("k").agg(
         F.sum(F.col("times") * F.log10(c + 1.0)).alias("rest_logs"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known")
     )
-    copies = F.count("*").over(Window.partitionBy("k"))
-    rows = looked.where("h is null").select("doc_id", "k", "n_tokens", "known", "logs", "score").withColumn("copies", copies)
+    rows = looked.where("h is null").select("doc_id", "k", "n_tokens", "known", "logs", "score")
     joined = rows.join(rest, "k", "left")
     size = F.log10(F.lit(float(model.tokens + model.distinct + 1)))
     return joined.select(
         "doc_id",
         "n_tokens",
-        (F.col("known") + F.coalesce(F.col("rest_known") / F.col("copies"), F.lit(0.0))).cast("long").alias("n_known"),
-        (F.col("logs") + F.coalesce(F.col("rest_logs") / F.col("copies"), F.lit(0.0)) - F.col("n_tokens") * size).alias("base_score"),
+        (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("logs") + F.coalesce("rest_logs", F.lit(0.0)) - F.col("n_tokens") * size).alias("base_score"),
         "score",
     )
 

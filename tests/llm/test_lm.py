@@ -35,7 +35,7 @@ def test_query_matches_brute_force(spark, data):
     assert rows_of(rows) == brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()])
     assert all(r.score <= 0 for r in rows)
     base, own = (sum(getattr(r, c) for r in rows if r.held_out) for c in ("base_score", "score"))
-    assert own > 1.05 * base  # the model says more than single words do (both are negative)
+    assert own > 0.95 * base  # both are negative: the model says more than single words do by a twentieth
 
 
 @pytest.mark.parametrize("hot", [0, 3, 1 << 19])
@@ -66,6 +66,42 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert (model.filter.level(other) > 0).mean() < 0.03
 
 
+@pytest.mark.parametrize("segments", [1, 8])
+def test_counts_are_read_back(segments):
+    rng = np.random.default_rng(segments)
+    h = np.unique(lm.mix(np.arange(2000, dtype=np.uint64)))
+    n = rng.choice([1, 1, 1, 2, 70_000], len(h))
+    for uni in (True, False):
+        batch = lm.counted(h, n, uni, segments)
+        got_h, got_n = lm.read_counted(uni, batch.column(2), batch.column(3))
+        got = sorted(zip(got_h.tolist(), got_n.tolist(), strict=True))
+        assert got == sorted(zip((h if uni else h & lm.KEY).tolist(), n.tolist(), strict=True))
+
+
+def test_score_matches_exact_counts(spark):
+    """With a filter that errs nowhere, every score is the formula's on exact counts in levels."""
+    texts = [(1, "a b a b c"), (2, "b c"), (3, "a b c d e"), (3, "a b c d e"), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm.fit(docs.select("text"), hot_words=2)
+    one, two = Counter(), Counter()
+    begin = object()
+    for _, t in texts:
+        w = words(t)
+        one.update(w)
+        two.update(zip([begin, *w], w, strict=False))
+    level = lambda c: lm.represented(1)[lm.levels(np.array([c]), 1)[0]]
+    total, distinct = sum(one.values()), len(one)
+    want = Counter()
+    for d, t in texts:
+        w, out = words(t), 0.0
+        for a, b in zip([begin, *w], w, strict=False):
+            context, alone = level(one[None] if a is begin else one[a]), level(one[b])
+            both = min(level(two[a, b]), alone, context)
+            out += log10(min(1.0, (both + lm.MU * (alone + 1) / (total + distinct + 1)) / (max(context, both) + lm.MU)))
+        want[d, round(out, 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in lm.score(docs, model).collect()) == want
+
+
 def test_no_word_spans_rows():
     import pyarrow as pa
 
