@@ -18,7 +18,8 @@ CURVES, DIMENSIONS, BITS = 14, 6, 8
 STRETCH = 2048
 #: Queries that are held against every vector, and the share of their neighbours that the stretches must meet.
 PROBED, RECALL = 64, 0.95
-#: Vectors that the projections and the cuts between stretches are fitted on, and cuts of an ordering, at most.
+#: Vectors that the projections and the cuts between stretches are fitted on, and cuts of an ordering that are quantiles of
+#: these, at most; where a table needs more stretches, each piece between two cuts is parted evenly along the curve.
 FIT_ROWS, CUTS = 50_000, 20_000
 
 
@@ -57,6 +58,7 @@ class Curves:
     low: np.ndarray
     scale: np.ndarray
     cuts: list[np.ndarray]
+    fine: int = 1
 
     def lift(self, v: np.ndarray, query: bool) -> np.ndarray:
         size = np.sqrt((v * v).sum(1))
@@ -74,7 +76,27 @@ class Curves:
         return np.array(out)
 
     def stretches(self, v: np.ndarray, query: bool) -> np.ndarray:
-        return np.array([np.searchsorted(c, k, "right") for c, k in zip(self.cuts, self.keys(v, query), strict=True)])
+        return np.array([self.places(c, k) for c, k in enumerate(self.keys(v, query))])
+
+    def places(self, curve: int, keys: np.ndarray) -> np.ndarray:
+        """The stretch of each key of an ordering, numbered along the curve."""
+        cuts = self.cuts[curve]
+        piece = np.searchsorted(cuts, keys, "right")
+        if self.fine == 1:
+            return piece
+        ends = np.concatenate([[0], cuts, [1 << (BITS * self.low.shape[1])]]).astype(float)
+        part = (keys - ends[piece]) / np.maximum(ends[piece + 1] - ends[piece], 1.0)
+        return piece * self.fine + np.clip(part * self.fine, 0, self.fine - 1).astype(np.int64)
+
+    def last(self, curve: int) -> int:
+        return (len(self.cuts[curve]) + 1) * self.fine - 1
+
+    def cut(self, places: np.ndarray, rows: int, stretch: int) -> None:
+        """Cuts of each ordering at quantiles of the sample's places, so that a stretch has about as many of all rows."""
+        wanted = max(1, -(-rows // stretch))
+        parts = min(wanted, CUTS, places.shape[1])
+        self.fine = -(-wanted // parts)
+        self.cuts = [np.unique(np.quantile(own, np.arange(1, parts) / parts, method="lower")).astype(np.int64) if parts > 1 else np.zeros(0, np.int64) for own in places]
 
 
 def fit(sample: np.ndarray, norm: float, rows: int, curves: int = CURVES, stretch: int = STRETCH, seed: int = 11) -> Curves:
@@ -89,16 +111,10 @@ def fit(sample: np.ndarray, norm: float, rows: int, curves: int = CURVES, stretc
         sd = np.maximum(y.std(0), 1e-9)
         out.low[c] = y.mean(0) - sd * (2 + rng.uniform(-0.5, 0.5, k))
         out.scale[c] = (1 << BITS) / (4 * sd)
-    out.cuts = cut(out.keys(sample, False), rows, stretch)
+    out.cut(out.keys(sample, False), rows, stretch)
     return out
 
 
-def cut(places: np.ndarray, rows: int, stretch: int) -> list[np.ndarray]:
-    """Cuts of each ordering at quantiles of the sample's places, so that a stretch has about as many of all rows."""
-    parts = max(1, min(-(-rows // stretch), CUTS, places.shape[1]))
-    return [np.unique(np.quantile(own, np.arange(1, parts) / parts, method="lower")).astype(np.int64) if parts > 1 else np.zeros(0, np.int64) for own in places]
-
-
 def probe(each: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a query's vector and one of its true k nearest others, for a sample of the queries, by brute force."""
     asked = each.where("asks").orderBy("h1", "h2").limit(PROBED).select("h1", "h2", "v").toArrow().combine_chunks()
@@ -136,13 +152,36 @@ def widened(index: Curves, places: np.ndarray, rows: int, stretch: int, queries:
         return index
     asked, there = index.keys(queries, True), index.keys(nearest, False)
     while True:
-        index.cuts = cut(places, rows, stretch)
-        sides = [np.abs(np.searchsorted(c, a, "right") - np.searchsorted(c, b, "right")) for c, a, b in zip(index.cuts, asked, there, strict=True)]
+        index.cut(places, rows, stretch)
+        sides = [np.abs(index.places(c, a) - index.places(c, b)) for c, (a, b) in enumerate(zip(asked, there, strict=True))]
         if (np.min(sides, axis=0) <= 1).mean() >= RECALL or stretch >= rows:
             return index
         stretch *= 2
 
 
+def first_ids(column: pa.Array) -> np.ndarray:
+    """The first entry of each list; no list is empty."""
+    offsets = np.asarray(column.offsets)
+    return column.values.to_numpy()[offsets[:-1]]
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of the k best for each row of q: by score, then least id.
+
+    A matrix product finds all that may be among them, ties and what rounding hides included; these are scored exactly.
+    """
+    near = q @ x.T
+    k = min(k, len(x))
+    edge = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
+    slack = 1e-9 * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+    i, j = np.nonzero(near >= (edge - slack)[:, None])
+    exact = (q[i] * x[j]).sum(1)
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[rank < k], j[rank < k], exact[rank < k]
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -217,16 +256,16 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, id_col: str = "ve
                 asks = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
                 for c, own in enumerate(index.stretches(v, False)):
                     n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(c * 2 * CUTS + own), pa.array(np.ones(n, bool)), batch.column(0), batch.column(1), batch.column(3), batch.column(2)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array((c << 48) + own), pa.array(np.ones(n, bool)), batch.column(0), batch.column(1), batch.column(3), batch.column(2)], names)
                 if len(asks):
                     pick = pa.array(asks)
                     head = [batch.column(j).take(pick) for j in (0, 1)]
                     own_v, none = batch.column(2).take(pick), pa.nulls(len(asks), pa.list_(pa.int64()))
                     for c, own in enumerate(index.stretches(v[asks], True)):
-                        last = len(index.cuts[c])
+                        last = index.last(c)
                         for side in (-1, 0, 1):
                             there = (own + side >= 0) & (own + side <= last)
-                            to = pa.array(c * 2 * CUTS + own + side)
+                            to = pa.array((c << 48) + own + side)
                             part = pa.RecordBatch.from_arrays([to, pa.array(np.zeros(len(asks), bool)), *head, none, own_v], names)
                             yield part.filter(pa.array(there))
 
@@ -250,12 +289,7 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, id_col: str = "ve
                 elif questions:
                     q, x, head = np.concatenate(questions), matrix(part.column(5)), np.concatenate(heads)
                     for at in range(0, len(q), 512):
-                        near = q[at : at + 512] @ x.T
-                        most = min(len(x), k + 6)
-                        best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                        i = np.repeat(np.arange(len(near)), most)
-                        j = best.ravel()
-                        exact = (q[at + i] * x[j]).sum(1)
+                        i, j, exact = best_of(q[at : at + 512], x, first_ids(part.column(4)), k + 1)
                         yield pa.RecordBatch.from_arrays([pa.array(head[at + i, 0]), pa.array(head[at + i, 1]), part.column(4).take(pa.array(j)), pa.array(exact)], ["h1", "h2", "ids", "score"])
 
     near = dealt.repartition("g").sortWithinPartitions("g", "data").mapInArrow(rerank, "h1 long, h2 long, ids array<long>, score double")

@@ -40,6 +40,29 @@ def test_odd_rows_match_brute_force(spark):
         assert [got[q][k + 1] for k in range(len(lists[0]))] == [{(j, round(s, 9))} for j, s in lists[0]]
 
 
+def test_ties_go_to_the_least_ids(spark):
+    """199 vectors of their own with one and the same product, which rounding of a matrix product must not part either."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(np.arange(1, 400))[:199]
+    rows = [(int(i), [1.0, float(n), 0.0]) for n, i in enumerate(ids)] + [(1000, [2.0, 0.0, 0.0]), (2000, [0.0, 0.0, 5.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), modulus=1000).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in found if r.query_id == 1000] == sorted(ids.tolist())[:20]
+    assert {r.score for r in found if r.query_id == 1000} == {2.0}
+    assert [r.vec_id for r in found if r.query_id == 2000] == sorted(ids.tolist())[:20]
+
+
+def test_pieces_are_parted_beyond_the_cuts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CUTS", 4)
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(3000, 8))
+    index = ann.fit(e, float(np.sqrt((e * e).sum(1).max())), 3000, curves=2, stretch=32)
+    there = index.stretches(e, False)
+    assert index.fine > 1 and there.min() >= 0 and all(own.max() <= index.last(c) for c, own in enumerate(there))
+    keys = index.keys(e, False)
+    for c in range(2):
+        assert (np.diff(there[c][np.argsort(keys[c], kind="stable")]) >= 0).all()
+
+
 def test_recall(spark, data):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     e = np.array([v for _, v in rows], float)
