@@ -14,16 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_or_empty
+from .common import slices, stage_table, table, text_or_empty
 from .lm import held_out
 
-#: Labelled rows of each class that are fitted on at most, and the longest text among them, in characters.
+#: Labelled rows of each class that are fitted on at most. They are taken in the order of a hash of the id, whatever their
+#: length; of each class no further row is taken once the texts have so many characters together.
 FIT_ROWS = 1500
-FIT_CHARS = 20_000
+FIT_CHARS = 16_000_000
 #: Lines without a toxic token that are fitted on for each line with one.
 PLAIN_LINES = 2
 WEIGHTS = 1 << 18
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&@-_=+/\\|~`^«»¿¡“”‘’…"
 
 
@@ -199,20 +200,20 @@ class Emissions(dict):
     def __init__(self, crf: Crf):
         super().__init__()
         self.weights = crf.weights.tolist()
-        self.rows: list[tuple[float, float, float]] = []
+        self.rows = array("d")  # three numbers a word
 
     def __missing__(self, word: str) -> int:
         w = self.weights
         core = word.strip(_EDGE).lower()
-        self.rows.append((sum([w[place(p)] for p in parts_of(core)]), w[place("<" + core[:6])], w[place(">" + core[:6])]))
-        self[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self[word] = row = len(self)
+        self.rows.extend((sum([w[place(p)] for p in parts_of(core)]), w[place("<" + core[:6])], w[place(">" + core[:6])]))
+        return row
 
     def renew(self) -> None:
         """Between slices of text: start anew when the cache is full."""
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-            self.rows.clear()
+            del self.rows[:]
 
 
 def tag(crf: Crf, known: Emissions, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +229,7 @@ def tag(crf: Crf, known: Emissions, texts: list[str]) -> tuple[np.ndarray, np.nd
         text_first.append(len(at))
     if not at:
         return np.zeros(0), np.array(text_first)
-    e = np.array(known.rows)[np.array(at)]
+    e = np.array(known.rows).reshape(-1, 3)[np.array(at)]
     first = np.array(line_first)
     emit = crf.bias + e[:, 0]
     start, end = crf.weights[place("<^")], crf.weights[place(">$")]
@@ -263,14 +264,22 @@ def fit_document(crf: Crf, rows: list[tuple[str, int]]) -> np.ndarray:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
-    """At most rows labelled texts of each class, chosen by a hash of the id among all labels, whole texts up to chars."""
-    kept = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    """Whole texts of a bounded sample of labelled rows: see FIT_ROWS. Of rows that share an id, the least text counts."""
+    kept = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picks = [kept.where(F.col("y") == y).orderBy(*order).limit(rows) for y in (0, 1)]
     chosen = picks[0].unionByName(picks[1])  # 2 x rows ids at most
-    own = docs.select(F.col("doc_id"), text_or_empty().alias("text")).where(F.length("text") <= chars)
-    found = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).toArrow()
-    return sorted(zip(found.column("text").to_pylist(), map(int, found.column("y").to_pylist()), strict=True))
+    own = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = stage_table(own.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
+    sizes = found.select("doc_id", "y", F.length("text").alias("n")).orderBy("y", *order).collect()
+    within, total = [], Counter()
+    for r in sizes:
+        if total[r.y] < chars:
+            within.append((r.doc_id,))
+            total[r.y] += r.n
+    taken = found.join(F.broadcast(docs.sparkSession.createDataFrame(within, "doc_id long")), "doc_id", "left_semi") if len(within) < len(sizes) else found
+    texts = taken.select("text", "y").toArrow()
+    return sorted(zip(texts.column("text").to_pylist(), texts.column("y").to_pylist(), strict=True))
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +294,7 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
         crf = shared.value
         known = Emissions(crf)
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 2 << 20):
                 texts = batch.column(1).to_pylist()
                 p, first = tag(crf, known, texts)
                 scores = sigmoid(summary(p, first) @ crf.document)

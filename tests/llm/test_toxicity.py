@@ -48,3 +48,32 @@ def test_odd_rows(spark):
     out = toxicity.score(odd_documents(spark, ["é idiot"]), crf).collect()
     assert len(out) == odd_documents(spark).count() + 1 and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(spark.createDataFrame([], SCHEMA), toxicity.fit([])).collect() == []
+
+
+def test_long_texts_are_fitted_on(spark):
+    texts = [(k, f"{'you idiot' if k % 2 else 'a fine day'} " * 2600, k % 2) for k in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    rows = toxicity.labelled_rows(frame, frame)
+    assert len(rows) == 40 and all(len(t) > 20_000 for t, _ in rows)
+    assert len(toxicity.labelled_rows(frame, frame, chars=30_000)) == 4  # two of each class pass the bound
+    assert len(toxicity.labelled_rows(frame, frame, rows=5)) == 10
+
+
+def test_query_matches_a_brute_force_field(spark):
+    """Scores and spans of the query, from marginals summed over all labellings of each short line."""
+    rows = [("a fine day\nin town we go", 0), ("you total idiot\nyes", 1), ("idiot said he\nwell", 1), ("the town is fine", 0)] * 6
+    crf = toxicity.fit(rows)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows[:4])] + [(9, "")], "doc_id long, text string")
+    for r in toxicity.score(docs, crf).collect():
+        text = dict(docs.collect())[r.doc_id]
+        marginals = []
+        for line in text.split("\n"):
+            w = line.split()
+            emit = [crf.bias + sum(crf.weights[p] for p in toxicity.own_places(x)) + crf.weights[toxicity.near_place(w[k - 1], "<") if k else toxicity.place("<^")]
+                    + crf.weights[toxicity.near_place(w[k + 1], ">") if k + 1 < len(w) else toxicity.place(">$")] for k, x in enumerate(w)]
+            if w:
+                marginals += (1 / (1 + np.exp(-brute_posteriors(np.array(emit), crf.trans)))).tolist()
+        p = np.array(marginals)
+        x = np.array([1, p.max(), np.log1p(p[p >= 0.5].sum())]) if len(p) else np.array([1, 0, 0])
+        assert abs(r.score - 1 / (1 + np.exp(-x @ crf.document))) < 1e-9
+        assert (r.spans != "") == bool((p >= 0.5).any())
