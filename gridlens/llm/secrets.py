@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,15 +90,30 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield a, end
 
 
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that spans cover, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates near a sensitive word that overlap no base span and that the primed compressor can't shorten."""
+    """Candidates near a sensitive word that overlap no base span and that the primed compressor can't shorten; a check that
+    they aren't words written together follows."""
     out, done = [], -1
-    ranges = sorted((a, b) for _, a, b in taken)
+    begins, ends = merged(taken)
     for a, b in candidates(text):
-        if a < done or any(x < b and a < y for x, y in ranges) or not mixed(text[a:b]):
+        before = bisect_left(begins, b)
+        if a < done or (before and ends[before - 1] > a):
             continue
         done = b
-        if novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL:
+        if novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL and mixed(text[a:b]):
             out.append(("novel", a, b))
     return out
 
