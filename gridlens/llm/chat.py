@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import combinations
 from typing import Any
 
 import pyarrow as pa
@@ -36,25 +37,27 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 def mapping_paths(m: dict[str, Any]) -> set[str]:
     if "row" in m:
-        return set(m["row"])
+        return {m["row"][2]}
     if "each" in m:
-        return {f"{m['each'][0]}[].{f}" for f in m["each"][1:]}
+        return {f"{m['each'][0]}[]"}
     return {f for _, fields in m["turns"] for f in fields.split("+")}
 
 
-#: Paths that some mapping reads; others (ids, extra columns) don't enter a fingerprint.
+#: Paths that tell the layouts apart; others (ids, roles, extra columns) don't enter a fingerprint.
 KNOWN = set().union(*map(mapping_paths, MAPPINGS))
 
 
-def paths(value: Any, prefix: str = "") -> Iterator[str]:
-    """Nested field paths of a record; "[]" stands for the entries of a list."""
+def paths(value: Any, nulls: bool, prefix: str = "") -> Iterator[str]:
+    """Nested field paths of a record, with or without those of null fields; "[]" stands for the entries of a list."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from paths(v, f"{prefix}.{k}" if prefix else k)
+            yield from paths(v, nulls, f"{prefix}.{k}" if prefix else k)
     elif isinstance(value, list):
+        yield prefix + "[]"
         for v in value:
-            yield from paths(v, prefix + "[]")
-    else:
+            if isinstance(v, dict | list):
+                yield from paths(v, nulls, prefix + "[]")
+    elif nulls or value is not None:
         yield prefix
 
 
@@ -62,29 +65,50 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(mapping_paths(m)): m for m in MAPPINGS}
+def fingerprints_of(m: dict[str, Any]) -> list[str]:
+    """Of the mapping's own paths, and of these without parts that may be absent (the second and further ones of a joined text,
+    and a system text)."""
+    own = mapping_paths(m)
+    spare = [f for role, fields in m.get("turns", []) for k, f in enumerate(fields.split("+")) if k or role == "system"]
+    return [fingerprint(own - set(gone)) for n in range(len(spare) + 1) for gone in combinations(spare, n)]
+
+
+#: The first mapping that has a fingerprint gets it.
+BY_FINGERPRINT = {f: m for m in reversed(MAPPINGS) for f in fingerprints_of(m)}
+
+
+def as_text(value: Any) -> str:
+    """A field's text; a list of parts, or of objects with a text, is these joined by line feeds; anything else is its JSON."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list) and all(isinstance(v, str) or (isinstance(v, dict) and isinstance(v.get("text"), str)) for v in value):
+        return "\n".join(v if isinstance(v, str) else v["text"] for v in value)
+    return json.dumps(value, ensure_ascii=False)
 
 
-def field(record: dict, path: str) -> str:
-    value: Any = record
+def field(record: Any, path: str) -> str:
+    value = record
     for part in path.split("."):
         value = value.get(part) if isinstance(value, dict) else None
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return as_text(value)
 
 
 def turns_of(record: Any) -> tuple[str, list[tuple[int | None, str, str]]]:
     """The mapping's name and the turns (order, role, text) of one record; of an unknown layout, the whole record as one turn."""
-    m = BY_FINGERPRINT.get(fingerprint(KNOWN.intersection(paths(record))))
-    if m is None:
+    m = next((m for nulls in (True, False) if (m := BY_FINGERPRINT.get(fingerprint(KNOWN.intersection(paths(record, nulls)))))), None)
+    if m is None or ("each" in m and not all(isinstance(e, dict) for e in record[m["each"][0]])):
         return "unmapped", [(0, "raw", json.dumps(record, ensure_ascii=False, sort_keys=True))]
     if "row" in m:
         role, text, order = m["row"]
-        turns = [(record[order], field(record, role), field(record, text))]
+        turns = [(record.get(order), field(record, role), field(record, text))]
     elif "each" in m:
         entries, role, text = m["each"]
         turns = [(k, field(e, role), field(e, text)) for k, e in enumerate(record[entries])]
     else:
         turns = [(k, role, "\n\n".join(t for f in fields.split("+") if (t := field(record, f)))) for k, (role, fields) in enumerate(m["turns"])]
+        turns = [t for t in turns if t[1:] != ("system", "")]
     if "each" in m:
         turns = [(k, ROLES.get(role, role), text) for k, role, text in turns]
     return m["name"], turns
@@ -93,8 +117,9 @@ def turns_of(record: Any) -> tuple[str, list[tuple[int | None, str, str]]]:
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """(conv_id, turn, role, text, layout) from JSON records of any known layout.
 
-    A null record, or one that isn't JSON, is one turn of role raw with its text as it stands. Null roles and texts are empty;
-    null conv_ids stay and count as one conversation. Nothing is dropped.
+    A null record, or one that isn't JSON, is one turn of role raw with its text as it stands; a record of no known layout is one
+    of its JSON. Where no layout has all of a record's fields, its null ones count as absent; null roles and texts are empty; a list of parts is joined; an empty list of
+    messages has no turns. Null conv_ids stay and count as one conversation. Nothing is dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +164,8 @@ def format_turn(role: str, text: str) -> str:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, segment): each turn in the template, in order of turn, then role, then text; a conversation is its segments in
-    a row, all in one partition. A conversation of any length is streamed, never held whole."""
+    a row, all in one partition, since one digest runs over all of it: a conversation of any length is streamed by one task,
+    never held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

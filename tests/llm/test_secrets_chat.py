@@ -95,6 +95,28 @@ def test_many_words_in_one_run_take_linear_time():
     assert time.monotonic() - began < 10
 
 
+def test_novel_spans_match_brute_force():
+    """Every value near a sensitive word, found by looking at every place, scored the same way."""
+    rng = random.Random(8)
+    bits = ["secret", "token: ", "api_key=", "password=", "bearer ", " ", "\n", "Zk39fKd0sQ8xW2vB7nM4", "internationalisation", "aB3" * 9, "0123456789abcdef" * 2, '"', ".", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(12))
+        base = secrets.base_spans(text)
+        marks = [m.end() for m in secrets.SENSITIVE.finditer(text)]
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text)]
+        want = set()
+        for a, b in runs:
+            near = [e for e in marks if e <= a <= e + secrets.REACH]
+            tails = [a2 for e in marks if a < e <= b and (x := re.compile(r"[A-Za-z0-9_-]{0,63}=+").match(text, e)) and a < (a2 := x.end()) <= b]
+            for start in ([a] if near else []) + tails:
+                free = not any(x < b and start < y for _, x, y in base)
+                if b - start >= secrets.LEAST and free and secrets.mixed(text[start:b]) and secrets.novelty(text[start:b], text[max(0, start - secrets.AROUND) : start] + text[b : b + secrets.AROUND]) >= secrets.NOVEL:
+                    want.add((start, b))
+        got = {(a, b) for _, a, b in secrets.novel_spans(text, base)}
+        assert got <= want
+        assert all(any(x <= a and b <= y or a <= x and y <= b for x, y in got) for a, b in want)
+
+
 def brute_chat(rows):
     by = {}
     for conv, turn, role, text in rows:
@@ -149,10 +171,17 @@ def test_layouts(spark):
         {"conv_id": 4, "prompt": "q", "completion": "a"},
         {"conv_id": 5, "data": {"prompt": "q", "reply": "a"}},
         {"conv_id": 6, "question": "q", "answer": "a", "source": {"deep": [{"k": 1}]}},
+        {"conv_id": 8, "instruction": None, "prompt": "q", "response": "a"},
+        {"conv_id": 9, "messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": ["a"]}]},
+        {"conv_id": 10, "system": None, "instruction": "q", "output": "a"},
+        {"conv_id": 11, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "tool": None}], "prompt": None},
         {"conv_id": 7, "something": "else"},
+        {"conv_id": 7, "messages": ["q", "a"]},
+        {"conv_id": 12, "messages": []},
     ]
     frame = spark.createDataFrame([(json.dumps(r),) for r in records] + [("not json",), (None,)], "record string")
     rows = chat.canonical_turns(frame).collect()
-    for k in range(1, 7):
+    for k in (*range(1, 7), *range(8, 12)):
         assert [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == k), key=lambda r: r.turn)] == [("user", "q"), ("assistant", "a")]
-    assert sorted(r.layout for r in rows if r.conv_id in (7, None)) == ["not json", "unmapped", "unmapped"]
+    assert sorted(r.layout for r in rows if r.conv_id in (7, None)) == ["not json", "unmapped", "unmapped", "unmapped"]
+    assert not [r for r in rows if r.conv_id == 12]
