@@ -55,7 +55,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,8 +17,9 @@ from .common import slices, stage_table, table, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of a worker's cache of words, and of the one of their pieces (about 200 bytes each); when one is full it starts anew.
-CACHE_ENTRIES = 60_000
+#: Entries of a worker's cache of words and of the one of their pieces, about 200 bytes each. A full cache becomes the older one,
+#: in whose place it steps; what is found there is taken over, so words in use stay.
+CACHE_ENTRIES, PIECE_ENTRIES = 200_000, 60_000
 
 # ---------------------------------------------------------------------------------------------------------------- tokens
 
@@ -44,26 +45,33 @@ class WordIds(dict):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.symbols = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            symbols = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
-            known = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
+            known = self.older_pieces.get(piece)
+            if known is None:
+                symbols = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
+                known = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+            if len(self.pieces) >= PIECE_ENTRIES:
+                self.older_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = known
         return known
 
     def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
+        if (found := self.older.get(word)) is not None:
+            pass
+        elif _PLAIN.fullmatch(word):
             found = b"".join(map(self.piece, _PIECES.findall(word.lower())))
         else:
             found = self.whole(word)
         if len(word) <= 64:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
