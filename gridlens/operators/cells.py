@@ -11,7 +11,8 @@ from ..functions.exprs import average_rank, ones, rate
 def summarize(cells: DataFrame, *keys: str) -> DataFrame:
     """Counts, gaps and rates of all cells or of each key; what a source doesn't offer is NULL, never zero.
 
-    Assembly is available if all rows have it; ordered and parameter if no executable row lacks them and one has them.
+    Assembly is available if all rows have it, and partial_assembly() lists sources where only some do; ordered and parameter
+    are available if no executable row lacks them and one has them.
     """
     e, a, m = F.col("execution"), F.col("assembly"), F.col("signature")
 
@@ -41,6 +42,11 @@ def summarize(cells: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def partial_assembly(cells: DataFrame) -> DataFrame:
+    """(cells, with_assembly) if some cells have the assembly endpoint and others don't, which is an error of the source."""
+    return cells.agg(F.count("*").alias("cells"), F.count("assembly").alias("with_assembly")).where("with_assembly between 1 and cells - 1")
+
+
 def tidy(summary: DataFrame, metrics: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per metric: section, metric, available, count, denominator, rate. metrics: name -> (section, denominator column)."""
     rows = [
@@ -84,15 +90,6 @@ def group_rates(cells: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def failure_class(execution: Column, assembly: Column, signature: Column, ordered: Column, parameter: Column, error: Column | None = None) -> Column:
-    """The first thing that went wrong, by priority."""
-    failed = F.concat(F.lit("execution_failure:"), F.coalesce(error, F.lit("unknown"))) if error is not None else F.lit("execution_failure:unknown")
-    return (
-        F.when(~execution, failed).when(signature & parameter, "match").when(~assembly, "no_assembly").when(~signature, "wrong_signature")
-        .when(~ordered, "wrong_order").when(~parameter, "wrong_parameter").otherwise("other")
-    )
-
-
 def with_share(counts: DataFrame, count: str = "n") -> DataFrame:
     """Adds each row's share of the total of a small table of counts."""
     return counts.withColumn("share", F.col(count) / F.sum(count).over(Window.partitionBy()))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rate
 
+#: Ranges that the scores of a curve are cut into.
+RANGES = 64
+
 
 def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(priors(label, prior), terms(label, term, lp), unseen(label, lp)): log probabilities, smoothed by alpha over the vocabulary."""
@@ -59,11 +62,22 @@ def overall(labels: DataFrame) -> DataFrame:
     )
 
 
-def auroc(rows: DataFrame, score: str, positive: Column, weight: Column | None = None) -> DataFrame:
-    """Area under the ROC curve, ties at one half: rows are summed for each score, then one ordered pass over the scores."""
+def auroc(rows: DataFrame, score: str, positive: Column, weight: Column | None = None, *keys: str) -> DataFrame:
+    """Area under the ROC curve, ties at one half, of each key.
+
+    Rows are summed for each score; scores are then cut into ranges of about equal count at sampled quantiles, so what lies
+    below a score is the sum of the ranges before its own and of its own up to it, and no task orders all scores.
+    """
     w = weight if weight is not None else F.lit(1.0)
-    each = rows.groupBy(score).agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("pos"), F.sum(F.when(positive, 0.0).otherwise(w)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy().orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return each.withColumn("below", below).agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
+    each = rows.groupBy(*keys, score).agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("pos"), F.sum(F.when(positive, 0.0).otherwise(w)).alias("neg"))
+    cuts = each.select(F.percentile_approx(F.col(score).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
+    own = F.size(F.filter("cuts", lambda c: c < F.col(score).cast("double")))
+    ranged = each.crossJoin(F.broadcast(cuts)).withColumn("range", own).drop("cuts")
+    sums = ranged.groupBy(*keys, "range").agg(F.sum("neg").alias("neg"))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = sums.select(*keys, "range", before(Window.partitionBy(*keys).orderBy("range")).alias("start"))  # RANGES rows a key
+    inside = ranged.withColumn("inside", before(Window.partitionBy(*keys, "range").orderBy(score)))
+    below = F.col("start") + F.col("inside")
+    return inside.join(F.broadcast(starts), [*keys, "range"]).groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
     )

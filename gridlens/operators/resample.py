@@ -86,3 +86,52 @@ def poststratified(cells: DataFrame, bins: DataFrame, endpoint: Column, shares:
     w = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
     each = cells.join(F.broadcast(bins), "prompt_id").groupBy(*keys, "bin").agg(F.avg(endpoint.cast("int")).alias("rate"))
     return each.withColumn("share", F.coalesce(w[F.col("bin")], F.lit(0.0))).groupBy(*keys).agg(F.try_divide(F.sum(F.col("rate") * F.col("share")), F.sum("share")).alias("rate"))
+
+
+def iid_difference(a: DataFrame, b: DataFrame, reps: int) -> DataFrame:
+    """(rep, estimate): difference of the means of two independent resamples of the values x of a(unit, x) and b(unit, x)."""
+
+    def means(df: DataFrame, salt: str, name: str) -> DataFrame:
+        own = numbered(df, "unit")
+        w = weights(replicates(df.sparkSession, reps), own.count(), salt)
+        return w.join(F.broadcast(own), "pos").groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias(name))
+
+    return means(a, "a", "x").join(means(b, "b", "y"), "rep").select("rep", (F.col("x") - F.col("y")).alias("estimate"))
+
+
+def permutation_means(rows: DataFrame, reps: int) -> DataFrame:
+    """p of the difference of means between groups of rows(unit, observed, x): groups are dealt anew in the order of a hash."""
+    units = numbered(rows, "unit")
+    seen = units.agg(F.sum(F.col("observed").cast("int")).alias("n"), F.abs(F.avg(F.when(F.col("observed"), F.col("x"))) - F.avg(F.when(~F.col("observed"), F.col("x")))).alias("actual"))
+    order = F.sha2(F.concat_ws(":", "rep", "pos"), 256)
+    dealt = replicates(rows.sparkSession, reps).crossJoin(F.broadcast(units)).withColumn("to", F.row_number().over(Window.partitionBy("rep").orderBy(order)))
+    first = F.col("to") <= F.col("n")
+    d = dealt.crossJoin(F.broadcast(seen)).groupBy("rep").agg(F.abs(F.avg(F.when(first, F.col("x"))) - F.avg(F.when(~first, F.col("x")))).alias("delta"), F.max("actual").alias("actual"))
+    return d.agg(F.max("actual").alias("difference"), ((F.sum((F.col("delta") >= F.col("actual") - 1e-9).cast("long")) + 1) / F.lit(reps + 1.0)).alias("p"))
+
+
+def cohen_d(rows: DataFrame, group: Column, x: str, *keys: str) -> DataFrame:
+    """Difference of the means of rows with and without a flag, in pooled sample deviations; zero for fewer than two or no spread."""
+    a, b = F.when(group, F.col(x)), F.when(~group, F.col(x))
+    sums = rows.groupBy(*keys).agg(F.count(a).alias("na"), F.count(b).alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"))
+    pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2))
+    d = F.when((F.col("na") > 1) & (F.col("nb") > 1) & (pooled > 0), (F.col("ma") - F.col("mb")) / pooled).otherwise(0.0)
+    return sums.select(*keys, "na", "nb", d.alias("d"))
+
+
+def phi(rows: DataFrame, a: Column, b: Column, *keys: str) -> DataFrame:
+    """Correlation of two flags from their four counts; NULL where one doesn't vary."""
+    n = lambda x, y: F.sum((x & y).cast("double"))
+    c = rows.groupBy(*keys).agg(n(a, b).alias("n11"), n(a, ~b).alias("n10"), n(~a, b).alias("n01"), n(~a, ~b).alias("n00"))
+    n11, n10, n01, n00 = (F.col(x) for x in ("n11", "n10", "n01", "n00"))
+    below = F.sqrt((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00))
+    return c.select(*keys, F.try_divide(n11 * n00 - n10 * n01, below).alias("phi"))
+
+
+def line_prediction(rows: DataFrame, x: str, y: str, at: float) -> DataFrame:
+    """Slope, intercept, the prediction at a place kept within 0 and 1, and the root mean square of residuals."""
+    fit = rows.agg(F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    fit = fit.select("slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
+    rest = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
+    out = rows.crossJoin(F.broadcast(fit)).agg(F.max("slope").alias("slope"), F.max("intercept").alias("intercept"), F.sqrt(F.avg(rest * rest)).alias("rmse"))
+    return out.withColumn("predicted", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * F.lit(float(at)))))

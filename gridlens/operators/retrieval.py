@@ -78,12 +78,3 @@ def rank_metrics(ranks: DataFrame, *keys: str) -> DataFrame:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
-def failure_class(rank: Column, same_family: Column, gates: Column, size_a: Column, size_b: Column) -> Column:
-    """Why a target wasn't first: near miss, another of its family, sizes far apart, other terms, or low overlap."""
-    ratio = F.greatest(size_a, size_b) / F.greatest(F.least(size_a, size_b), F.lit(1))
-    return (
-        F.when(rank == 1, "hit").when(rank <= 5, "near_miss").when(same_family & (gates == 1.0), "same_family_same_terms").when(same_family, "same_family")
-        .when(ratio >= 3.0, "size_far").when(ratio >= 1.75, "size_off").when(gates >= 0.75, "same_terms").otherwise("low_overlap")
-    )

@@ -108,13 +108,6 @@ def _(spark, sf):
     return C.transitions(cells, cells.withColumn("signature", F.col("signature") | (F.col("execution") & (F.col("prompt_id") % 3 == 0))), "signature")
 
 
-@query("primary_failure_taxonomy", """SELECT failure, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT CASE WHEN NOT execution THEN 'execution_failure:unknown' WHEN signature AND parameter THEN 'match'
- WHEN NOT assembly THEN 'no_assembly' WHEN NOT signature THEN 'wrong_signature' WHEN NOT ordered THEN 'wrong_order' WHEN NOT parameter THEN 'wrong_parameter' ELSE 'other' END AS failure, count(*) AS n FROM cells GROUP BY 1)""")
-def _(spark, sf):
-    kind = C.failure_class(*[F.col(c) for c in _R5])
-    return r6(C.with_share(D.cells(spark, sf).groupBy(kind.alias("failure")).agg(F.count("*").alias("n"))), "share")
-
-
 @query("component_mismatch", " UNION ALL ".join(f"SELECT '{c}' AS component, count(*) FILTER (WHERE NOT {c}) AS all_cells, count(*) FILTER (WHERE NOT {c} AND execution) AS executed FROM cells" for c in _R5[1:]))
 def _(spark, sf):
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("ok")) for c in _R5[1:]])).alias("x")
@@ -273,13 +266,6 @@ def _(spark, sf):
     return wide.select("slice", *[F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in "ANR"])
 
 
-@query("readiness_cascade", """SELECT label, count(*) AS n FROM (SELECT CASE WHEN s IS DISTINCT FROM 'O' THEN 'master_only' WHEN q < 10 THEN 'broad' WHEN d THEN 'tier2' WHEN l < 3 THEN 'mutation' WHEN t < 0.03 THEN 'strict' ELSE 'extended' END AS label
- FROM (SELECT l_linestatus AS s, l_quantity AS q, l_returnflag = 'R' AS d, l_linenumber AS l, l_tax AS t FROM lineitem)) GROUP BY label""")
-def _(spark, sf):
-    label = F.when(~F.col("l_linestatus").eqNullSafe("O"), "master_only").when(F.col("l_quantity") < 10, "broad").when(F.col("l_returnflag") == "R", "tier2").when(F.col("l_linenumber") < 3, "mutation").when(F.col("l_tax") < 0.03, "strict").otherwise("extended")
-    return D.table(spark, sf, "lineitem").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-
-
 @query("complementarity", """WITH copied AS (SELECT prompt_id FROM features WHERE gates % 2 = 0) SELECT prompt_id, count(*) AS models FROM cells JOIN copied USING (prompt_id) GROUP BY 1 HAVING count(*) FILTER (WHERE parameter AND model < 6) = 0""")
 def _(spark, sf):
     copied = D.features(spark, sf).where("gates % 2 = 0").select("prompt_id")

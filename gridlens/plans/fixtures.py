@@ -60,6 +60,41 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
 
 
+def harness(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of a harness run: what an execution did, its checks, and metadata; line items stand for them, nulls included."""
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in HARNESS.items()])
+
+
+#: Columns of harness() in terms of line items, in what Spark and DuckDB both read.
+HARNESS = {
+    "row_id": "l_orderkey * 10 + l_linenumber",
+    "label": "CASE WHEN l_linestatus = 'O' THEN 'strict_n8' ELSE 'extended_n8' END",
+    "empty": "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity <= 2 END",
+    "executed": "l_quantity > 8",
+    "error": "CASE WHEN l_returnflag = 'A' THEN 'NameError' WHEN l_returnflag = 'N' THEN 'TypeError' WHEN l_linenumber = 1 THEN '' END",
+    "circuit": "CASE WHEN l_tax > 0.01 THEN true END",
+    "types_ok": "l_discount < 0.08",
+    "clbits_ok": "l_linenumber <> 3",
+    "qubits_ok": "l_linenumber <> 5",
+    "count_ok": "l_partkey % 7 <> 0",
+    "whole_ok": "l_discount < 0.08 AND l_linenumber <> 3 AND l_linenumber <> 5 AND l_partkey % 7 <> 0 AND l_suppkey % 4 <> 0",
+    "exported": "CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE l_suppkey % 3 <> 0 END",
+    "status": "CASE WHEN l_linestatus = 'O' THEN 'validated' WHEN l_tax > 0.05 THEN 'failed' END",
+    "confidence": "CASE WHEN l_returnflag <> 'R' THEN 'high' ELSE 'low' END",
+    "demo": "CASE WHEN l_linenumber = 7 THEN true WHEN l_linenumber = 2 THEN false END",
+    "cleanup": "CASE WHEN l_partkey % 11 = 0 THEN true WHEN l_partkey % 2 = 0 THEN false END",
+    "lines": "CASE WHEN l_linenumber = 4 AND l_quantity > 45 THEN NULL ELSE CAST(l_quantity AS BIGINT) END",
+    "gates": "CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_partkey % 6 END",
+    "strategy": "CASE WHEN l_suppkey % 5 = 0 THEN 'empirical_promoted_repo' WHEN l_suppkey % 5 = 1 THEN 'search' END",
+    "mutation": "CASE WHEN l_suppkey % 3 = 0 THEN true WHEN l_suppkey % 3 = 1 THEN false END",
+    "bucket": "CASE WHEN l_returnflag = 'A' THEN 'public_open' WHEN l_returnflag = 'N' THEN 'restricted' END",
+    "rights": "CASE WHEN l_tax < 0.03 THEN 'redistributable_mit' WHEN l_tax < 0.06 THEN 'unknown' END",
+    "n_barrier": "CASE WHEN l_linenumber = 1 THEN NULL ELSE l_suppkey % 2 END",
+    "n_h": "l_partkey % 3",
+    "n_cx": "l_partkey % 4",
+    "qubits": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey % 5 END",
+}
+
 _PICK = "ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_partkey DESC, l_suppkey DESC"
 _ENDS = ", ".join(f"q >= {n} AS {c}" for c, n in ENDPOINTS.items())
 #: The same in SQL; a query's SQL gets those it names, and those that they name.
@@ -76,6 +111,7 @@ VIEWS = {
     "features": """SELECT prompt_id, prompt_id % 9 + 1 AS qubits, prompt_id % 3 AS clbits, count(*) AS types,
         CAST(coalesce(sum(n) FILTER (WHERE flag <> 'N'), 0) AS BIGINT) AS gates, bool_or(flag = 'N') AS has_barrier,
         string_agg('"' || flag || '":' || n, ',' ORDER BY flag) AS entries FROM gatecounts GROUP BY 1""",
+    "harness": "SELECT " + ", ".join(f"{e} AS {n}" for n, e in HARNESS.items()) + " FROM lineitem",
     "attempts": "SELECT user_id AS prompt_id, ts AS created_at, event_id AS idx, event_type = 'error' AS is_error FROM events",
     "labelled": "SELECT d.*, l.quality AS y FROM documents d JOIN labels l USING (doc_id)",
     "triples": """SELECT model, prompt_id, max(CASE WHEN run = 1 THEN CAST(signature AS INT) END) AS a, max(CASE WHEN run = 2 THEN CAST(signature AS INT) END) AS b,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import models as M
 from . import fixtures as D
-from .cells_queries import r6
+from .cells_queries import r6, signatures
 from .registry import query
 
 
@@ -42,10 +42,22 @@ def _terms():
     return {n: F.col(f"z_{n}") for n in ("entropy", "log_gates")} | {"barrier": F.col("barrier")}
 
 
-@query("ols_fit")
+#: Normal equations of rate on standardised entropy and size and the barrier, with the ridge, solved by Cramer's rule.
+_OLS = """WITH e AS (SELECT prompt_id, -sum(n / t * ln(n / t)) AS entropy FROM (SELECT prompt_id, n, sum(n) OVER (PARTITION BY prompt_id) AS t FROM gatecounts) GROUP BY 1),
+ f AS (SELECT prompt_id, rate, entropy, ln(1 + gates) AS lg, CAST(has_barrier AS INT) AS b FROM (SELECT prompt_id, avg(CAST(signature AS INT)) AS rate FROM cells GROUP BY 1) JOIN features USING (prompt_id) JOIN e USING (prompt_id)),
+ z AS (SELECT rate, (entropy - avg(entropy) OVER ()) / coalesce(nullif(stddev_samp(entropy) OVER (), 0), 1) AS x1, (lg - avg(lg) OVER ()) / coalesce(nullif(stddev_samp(lg) OVER (), 0), 1) AS x2, b AS x3 FROM f),
+ m AS (SELECT avg(rate) AS my, avg(x3) AS m3, count(*) AS n, sum(x1 * x1) + 1e-8 AS a11, sum(x1 * x2) AS a12, sum(x1 * (x3 - (SELECT avg(x3) FROM z))) AS a13, sum(x2 * x2) + 1e-8 AS a22, sum(x2 * (x3 - (SELECT avg(x3) FROM z))) AS a23, var_pop(x3) * count(*) + 1e-8 AS a33,
+ sum(x1 * rate) AS b1, sum(x2 * rate) AS b2, sum((x3 - (SELECT avg(x3) FROM z)) * rate) AS b3 FROM z),
+ d AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM m),
+ w AS (SELECT my, m3, (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / det AS w1, (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det AS w2,
+ (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w3 FROM d)
+ SELECT 'intercept' AS term, round(my - m3 * w3, 5) AS beta FROM w UNION ALL SELECT 'entropy', round(w1, 5) FROM w UNION ALL SELECT 'log_gates', round(w2, 5) FROM w UNION ALL SELECT 'barrier', round(w3, 5) FROM w"""
+
+
+@query("ols_fit", _OLS)
 def _(spark, sf):
     df = M.standardised(_grouped(spark, sf), ["entropy", "log_gates"])
-    return M.ols(df, F.col("s") / F.col("n"), _terms()).frame(spark)
+    return M.ols(df, F.col("s") / F.col("n"), _terms()).frame(spark).select("term", F.round("beta", 5).alias("beta"))
 
 
 @query("grouped_logit")
@@ -60,17 +72,93 @@ def _(spark, sf):
     return M.marginal_effects(df, M.logit(df, F.col("s"), F.col("n"), _terms()), _terms(), F.col("n"), {"barrier"})
 
 
+@query("logit_band")
+def _(spark, sf):
+    df = M.standardised(_grouped(spark, sf), ["entropy", "log_gates"])
+    return M.prediction_band(df, M.logit(df, F.col("s"), F.col("n"), _terms(), ridge=0.0), _terms()).select("prompt_id", "p", "low", "high")
+
+
+#: Terms of the models that are compared.
+SPECS = {
+    "size_only": ["log_gates", "qubits", "clbits"],
+    "entropy_plus_barrier": ["entropy", "log_gates", "qubits", "clbits", "barrier"],
+    "gate_type_plus_barrier": ["types", "log_gates", "qubits", "clbits", "barrier"],
+}
+FOLDS, CV_REPS, MODEL_REPS = 10, 200, 2000
+
+
+def _items(spark, sf):
+    """(prompt_id, terms, sig): prompts with all terms of SPECS and their signature."""
+    f = D.features(spark, sf)
+    out = f.select("prompt_id", X.entropy(F.col("counts")).alias("entropy"), F.col("types").cast("double").alias("types"), F.log1p("gates").alias("log_gates"), F.col("qubits").cast("double").alias("qubits"), F.col("clbits").cast("double").alias("clbits"), F.map_contains_key("counts", "N").cast("double").alias("barrier"))
+    return out.join(signatures(spark, sf), "prompt_id")
+
+
+def _folded(spark, sf):
+    cells = D.cells(spark, sf).join(F.broadcast(_items(spark, sf)), "prompt_id").withColumns({"s": F.col("signature").cast("int"), "n": F.lit(1)})
+    clusters = cells.groupBy("sig").agg(F.countDistinct("prompt_id").alias("prompts"), F.count("*").alias("cells"), F.sum("s").alias("positives"))
+    return cells.join(F.broadcast(M.folds(clusters, "sig", "prompts", "cells", "positives", FOLDS)), "sig")
+
+
+def _cross_validated(spark, sf):
+    terms = list(dict.fromkeys(t for own in SPECS.values() for t in own))
+    own = _folded(spark, sf).select("model", "sig", "fold", "s", "n", *terms).withColumnRenamed("model", "unit")
+    return M.cross_validate(own, "fold", "s", "n", SPECS, FOLDS, units="unit")
+
+
+@query("grouped_folds")
+def _(spark, sf):
+    return _folded(spark, sf).groupBy("fold").agg(F.countDistinct("sig").alias("clusters"), F.countDistinct("prompt_id").alias("prompts"), F.count("*").alias("cells"), F.avg("s").alias("rate"))
+
+
 @query("grouped_cv")
 def _(spark, sf):
-    df = _grouped(spark, sf).withColumn("rate", F.col("s") / F.col("n"))
-    fold = M.folds(df, "prompt_id", "n", "rate", 4)
-    scored = M.cross_validate(df.join(F.broadcast(fold), "prompt_id"), "fold", "s", "n", ["qubits", "log_gates"], 4)
-    return M.prediction_metrics(scored, "s", "n", "fold")
+    scored = _cross_validated(spark, sf).persist()
+    return M.prediction_metrics(scored, "s", "n", "model").join(M.prediction_auroc(scored, "s", "n", "model"), "model")
+
+
+@query("cv_improvements")
+def _(spark, sf):
+    return M.improvements(M.cv_deltas(_cross_validated(spark, sf), "sig", "s", "n", "size_only", CV_REPS), "size_only")
+
+
+#: Prompts of this panel that can't be told from their text.
+UNIDENTIFIABLE = (3, 50, 77, 120)
+
+
+def _model_draws(spark, sf):
+    cells = D.cells(spark, sf)
+    e, m = F.col("execution"), F.col("signature")
+    kept = ~F.col("prompt_id").isin(*UNIDENTIFIABLE)
+    sums = cells.groupBy("prompt_id").agg(F.count("*").alias("n"), X.ones(m).alias("s"), X.ones(e).alias("e"), X.ones(m & e).alias("m_e"))
+    items = sums.join(F.broadcast(_items(spark, sf)), "prompt_id").withColumns({"n_kept": F.when(kept, F.col("n")).otherwise(0), "s_kept": F.when(kept, F.col("s")).otherwise(0)})
+    whole, types = SPECS["entropy_plus_barrier"], SPECS["gate_type_plus_barrier"]
+    analyses = {
+        "signature_entropy": ("s", "n", whole), "signature_types": ("s", "n", types), "execution_entropy": ("e", "n", whole),
+        "signature_given_execution": ("m_e", "e", whole), "signature_entropy_identifiable": ("s_kept", "n_kept", whole),
+    }
+    return M.bootstrap_models(items, "sig", analyses, MODEL_REPS)
+
+
+@query("inferential_models")
+def _(spark, sf):
+    return M.model_intervals(_model_draws(spark, sf).persist())
+
+
+@query("two_stage_contrasts")
+def _(spark, sf):
+    return M.effect_contrasts(_model_draws(spark, sf).persist(), "signature_given_execution", "execution_entropy", ["entropy", "barrier"])
+
+
+_MEAT = "SELECT sum(d2 * d2) * count(*) / (count(*) - 1) AS v2, sum(d3 * d3) * count(*) / (count(*) - 1) AS v3 FROM (SELECT sum(CASE run WHEN 2 THEN u WHEN 1 THEN -u ELSE 0 END) AS d2, sum(CASE run WHEN 3 THEN u WHEN 1 THEN -u ELSE 0 END) AS d3 FROM e GROUP BY {})"
+_FE = f"""WITH y AS (SELECT *, CAST(signature AS INT) AS v FROM runs), e AS (SELECT model, prompt_id, run, v - avg(v) OVER (PARTITION BY model, prompt_id) - avg(v) OVER (PARTITION BY run) + avg(v) OVER () AS u FROM y),
+ n AS (SELECT count(*) / 3 AS items FROM y), a AS ({_MEAT.format("model")}), b AS ({_MEAT.format("prompt_id")}), c AS ({_MEAT.format("model, prompt_id")}), r AS (SELECT run, avg(v) AS rate FROM y GROUP BY run)
+ SELECT r.run, round(r.rate - o.rate, 6) AS effect, round(sqrt(greatest(CASE r.run WHEN 2 THEN a.v2 + b.v2 - c.v2 ELSE a.v3 + b.v3 - c.v3 END, 0)) / items, 6) AS se FROM r, r o, a, b, c, n WHERE o.run = 1 AND r.run > 1"""
 
 
-@query("two_way_fe")
+@query("two_way_fe", _FE)
 def _(spark, sf):
-    return M.two_way_effects(D.runs(spark, sf))
+    return r6(M.two_way_effects(D.runs(spark, sf)), "effect", "se")
 
 
 @query("pca_scores")

@@ -138,16 +138,6 @@ def _(spark, sf):
     return r6(out, "recall_1", "recall_5", "recall_10", "mrr", "mean_rank", "median_rank")
 
 
-@query("retrieval_failure_taxonomy", f"""WITH {_INDEX}, {_BM}, top AS (SELECT * FROM ({_TOP.format('bm')}) WHERE rank = 1), j AS (SELECT query, rank, list_distinct({tok('b.text')}) AS qt, list_distinct(terms) AS dt FROM top JOIN benchmark b ON b.item_id = query JOIN words w ON w.doc = top.doc),
- x AS (SELECT query, len(list_intersect(qt, dt)) / len(list_distinct(list_concat(qt, dt))) AS jac, greatest(len(qt), len(dt)) / greatest(least(len(qt), len(dt)), 1) AS ratio FROM j)
- SELECT CASE WHEN ratio >= 3.0 THEN 'size_far' WHEN ratio >= 1.75 THEN 'size_off' WHEN jac >= 0.75 THEN 'same_terms' ELSE 'low_overlap' END AS failure, count(*) AS n FROM x GROUP BY 1""")
-def _(spark, sf):
-    items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(X.tokens(F.col("text"))).alias("qt"))
-    top = R.ranked(_bm25(spark, sf), 1).join(items, "query").join(_docs(spark, sf).select("doc", F.array_distinct("terms").alias("dt")), "doc")
-    kind = R.failure_class(F.lit(99), F.lit(False), R.jaccard(F.col("qt"), F.col("dt")), F.size("qt"), F.size("dt"))
-    return top.groupBy(kind.alias("failure")).agg(F.count("*").alias("n"))
-
-
 @query("nearest_copy", f"""WITH {_INDEX}, {_BM}, top AS (SELECT * FROM ({_TOP.format('bm')}) WHERE rank = 1) SELECT top.query, top.doc, md5(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) AS copied, position(trim(regexp_replace(b.text, '\\s+', ' ', 'g')) IN trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) > 0 AS holds_item
  FROM top JOIN documents d ON d.doc_id = top.doc JOIN benchmark b ON b.item_id = top.query""")
 def _(spark, sf):
