@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -89,9 +90,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans nothing refers to; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark delete the shuffle files of plans nothing refers to; else they stay until the driver happens to collect its
+    garbage. Spark's listeners hold a plan for a moment after its end, so garbage is collected twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

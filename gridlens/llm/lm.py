@@ -26,8 +26,9 @@ BITS_PER_ITEM = 12
 HOT_WORDS = 1 << 19
 #: Bytes of text that are scored at a time, and distinct n-grams of a task's text that are summed before they are handed on.
 SLICE, COMBINED = 4 << 20, 1_500_000
-#: Of an n-gram's hash the highest bits name its segment; these are entered there. Five bytes are moved instead of eight.
-KEY = np.uint64((1 << 40) - 1)
+#: Of an n-gram's hash the highest bits name its segment; these are entered there. A segment holds a million or so of 2^32 keys,
+#: so two meet less often than the filter errs, and four bytes are moved instead of eight.
+KEY = np.uint64((1 << 32) - 1)
 #: Weight of the unigram estimate, in tokens seen after a context.
 MU = 400.0
 
@@ -107,21 +108,9 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
 
 
-def five(h: np.ndarray) -> np.ndarray:
-    """The five bytes of each KEY, (rows, 5)."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-
-
-def from_five(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def blobs(values: np.ndarray, heads: np.ndarray) -> pa.Array:
     """A binary row for each stretch of values that begins at one of heads."""
-    width = values.itemsize * (values.shape[1] if values.ndim == 2 else 1)
-    offsets = (np.append(heads, len(values)) * width).astype(np.int32)
+    offsets = (np.append(heads, len(values)) * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
@@ -157,19 +146,19 @@ def counted(h: np.ndarray, n: np.ndarray, uni: bool, segments: int) -> pa.Record
     there, heads = np.unique(seg, return_index=True)
     often = np.flatnonzero(n > 1)
     return pa.RecordBatch.from_arrays(
-        [pa.array(there), pa.array(np.full(len(there), uni)), blobs(h if uni else five(h), heads), blobs(n[often].astype(np.uint32), np.searchsorted(often, heads))],
+        [pa.array(there), pa.array(np.full(len(there), uni)), blobs(h if uni else h.astype(np.uint32), heads), blobs(n[often].astype(np.uint32), np.searchsorted(often, heads))],
         ["seg", "uni", "h", "n"],
     )
 
 
 def read_counted(uni: bool, h: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """N-grams and counts of rows that counted() made; pairs by their KEY."""
-    raw, size = unblob(h, 8 if uni else 5)
+    raw, size = unblob(h, 8 if uni else 4)
     counts, often = unblob(n, 4)
     out = np.ones(int(size.sum()), np.int64)
     begin = np.cumsum(size) - size
     out[np.repeat(begin - (np.cumsum(often) - often), often) + np.arange(int(often.sum()))] = counts.view(np.uint32)
-    return (raw.view(np.uint64).copy() if uni else from_five(raw)), out
+    return (raw.view(np.uint64).copy() if uni else raw.view(np.uint32).astype(np.uint64)), out
 
 
 def ngram_counts(docs: DataFrame, segments: int) -> DataFrame:
@@ -346,7 +335,7 @@ def answered(source: DataFrame, model: Model, hot: object) -> DataFrame:
         for name, batch in named(batches):
             h = needed(*token_stream(batch.column(2)), hot.value[0])
             there, heads = by_segment(h, segments)
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(len(there), bool)), pa.array(np.full(len(there), name)), blobs(five(h), heads)], ["seg", "asks", "slice", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(len(there), bool)), pa.array(np.full(len(there), name)), blobs(h.astype(np.uint32), heads)], ["seg", "asks", "slice", "data"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lfbf = None, None
@@ -359,8 +348,8 @@ def answered(source: DataFrame, model: Model, hot: object) -> DataFrame:
                 if not asks[a]:
                     lfbf = LogFrequencyFilter(np.frombuffer(part.column(3)[0].as_py(), np.uint8), 1, seg_bits)
                     continue
-                raw, size = unblob(part.column(3), 5)
-                h = from_five(raw)
+                raw, size = unblob(part.column(3), 4)
+                h = raw.view(np.uint32).astype(np.uint64)
                 found = lfbf.level(h) if lfbf else np.zeros(len(h))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), blobs(found.astype(np.uint8), np.cumsum(size) - size)], ["slice", "seg", "levels"])
 
@@ -488,6 +477,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     mapped = source.mapInArrow(run, schema) if model.filter else answered(source, model, shared).mapInArrow(run_answered, schema)
     looked = stage_table(mapped, "lmscore")
+    del mapped
+    free_shuffles(spark)
     rare = looked.where("h is not null").select("k", "h", "times")
     counts = model.words.where(F.col("n") < model.hot_from)
     c = F.coalesce(F.col("n"), F.lit(0))
