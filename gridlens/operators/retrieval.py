@@ -12,8 +12,12 @@ def postings(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score) of all pairs with a common term. queries: (query, term, qtf); index: postings; n_docs: one row (n, avgdl)."""
+    """(query, doc, score) of all pairs with a common term. queries: (query, term, qtf); index: postings; n_docs: one row (n, avgdl).
+
+    Postings of terms that no query has fall away first; lengths are of all terms.
+    """
     length = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    index = index.join(queries.select("term").distinct(), "term", "left_semi")
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = queries.join(df, "term").crossJoin(F.broadcast(n_docs)).select("query", "term", "qtf", idf.alias("idf"), "avgdl")
@@ -45,6 +49,22 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= k) if k else out
 
 
+def ids_before(ids: DataFrame, targets: DataFrame, ranges: int = 256) -> DataFrame:
+    """(target, before): how many of ids(doc) are less than each target.
+
+    Ids are cut into ranges at sampled quantiles; whole ranges before a target's own are summed, and only within its own range
+    is it compared with ids, so nothing orders all ids in one task.
+    """
+    cuts = ids.select(F.percentile_approx("doc", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts"))
+    place = lambda c: F.size(F.filter("cuts", lambda x: x < F.col(c)))
+    each = ids.crossJoin(F.broadcast(cuts)).select("doc", place("doc").alias("range"))
+    sums = each.groupBy("range").agg(F.count("*").alias("n"))
+    starts = sums.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # ranges rows
+    own = targets.select("target").distinct().crossJoin(F.broadcast(cuts)).select("target", place("target").alias("range"))
+    inside = own.join(each, "range", "left").groupBy("target", "range").agg(F.count_if(F.col("doc") < F.col("target")).alias("inside"))
+    return inside.join(F.broadcast(starts), "range", "left").select("target", (F.coalesce("start", F.lit(0)) + F.col("inside")).alias("before"))
+
+
 def target_ranks(scores: DataFrame, targets: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """(query, rank) of each query's target in the full ranking, documents of score zero included, without listing them.
 
@@ -56,10 +76,8 @@ def target_ranks(scores: DataFrame, targets: DataFrame, doc_ids: DataFrame) -> D
     counts = hit.groupBy("t.query", "t.target", "t.s").agg(
         F.sum(better.cast("long")).alias("above"), F.count("o.doc").alias("positive"), F.sum((F.col("o.doc") < F.col("t.target")).cast("long")).alias("positive_before")
     )
-    # documents before an id: a rank of ids, for targets without a hit only
-    place = doc_ids.select(F.col("doc").alias("target"), (F.row_number().over(Window.partitionBy().orderBy("doc")) - 1).alias("before"))
     zero = F.coalesce("positive", F.lit(0)) + F.col("before") - F.coalesce("positive_before", F.lit(0)) + 1
-    return counts.join(place, "target").select("query", F.when(F.col("s") > 0, F.coalesce("above", F.lit(0)) + 1).otherwise(zero).cast("long").alias("rank"))
+    return counts.join(ids_before(doc_ids, targets), "target").select("query", F.when(F.col("s") > 0, F.coalesce("above", F.lit(0)) + 1).otherwise(zero).cast("long").alias("rank"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
@@ -78,3 +96,8 @@ def rank_metrics(ranks: DataFrame, *keys: str) -> DataFrame:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def best(results: DataFrame, *order: str) -> DataFrame:
+    """The row that is greatest in order, of equal ones the first by its position column pos."""
+    return results.agg(F.max_by(F.struct("*"), F.struct(*order, -F.col("pos"))).alias("r")).select("r.*")
