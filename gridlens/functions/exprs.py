@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -221,15 +223,35 @@ def any_labels(text: Column, patterns: dict[str, str] = FAMILIES, default: str =
 # ------------------------------------------------------------------------------------------------------------------- tape
 
 
-def compare_tapes(a: Column, b: Column) -> dict[str, Column]:
-    """Equalities of two operation tapes (arrays of struct name, qubits, clbits), from loosest to strictest."""
+def parameter_token(raw: Column) -> Column:
+    """struct(kind, value) of a parameter: a number rounded to twelve places, nan, inf or -inf; anything else stays as it stands."""
+    x = raw.try_cast("double")
+    shown = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.round(x, 12).cast("string"))
+    return F.when(x.isNull(), F.struct(F.lit("symbolic").alias("kind"), raw.alias("value"))).otherwise(F.struct(F.lit("numeric").alias("kind"), shown.alias("value")))
+
+
+def phase_equal(a: Column, b: Column) -> Column:
+    """Whether two phase tokens are equal: numbers up to whole turns within 1e-10, others as they stand."""
+    x, y = a["value"].try_cast("double"), b["value"].try_cast("double")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    turn = 2 * math.pi
+    apart = F.abs(F.pmod(x - y + math.pi, F.lit(turn)) - math.pi)
+    numbers = (a["kind"] == "numeric") & finite(x) & finite(y)
+    return (a["kind"] == b["kind"]) & F.when(numbers, apart <= 1e-10).otherwise(a["value"] == b["value"])
+
+
+def compare_tapes(a: Column, b: Column, phase_a: Column, phase_b: Column, shape_a: Column, shape_b: Column) -> dict[str, Column]:
+    """Equalities of two operation tapes, arrays of struct(name, qubits, clbits, params), with phases as tokens and shapes."""
     pick = lambda t, *f: F.transform(t, lambda x: F.struct(*[x[k].alias(k) for k in f]))
-    bag = lambda t, *f: F.array_sort(pick(t, *f))
+    same = lambda *f: pick(a, *f) == pick(b, *f)
+    measures = lambda t: pick(F.filter(t, lambda x: x["name"] == "measure"), "qubits", "clbits")
+    shape = shape_a == shape_b
+    wires = same("name", "qubits", "clbits")
+    ordered = shape & wires
+    aware = ordered & same("params")
+    phase = phase_equal(phase_a, phase_b)
     return {
-        "same_length": F.size(a) == F.size(b),
-        "same_names": bag(a, "name") == bag(b, "name"),
-        "same_name_order": pick(a, "name") == pick(b, "name"),
-        "same_wires": bag(a, "name", "qubits") == bag(b, "name", "qubits"),
-        "same_wire_order": pick(a, "name", "qubits") == pick(b, "name", "qubits"),
-        "same_tape": pick(a, "name", "qubits", "clbits") == pick(b, "name", "qubits", "clbits"),
+        "gate_order_match": same("name"), "quantum_operand_sequence_match": same("qubits"), "classical_operand_sequence_match": same("clbits"),
+        "circuit_shape_match": shape, "operation_wire_tape_match": wires, "ordered_wire_tape_match": ordered, "measurement_map_match": measures(a) == measures(b),
+        "parameter_token_sequence_match": same("params"), "parameter_aware_tape_match": aware, "global_phase_match": phase, "full_literal_circuit_match": aware & phase,
     }

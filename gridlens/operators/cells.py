@@ -49,6 +49,7 @@ def partial_assembly(cells: DataFrame) -> DataFrame:
 
 def tidy(summary: DataFrame, metrics: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per metric: section, metric, available, count, denominator, rate. metrics: name -> (section, denominator column)."""
+    summary = summary.withColumns({"disagreement": F.col("es_gap"), "as_gap_of_es_gap": F.col("as_gap")})
     rows = [
         F.struct(F.lit(section).alias("section"), F.lit(name).alias("metric"), F.col(name).isNotNull().alias("available"), F.col(name).cast("long").alias("count"), F.col(of).cast("long").alias("denominator"))
         for name, (section, of) in metrics.items()
@@ -57,9 +58,16 @@ def tidy(summary: DataFrame, metrics: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 PRIMARY = {
+    "cells": ("scope", "cells"), "models": ("scope", "models"), "prompts": ("scope", "prompts"),
     "execution": ("primary", "cells"), "assembly": ("primary", "cells"), "signature": ("primary", "cells"), "ordered": ("primary", "cells"),
     "parameter": ("primary", "cells"), "es_gap": ("diagnostic", "cells"), "attrition": ("diagnostic", "cells"), "as_gap": ("diagnostic", "cells"),
     "assembly_without_signature": ("diagnostic", "assembly"), "signature_without_assembly": ("diagnostic", "signature"),
+    "disagreement": ("diagnostic", "execution"), "as_gap_of_es_gap": ("diagnostic", "es_gap"),
+}
+#: Further rows where the summary is with_identifiable()'s.
+IDENTIFIABLE = {
+    "identifiable_cells": ("identifiable", "identifiable_cells"), "identifiable_execution": ("identifiable", "identifiable_cells"),
+    "identifiable_signature": ("identifiable", "identifiable_cells"), "identifiable_disagreement": ("identifiable", "identifiable_execution"),
 }
 
 
@@ -146,6 +154,29 @@ def family_macro(cells: DataFrame, families: DataFrame, rare: int = 3, endpoint:
     )
 
 
+def macro_rates(cells: DataFrame, families: DataFrame, primary: DataFrame, rare: int = 3, endpoint: str = "signature") -> DataFrame:
+    """(form, families, rate): the rate of all cells, and means over families of the family's rate: of every label that a prompt
+    has, of its primary family, and of primary families with those of fewer than rare prompts pooled. Families are few."""
+    x = F.col(endpoint).cast("int")
+
+    def macro(form: str, of: DataFrame) -> DataFrame:
+        each = cells.join(F.broadcast(of), "prompt_id").groupBy("family").agg(F.avg(x).alias("rate"))
+        return each.agg(F.lit(form).alias("form"), F.count("*").alias("families"), F.avg("rate").alias("rate"))
+
+    sizes = primary.groupBy("family").agg(F.countDistinct("prompt_id").alias("prompts"))
+    pooled = primary.join(sizes, "family").select("prompt_id", F.when(F.col("prompts") < rare, "other_rare_primary_families").otherwise(F.col("family")).alias("family"))
+    micro = cells.agg(F.lit("micro").alias("form"), F.lit(1).cast("long").alias("families"), F.avg(x).alias("rate"))
+    return micro.unionByName(macro("multi_label", families)).unionByName(macro("primary", primary)).unionByName(macro("rare_pooled", pooled))
+
+
+def upgrades(rates: DataFrame, pairs: list[tuple[str, str]], metrics: list[str]) -> DataFrame:
+    """(before, after, metric, low, high, delta) of named pairs of models; rates(model, metrics): a few rows."""
+    listed = rates.sparkSession.createDataFrame(pairs, "before string, after string")
+    long = rates.select(F.col("model").cast("string").alias("model"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])))
+    a, b = long.select(F.col("model").alias("before"), "metric", F.col("v").alias("low")), long.select(F.col("model").alias("after"), "metric", F.col("v").alias("high"))
+    return listed.join(a, "before").join(b, ["after", "metric"]).select("before", "after", "metric", "low", "high", (F.col("high") - F.col("low")).alias("delta"))
+
+
 def leave_one_out(cells: DataFrame, key: Column, endpoint: str = "signature") -> DataFrame:
     """The rate without each value of a key, and its difference to the rate of all: from sums per value, not by rescanning."""
     each = cells.groupBy(key.alias("omitted")).agg(F.count("*").alias("n"), ones(F.col(endpoint)).alias("s"))

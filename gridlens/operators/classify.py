@@ -11,10 +11,15 @@ from ..functions.exprs import rate
 RANGES = 64
 
 
-def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(priors(label, prior), terms(label, term, lp), unseen(label, lp)): log probabilities, smoothed by alpha over the vocabulary."""
+def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0, prior: str = "share") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(priors(label, prior), terms(label, term, lp), unseen(label, lp)): log probabilities, smoothed by alpha over the vocabulary.
+
+    prior: "share" of the rows, "smoothed" share, by alpha for each label, or "uniform". Labels are few.
+    """
     total = Window.partitionBy()
-    priors = train.groupBy(label).agg(F.count("*").alias("n")).select(label, F.log(F.col("n") / F.sum("n").over(total)).alias("prior"))
+    n, all_, k = F.col("n"), F.sum("n").over(total), F.count("*").over(total)
+    of = {"share": F.log(n / all_), "smoothed": F.log((n + alpha) / (all_ + alpha * k)), "uniform": -F.log(k.cast("double"))}
+    priors = train.groupBy(label).agg(F.count("*").alias("n")).select(label, of[prior].alias("prior"))
     counts = train.select(label, F.explode(tokens).alias("term")).groupBy(label, "term").agg(F.count("*").alias("c"))
     vocabulary = counts.agg(F.countDistinct("term").alias("v"))
     sums = counts.groupBy(label).agg(F.sum("c").alias("t")).crossJoin(F.broadcast(vocabulary))
@@ -39,6 +44,17 @@ def predict(scores: DataFrame, identity: str, label: str) -> DataFrame:
     return scores.groupBy(identity).agg(F.min_by(label, F.struct(-F.col("score"), F.col(label))).alias("predicted"))
 
 
+def baseline_metrics(rows: DataFrame, truth: str, predicted: Column, score: Column, positive: str) -> DataFrame:
+    """Accuracy, share of positives missed and of negatives called positive, and the area under the curve, of any rule."""
+    own = rows.select(F.col(truth).alias("t"), predicted.alias("p"), score.cast("double").alias("s"))
+    pos = F.col("t") == positive
+    sums = own.agg(
+        F.count("*").alias("n"), F.avg((F.col("t") == F.col("p")).cast("int")).alias("accuracy"),
+        F.avg(F.when(pos, (F.col("p") != positive).cast("int"))).alias("missed"), F.avg(F.when(~pos, (F.col("p") == positive).cast("int"))).alias("called"),
+    )
+    return sums.crossJoin(auroc(own, "s", pos).select("auroc"))
+
+
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return rows.groupBy(truth, predicted).agg(F.count("*").alias("n"))
 

@@ -37,7 +37,8 @@ def _(spark, sf):
     return r6(C.summarize(D.cells(spark, sf), "model"), *_RATE_NAMES)
 
 
-_TIDY = " UNION ALL ".join(f"SELECT '{s}' AS section, '{m}' AS metric, CAST({m} AS BIGINT) AS count, CAST({d} AS BIGINT) AS denominator FROM s" for m, (s, d) in C.PRIMARY.items())
+_TIDY_OF = {"disagreement": "es_gap", "as_gap_of_es_gap": "as_gap"}
+_TIDY = " UNION ALL ".join(f"SELECT '{s}' AS section, '{m}' AS metric, CAST({_TIDY_OF.get(m, m)} AS BIGINT) AS count, CAST({d} AS BIGINT) AS denominator FROM s" for m, (s, d) in C.PRIMARY.items())
 
 
 @query("cell_tidy_metrics", f"WITH s AS (SELECT {_RATES} FROM (SELECT {_SUMS} FROM cells)) SELECT section, metric, true AS available, count, denominator, round(count / nullif(denominator, 0), 6) AS rate FROM ({_TIDY})")
@@ -175,9 +176,19 @@ def _(spark, sf):
     return r6(C.model_distribution(D.cells(spark, sf)), "execution_rate", "rate", "z").drop("signature_given_execution")
 
 
-@query("tier_distribution", """SELECT model % 3 AS tier, count(*) AS n, round(avg(rate), 6) AS mean, round(median(rate), 6) AS median, round(min(rate), 6) AS min, round(max(rate), 6) AS max, round(coalesce(stddev_samp(rate), 0), 6) AS sd FROM model_rates GROUP BY 1""")
+# Models' tiers: a dimension of the panel, here the nations of suppliers.
+_TIERS = "tiers AS (SELECT DISTINCT l_suppkey % 21 AS model, CASE WHEN l_suppkey % 21 IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 3)) THEN 'frontier' WHEN l_suppkey % 21 IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'mid' ELSE 'small' END AS tier FROM lineitem)"
+
+
+def _tiers(spark, sf):
+    region = F.col("n_regionkey")
+    tier = F.when(region.isin(0, 3), "frontier").when(region == 1, "mid").otherwise("small")
+    return D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("model"), tier.alias("tier"))
+
+
+@query("tier_distribution", """WITH """ + _TIERS + """ SELECT tier, count(*) AS n, round(avg(rate), 6) AS mean, round(median(rate), 6) AS median, round(min(rate), 6) AS min, round(max(rate), 6) AS max, round(coalesce(stddev_samp(rate), 0), 6) AS sd FROM model_rates JOIN tiers USING (model) GROUP BY 1""")
 def _(spark, sf):
-    own = C.model_distribution(D.cells(spark, sf)).withColumn("tier", F.col("model") % 3)
+    own = C.model_distribution(D.cells(spark, sf)).join(F.broadcast(_tiers(spark, sf)), "model")  # one row a model
     return r6(C.spread(own, "rate", "tier"), "mean", "median", "min", "max", "sd")
 
 

@@ -77,15 +77,3 @@ def _(spark, sf):
 @query("auroc_weighted", "SELECT round(sum(p.w * n.w * CASE WHEN p.n_chars > n.n_chars THEN 1.0 WHEN p.n_chars = n.n_chars THEN 0.5 ELSE 0 END) / sum(p.w * n.w), 6) AS auroc FROM (SELECT *, doc_id % 3 + 1.0 AS w FROM labelled) p, (SELECT *, doc_id % 3 + 1.0 AS w FROM labelled) n WHERE p.y = 1 AND n.y = 0")
 def _(spark, sf):
     return r6(C.auroc(D.labelled(spark, sf), "n_chars", F.col("y") == 1, F.col("doc_id") % 3 + F.lit(1.0)).select("auroc"), "auroc")
-
-
-@query("majority_baseline", "SELECT count(*) AS n, round(avg(CAST(y = (SELECT y FROM labelled GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) AS INT)), 6) AS accuracy FROM labelled")
-def _(spark, sf):
-    counts = D.labelled(spark, sf).groupBy("y").agg(F.count("*").alias("n"))
-    return r6(counts.agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("accuracy")), "accuracy")
-
-
-@query("false_positive_by_slice", f"WITH {_NB} SELECT source AS slice, count(*) AS n, count(*) FILTER (WHERE predicted <> truth) AS wrong FROM pd JOIN documents USING (doc_id) GROUP BY source")
-def _(spark, sf):
-    rows = _predicted(spark, sf).join(D.table(spark, sf, "documents").select("doc_id", F.col("source").alias("slice")), "doc_id")
-    return rows.groupBy("slice").agg(F.count("*").alias("n"), X.ones(F.col("predicted") != F.col("truth")).alias("wrong"))

@@ -67,7 +67,8 @@ def harness(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Columns of harness() in terms of line items, in what Spark and DuckDB both read.
 HARNESS = {
-    "row_id": "l_orderkey * 10 + l_linenumber",
+    "row_id": "l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 100 + l_suppkey % 100",
+    "part": "l_orderkey % 5",
     "label": "CASE WHEN l_linestatus = 'O' THEN 'strict_n8' ELSE 'extended_n8' END",
     "empty": "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity <= 2 END",
     "executed": "l_quantity > 8",

@@ -92,12 +92,6 @@ def _(spark, sf):
     return r6(R.harness_summary(D.cells(spark, sf), error, "model"), "match_rate", "match_given_execution")
 
 
-@query("problem_size", "SELECT CASE WHEN contains(p_name, 'a') THEN 4 WHEN contains(p_type, 'e') THEN 3 ELSE 2 END AS size, count(*) AS n FROM part GROUP BY 1")
-def _(spark, sf):
-    size = F.when(F.col("p_name").contains("a"), 4).when(F.col("p_type").contains("e"), 3).otherwise(2)
-    return D.table(spark, sf, "part").groupBy(size.alias("size")).agg(F.count("*").alias("n"))
-
-
 @query("prompt_cohorts", "SELECT CASE WHEN CAST(string_split(id, '_')[-1] AS BIGINT) <= 70 THEN 'pilot' ELSE 'extension' END AS cohort, count(*) AS n, max(id) AS last FROM (SELECT 'prompt_gen_' || lpad(CAST(prompt_id AS VARCHAR), 4, '0') AS id FROM features) GROUP BY 1")
 def _(spark, sf):
     ids = D.features(spark, sf).select(F.format_string("prompt_gen_%04d", "prompt_id").alias("id"))

@@ -32,16 +32,6 @@ def _(spark, sf):
     return pairs.select("item_id", F.round(sequence_ratio("t", "u"), 6).alias("ratio"))
 
 
-@query("tape_compare", """WITH o AS (SELECT l_orderkey AS k, list(l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS a, list(l_linenumber % 2 ORDER BY l_partkey, l_suppkey, l_quantity, l_linenumber) AS b FROM lineitem GROUP BY 1)
- SELECT count(*) AS n, count(*) FILTER (WHERE len(a) = len(b)) AS same_length, count(*) FILTER (WHERE list_sort(a) = list_sort(b)) AS same_names, count(*) FILTER (WHERE a = b) AS same_name_order FROM o""")
-def _(spark, sf):
-    op = F.struct((F.col("l_linenumber") % 2).cast("string").alias("name"), F.array(F.col("l_linenumber") % 2).alias("qubits"), F.array().cast("array<int>").alias("clbits")).alias("op")
-    tape = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, op))), lambda x: x["op"])
-    o = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(tape("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("a"), tape("l_partkey", "l_suppkey", "l_quantity", "l_linenumber").alias("b"))
-    same = X.compare_tapes(F.col("a"), F.col("b"))
-    return o.agg(F.count("*").alias("n"), *[X.ones(same[k]).alias(k) for k in ("same_length", "same_names", "same_name_order")])
-
-
 @query("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def _(spark, sf):
     k = F.from_json("props", "k long")["k"]
