@@ -140,7 +140,7 @@ def spread(df: DataFrame, value: str, *keys: str) -> DataFrame:
 def collapse(cells: DataFrame, signatures: DataFrame, endpoint: str = "signature") -> DataFrame:
     """Mean of each model over signatures of the mean within a signature, beside the plain mean."""
     x = F.col(endpoint).cast("int")
-    joined = cells.join(F.broadcast(signatures), "prompt_id")
+    joined = cells.join(signatures, "prompt_id")
     within = joined.groupBy("model", "sig").agg(F.avg(x).alias("m"))
     return within.groupBy("model").agg(F.count("*").alias("signatures"), F.avg("m").alias("collapsed")).join(cells.groupBy("model").agg(F.avg(x).alias("plain")), "model")
 
@@ -149,7 +149,7 @@ def family_macro(cells: DataFrame, families: DataFrame, rare: int = 3, endpoint:
     """Per family of a multi-label membership (prompt_id, family): prompts, rate, and the pool that families of few prompts join."""
     sizes = families.groupBy("family").agg(F.countDistinct("prompt_id").alias("prompts"))
     named = families.join(sizes, "family").withColumn("pool", F.when(F.col("prompts") < rare, "rare").otherwise(F.col("family")))
-    return cells.join(F.broadcast(named), "prompt_id").groupBy("pool").agg(
+    return cells.join(named, "prompt_id").groupBy("pool").agg(
         F.countDistinct("prompt_id").alias("prompts"), F.count("*").alias("n"), F.avg(F.col(endpoint).cast("int")).alias("rate")
     )
 

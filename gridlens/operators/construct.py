@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_order
 
 
-def majority_label(rows: DataFrame, group: str, label: str) -> DataFrame:
-    """(group, label): of each group, the most frequent label; ties go to the label that sorts first."""
+def majority_label(rows: DataFrame, group: str, label: str, ranks: dict[str, int] | None = None) -> DataFrame:
+    """(group, label): of each group, the most frequent label; ties go to the label of least rank, then to the one that sorts first."""
     counts = rows.groupBy(group, label).agg(F.count("*").alias("n"))
-    return counts.groupBy(group).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label))
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col(label)), F.lit(len(ranks))) if ranks else F.lit(0)
+    return counts.groupBy(group).agg(F.min_by(label, F.struct(-F.col("n"), rank, F.col(label))).alias(label))
 
 
-def group_split(rows: DataFrame, group: str, label: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """(group, label, split): within each majority label, groups in hash order are cut by number of groups; no group is parted."""
-    labels = majority_label(rows, group, label)
-    w = Window.partitionBy(label)
-    ranked = labels.withColumns({"r": F.row_number().over(w.orderBy(F.sha2(F.concat_ws(":", label, group), 256))) - 1, "n": F.count("*").over(w)})
+def group_split(rows: DataFrame, group: str, label: str, train: float = 0.8, validation: float = 0.1, ranges: int = 64) -> DataFrame:
+    """(group, label, split): within each majority label, groups in hash order are cut by number of groups; no group is parted.
+
+    A group's place is that of its range of hashes (their first digits, so ranges are even) and its place there, so a label that
+    most groups have is ordered by many tasks.
+    """
+    labels = majority_label(rows, group, label).withColumn("hash", F.sha2(F.concat_ws(":", label, group), 256))
+    digits = max(1, (ranges - 1).bit_length() // 4 + 1)
+    ranged = labels.withColumn("range", F.substring("hash", 1, digits))
+    sums = ranged.groupBy(label, "range").agg(F.count("*").alias("m"))
+    whole = Window.partitionBy(label)
+    starts = sums.select(label, "range", F.coalesce(F.sum("m").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("m").over(whole).alias("n"))
+    own = F.row_number().over(Window.partitionBy(label, "range").orderBy("hash")) - 1
+    ranked = ranged.withColumn("own", own).join(starts, [label, "range"]).withColumn("r", F.col("start") + F.col("own"))
     cut = lambda share: F.floor(share * F.col("n"))
     split = F.when(F.col("r") < cut(train), "train").when(F.col("r") < cut(train + validation), "validation").otherwise("test")
     return ranked.select(group, label, split.alias("split"))
@@ -54,17 +64,25 @@ def quota_pick(rows: DataFrame, stratum: str, flag: str, identity: str, quota: i
     return rows.withColumn("preferred", preferred).withColumn("pick", F.row_number().over(own)).where(F.col("pick") <= quota).drop("preferred", "pick")
 
 
-def joint_allocation(available: DataFrame, stratum: str, bin_: str, count: str, total: int) -> DataFrame:
-    """(stratum, bin, quota): whole quotas with the given total nearest to proportion: floors, then the largest remainders.
+def joint_allocation(available: DataFrame, label: str, bin_: str, count: str, labels: dict[str, int], bins: dict[str, int]) -> DataFrame:
+    """(label, bin, quota) of two labels and three bins whose totals are all given: of the whole tables with these margins the one
+    of least squared distance to each label's own profile over bins; of equal ones that with the first label's smaller counts.
 
-    Minimises the squared distance to proportional shares; ties go to the stratum and bin that sort first.
+    available: counts of the pool, a few rows. The first label's counts of two bins name a table, so all are tried.
     """
-    every = Window.partitionBy()
-    share = F.col(count) * float(total) / F.sum(count).over(every)
-    out = available.withColumn("share", share).withColumn("base", F.floor("share"))
-    order = every.orderBy(F.desc(F.round(F.col("share") - F.col("base"), 9)), stratum, bin_)
-    rest = total - F.sum("base").over(every)
-    return out.select(stratum, bin_, (F.col("base") + (F.row_number().over(order) <= rest).cast("long")).alias("quota"))
+    (one, n1), (two, n2) = labels.items()
+    names, tops = list(bins), list(bins.values())
+    if len(names) != 3 or n1 + n2 != sum(tops):
+        raise ValueError("three bins, and totals of labels and bins that agree")
+    has = lambda which, b: F.coalesce(F.sum(F.when((F.col(label) == which) & (F.col(bin_) == b), F.col(count))), F.lit(0))
+    pool = available.where(F.col(bin_).isin(*names)).agg(*[has(x, b).alias(f"{k}{i}") for k, x in (("a", one), ("b", two)) for i, b in enumerate(names)])
+    grid = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(tops[0]))).alias("x0")).select("*", F.explode(F.sequence(F.lit(0), F.lit(tops[1]))).alias("x1")).withColumn("x2", n1 - F.col("x0") - F.col("x1"))
+    grid = grid.where(F.col("x2").between(0, tops[2]))
+    expected = lambda k, i, n: F.col(f"{k}{i}") * float(n) / (F.col(f"{k}0") + F.col(f"{k}1") + F.col(f"{k}2"))
+    terms = [(F.col(f"x{i}") - expected("a", i, n1)) ** 2 + (tops[i] - F.col(f"x{i}") - expected("b", i, n2)) ** 2 for i in range(3)]
+    best = grid.orderBy(F.round(terms[0] + terms[1] + terms[2], 9), "x0", "x1", "x2").limit(1)
+    rows = [F.struct(F.lit(x).alias(label), F.lit(b).alias(bin_), (F.col(f"x{i}") if x == one else tops[i] - F.col(f"x{i}")).cast("long").alias("quota")) for x in (one, two) for i, b in enumerate(names)]
+    return best.select(F.inline(F.array(*rows)))
 
 
 def stratified_extension(rows: DataFrame, stratum: str, signature: str, identity: str, quotas: list[tuple[str, int]]) -> DataFrame:
@@ -75,7 +93,7 @@ def stratified_extension(rows: DataFrame, stratum: str, signature: str, identity
         pool = rows.where(F.col(stratum) == name)
         if taken is not None:
             pool = pool.join(taken.select(signature), signature, "left_anti")
-        own = first_by(pool, signature, order=[rank]).select(*rows.columns).withColumn("__rank", rank).orderBy("__rank").limit(quota).drop("__rank")
+        own = first_by(pool, signature, order=[rank]).select(*rows.columns).orderBy(rank).limit(quota)
         taken = own if taken is None else taken.unionByName(own)
     return taken
 
@@ -113,6 +131,19 @@ def disjoint_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def novel(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share none of the keys (signature, group, near-duplicate group) with known ones; a null key counts as novel."""
+    out = rows
+    for k in keys:
+        out = out.join(known.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+    return out.select(*rows.columns)
+
+
+def in_request_order(rows: DataFrame, requests: DataFrame, key: str, position: str) -> DataFrame:
+    """Rows of a merged log in the order in which they were asked for; those that weren't are left out."""
+    return rows.join(requests.select(key, position), key).orderBy(position)
+
+
 def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
 

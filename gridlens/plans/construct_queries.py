@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -27,7 +28,7 @@ def _(spark, sf):
 @query("split_summary", f"WITH {_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT source) AS groups, count(DISTINCT d.lang) AS labels FROM documents d JOIN sp USING (source) GROUP BY split")
 def _(spark, sf):
     docs = D.table(spark, sf, "documents").select("source", F.col("lang").alias("own"))
-    return docs.join(F.broadcast(_split(spark, sf)), "source").groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("source").alias("groups"), F.countDistinct("own").alias("labels"))
+    return docs.join(_split(spark, sf).drop("lang"), "source").groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("source").alias("groups"), F.countDistinct("own").alias("labels"))
 
 
 @query("split_group_overlap", """SELECT md5(text) AS text_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM (SELECT text, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split FROM documents) GROUP BY 1 HAVING count(DISTINCT split) > 1""")
@@ -55,19 +56,49 @@ def _(spark, sf):
     return C.quota_pick(D.table(spark, sf, "documents").select("source", (F.col("lang") == "en").alias("flag"), "doc_id"), "source", "flag", "doc_id", 6)
 
 
-@query("joint_allocation", """WITH c AS (SELECT lang, CASE WHEN n_chars <= 800 THEN 'a' WHEN n_chars <= 2000 THEN 'b' ELSE 'c' END AS bin, count(*) AS n FROM documents GROUP BY 1, 2),
- s AS (SELECT *, n * CAST(84 AS DOUBLE) / sum(n) OVER () AS share FROM c), f AS (SELECT *, floor(share) AS base FROM s),
- r AS (SELECT *, row_number() OVER (ORDER BY round(share - base, 9) DESC, lang, bin) AS r, 84 - sum(base) OVER () AS rest FROM f) SELECT lang, bin, CAST(base + CASE WHEN r <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
+_BIN3 = "CASE WHEN n_chars <= 800 THEN 'a' WHEN n_chars <= 2000 THEN 'b' ELSE 'c' END"
+
+
+@query("joint_allocation", f"""WITH c AS (SELECT CASE WHEN lang = 'en' THEN 'one' ELSE 'two' END AS label, {_BIN3} AS bin, count(*) AS n FROM documents GROUP BY 1, 2), e AS (SELECT label, bin, n / sum(n) OVER (PARTITION BY label) AS p FROM c),
+ g AS (SELECT x0, x1, 50 - x0 - x1 AS x2 FROM (SELECT unnest(range(31)) AS x0), (SELECT unnest(range(35)) AS x1)), f AS (SELECT * FROM g WHERE x2 BETWEEN 0 AND 20),
+ q AS (SELECT f.*, v.label, v.bin, v.x FROM f, LATERAL (VALUES ('one', 'a', x0), ('one', 'b', x1), ('one', 'c', x2), ('two', 'a', 30 - x0), ('two', 'b', 34 - x1), ('two', 'c', 20 - x2)) AS v(label, bin, x)),
+ d AS (SELECT x0, x1, x2, round(sum(pow(x - (CASE q.label WHEN 'one' THEN 50 ELSE 34 END) * coalesce(p, 0), 2)), 9) AS d FROM q LEFT JOIN e ON e.label = q.label AND e.bin = q.bin GROUP BY 1, 2, 3), b AS (SELECT x0, x1, x2 FROM d ORDER BY d, x0, x1, x2 LIMIT 1)
+ SELECT label, bin, CAST(x AS BIGINT) AS quota FROM q JOIN b USING (x0, x1, x2)""")
 def _(spark, sf):
     size = F.when(F.col("n_chars") <= 800, "a").when(F.col("n_chars") <= 2000, "b").otherwise("c")
-    counts = D.table(spark, sf, "documents").groupBy("lang", size.alias("bin")).agg(F.count("*").alias("n"))
-    return C.joint_allocation(counts, "lang", "bin", "n", 84)
+    counts = D.table(spark, sf, "documents").groupBy(F.when(F.col("lang") == "en", "one").otherwise("two").alias("label"), size.alias("bin")).agg(F.count("*").alias("n"))
+    return C.joint_allocation(counts, "label", "bin", "n", {"one": 50, "two": 34}, {"a": 30, "b": 34, "c": 20})
+
+
+_QUOTAS = [("en", 20), ("fr", 10), ("de", 5), ("es", 5)]
 
 
-@query("stratified_extension")
+def _strata():
+    """Strata in order: each is the first of its signature among those that no stratum before took, up to its quota."""
+    out, taken = [], "SELECT '' AS sig WHERE false"
+    for k, (lang, quota) in enumerate(_QUOTAS):
+        out.append(f"p{k} AS (SELECT lang, md5(text) AS sig, arg_min(doc_id, sha256(CAST(doc_id AS VARCHAR))) AS doc_id FROM documents WHERE lang = '{lang}' AND md5(text) NOT IN ({taken}) GROUP BY 1, 2), s{k} AS (SELECT * FROM p{k} ORDER BY sha256(CAST(doc_id AS VARCHAR)) LIMIT {quota})")
+        taken += f" UNION ALL SELECT sig FROM s{k}"
+    return ", ".join(out)
+
+
+@query("stratified_extension", f"WITH {_strata()} " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(len(_QUOTAS))))
 def _(spark, sf):
     rows = D.table(spark, sf, "documents").select("lang", F.md5("text").alias("sig"), "doc_id")
-    return C.stratified_extension(rows, "lang", "sig", "doc_id", [("en", 20), ("fr", 10), ("de", 5), ("es", 5)])
+    return C.stratified_extension(rows, "lang", "sig", "doc_id", _QUOTAS)
+
+
+@query("ranked_majority", """SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY n DESC, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, lang) AS r FROM (SELECT source, lang, count(*) // 20 AS n FROM documents GROUP BY 1, 2)) WHERE r = 1""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "documents").groupBy("source", "lang").agg(F.floor(F.count("*") / 20).cast("int").alias("n"))
+    return C.majority_label(rows.select("source", "lang", F.explode(F.array_repeat(F.lit(1), F.col("n") + 1))).select("source", "lang"), "source", "lang", {"fr": 0, "en": 1})
+
+
+@query("merged_in_order", "SELECT prompt_id, pos FROM (SELECT prompt_id, row_number() OVER (ORDER BY sha256(CAST(prompt_id AS VARCHAR))) AS pos FROM features WHERE prompt_id % 3 < 2)")
+def _(spark, sf):
+    f = D.features(spark, sf).select("prompt_id")
+    requests = f.where("prompt_id % 3 < 2").select("prompt_id", F.row_number().over(Window.orderBy(F.sha2(F.col("prompt_id").cast("string"), 256))).cast("long").alias("pos"))
+    return C.in_request_order(C.disjoint_union(f.where("prompt_id < 60"), f.where("prompt_id >= 60"), "prompt_id"), requests, "prompt_id", "pos")
 
 
 @query("cross_stratum_quotas", """WITH w AS (SELECT l_shipmode_ AS stratum, count(*) FILTER (WHERE NOT ext) AS pilot, count(*) FILTER (WHERE ext) AS extension FROM (SELECT prompt_id % 3 AS l_shipmode_, prompt_id >= 70 AS ext FROM features WHERE gates % 5 < 2) GROUP BY 1),
@@ -107,10 +138,11 @@ def _(spark, sf):
     return count(C.disjoint_union(a, b, "prompt_id"), "rows").unionByName(count(C.common_keys(a, b, "prompt_id"), "common"))
 
 
-@query("novelty_anti_join", "SELECT count(*) AS novel FROM documents d WHERE d.lang = 'en' AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.lang <> 'en' AND o.n_chars = d.n_chars)")
+@query("novelty_anti_join", """WITH d AS (SELECT doc_id, lang, md5(text) AS sig, n_chars % 997 AS grp, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 400 END AS near FROM documents), o AS (SELECT * FROM d WHERE lang <> 'en')
+ SELECT count(*) AS novel FROM d WHERE lang = 'en' AND sig NOT IN (SELECT sig FROM o) AND grp NOT IN (SELECT grp FROM o WHERE grp IS NOT NULL) AND (near IS NULL OR near NOT IN (SELECT near FROM o WHERE near IS NOT NULL))""")
 def _(spark, sf):
-    docs = D.table(spark, sf, "documents")
-    return docs.where("lang = 'en'").join(docs.where("lang <> 'en'").select("n_chars").distinct(), "n_chars", "left_anti").agg(F.count("*").alias("novel"))
+    d = D.table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("sig"), (F.col("n_chars") % 997).alias("grp"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 400).alias("near"))
+    return C.novel(d.where("lang = 'en'"), d.where("lang <> 'en'"), ["sig", "grp", "near"]).agg(F.count("*").alias("novel"))
 
 
 @query("scope_digest", "SELECT model, sha256(string_agg(CAST(prompt_id AS VARCHAR), chr(10) ORDER BY CAST(prompt_id AS VARCHAR)) || chr(10)) AS ids_sha256, count(*) AS prompts FROM cells GROUP BY model")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.python_forms import presentation_stripped
 from ..operators import cells as C
 from ..operators import classify as N
 from ..operators import features as T
@@ -258,3 +259,15 @@ def _(spark, sf):
 def _(spark, sf):
     rates = C.group_rates(D.cells(spark, sf), "model").select("model", F.col("signature_rate").alias("rate"), "execution_rate")
     return r6(C.upgrades(rates, [("1", "2"), ("4", "8")], ["rate", "execution_rate"]), "low", "high", "delta")
+
+
+# Four programs and what is left of them; the row's number picks one and its name.
+_PROGRAMS = ["qc{k} = f({k})\nprint(qc{k})\nqc{k}.draw()", "fig = qc.draw()\nx = {k}", "fig = qc.draw()\nfig.show({k})", "def broken({k}"]
+_LEFT = ["qc{k} = f({k})\n", "x = {k}\n", "fig = qc.draw()\nfig.show({k})\n", None]
+
+
+@query("presentation_stripped", "SELECT n_nationkey AS k, CASE n_nationkey % 4 " + " ".join("WHEN " + str(i) + " THEN " + ("NULL" if c is None else "replace(replace('" + c.replace("\n", "|") + "', '{k}', CAST(n_nationkey AS VARCHAR)), '|', chr(10))") for i, c in enumerate(_LEFT)) + " END AS code FROM nation")
+def _(spark, sf):
+    k = F.col("n_nationkey")
+    code = F.replace(F.element_at(F.array(*map(F.lit, _PROGRAMS)), k % 4 + 1), F.lit("{k}"), k.cast("string"))
+    return D.table(spark, sf, "nation").select(k.alias("k"), presentation_stripped(code).alias("code"))

@@ -19,10 +19,10 @@ def _code(spark, sf):
     return D.table(spark, sf, "lineitem").select(F.col("l_orderkey"), text.alias("code"))
 
 
-@query("ast_hash_agreement")
+@query("ast_hash_agreement", "SELECT count(DISTINCT CAST(l_quantity AS INT) * 2 + l_linenumber % 2) AS texts, count(DISTINCT CAST(l_quantity AS INT)) AS trees, count(*) AS rows FROM lineitem")
 def _(spark, sf):
     distinct = _code(spark, sf).select("code").distinct().withColumn("tree", ast_hash("code"))
-    return _code(spark, sf).join(F.broadcast(distinct), "code").agg(F.countDistinct("code").alias("texts"), F.countDistinct("tree").alias("trees"), F.count("*").alias("rows"))
+    return _code(spark, sf).join(distinct, "code").agg(F.countDistinct("code").alias("texts"), F.countDistinct("tree").alias("trees"), F.count("*").alias("rows"))
 
 
 @query("sequence_ratio")

@@ -15,8 +15,10 @@ def write_canonical_json(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_delimited(df: DataFrame, path: str, fields: list[str], sep: str = ",") -> None:
-    df.select(*fields).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def write_delimited(df: DataFrame, path: str, fields: list[str], sep: str = ",", files: int | None = None) -> None:
+    """Fields in their order, with a header in each part; files: how many parts, 1 for a report of bounded size."""
+    own = df.select(*fields)
+    (own.coalesce(files) if files else own).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
 def write_splits(rows: DataFrame, assignment: DataFrame, key: str, path: str) -> None:
@@ -38,9 +40,15 @@ def percent(rate) -> str:
     return "N/A" if rate is None else f"{100 * rate:.2f}%"
 
 
+#: Metric rows that are rendered at most; a report has a few dozen.
+RENDERED = 10_000
+
+
 def render(tidy: DataFrame, form: str = "text") -> str:
-    """Tidy metric rows as text, markdown, csv or json; what is unavailable reads N/A, never 0."""
-    rows = [r.asDict() for r in tidy.select("section", "metric", "available", "count", "denominator", "rate").collect()]
+    """Tidy metric rows as text, markdown, csv or json; what is unavailable reads N/A, never 0. More than RENDERED is an error."""
+    rows = [r.asDict() for r in tidy.select("section", "metric", "available", "count", "denominator", "rate").limit(RENDERED + 1).collect()]
+    if len(rows) > RENDERED:
+        raise ValueError(f"more than {RENDERED} rows to render")
     if form == "json":
         return json.dumps(rows, sort_keys=True, indent=2)
     cells = [[r["metric"], number(r["count"] if r["available"] else None), number(r["denominator"]), percent(r["rate"] if r["available"] else None)] for r in rows]
