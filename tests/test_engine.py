@@ -32,8 +32,8 @@ def test_absent_layers_are_null_not_zero(spark):
     s = cells.summarize(validate.resolve(raw)).first()
     assert (s.execution, s.signature) == (1, 0) and [s.assembly, s.ordered, s.parameter, s.as_gap] == [None] * 4
     tidy = cells.tidy(cells.summarize(validate.resolve(raw)), cells.PRIMARY)
-    assert "N/A" in sinks.render(tidy) and json.loads(sinks.render(tidy, "json"))[0]["metric"] == "execution"
-    assert sinks.render(tidy, "csv").startswith("metric,count") and sinks.render(tidy, "markdown").count("\n") == 12
+    assert "N/A" in sinks.render(tidy) and [r["metric"] for r in json.loads(sinks.render(tidy, "json"))][:4] == ["cells", "models", "prompts", "execution"]
+    assert sinks.render(tidy, "csv").startswith("metric,count") and sinks.render(tidy, "markdown").count("\n") == 2 + len(cells.PRIMARY)
 
 
 def test_render_rates(spark):
@@ -173,9 +173,12 @@ def test_split_keeps_groups_whole(spark):
 
 
 def test_allocation_and_quotas(spark):
-    have = spark.createDataFrame([("a", "x", 10), ("a", "y", 20), ("b", "x", 30)], "s string, b string, n long")
-    got = {(r.s, r.b): r.quota for r in construct.joint_allocation(have, "s", "b", "n", 7).collect()}
-    assert sum(got.values()) == 7 and got["b", "x"] == max(got.values())
+    have = spark.createDataFrame([("a", "x", 10), ("a", "y", 20), ("a", "z", 10), ("b", "x", 30), ("b", "z", 30)], "s string, b string, n long")
+    got = {(r.s, r.b): r.quota for r in construct.joint_allocation(have, "s", "b", "n", {"a": 8, "b": 6}, {"x": 6, "y": 3, "z": 5}).collect()}
+    tables = [(x, y, 8 - x - y) for x in range(7) for y in range(4) if 0 <= 8 - x - y <= 5]
+    far = lambda t: round(sum((v - e) ** 2 + (n - v - f) ** 2 for v, n, e, f in zip(t, (6, 3, 5), (2, 4, 2), (3, 0, 3), strict=True)), 9)
+    best = min((far(t), t) for t in tables)[1]
+    assert [got["a", k] for k in "xyz"] == list(best) and [got["b", k] for k in "xyz"] == [n - v for n, v in zip((6, 3, 5), best, strict=True)]
     free = spark.createDataFrame([("1-2", "pilot", 11), ("1-2", "extension", 17), ("3-4", "pilot", 25), ("3-4", "extension", 37), ("5+", "pilot", 5), ("5+", "extension", 9)], "bin string, cohort string, free long")
     rows = construct.quota_search(free, "bin", "cohort", "free", 12).collect()
     assert sum(r.pilot + r.extension for r in rows) == 36 and sum(r.pilot for r in rows) == 18
