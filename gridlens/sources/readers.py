@@ -10,17 +10,27 @@ from ..operators.validate import require_empty
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, check: bool = True) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, and a line that is no object is an error that names the file."""
+    """Rows of a JSON-lines file; blank lines are skipped, and a line that is no object is an error that names file and line."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
     whole = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     wide = T.StructType([*whole.fields, T.StructField("_corrupt", T.StringType())])
     rows = lines.select("file", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "value")
     if check:
         bad = rows.where(F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.ltrim("value").startswith("{"))
-        require_empty(bad.select("file", F.substring("value", 1, 80).alias("line")), "not a JSON object")
+        if (first := bad.select("file", "value").first()) is not None:  # only now is that file read again, to number its lines
+            numbered = spark.read.option("wholetext", True).text(first.file).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
+            require_empty(numbered.where(F.col("text") == first.value).select(F.concat(F.lit(f"{first.file}:"), F.col("at") + 1).alias("at"), F.substring("text", 1, 80).alias("line")), "not a JSON object")
     return rows.select(*[F.col(f"r.{f.name}") for f in whole.fields])
 
 
+def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one row of a file that is a JSON object; anything else is an error."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if rows.count() != 1:
+        raise ValueError(f"{path} isn't one JSON object")
+    return rows
+
+
 #: A harness report: what an execution did and how its structure compares.
 REPORT = "records array<struct<prompt_id string, execution struct<execution_success boolean, circuit_found boolean, error_type string, qasm3_export struct<success boolean>>, structural_checks struct<all_match boolean, ordered_match boolean, parameter_match boolean>>>"
 
@@ -28,7 +38,7 @@ REPORT = "records array<struct<prompt_id string, execution struct<execution_succ
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record of folder/<model>/report.json; the model is the folder's name."""
     read = spark.read.schema(REPORT).option("multiLine", True).json(f"{folder}/*/report.json")
-    model = F.regexp_extract("_metadata.file_path", r"([^/]+)/report\.json$", 1)
+    model = F.regexp_extract("_metadata.file_path", r"([^/]+)/report\.json(?:/[^/]+)?$", 1)
     return read.select(model.alias("model"), F.explode("records").alias("r")).select("model", "r.*")
 
 
