@@ -51,13 +51,13 @@ _OLS = """WITH e AS (SELECT prompt_id, -sum(n / t * ln(n / t)) AS entropy FROM (
  d AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM m),
  w AS (SELECT my, m3, (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / det AS w1, (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det AS w2,
  (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w3 FROM d)
- SELECT 'intercept' AS term, round(my - m3 * w3, 5) AS beta FROM w UNION ALL SELECT 'entropy', round(w1, 5) FROM w UNION ALL SELECT 'log_gates', round(w2, 5) FROM w UNION ALL SELECT 'barrier', round(w3, 5) FROM w"""
+ SELECT 'intercept' AS term, round(my - m3 * w3, 4) AS beta FROM w UNION ALL SELECT 'entropy', round(w1, 4) FROM w UNION ALL SELECT 'log_gates', round(w2, 4) FROM w UNION ALL SELECT 'barrier', round(w3, 4) FROM w"""
 
 
 @query("ols_fit", _OLS)
 def _(spark, sf):
     df = M.standardised(_grouped(spark, sf), ["entropy", "log_gates"])
-    return M.ols(df, F.col("s") / F.col("n"), _terms()).frame(spark).select("term", F.round("beta", 5).alias("beta"))
+    return M.ols(df, F.col("s") / F.col("n"), _terms()).frame(spark).select("term", F.round("beta", 4).alias("beta"))
 
 
 @query("grouped_logit")
