@@ -57,6 +57,21 @@ def entropy(counts: Column) -> Column:
 # ------------------------------------------------------------------------------------------------------------------- bins
 
 
+#: Gates that join qubits, and gates by an angle.
+ENTANGLING = ("cx", "cz", "cp", "ch", "cs", "ct", "ccx", "swap", "rxx", "rzz")
+ROTATIONS = ("rx", "ry", "rz", "p", "u", "u1", "u2", "u3", "rxx", "rzz")
+
+
+def set_flags(counts: Column, gates: Column) -> dict[str, Column]:
+    """What kinds of gates a count map has, and whether these are many kinds or many gates."""
+    names = F.coalesce(F.map_keys(counts), F.array().cast("array<string>"))
+    any_of = lambda group: F.arrays_overlap(names, F.array(*map(F.lit, group)))
+    return {
+        "has_measure": F.array_contains(names, "measure"), "has_barrier": F.array_contains(names, "barrier"), "has_controlled_or_entangling": any_of(ENTANGLING), "has_rotation": any_of(ROTATIONS),
+        "high_gate_diversity": F.size(names) >= 5, "high_gate_count": F.coalesce(gates, F.lit(0)) >= 13,
+    }
+
+
 def bins(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
     """The label of the first edge that is not below the value."""
     out = F.when(F.lit(False), F.lit(""))

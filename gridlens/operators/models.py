@@ -405,3 +405,19 @@ def average_linkage(distances: DataFrame) -> DataFrame:
         out.append((len(out), int(a), int(b), float(height), size[new]))
         new += 1
     return distances.sparkSession.createDataFrame(out, "step int, left long, right long, height double, size long")
+
+
+def nearest_pairs(distances: DataFrame, items: int, k: int = 12) -> DataFrame:
+    """The k pairs of least distance, ties by names, and on how many of so many items they differ."""
+    return distances.orderBy("distance", "a", "b").limit(k).withColumn("disagreements", F.bround(F.col("distance") * items, 0).cast("long"))
+
+
+def leaf_order(linkage: DataFrame) -> list[int]:
+    """The units from left to right below the last merge; a linkage has a row less than units, which are few."""
+    rows = linkage.orderBy("step").collect()
+    # merges are numbered on from the units, and every one but the last is merged again, so the largest number is known
+    first = max((x for r in rows for x in (r.left, r.right)), default=0) - len(rows) + 2
+    below: dict[int, list[int]] = {}
+    for r in rows:
+        below[first + r.step] = below.get(r.left, [r.left]) + below.get(r.right, [r.right])
+    return below[first + rows[-1].step] if rows else []

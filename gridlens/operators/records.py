@@ -87,3 +87,16 @@ def harness_summary(cells: DataFrame, error: Column, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(
         F.count("*").alias("n"), ones(e).alias("executed"), ones(m).alias("matched"), rate(ones(m), F.count("*")).alias("match_rate"), rate(ones(m), ones(e)).alias("match_given_execution"), ones(error.isNotNull()).alias("with_error"), F.countDistinct(error).alias("kinds_of_error"),
     )
+
+
+def recovery_summary(rows: DataFrame, before: Column, after: Column, symbol: Column) -> DataFrame:
+    """Of each missing symbol: records, how many worked before and after their context was given back, and what share was recovered."""
+    gained = ones(~before & after)
+    return rows.groupBy(symbol.alias("symbol")).agg(F.count("*").alias("n"), ones(before).alias("before"), ones(after).alias("after"), gained.alias("recovered"), rate(gained, ones(~before)).alias("recovery_rate"))
+
+
+def interrupted(log: DataFrame, key: str, order: list[Column], started: Column, acknowledged: Column) -> DataFrame:
+    """(key, status) of keys whose last record is a start without an end: uncertain, unless someone has acknowledged it."""
+    at = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])
+    last = log.groupBy(key).agg(F.max_by(started, at).alias("open"), F.bool_or(acknowledged).alias("seen"))
+    return last.where("open").select(key, F.when(F.col("seen"), "acknowledged").otherwise("uncertain_interrupted").alias("status"))

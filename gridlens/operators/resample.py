@@ -72,12 +72,12 @@ def permutation_correlation(df: DataFrame, key: str, x: str, y: str, reps: int)
     return r.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), ((F.sum((F.col("r") >= F.col("observed")).cast("long")) + 1) / F.lit(reps + 1.0)).alias("p"))
 
 
-def bootstrap_ranks(rates: DataFrame, key: str, estimate: str, top: int = 3) -> DataFrame:
-    """Of each unit over replicates (rep, key, estimate): median rank, its interval, and how often it is among the top."""
+def bootstrap_ranks(rates: DataFrame, key: str, estimate: str, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """Of each unit over replicates (rep, key, estimate): median rank, its interval, and how often it is among the first few."""
     r = F.rank().over(Window.partitionBy("rep").orderBy(F.desc(estimate)))
     ranked = rates.withColumn("r", r.cast("double"))
     return ranked.groupBy(key).agg(
-        F.percentile("r", F.lit(0.5)).alias("median_rank"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"), F.avg((F.col("r") <= top).cast("int")).alias("in_top")
+        F.percentile("r", F.lit(0.5)).alias("median_rank"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"), *[F.avg((F.col("r") <= t).cast("int")).alias(f"in_top{t}") for t in tops]
     )
 
 

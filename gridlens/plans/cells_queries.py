@@ -284,10 +284,11 @@ def _(spark, sf):
     return joined.where("s = 0").select("prompt_id", "models")
 
 
-@query("exemplar_ranks", f"""WITH r AS (SELECT prompt_id, row_number() OVER (ORDER BY 1 - solved / models, prompt_id) - 1 AS pos, count(*) OVER () AS n FROM ({_ITEMS}))
+@query("exemplar_ranks", f"""WITH r AS (SELECT prompt_id, row_number() OVER (ORDER BY round(1 - solved / models, 9), types, gates, prompt_id) - 1 AS pos, count(*) OVER () AS n FROM ({_ITEMS}) JOIN features USING (prompt_id))
  SELECT prompt_id, pos FROM r WHERE pos IN (0, round_even((n - 1) / 3.0, 0), round_even(2 * (n - 1) / 3.0, 0), n - 1)""")
 def _(spark, sf):
     every = Window.partitionBy()
-    r = _items(spark, sf).withColumns({"pos": (F.row_number().over(every.orderBy("difficulty", "prompt_id")) - 1).cast("long"), "n": F.count("*").over(every)})
+    items = _items(spark, sf).join(D.features(spark, sf).select("prompt_id", "types", "gates"), "prompt_id")
+    r = items.withColumns({"pos": (F.row_number().over(every.orderBy(F.round("difficulty", 9), "types", "gates", "prompt_id")) - 1).cast("long"), "n": F.count("*").over(every)})
     at = lambda k: F.bround(k * (F.col("n") - 1) / 3.0, 0)
     return r.where(F.col("pos").isin(0) | (F.col("pos") == at(1)) | (F.col("pos") == at(2)) | (F.col("pos") == F.col("n") - 1)).select("prompt_id", "pos")

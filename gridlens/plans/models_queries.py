@@ -174,3 +174,15 @@ def _(spark, sf):
 @query("average_linkage")
 def _(spark, sf):
     return M.average_linkage(M.hamming(D.cells(spark, sf), "model", "prompt_id", "signature"))
+
+
+@query("nearest_pairs", """SELECT a, b, round(distance, 6) AS distance, CAST(round_even(distance * 154, 0) AS BIGINT) AS disagreements FROM (SELECT p.model AS a, q.model AS b, avg(CAST(p.signature <> q.signature AS INT)) AS distance FROM cells p JOIN cells q ON p.prompt_id = q.prompt_id AND p.model < q.model GROUP BY 1, 2) ORDER BY round(distance, 9), a, b LIMIT 12""")
+def _(spark, sf):
+    d = M.hamming(D.cells(spark, sf), "model", "prompt_id", "signature").withColumn("distance", F.round("distance", 9))
+    return r6(M.nearest_pairs(d, 154), "distance")
+
+
+@query("cluster_leaves")
+def _(spark, sf):
+    leaves = M.leaf_order(M.average_linkage(M.hamming(D.cells(spark, sf), "model", "prompt_id", "signature")))
+    return spark.createDataFrame(list(enumerate(leaves)), "pos int, model long")

@@ -10,6 +10,7 @@ from ..operators import cells as C
 from ..operators import classify as N
 from ..operators import features as T
 from ..operators import panels as P
+from ..operators import records as R
 from . import fixtures as D
 from .cells_queries import r6
 from .classify_queries import _BIN
@@ -271,3 +272,48 @@ def _(spark, sf):
     k = F.col("n_nationkey")
     code = F.replace(F.element_at(F.array(*map(F.lit, _PROGRAMS)), k % 4 + 1), F.lit("{k}"), k.cast("string"))
     return D.table(spark, sf, "nation").select(k.alias("k"), presentation_stripped(code).alias("code"))
+
+
+# --------------------------------------------------------------------------------------------------- prompts and attempts
+
+
+@query("prompt_rates", "SELECT prompt_id, count(*) AS models, round(avg(CAST(execution AS INT)), 6) AS execution_rate, round(avg(CAST(signature AS INT)), 6) AS signature_rate FROM cells GROUP BY 1")
+def _(spark, sf):
+    mean = lambda c: F.avg(F.col(c).cast("int"))
+    return r6(D.cells(spark, sf).groupBy("prompt_id").agg(F.count("*").alias("models"), mean("execution").alias("execution_rate"), mean("signature").alias("signature_rate")), "execution_rate", "signature_rate")
+
+
+@query("rate_quantiles", "WITH p AS (SELECT avg(CAST(signature AS INT)) AS x FROM cells GROUP BY prompt_id) SELECT q, round(v, 6) AS value FROM (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS q, unnest((SELECT quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) FROM p)) AS v)")
+def _(spark, sf):
+    at = [0.1, 0.25, 0.5, 0.75, 0.9]
+    p = D.cells(spark, sf).groupBy("prompt_id").agg(F.avg(F.col("signature").cast("int")).alias("x")).agg(F.percentile("x", at).alias("v"))
+    return r6(p.select(F.inline(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v").alias("value")))), "value").select("q", "value")
+
+
+_NAMED = "[CASE WHEN n_h > 0 THEN 'h' END, CASE WHEN n_cx > 0 THEN 'cx' END, CASE WHEN n_barrier > 0 THEN 'barrier' END, CASE WHEN qubits = 3 THEN 'rz' END, CASE WHEN qubits = 2 THEN 'measure' END]"
+_FLAGGED = {
+    "has_measure": "list_contains(g, 'measure')", "has_barrier": "list_contains(g, 'barrier')", "has_controlled_or_entangling": "list_contains(g, 'cx')", "has_rotation": "list_contains(g, 'rz')",
+    "high_gate_diversity": "len(g) >= 5", "high_gate_count": "coalesce(lines, 0) >= 13",
+}
+
+
+@query("set_flags", f"SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {c}) AS {n}' for n, c in _FLAGGED.items())} FROM (SELECT lines, list_filter({_NAMED}, lambda x: x IS NOT NULL) AS g FROM harness)")
+def _(spark, sf):
+    each = [("h", F.col("n_h") > 0), ("cx", F.col("n_cx") > 0), ("barrier", F.col("n_barrier") > 0), ("rz", F.col("qubits") == 3), ("measure", F.col("qubits") == 2)]
+    counts = F.map_from_entries(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("key"), F.lit(1).alias("value"))) for n, c in each])))
+    flags = X.set_flags(counts, F.col("lines"))
+    return D.harness(spark, sf).agg(F.count("*").alias("n"), *[X.ones(c).alias(n) for n, c in flags.items()])
+
+
+@query("context_recovery", """SELECT error AS symbol, count(*) AS n, count(*) FILTER (WHERE executed) AS before, count(*) FILTER (WHERE executed OR gates = 3) AS after, count(*) FILTER (WHERE NOT executed AND gates = 3) AS recovered,
+ round(count(*) FILTER (WHERE NOT executed AND gates = 3) / nullif(count(*) FILTER (WHERE NOT executed), 0), 6) AS recovery_rate FROM harness GROUP BY error""")
+def _(spark, sf):
+    after = F.col("executed") | F.coalesce(F.col("gates") == 3, F.lit(False))
+    return r6(R.recovery_summary(D.harness(spark, sf), F.col("executed"), after, F.col("error")), "recovery_rate")
+
+
+@query("interrupted_attempts", """WITH l AS (SELECT user_id, arg_max(value < 20, ts * 1 + 0) AS open FROM (SELECT user_id, value, epoch_us(ts)::HUGEINT * 100000000 + event_id AS ts FROM events) GROUP BY 1)
+ SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'acknowledged' ELSE 'uncertain_interrupted' END AS status FROM l WHERE open""")
+def _(spark, sf):
+    log = D.table(spark, sf, "events")
+    return R.interrupted(log, "user_id", [F.col("ts"), F.col("event_id")], F.col("value") < 20, F.col("user_id") % 5 == 0)

@@ -68,13 +68,13 @@ _BR = f"""s AS ({_SIG}), sm AS (SELECT model, sig, count(*) FILTER (WHERE signat
  rr AS (SELECT *, CAST(rank() OVER (PARTITION BY rep ORDER BY estimate DESC) AS DOUBLE) AS r FROM es)"""
 
 
-@query("bootstrap_ranks", f"WITH {_BR} SELECT model, round(median(r), 6) AS median_rank, round(quantile_cont(r, 0.025::DOUBLE), 6) AS low, round(quantile_cont(r, 0.975::DOUBLE), 6) AS high, round(avg(CAST(r <= 3 AS INT)), 6) AS in_top FROM rr GROUP BY model")
+@query("bootstrap_ranks", f"WITH {_BR} SELECT model, round(median(r), 6) AS median_rank, round(quantile_cont(r, 0.025::DOUBLE), 6) AS low, round(quantile_cont(r, 0.975::DOUBLE), 6) AS high, round(avg(CAST(r <= 3 AS INT)), 6) AS in_top3, round(avg(CAST(r <= 5 AS INT)), 6) AS in_top5 FROM rr GROUP BY model")
 def _(spark, sf):
     sums = D.cells(spark, sf).join(F.broadcast(signatures(spark, sf)), "prompt_id").groupBy("model", "sig").agg(X.ones(F.col("signature")).alias("x"), F.count("*").alias("n"))
     units = R.numbered(sums.select("sig").distinct(), "sig")
     w = R.weights(R.replicates(spark, RANK_REPS), units.count(), "b").join(F.broadcast(units), "pos")
     rates = w.join(F.broadcast(sums), "sig").groupBy("rep", "model").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("n")), 9).alias("estimate"))
-    return r6(R.bootstrap_ranks(rates, "model", "estimate"), "median_rank", "low", "high", "in_top")
+    return r6(R.bootstrap_ranks(rates, "model", "estimate"), "median_rank", "low", "high", "in_top3", "in_top5")
 
 
 @query("poststratified_rates", """WITH b AS (SELECT prompt_id, CASE WHEN types <= 2 THEN '1-2' WHEN types <= 4 THEN '3-4' ELSE '5+' END AS bin FROM features), e AS (SELECT run, bin, avg(CAST(signature AS INT)) AS rate FROM runs JOIN b USING (prompt_id) GROUP BY 1, 2)

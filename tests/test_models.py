@@ -121,3 +121,9 @@ def test_auroc_by_ranges(spark, monkeypatch):
         own = [r for r in rows if r[4] == got.k]
         pairs = [(a[3] * b[3], 1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0) for a in own if a[2] for b in own if not b[2]]
         assert abs(got.auroc - sum(w * h for w, h in pairs) / sum(w for w, _ in pairs)) < 1e-9
+
+
+def test_leaves_and_nearest_pairs(spark):
+    d = spark.createDataFrame([(0, 1, 0.4), (0, 2, 0.1), (0, 3, 0.5), (1, 2, 0.4), (1, 3, 0.2), (2, 3, 0.5)], "a long, b long, distance double")
+    assert M.leaf_order(M.average_linkage(d)) == [0, 2, 1, 3]
+    assert [(r.a, r.b, r.disagreements) for r in M.nearest_pairs(d, 10, 3).collect()] == [(0, 2, 1), (1, 3, 2), (0, 1, 4)]
