@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, lm, packing, pii, quality, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, embed_dedup, lexical, lm, packing, pii, quality, secrets, simhash, spelling, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash": simhash.op9,
     "op10_chat": chat.op10,
+    "op11_lexical": lexical.op11,
+    "op12_embed_dedup": embed_dedup.op12,
+    "op13_spelling": spelling.op13,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_lexical": lexical.OP11_SQL, "op12_embed_dedup": embed_dedup.OP12_SQL}
