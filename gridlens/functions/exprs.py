@@ -166,11 +166,14 @@ def normal_text(text: Column) -> Column:
     return text
 
 
+#: TOKEN's matches in the parts that tokens() makes of them: a number that no identifier holds, or a piece of one.
+TOKEN_PART = r"(?<![A-Za-z_0-9])\d+(?:\.\d+)?|[A-Z]+[a-z0-9]*|[a-z0-9]+"
+
+
 def tokens(text: Column) -> Column:
     """Identifiers and numbers; identifiers part at _ and at a change to upper case; lower case; without stop words and single
     characters other than SHORT_TOKENS."""
-    raw = F.regexp_extract_all(normal_text(text), F.lit(TOKEN), F.lit(0))
-    parts = F.flatten(F.transform(raw, lambda w: F.split(F.lower(F.regexp_replace(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1 $2"), "_", " ")), " ")))
+    parts = F.split(F.lower(F.array_join(F.regexp_extract_all(normal_text(text), F.lit(TOKEN_PART), F.lit(0)), " ")), " ")
     return F.filter(parts, lambda w: (w != "") & ~w.isin(*STOP_WORDS) & ((F.length(w) > 1) | w.isin(*SHORT_TOKENS)))
 
 
@@ -188,11 +191,13 @@ def word_ngrams(words: Column, n: int = 2, sep: str = "__") -> Column:
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of the text, lower-cased, spaces squeezed, padded by one space on either side."""
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(normal_text(text)), r"\s+", " ")), F.lit(" "))
-    def grams(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
-        return F.when(F.length(padded) >= n, every).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*map(grams, range(low, high + 1)))
+    def grams(chars: Column) -> Column:
+        each = lambda n: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[chars[i + k] for k in range(n)]))
+        return F.concat(*[F.when(F.size(chars) >= n, each(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)])
+
+    # the characters are taken apart once for all n-grams
+    return F.transform(F.array(F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0))), grams)[0]
 
 
 def strip_fence(text: Column) -> Column:

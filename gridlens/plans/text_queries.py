@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import retrieval as R
+from ..operators import topk as K
 from ..staging import settle
 from . import fixtures as D
 from .cells_queries import r6
@@ -77,41 +78,51 @@ _TF = """dwr AS (SELECT doc, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) A
 _TOP = "SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {}"
 
 
+def _sizes(counts, docs):
+    """One row: documents, and terms of a document on average."""
+    return counts.agg(F.sum("tf").alias("terms")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", (F.col("terms") / F.col("n")).alias("avgdl"))
+
+
 def _parts(spark, sf):
-    """Documents' ids and lengths, and postings, made in one pass each over the texts and staged, and the queries' terms."""
-    index = settle(R.postings(_docs(spark, sf), "doc", F.col("terms")), "postings")
+    """Documents' ids, term counts made in one pass over the texts and staged, their totals, and the queries' terms."""
+    counts = settle(K.counted(_docs(spark, sf), "doc", F.col("terms")), "counts")
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
-    n = index.agg(F.sum("tf").alias("terms")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", (F.col("terms") / F.col("n")).alias("avgdl"))
     queries = R.postings(D.table(spark, sf, "benchmark"), "item_id", X.tokens(F.col("text"))).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
-    return docs, index, n, queries
+    return docs, counts, settle(_sizes(counts, docs), "sizes"), settle(queries, "queries")
+
+
+def _planned(found):
+    index, weights = found
+    return K.planned(weights, index), index
 
 
 def _bm25(spark, sf, parts=None):
-    _, index, n, queries = parts or _parts(spark, sf)
-    return R.bm25(queries, index, n)
+    _, counts, n, queries = parts or _parts(spark, sf)
+    return _planned(K.bm25_lists(counts, queries, n))
 
 
 def _tfidf(spark, sf, parts=None):
-    docs, index, n, queries = parts or _parts(spark, sf)
-    return R.tfidf(queries, index, F.lit(docs.count()))
+    _, counts, n, queries = parts or _parts(spark, sf)
+    return _planned(K.tfidf_lists(counts, queries, n))
 
 
-def _char_parts(spark, sf):
-    """The same with runs of three to five characters for terms; for the benchmark's items, which are short."""
+def _chars(spark, sf):
+    """The same with runs of three to five characters for terms."""
     grams = X.char_ngrams(F.col("text"))
-    items = D.table(spark, sf, "benchmark")
-    index = settle(R.postings(items, "item_id", grams), "grams")
-    return items.select(F.col("item_id").alias("doc")), index, None, index.select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
+    docs = D.table(spark, sf, "documents").withColumnRenamed("doc_id", "doc")
+    counts = settle(K.counted(docs, "doc", grams), "grams")
+    queries = settle(R.postings(D.table(spark, sf, "benchmark"), "item_id", grams).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf")), "queries")
+    return _planned(K.tfidf_lists(counts, queries, docs.agg(F.count("*").alias("n"))))
 
 
 @query("bm25_topk", f"WITH {_INDEX}, {_BM} SELECT * FROM ({_TOP.format('bm')}) WHERE rank <= 10")
 def _(spark, sf):
-    return r6(R.ranked(_bm25(spark, sf), 10), "score")
+    return r6(K.best(*_bm25(spark, sf), 10)[0], "score")
 
 
 @query("tfidf_topk", f"WITH {_INDEX}, {_TF} SELECT * FROM ({_TOP.format('ti')}) WHERE rank <= 10")
 def _(spark, sf):
-    return r6(R.ranked(_tfidf(spark, sf), 10), "score")
+    return r6(K.best(*_tfidf(spark, sf), 10)[0], "score")
 
 
 _RRF = f"rb AS ({_TOP.format('bm')}), rt AS ({_TOP.format('ti')}), fu AS (SELECT query, doc, round(sum(s), 9) AS score FROM (SELECT query, doc, 1.0 / (60 + rank) AS s FROM rb UNION ALL SELECT query, doc, 1.0 / (60 + rank) FROM rt) GROUP BY 1, 2)"
@@ -120,73 +131,75 @@ _RRF = f"rb AS ({_TOP.format('bm')}), rt AS ({_TOP.format('ti')}), fu AS (SELECT
 @query("rrf_fusion", f"WITH {_INDEX}, {_BM}, {_TF}, {_RRF} SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu QUALIFY rank <= 10")
 def _(spark, sf):
     parts = _parts(spark, sf)
-    fused = R.fuse([(R.ranked(_bm25(spark, sf, parts)), 1.0), (R.ranked(_tfidf(spark, sf, parts)), 1.0)])
-    return R.ranked(fused, 10).drop("score")
+    return K.fused([(*_bm25(spark, sf, parts), 1.0), (*_tfidf(spark, sf, parts), 1.0)], 10).drop("score")
 
 
-# The benchmark's items against each other by words and by runs of characters: three ranked lists and their fusion.
-_BT = tok("text")
+# By words twice and by runs of characters: three ranked lists and their fusion.
 _CG = "flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))))"
 
 
-def _ti(name, terms, source):
-    """TF-IDF similarity of items with each other over the given terms, as <name>(query, doc, score)."""
-    return f"""{name}p AS (SELECT doc, term, count(*) AS tf FROM (SELECT item_id AS doc, unnest({terms}) AS term FROM {source}) GROUP BY 1, 2), {name}d AS (SELECT term, count(*) AS df FROM {name}p GROUP BY 1), {name}n AS (SELECT count(*) AS n FROM benchmark),
- {name}r AS (SELECT doc, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM {name}p JOIN {name}d USING (term), {name}n), {name}l AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM {name}r GROUP BY 1), {name}w AS (SELECT doc, term, w / norm AS w FROM {name}r JOIN {name}l USING (doc)),
- {name} AS (SELECT a.doc AS query, b.doc AS doc, round(sum(a.w * b.w), 9) AS score FROM {name}w a JOIN {name}w b USING (term) GROUP BY 1, 2)"""
+def _padded(name, key, source):
+    text = "text"
+    for letter, word in X.GREEK:
+        text = f"replace({text}, '{letter}', '{word}')"
+    return f"{name} AS (SELECT {key}, ' ' || trim(regexp_replace(lower({text}), '\\s+', ' ', 'g')) || ' ' AS t FROM {source})"
 
 
-_IB = f"""ip AS (SELECT doc, term, count(*) AS tf FROM (SELECT item_id AS doc, unnest({_BT}) AS term FROM benchmark) GROUP BY 1, 2), il AS (SELECT doc, sum(tf) AS dl FROM ip GROUP BY 1), idf_ AS (SELECT term, count(*) AS df FROM ip GROUP BY 1), im AS (SELECT (SELECT count(*) FROM benchmark) AS n, (SELECT sum(tf) FROM ip) / (SELECT count(*) FROM benchmark) AS avgdl),
- ib AS (SELECT a.doc AS query, b.doc AS doc, round(sum(a.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * b.tf * 2.5 / (b.tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM ip a JOIN idf_ USING (term) JOIN ip b USING (term) JOIN il ON il.doc = b.doc, im GROUP BY 1, 2)"""
-_THREE = f"{_IB}, {_ti('iw', _BT, 'benchmark')}, {_ti('ic', _CG, 'gt')}"
-_GT = "gt AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || ' ' AS t FROM benchmark)"
-_FUSED = " UNION ALL ".join(f"SELECT query, doc, {w} / (60 + rank) AS s FROM ({_TOP.format(t)})" for t, w in (("ib", "1.0"), ("iw", "1.0"), ("ic", "0.75")))
+_CHARS = f"""{_padded('gd', 'doc_id', 'documents')}, {_padded('gq', 'item_id', 'benchmark')}, cp AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({_CG}) AS term FROM gd) GROUP BY 1, 2),
+ cq AS (SELECT query, term, count(*) AS qtf FROM (SELECT item_id AS query, unnest({_CG}) AS term FROM gq) GROUP BY 1, 2), cd AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM cp GROUP BY 1),
+ cr AS (SELECT doc, term, (1 + ln(tf)) * idf AS w FROM cp JOIN cd USING (term)), cl AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM cr GROUP BY 1), cw AS (SELECT query, term, (1 + ln(qtf)) * idf AS qw FROM cq JOIN cd USING (term)), cn AS (SELECT query, sqrt(sum(qw * qw)) AS qn FROM cw GROUP BY 1),
+ ch AS (SELECT query, doc, round(sum(qw / qn * w / norm), 9) AS score FROM cw JOIN cn USING (query) JOIN cr USING (term) JOIN cl USING (doc) GROUP BY 1, 2)"""
+_THREE = f"{_INDEX}, {_BM}, {_TF}, {_CHARS}"
+_FUSED = " UNION ALL ".join(f"SELECT query, doc, {w} / (60 + rank) AS s FROM ({_TOP.format(t)})" for t, w in (("bm", "1.0"), ("ti", "1.0"), ("ch", "0.75")))
 #: Weights of BM25, words and characters in the fusion.
 FUSION = (1.0, 1.0, 0.75)
 
 
 def _three(spark, sf):
-    items = D.table(spark, sf, "benchmark")
-    index = settle(R.postings(items, "item_id", X.tokens(F.col("text"))), "items")
-    n = index.agg(F.sum("tf").alias("t")).crossJoin(items.agg(F.count("*").alias("n"))).select("n", (F.col("t") / F.col("n")).alias("avgdl"))
-    own = index.select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
-    _, grams, _, own_grams = _char_parts(spark, sf)
-    size = F.lit(items.count())
-    return [R.bm25(own, index, n), R.tfidf(own, index, size), R.tfidf(own_grams, grams, size)]
+    parts = _parts(spark, sf)
+    return [_bm25(spark, sf, parts), _tfidf(spark, sf, parts), _chars(spark, sf)]
 
 
-@query("three_way_fusion", f"WITH {_GT}, {_THREE} SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(sum(s), 9) DESC, doc) AS rank FROM ({_FUSED}) GROUP BY query, doc) WHERE rank <= 5")
+@query("three_way_fusion", f"WITH {_THREE} SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(sum(s), 9) DESC, doc) AS rank FROM ({_FUSED}) GROUP BY query, doc) WHERE rank <= 5")
 def _(spark, sf):
-    lists = [(R.ranked(x), w) for x, w in zip(_three(spark, sf), FUSION, strict=True)]
-    return R.ranked(R.fuse(lists), 5).drop("score")
+    return K.fused([(*x, w) for x, w in zip(_three(spark, sf), FUSION, strict=True)], 5).drop("score")
 
 
-_EV = "SELECT {p} AS pos, '{n}' AS method, avg(CAST(rank <= 1 AS INT)) AS r1, avg(CAST(rank <= 5 AS INT)) AS r5, avg(1 / rank) AS mrr FROM ({t}) WHERE doc = (query * 7 + 1) % 40"
+#: Documents are dealt into so many parts by id; an item's target is the document of least hash in a part.
+PARTS = 64
+_TARGETS = "lt AS (SELECT doc % 64 AS part, arg_min(doc, sha256(CAST(doc AS VARCHAR))) AS target FROM words GROUP BY 1), tg AS (SELECT item_id AS query, target FROM benchmark JOIN lt ON part = (item_id * 31 + 7) % 64)"
+
 
+def _targets(spark, sf):
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
+    least = docs.groupBy((F.col("doc") % PARTS).alias("part")).agg(F.min_by("doc", F.sha2(F.col("doc").cast("string"), 256)).alias("target"))
+    items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), ((F.col("item_id") * 31 + 7) % PARTS).alias("part"))
+    return settle(items.join(least, "part").select("query", "target"), "targets"), docs
 
-@query("best_fair_baseline", f"WITH {_GT}, {_THREE}, ev AS ({' UNION ALL '.join(_EV.format(p=k, n=n, t=_TOP.format(t)) for k, (n, t) in enumerate((('bm25', 'ib'), ('words', 'iw'), ('characters', 'ic'))))}) SELECT method, round(r1, 6) AS r1, round(r5, 6) AS r5, round(mrr, 6) AS mrr FROM ev ORDER BY r1 DESC, r5 DESC, mrr DESC, pos LIMIT 1")
+
+def _ranks(found, targets, docs):
+    return R.target_ranks(settle(K.at_least_targets(*found, targets), "reaching"), targets, docs)
+
+
+_EV = """SELECT {p} AS pos, '{n}' AS method, avg(CAST(rank <= 1 AS INT)) AS r1, avg(CAST(rank <= 5 AS INT)) AS r5, avg(1 / rank) AS mrr FROM (
+ SELECT t.query, t.target, w.doc, row_number() OVER (PARTITION BY t.query ORDER BY coalesce(b.score, 0) DESC, w.doc) AS rank FROM tg t CROSS JOIN words w LEFT JOIN {t} b ON b.query = t.query AND b.doc = w.doc) WHERE doc = target"""
+
+
+@query("best_fair_baseline", f"WITH {_THREE}, {_TARGETS}, ev AS ({' UNION ALL '.join(_EV.format(p=k, n=n, t=t) for k, (n, t) in enumerate((('bm25', 'bm'), ('words', 'ti'), ('characters', 'ch'))))}) SELECT method, round(r1, 6) AS r1, round(r5, 6) AS r5, round(mrr, 6) AS mrr FROM ev ORDER BY r1 DESC, r5 DESC, mrr DESC, pos LIMIT 1")
 def _(spark, sf):
-    out = None
-    for k, (name, scores) in enumerate(zip(("bm25", "words", "characters"), _three(spark, sf), strict=True)):
-        own = R.ranked(scores).where(F.col("doc") == (F.col("query") * 7 + 1) % 40)
+    out, (targets, docs) = None, _targets(spark, sf)
+    for k, (name, found) in enumerate(zip(("bm25", "words", "characters"), _three(spark, sf), strict=True)):
         at = lambda k: F.avg((F.col("rank") <= k).cast("int"))
-        row = own.agg(F.lit(k).alias("pos"), F.lit(name).alias("method"), at(1).alias("r1"), at(5).alias("r5"), F.avg(1 / F.col("rank")).alias("mrr"))
+        row = _ranks(found, targets, docs).agg(F.lit(k).alias("pos"), F.lit(name).alias("method"), at(1).alias("r1"), at(5).alias("r5"), F.avg(1 / F.col("rank")).alias("mrr"))
         out = row if out is None else out.unionByName(row)
     return r6(R.best(out, "r1", "r5", "mrr"), "r1", "r5", "mrr").select("method", "r1", "r5", "mrr")
 
 
-#: Documents are dealt into so many parts by id; an item's target is the document of least hash in a part.
-PARTS = 64
-
-
 def _target_ranks(spark, sf):
-    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
-    least = docs.groupBy((F.col("doc") % PARTS).alias("part")).agg(F.min_by("doc", F.sha2(F.col("doc").cast("string"), 256)).alias("target"))
-    items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), ((F.col("item_id") * 31 + 7) % PARTS).alias("part"))
-    return R.target_ranks(settle(_bm25(spark, sf), "bm25"), items.join(least, "part").select("query", "target"), docs)
+    return _ranks(_bm25(spark, sf), *_targets(spark, sf))
 
 
-_TRUE_RANK = f"""WITH {_INDEX}, {_BM}, lt AS (SELECT doc % 64 AS part, arg_min(doc, sha256(CAST(doc AS VARCHAR))) AS target FROM words GROUP BY 1), tg AS (SELECT item_id AS query, target FROM benchmark JOIN lt ON part = (item_id * 31 + 7) % 64), al AS (SELECT t.query, t.target, w.doc, coalesce(b.score, 0) AS score FROM tg t CROSS JOIN words w LEFT JOIN bm b ON b.query = t.query AND b.doc = w.doc),
+_TRUE_RANK = f"""WITH {_INDEX}, {_BM}, {_TARGETS}, al AS (SELECT t.query, t.target, w.doc, coalesce(b.score, 0) AS score FROM tg t CROSS JOIN words w LEFT JOIN bm b ON b.query = t.query AND b.doc = w.doc),
  rk AS (SELECT query, doc, target, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM al), tr AS (SELECT query, rank FROM rk WHERE doc = target)"""
 
 
@@ -207,4 +220,4 @@ def _(spark, sf):
 def _(spark, sf):
     text = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), X.normal_code(F.col("text")).alias("t"))
     items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), X.normal_code(F.col("text")).alias("i"))
-    return R.ranked(_bm25(spark, sf), 1).join(text, "doc").join(items, "query").select("query", "doc", F.md5("t").alias("copied"), F.col("t").contains(F.col("i")).alias("holds_item"))
+    return K.best(*_bm25(spark, sf), 1)[0].join(text, "doc").join(items, "query").select("query", "doc", F.md5("t").alias("copied"), F.col("t").contains(F.col("i")).alias("holds_item"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_settled: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,4 +27,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet and read it back, so that what is read twice is made once and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that this process has settled; call it once the results of the queries so far are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = len(_settled)
+    while _settled:
+        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return gone
