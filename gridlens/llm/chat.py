@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import product
 from typing import Any
 
 import pyarrow as pa
@@ -17,46 +17,68 @@ from .common import table
 
 # ------------------------------------------------------------------------------------------------------------- mappings
 
-#: A mapping takes a layout's fields to turns. "each": a list field whose entries are turns; "turns": (role, field) in order,
-#: where several fields joined by "+" are one text, parts that are empty left out; "row": the record is one turn itself.
+#: A mapping takes a layout's fields to turns, in order. ("row", role, text, order): the record is one turn itself; ("each", list,
+#: role, text, before): the entries of a list field are turns, before stands before their roles; (role, fields): several fields
+#: joined by "+" are one text, parts that are empty left out. A field that ends in "?" may be absent.
 MAPPINGS: list[dict[str, Any]] = [
-    {"name": "turn row", "row": ("role", "text", "turn"), "key": "conv_id"},
-    {"name": "messages", "each": ("messages", "role", "content"), "key": "conv_id"},
-    {"name": "from and value", "each": ("conversations", "from", "value"), "key": "conv_id"},
-    {"name": "instruction, input, output", "turns": [("user", "instruction+input"), ("assistant", "output")], "key": "conv_id"},
-    {"name": "instruction, output", "turns": [("user", "instruction"), ("assistant", "output")], "key": "conv_id"},
-    {"name": "system, instruction, output", "turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")], "key": "conv_id"},
-    {"name": "prompt, completion", "turns": [("user", "prompt"), ("assistant", "completion")], "key": "conv_id"},
-    {"name": "prompt, response", "turns": [("user", "prompt"), ("assistant", "response")], "key": "conv_id"},
-    {"name": "question, answer", "turns": [("user", "question"), ("assistant", "answer")], "key": "conv_id"},
-    {"name": "nested prompt and reply", "turns": [("user", "data.prompt"), ("assistant", "data.reply")], "key": "conv_id"},
+    {"name": "turn row", "turns": [("row", "role", "text", "turn")]},
+    {"name": "messages", "turns": [("system", "system?"), ("each", "messages", "role", "content", "")]},
+    {"name": "messages with text", "turns": [("system", "system?"), ("each", "messages", "role", "text", "")]},
+    {"name": "from and value", "turns": [("system", "system?"), ("each", "conversations", "from", "value", "")]},
+    {"name": "role and content in conversations", "turns": [("system", "system?"), ("each", "conversations", "role", "content", "")]},
+    {"name": "instruction, output", "turns": [("system", "system?"), ("user", "instruction+input?"), ("assistant", "output")]},
+    {"name": "instruction, response", "turns": [("system", "system?"), ("user", "instruction+context?"), ("assistant", "response")]},
+    {"name": "prompt, completion", "turns": [("system", "system?"), ("user", "prompt"), ("assistant", "completion")]},
+    {"name": "prompt, response", "turns": [("system", "system?"), ("user", "prompt"), ("assistant", "response")]},
+    {"name": "question, answer", "turns": [("system", "system?"), ("user", "context?+question"), ("assistant", "answer")]},
+    {"name": "nested prompt and reply", "turns": [("user", "data.prompt"), ("assistant", "data.reply")]},
+    {"name": "messages as prompt, completion", "turns": [("each", "prompt", "role", "content", ""), ("assistant", "completion?")]},
+    {"name": "messages as prompt, response", "turns": [("each", "prompt", "role", "content", ""), ("assistant", "response")]},
+    {"name": "messages as prompt and completion", "turns": [("each", "prompt", "role", "content", ""), ("each", "completion", "role", "content", "")]},
+    {"name": "prompt, chosen, rejected", "turns": [("system", "system?"), ("user", "prompt"), ("assistant", "chosen"), ("rejected", "rejected")]},
+    {"name": "chosen and rejected messages", "turns": [("user", "prompt?"), ("each", "chosen", "role", "content", ""), ("each", "rejected", "role", "content", "rejected ")]},
 ]
+#: Fields that say something about a record but are no part of its turns, with all that lies in them. Every other path enters the
+#: fingerprint, so a record with a field that no mapping has is kept whole as a raw turn.
+ASIDE = {"conv_id", "id", "uuid", "source", "lang", "language", "dataset", "category", "license", "metadata", "created_at"}
 #: Names that layouts with lists use for the canonical roles; a turn row's role stays as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def mapping_paths(m: dict[str, Any]) -> set[str]:
-    if "row" in m:
-        return {m["row"][2]}
-    if "each" in m:
-        return {f"{m['each'][0]}[]"}
-    return {f for _, fields in m["turns"] for f in fields.split("+")}
+def mapping_paths(m: dict[str, Any]) -> Iterator[set[str]]:
+    """Every set of paths that a record of the mapping may have: with and without absent fields, with full and empty lists."""
+    choices: list[list[set[str]]] = []
+    for kind, *rest in m["turns"]:
+        if kind == "row":
+            choices.append([set(rest)])
+        elif kind == "each":
+            entries, role, text, _ = rest
+            choices.append([{f"{entries}[]", f"{entries}[].{role}", f"{entries}[].{text}"}, {f"{entries}[]"}])
+        else:
+            choices += [[{f.rstrip("?")}, set()] if f.endswith("?") else [{f}] for f in rest[0].split("+")]
+    for one in product(*choices):
+        yield set().union(*one)
 
 
-#: Paths that tell the layouts apart; others (ids, roles, extra columns) don't enter a fingerprint.
-KNOWN = set().union(*map(mapping_paths, MAPPINGS))
+#: Paths whose values become a text whatever they hold; what lies below them doesn't enter a fingerprint.
+TEXTS = {f"{t[1]}[].{t[3]}" for m in MAPPINGS for t in m["turns"] if t[0] == "each"}
 
 
 def paths(value: Any, nulls: bool, prefix: str = "") -> Iterator[str]:
-    """Nested field paths of a record, with or without those of null fields; "[]" stands for the entries of a list."""
-    if isinstance(value, dict):
+    """Nested field paths of a record, with or without those of null fields; "[]" stands for the entries of a list, and "[]=" for
+    entries that are no objects."""
+    if prefix in ASIDE:
+        return
+    if isinstance(value, dict) and prefix not in TEXTS:
         for k, v in value.items():
             yield from paths(v, nulls, f"{prefix}.{k}" if prefix else k)
-    elif isinstance(value, list):
+    elif isinstance(value, list) and prefix not in TEXTS:
         yield prefix + "[]"
         for v in value:
-            if isinstance(v, dict | list):
+            if isinstance(v, dict):
                 yield from paths(v, nulls, prefix + "[]")
+            else:
+                yield prefix + "[]="
     elif nulls or value is not None:
         yield prefix
 
@@ -65,27 +87,24 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def fingerprints_of(m: dict[str, Any]) -> list[str]:
-    """Of the mapping's own paths, and of these without parts that may be absent (the second and further ones of a joined text,
-    and a system text)."""
-    own = mapping_paths(m)
-    spare = [f for role, fields in m.get("turns", []) for k, f in enumerate(fields.split("+")) if k or role == "system"]
-    return [fingerprint(own - set(gone)) for n in range(len(spare) + 1) for gone in combinations(spare, n)]
+#: The first mapping that has a fingerprint gets it.
+BY_FINGERPRINT = {fingerprint(own): m for m in reversed(MAPPINGS) for own in mapping_paths(m)}
 
 
-#: The first mapping that has a fingerprint gets it.
-BY_FINGERPRINT = {f: m for m in reversed(MAPPINGS) for f in fingerprints_of(m)}
+def as_part(value: Any) -> str:
+    """A string, the text of an object that holds nothing else but its type, or JSON."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, dict) and isinstance(value.get("text"), str) and value.keys() <= {"type", "text"}:
+        return value["text"]
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
 def as_text(value: Any) -> str:
-    """A field's text; a list of parts, or of objects with a text, is these joined by line feeds; anything else is its JSON."""
+    """A field's text; a list is its parts joined by line feeds, an image or another part without a text being its JSON."""
     if value is None:
         return ""
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list) and all(isinstance(v, str) or (isinstance(v, dict) and isinstance(v.get("text"), str)) for v in value):
-        return "\n".join(v if isinstance(v, str) else v["text"] for v in value)
-    return json.dumps(value, ensure_ascii=False)
+    return "\n".join(map(as_part, value)) if isinstance(value, list) else as_part(value)
 
 
 def field(record: Any, path: str) -> str:
@@ -97,29 +116,34 @@ def field(record: Any, path: str) -> str:
 
 def turns_of(record: Any) -> tuple[str, list[tuple[int | None, str, str]]]:
     """The mapping's name and the turns (order, role, text) of one record; of an unknown layout, the whole record as one turn."""
-    m = next((m for nulls in (True, False) if (m := BY_FINGERPRINT.get(fingerprint(KNOWN.intersection(paths(record, nulls)))))), None)
-    if m is None or ("each" in m and not all(isinstance(e, dict) for e in record[m["each"][0]])):
+    m = None
+    if isinstance(record, dict):
+        m = next((m for nulls in (True, False) if (m := BY_FINGERPRINT.get(fingerprint(set(paths(record, nulls)))))), None)
+    if m is None:
         return "unmapped", [(0, "raw", json.dumps(record, ensure_ascii=False, sort_keys=True))]
-    if "row" in m:
-        role, text, order = m["row"]
-        turns = [(record.get(order), field(record, role), field(record, text))]
-    elif "each" in m:
-        entries, role, text = m["each"]
-        turns = [(k, field(e, role), field(e, text)) for k, e in enumerate(record[entries])]
-    else:
-        turns = [(k, role, "\n\n".join(t for f in fields.split("+") if (t := field(record, f)))) for k, (role, fields) in enumerate(m["turns"])]
-        turns = [t for t in turns if t[1:] != ("system", "")]
-    if "each" in m:
-        turns = [(k, ROLES.get(role, role), text) for k, role, text in turns]
-    return m["name"], turns
+    turns: list[tuple[str, str]] = []
+    for kind, *rest in m["turns"]:
+        if kind == "row":
+            return m["name"], [(record.get(rest[2]), field(record, rest[0]), field(record, rest[1]))]
+        if kind == "each":
+            entries, role, text, before = rest
+            turns += [(before + ROLES.get(field(e, role), field(e, role)), field(e, text)) for e in record[entries]]
+        else:
+            fields = rest[0].split("+")
+            said = "\n\n".join(t for f in fields if (t := field(record, f.rstrip("?"))))
+            if said or not all(f.endswith("?") for f in fields):
+                turns.append((kind, said))
+    return m["name"], [(k, *t) for k, t in enumerate(turns)]
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """(conv_id, turn, role, text, layout) from JSON records of any known layout.
 
-    A null record, or one that isn't JSON, is one turn of role raw with its text as it stands; a record of no known layout is one
-    of its JSON. Where no layout has all of a record's fields, its null ones count as absent; null roles and texts are empty; a list of parts is joined; an empty list of
-    messages has no turns. Null conv_ids stay and count as one conversation. Nothing is dropped.
+    A null record, or one that isn't JSON, is one turn of role raw with its text as it stands; a record of no known layout, or with
+    a field that its layout doesn't have, is one of its JSON, so no field is lost but those in ASIDE. Where no layout has all of a
+    record's fields, its null ones count as absent; null roles and texts are empty; a list of parts is joined, a part that is no text
+    as its JSON; an empty list of messages has no turns. A rejected answer is a turn of role rejected. Null conv_ids stay and count
+    as one conversation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

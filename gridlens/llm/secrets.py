@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,8 +42,11 @@ IDENTIFIERS = (
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes of the candidate, for each of its bytes, given identifiers and the text around it."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Marginal compressed bytes of the candidate, for each of its bytes, given identifiers and the text around it.
+
+    Copies of the candidate in that text don't count against it: a secret that is printed twice is no less a secret.
+    """
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around.replace(candidate, "").encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False)
     raw = candidate.encode()
     return (len(press.compress(raw)) - len(press.compress(b""))) / len(raw)
@@ -86,8 +89,9 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             own = SENSITIVE.search(text, a, min(end, a + REACH))
             mark = own and ASSIGNED.match(text, own.end(), end)
             if mark and end - mark.end() >= LEAST:
-                continue  # the run holds a word and its value; that word gives it
-            yield a, end
+                yield a, own.start()  # the run holds a word and its value; that word gives it
+            else:
+                yield a, end
 
 
 def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
@@ -103,25 +107,37 @@ def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     return begins, ends
 
 
+def left_over(a: int, b: int, begins: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What the stretches leave of a .. b."""
+    k = bisect_right(ends, a)
+    while k < len(begins) and begins[k] < b:
+        if begins[k] > a:
+            yield a, begins[k]
+        a, k = max(a, ends[k]), k + 1
+    if a < b:
+        yield a, b
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates near a sensitive word that overlap no base span and that the primed compressor can't shorten; a check that
-    they aren't words written together follows."""
+    """Of candidates near a sensitive word what base spans leave, if it is long enough and the primed compressor can't shorten it;
+    a check that it isn't words written together follows. A value that occurs several times is judged at each place."""
     out, done = [], -1
     begins, ends = merged(taken)
-    for a, b in candidates(text):
-        before = bisect_left(begins, b)
-        if a < done or (before and ends[before - 1] > a):
+    for a, b in sorted(set(candidates(text))):
+        if a < done:
             continue
         done = b
-        if novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL and mixed(text[a:b]):
-            out.append(("novel", a, b))
+        for x, y in left_over(a, b, begins, ends):
+            if y - x >= LEAST and novelty(text[x:y], text[max(0, x - AROUND) : x] + text[y : y + AROUND]) >= NOVEL and mixed(text[x:y]):
+                out.append(("novel", x, y))
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) by start, then kind as in KINDS; code points, end exclusive.
 
-    Null and empty texts have no spans; null ids and repeated rows keep their rows; other columns are not read.
+    Spans of a kind beyond the base overlap no base span; what is left of a value that a base span cuts is judged by itself. Null
+    and empty texts have no spans; null ids and repeated rows keep their rows; other columns are not read.
     """
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -109,14 +109,35 @@ def test_novel_spans_match_brute_force():
             near = [e for e in marks if e <= a <= e + secrets.REACH]
             tails = [a2 for e in marks if a < e <= b and (x := re.compile(r"[A-Za-z0-9_-]{0,63}=+").match(text, e)) and a < (a2 := x.end()) <= b]
             for start in ([a] if near else []) + tails:
-                free = not any(x < b and start < y for _, x, y in base)
-                if b - start >= secrets.LEAST and free and secrets.mixed(text[start:b]) and secrets.novelty(text[start:b], text[max(0, start - secrets.AROUND) : start] + text[b : b + secrets.AROUND]) >= secrets.NOVEL:
-                    want.add((start, b))
+                free = [k for k in range(start, b) if not any(x <= k < y for _, x, y in base)]
+                cuts = [k for k in free if k - 1 not in free]
+                for p in cuts:
+                    q = next(k + 1 for k in free if k >= p and k + 1 not in free)
+                    if q - p >= secrets.LEAST and secrets.mixed(text[p:q]) and secrets.novelty(text[p:q], text[max(0, p - secrets.AROUND) : p] + text[q : q + secrets.AROUND]) >= secrets.NOVEL:
+                        want.add((p, q))
         got = {(a, b) for _, a, b in secrets.novel_spans(text, base)}
         assert got <= want
         assert all(any(x <= a and b <= y or a <= x and y <= b for x, y in got) for a, b in want)
 
 
+def test_repeated_values_are_found_at_every_place():
+    rng = random.Random(5)
+    value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(24))
+    for text in (f"access_key: {value}\nbearer: {value}", f"credential={value}  # credential {value}", f"private_key {value} private_key {value} private_key={value}"):
+        places = [m.start() for m in re.finditer(value, text)]
+        assert secrets.novel_spans(text, secrets.base_spans(text)) == [("novel", a, a + 24) for a in places]
+
+
+def test_what_base_spans_leave_is_weighed():
+    rng = random.Random(6)
+    tail = "Z" + "".join(rng.choice("GHJKLMNPQRSTUVWXYZghijkmnopqrstuvwxyz23456789") for _ in range(24))
+    text = "private_key = " + "0" * 40 + tail
+    assert secrets.base_spans(text) == [("hex", 14, 54)]
+    assert secrets.novel_spans(text, secrets.base_spans(text)) == [("novel", 54, 54 + len(tail))]
+    text = f"credential={tail}{'ab' * 15}{tail[::-1]}"
+    assert [s[1:] for s in secrets.novel_spans(text, secrets.base_spans(text))] == [(11, 36), (66, 91)]
+
+
 def brute_chat(rows):
     by = {}
     for conv, turn, role, text in rows:
@@ -165,7 +186,7 @@ def test_escape_is_reversible_and_hides_control_strings():
 
 def test_layouts(spark):
     records = [
-        {"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "x": 1}], "extra": [1]},
+        {"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "metadata": {"x": [1]}},
         {"conv_id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
         {"conv_id": 3, "instruction": "q", "input": None, "output": "a"},
         {"conv_id": 4, "prompt": "q", "completion": "a"},
@@ -185,3 +206,34 @@ def test_layouts(spark):
         assert [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == k), key=lambda r: r.turn)] == [("user", "q"), ("assistant", "a")]
     assert sorted(r.layout for r in rows if r.conv_id in (7, None)) == ["not json", "unmapped", "unmapped", "unmapped"]
     assert not [r for r in rows if r.conv_id == 12]
+
+
+def test_layouts_with_more_fields(spark):
+    chat_of = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    image = {"type": "image_url", "image_url": {"url": "u"}}
+    cases = [
+        ({"system": "s", "prompt": "q", "response": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "prompt": "q", "completion": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "messages": chat_of}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "instruction": "q", "input": "i", "output": "a"}, [("system", "s"), ("user", "q\n\ni"), ("assistant", "a")]),
+        ({"prompt": chat_of[:1], "completion": "a"}, [("user", "q"), ("assistant", "a")]),
+        ({"prompt": chat_of[:1], "completion": chat_of[1:]}, [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "q", "chosen": "a", "rejected": "b"}, [("user", "q"), ("assistant", "a"), ("rejected", "b")]),
+        ({"chosen": chat_of, "rejected": chat_of[:1]}, [("user", "q"), ("assistant", "a"), ("rejected user", "q")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, image]}]}, [("user", "q\n" + json.dumps(image, sort_keys=True))]),
+        ({"messages": [{"role": "user", "text": "hi"}]}, [("user", "hi")]),
+        ({"question": "q", "answer": "a", "context": "c"}, [("user", "c\n\nq"), ("assistant", "a")]),
+        ({"prompt": "", "response": ""}, [("user", ""), ("assistant", "")]),
+    ]
+    raw = [
+        {"question": "q", "answer": "a", "hint": "h"}, {"messages": [{"role": "user", "content": "q", "tool_calls": [1]}]}, {"messages": [{"role": "user", "content": "q"}, "a"]},
+        {"prompt": "q", "response": "a", "messages": []}, {"messages": {"role": "user"}}, {"prompt": {"deep": "q"}, "response": "a"}, {"messages": [[{"role": "user"}]]}, [1], "x",
+    ]
+    records = [r for r, _ in cases] + raw
+    frame = spark.createDataFrame([(json.dumps({**r, "conv_id": k, "id": "x"} if isinstance(r, dict) else r),) for k, r in enumerate(records)], "record string")
+    rows = chat.canonical_turns(frame).collect()
+    for k, (_, want) in enumerate(cases):
+        assert [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == k), key=lambda r: r.turn)] == want
+    whole = [{**r, "conv_id": k, "id": "x"} if isinstance(r, dict) else r for k, r in enumerate(records) if k >= len(cases)]
+    assert sorted(r.text for r in rows if r.layout == "unmapped") == sorted(json.dumps(r, sort_keys=True) for r in whole)
