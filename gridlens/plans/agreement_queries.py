@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import agreement as A
+from ..operators import order_stats as O
 from . import fixtures as D
 from .cells_queries import r6
 from .registry import query
@@ -94,6 +95,11 @@ def _(spark, sf):
     return r6(A.kendall_tau_b(_model_runs(spark, sf), "model", "x", "y"), "tau_b")
 
 
+@query("tau_b_of_customers", """WITH c AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_acctbal AS DOUBLE) AS y FROM customer) SELECT CAST((SELECT count(*) FROM c) AS BIGINT) AS n, round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) AS tau_b FROM c p JOIN c q ON p.c_custkey < q.c_custkey""")
+def _(spark, sf):
+    return r6(O.tau_b(D.table(spark, sf, "customer"), "c_nationkey", "c_acctbal"), "tau_b")
+
+
 @query("pearson_spearman", "WITH s AS (SELECT prompt_id, types, any_value(gates) AS gates, avg(CAST(signature AS INT)) AS rate FROM cells JOIN features USING (prompt_id) GROUP BY 1, 2), rk AS (SELECT *, rank() OVER (ORDER BY gates) + (count(*) OVER (PARTITION BY gates) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY rate) + (count(*) OVER (PARTITION BY rate) - 1) / 2.0::DOUBLE AS ry FROM s) SELECT count(*) AS n, round(corr(gates, rate), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM rk")
 def _(spark, sf):
     rates = D.cells(spark, sf).groupBy("prompt_id").agg(F.avg(F.col("signature").cast("int")).alias("rate")).join(D.features(spark, sf), "prompt_id")

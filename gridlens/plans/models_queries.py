@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import fixed_effects as E
 from ..operators import models as M
 from . import fixtures as D
 from .cells_queries import r6, signatures
@@ -161,6 +162,31 @@ def _(spark, sf):
     return r6(M.two_way_effects(D.runs(spark, sf)), "effect", "se")
 
 
+#: Draws for the tests of run effects.
+EFFECT_REPS = 1000
+_CONTRAST = "SELECT {b} AS b, {a} AS a, sum(d * d) * count(*) / (count(*) - 1) AS v FROM (SELECT sum(CASE run WHEN {b} THEN u WHEN {a} THEN -u ELSE 0 END) AS d FROM e GROUP BY {keys})"
+_VAR = " UNION ALL ".join(f"SELECT {s} AS sign, * FROM ({_CONTRAST.format(a=a, b=b, keys=k)})" for s, k in ((1, "model"), (1, "prompt_id"), (-1, "model, prompt_id")) for b, a in ((2, 1), (3, 1), (3, 2)))
+_SIDE = "{c}u AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT {c} FROM y)), {s}w AS (SELECT rep, {rnd} % size AS pos, count(*) AS w FROM (SELECT unnest(range(1, {n})) AS rep) CROSS JOIN (SELECT pos AS i, size FROM {c}u) GROUP BY 1, 2)"
+_SIDES = ", ".join(_SIDE.format(c=c, s=s, n=EFFECT_REPS + 1, rnd=f"CAST(('0x' || substr(sha256('{s}' || rep || ':' || i), 1, 8)) AS BIGINT)") for c, s in (("model", "l"), ("prompt_id", "r")))
+#: On a panel whose items have all runs, effects are differences of rates, and only what an item's runs differ by enters the errors.
+_EFFECTS = f"""WITH y AS (SELECT *, CAST(signature AS INT) AS v FROM runs), e AS (SELECT model, prompt_id, run, v - avg(v) OVER (PARTITION BY model, prompt_id) - avg(v) OVER (PARTITION BY run) + avg(v) OVER () AS u FROM y),
+ k AS (SELECT count(*) AS n, count(*) / 3 AS items, count(DISTINCT model) + count(DISTINCT prompt_id) + 1 AS k FROM y), r AS (SELECT run, avg(v) AS rate FROM y GROUP BY run),
+ c AS (SELECT 'run ' || b || ' vs run ' || a AS contrast, b, a, sqrt(greatest(sum(sign * v) * any_value((n - 1) / (n - k)), 0)) / any_value(items) AS se FROM ({_VAR}), k GROUP BY b, a),
+ t AS (SELECT c.*, x.rate - z.rate AS estimate FROM c JOIN r x ON x.run = b JOIN r z ON z.run = a), {_SIDES},
+ s AS (SELECT model, prompt_id, run, sum(v) AS x, count(*) AS n FROM y GROUP BY 1, 2, 3), d AS (SELECT lw.rep, run, sum(lw.w * rw.w * x) / sum(lw.w * rw.w * n) AS rate FROM lw JOIN modelu USING (pos) JOIN s USING (model) JOIN prompt_idu USING (prompt_id) JOIN rw ON rw.rep = lw.rep AND rw.pos = prompt_idu.pos GROUP BY 1, 2),
+ g AS (SELECT t.contrast, p.rep, p.rate - q.rate AS delta, avg(p.rate - q.rate) OVER (PARTITION BY t.contrast) AS mean, t.estimate, t.se FROM t JOIN d p ON p.run = t.b JOIN d q ON q.run = t.a AND q.rep = p.rep),
+ j AS (SELECT rep, round(sqrt(sum((delta - mean) * (delta - mean))), 9) AS size FROM g WHERE contrast LIKE '%vs run 1' GROUP BY rep), o AS (SELECT sqrt(sum(estimate * estimate)) AS seen FROM t WHERE a = 1)
+ SELECT contrast, round(any_value(estimate), 6) AS estimate, round(any_value(se), 6) AS se, round(quantile_cont(delta, 0.025::DOUBLE), 6) AS low, round(quantile_cont(delta, 0.975::DOUBLE), 6) AS high, round((count(*) FILTER (WHERE round(abs(delta - mean), 9) >= round(abs(estimate), 9)) + 1) / (count(*) + 1), 6) AS p FROM g GROUP BY contrast
+ UNION ALL SELECT 'all runs', round(any_value(seen), 6), NULL, NULL, NULL, round((count(*) FILTER (WHERE size >= round(seen, 9)) + 1) / (count(*) + 1), 6) FROM j, o"""
+
+
+@query("run_effects", _EFFECTS)
+def _(spark, sf):
+    runs, hit = D.runs(spark, sf), F.col("signature").cast("int")
+    out = E.tested(E.fit(runs, hit), E.crossed_rates(runs, hit, EFFECT_REPS))
+    return r6(out, "estimate", "se", "low", "high", "p")
+
+
 @query("pca_scores")
 def _(spark, sf):
     return M.pca_scores(D.cells(spark, sf), "model", "prompt_id", F.col("signature").cast("int"))

@@ -9,8 +9,10 @@ from ..functions.python_forms import presentation_stripped
 from ..operators import cells as C
 from ..operators import classify as N
 from ..operators import features as T
+from ..operators import order_stats as O
 from ..operators import panels as P
 from ..operators import records as R
+from ..staging import settle
 from . import fixtures as D
 from .cells_queries import r6
 from .classify_queries import _BIN
@@ -285,9 +287,13 @@ def _(spark, sf):
 
 @query("rate_quantiles", "WITH p AS (SELECT avg(CAST(signature AS INT)) AS x FROM cells GROUP BY prompt_id) SELECT q, round(v, 6) AS value FROM (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS q, unnest((SELECT quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) FROM p)) AS v)")
 def _(spark, sf):
-    at = [0.1, 0.25, 0.5, 0.75, 0.9]
-    p = D.cells(spark, sf).groupBy("prompt_id").agg(F.avg(F.col("signature").cast("int")).alias("x")).agg(F.percentile("x", at).alias("v"))
-    return r6(p.select(F.inline(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v").alias("value")))), "value").select("q", "value")
+    p = D.cells(spark, sf).groupBy("prompt_id").agg(F.avg(F.col("signature").cast("int")).alias("x"))
+    return r6(O.quantiles(settle(p, "rates"), F.col("x"), [0.1, 0.25, 0.5, 0.75, 0.9]), "value")
+
+
+@query("price_quantiles", "SELECT q, round(v, 6) AS value FROM (SELECT unnest([0.01, 0.5, 0.999]) AS q, unnest((SELECT quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.01, 0.5, 0.999]) FROM lineitem)) AS v)")
+def _(spark, sf):
+    return r6(O.quantiles(D.table(spark, sf, "lineitem"), F.col("l_extendedprice"), [0.01, 0.5, 0.999]), "value")
 
 
 _NAMED = "[CASE WHEN n_h > 0 THEN 'h' END, CASE WHEN n_cx > 0 THEN 'cx' END, CASE WHEN n_barrier > 0 THEN 'barrier' END, CASE WHEN qubits = 3 THEN 'rz' END, CASE WHEN qubits = 2 THEN 'measure' END]"
