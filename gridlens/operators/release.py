@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import settle
 from .cells import summarize
 from .validate import require_empty
 
@@ -86,26 +87,28 @@ def count_mismatches(summary: DataFrame, expected: dict[str, int]) -> DataFrame:
     return summary.select(rows).where(~F.col("expected").eqNullSafe(F.col("observed")))
 
 
-def sensitive_keys(rows: DataFrame, key: str, body: Column, depth: int = 8) -> DataFrame:
-    """(key, path) of each name in a JSON body, at any level to depth, that credentials go by; entries of lists are numbered.
+def sensitive_keys(rows: DataFrame, key: str, body: Column) -> DataFrame:
+    """(key, path) of each name in a JSON body, at any depth, that credentials go by; entries of lists are numbered.
 
-    A record's body is looked through level by level within its row, so nothing is shuffled.
+    Bodies are variants, walked a level at a time: objects and lists of a level are taken apart in the task that has them, and what
+    holds no more names falls away, so a round reads only what lies deeper; it ends when nothing is left. A string that
+    looks like JSON is a string. A null body, and one that isn't JSON, has no names.
     """
-    kind = "array<struct<at:string,v:string,bad:boolean>>"
-
-    def inside(x: Column) -> Column:
-        named = lambda e: F.struct(F.when(x["at"] == "", e["key"]).otherwise(F.concat(x["at"], F.lit("."), e["key"])).alias("at"), e["value"].alias("v"), e["key"].rlike(SENSITIVE_KEY).alias("bad"))
-        numbered = lambda v, i: F.struct(F.concat(x["at"], F.lit("["), i.cast("string"), F.lit("]")).alias("at"), v.alias("v"), F.lit(False).alias("bad"))
-        text = F.ltrim(x["v"])
-        objects = F.when(text.startswith("{"), F.transform(F.map_entries(F.from_json(x["v"], "map<string,string>")), named).cast(kind))
-        return F.coalesce(objects, F.when(text.startswith("["), F.transform(F.from_json(x["v"], "array<string>"), numbered).cast(kind)), F.array().cast(kind))
-
-    level = F.array(F.struct(F.lit("").alias("at"), body.cast("string").alias("v"), F.lit(False).alias("bad"))).cast(kind)
-    out = rows.select(F.col(key).alias(key), level.alias("level"), F.array().cast("array<string>").alias("found"))
-    for _ in range(depth):
-        out = out.select(key, F.flatten(F.transform("level", inside)).alias("level"), "found")
-        out = out.select(key, "level", F.concat("found", F.transform(F.filter("level", lambda x: x["bad"]), lambda x: x["at"])).alias("found"))
-    return out.select(key, F.explode("found").alias("path"))
+    spark, found = rows.sparkSession, None
+    here = rows.select(F.col(key).alias("own"), F.lit("").alias("at"), F.try_parse_json(body.cast("string")).alias("whole"))
+    while True:
+        entries = here.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
+        dot = F.when(F.col("at") == "", F.col("key")).otherwise(F.concat("at", F.lit("."), "key"))
+        at = F.when(F.col("key").isNull(), F.concat("at", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(dot)
+        bad = F.coalesce(F.col("key").rlike(SENSITIVE_KEY), F.lit(False))
+        deeper = F.substring(F.schema_of_variant("value"), 1, 5).isin("OBJEC", "ARRAY")
+        level = entries.select("own", at.alias("at"), bad.alias("bad"), F.when(deeper, F.col("value")).alias("whole")).where("bad or whole is not null")
+        level = settle(level, "level")
+        names = level.where("bad").select(F.col("own").alias(key), F.col("at").alias("path"))
+        found = names if found is None else found.unionByName(names)
+        here = level.where("whole is not null").select("own", "at", "whole")
+        if here.isEmpty():
+            return found
 
 
 #: Of a record that comes from elsewhere, the types that its fields must have: Spark's schema as JSON, by name.

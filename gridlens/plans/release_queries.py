@@ -70,8 +70,16 @@ def _(spark, sf):
     return G.manifest_faults(rows, _RELEASE).groupBy("kind").agg(F.count("*").alias("n"), F.max(F.array_join("faults", ",")).alias("faults")).select(F.col("kind"), "n", "faults")
 
 
-@query("sensitive_keys", """SELECT n_nationkey AS id, unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['headers.Authorization', 'headers.list[1].my_api-key', 'x-token'] WHEN n_nationkey % 3 = 1 THEN ['secret', 'secret.password'] ELSE [] END) AS path FROM nation""")
+@query("sensitive_keys", """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, coalesce(o_shippriority, 0) AS p FROM orders)
+ SELECT id, unnest(CASE k WHEN 0 THEN ['headers.Authorization', 'headers.list[1].my_api-key', 'x-token'] WHEN 1 THEN ['secret', 'secret.password'] WHEN 2 THEN ['a.b[0].c.d.e[1][0].f.g.h.i.j.k.token'] ELSE [] END) AS path FROM r""")
 def _(spark, sf):
-    k = F.col("n_nationkey") % 3
-    body = F.when(k == 0, '{"headers": {"Authorization": "a", "list": [{"b": 1}, {"my_api-key": 2}]}, "x-token": [1], "tokens": 5}').when(k == 1, '{"secret": {"password": null}, "secretary": "no"}').otherwise('{"plain": {"deep": [["x"]]}}')
-    return G.sensitive_keys(D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), body.alias("body")), "id", F.col("body"))
+    q = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    k, own = F.col("o_orderkey") % 4, q("o_orderpriority")
+    shapes = (
+        ('{"headers": {"Authorization": ', ', "list": [{"b": 1}, {"my_api-key": 2}]}, "x-token": [1], "tokens": 5}'), ('{"secret": {"password": ', '}, "secretary": "{\\"token\\": 1}"}'),
+        ('{"a": {"b": [{"c": {"d": {"e": [0, [{"f": {"g": {"h": {"i": {"j": {"k": {"token": ', ', "n": 1}}}}}}}]]}}}]}}'),
+    )
+    body = F.concat(F.lit('{"plain": {"deep": [[['), own, F.lit("]]]}}"))
+    for n, (before, after) in enumerate(shapes):
+        body = F.when(k == n, F.concat(F.lit(before), own, F.lit(after))).otherwise(body)
+    return G.sensitive_keys(D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body")), "id", F.col("body"))

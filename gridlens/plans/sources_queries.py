@@ -8,6 +8,7 @@ from ..functions import exprs as X
 from ..functions.python_forms import ast_hash, sequence_ratio
 from ..sources import readers as S
 from ..streaming import attempts as T
+from ..staging import settle
 from . import fixtures as D
 from .registry import query
 
@@ -38,12 +39,13 @@ def _(spark, sf):
     return D.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 
-@query("manifest_verify")
+@query("manifest_verify", "SELECT * FROM (VALUES ('nation.parquet', 'content'), ('region.parquet', 'size'), ('gone.parquet', 'missing')) AS t(path, fault)")
 def _(spark, sf):
-    files = spark.read.format("binaryFile").load([f"{sf}/region.parquet", f"{sf}/nation.parquet"])
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    wrong = found.withColumn("sha256", F.when(F.col("path") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")))
-    listed = wrong.unionByName(spark.createDataFrame([("gone.parquet", 1, "0" * 64)], "path string, bytes long, sha256 string"))
+    """The whole folder against a manifest that is wrong in three places."""
+    found = settle(S.digests(spark, sf), "digests")
+    named = lambda n: F.col("path") == n
+    wrong = found.withColumn("sha256", F.when(named("nation.parquet"), F.lit("0" * 64)).otherwise(F.col("sha256"))).withColumn("bytes", F.col("bytes") + named("region.parquet").cast("long"))
+    listed = wrong.unionByName(spark.range(1).select(F.lit("gone.parquet").alias("path"), F.lit(1).cast("long").alias("bytes"), F.lit("0" * 64).alias("sha256")))
     return S.verify(listed, found)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.validate import require_empty
+from .file_digests import FileDigests
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, check: bool = True) -> DataFrame:
@@ -67,11 +70,21 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder."""
-    base = folder.rstrip("/").removeprefix("file://")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    inside = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
-    return files.select(inside.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of every file below a folder, of any size: files are read in blocks, each by one task."""
+    spark.dataSource.register(FileDigests)
+    return spark.read.format("file_digests").load(folder)
+
+
+def inventory_root(found: DataFrame) -> str:
+    """One digest for (path, bytes, sha256) of any number of files: of each file's line, of the lines that share three, two and
+    one hexadecimal digits of theirs, and of these. It changes with any path, size or content; no task sees all lines."""
+    nodes = found.select(F.sha2(F.concat_ws("\0", "path", F.col("bytes").cast("string"), "sha256"), 256).alias("node"), F.sha2("path", 256).alias("name"))
+    for digits in (3, 2, 1, 0):
+        lines = F.array_sort(F.collect_list(F.struct("name", "node")))
+        grouped = nodes.groupBy(F.substring("name", 1, digits).alias("name")).agg(lines.alias("lines"))
+        nodes = grouped.select("name", F.sha2(F.array_join(F.transform("lines", lambda x: F.concat_ws("\0", x["name"], x["node"])), "\n"), 256).alias("node"))
+    first = nodes.first()
+    return first.node if first else hashlib.sha256(b"").hexdigest()
 
 
 def verify(listed: DataFrame, found: DataFrame) -> DataFrame:

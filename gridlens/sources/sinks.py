@@ -6,13 +6,31 @@ import csv
 import io
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+
+def sorted_keys(value: Column, kind: DataType) -> Column:
+    """The value with the fields of structs and the keys of maps in order at every level."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[sorted_keys(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), sorted_keys(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, by_key))
+    return value
 
 
 def write_canonical_json(df: DataFrame, path: str) -> None:
-    """JSON lines with keys in order, compact; the commit protocol makes the write whole or absent."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """JSON lines, compact, keys in order at every level, nulls written; equal rows are equal bytes however their fields were
+    arranged. Parts appear under their names when the job commits; a failed one leaves none."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    own = df.select(*[sorted_keys(df[f"`{f.name}`"], f.dataType).alias(f.name) for f in fields])
+    own.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_delimited(df: DataFrame, path: str, fields: list[str], sep: str = ",", files: int | None = None) -> None:
