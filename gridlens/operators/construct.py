@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_order
+from ..staging import settle
 
 
 def majority_label(rows: DataFrame, group: str, label: str, ranks: dict[str, int] | None = None) -> DataFrame:
@@ -115,6 +116,41 @@ def quota_search(capacities: DataFrame, stratum: str, cohort: str, free: str, ta
     return best.select(F.inline(F.array(*[F.struct(F.lit(n).alias(stratum), F.col(f"p{k}").cast("long").alias("pilot"), (F.lit(target) - F.col(f"p{k}")).cast("long").alias("extension")) for k, n in enumerate(names)])))
 
 
+#: Allocations that tie and are carried from stratum to stratum; beyond that those of least hash so far stay.
+TIED = 4096
+
+
+def quota_table(capacities: DataFrame, stratum: str, cohort: str, free: str, target: int, total: int, seed: str = "") -> DataFrame:
+    """(stratum, pilot, extension): target rows in each stratum and total pilots in all, as even as can be.
+
+    Least is the greatest deviation of a stratum's pilots from half the target, then the sum of squared deviations, then the seeded
+    hash of the pilots of all strata. Strata are added one by one to a table of states (pilots so far, greatest deviation), of
+    which only the least squares can win, so the table grows with strata times target, not with the product of options. Raises
+    if nothing fits; with more than TIED equal allocations the tie is settled among those.
+    """
+    wide = capacities.groupBy(stratum).pivot(cohort, ["extension", "pilot"]).agg(F.max(free)).na.fill(0)
+    fits = F.filter(F.sequence(F.lit(0), F.lit(target)), lambda p: (p <= F.col("pilot")) & (F.lit(target) - p <= F.col("extension")))
+    options = {r[0]: r[1] for r in wide.select(stratum, fits.alias("fits")).orderBy(stratum).collect()}
+    states = capacities.sparkSession.range(1).select(F.lit(0).alias("sum"), F.lit(0.0).alias("worst"), F.lit(0.0).alias("squares"), F.array(F.lit("")).alias("keys"))
+    for n, fit in enumerate(options.values()):
+        step = states.select("*", F.explode(F.array(*map(F.lit, fit)) if fit else F.array().cast("array<int>")).alias("p")).where(F.col("sum") + F.col("p") <= total)
+        off = F.abs(F.col("p") - target / 2)
+        key = F.transform("keys", lambda k: F.concat(k, F.lit("," if n else ""), F.col("p").cast("string")))
+        step = step.select((F.col("sum") + F.col("p")).alias("sum"), F.greatest("worst", off).alias("worst"), (F.col("squares") + off * off).alias("squares"), key.alias("keys"))
+        least = F.min("squares").over(Window.partitionBy("sum", "worst"))
+        step = step.withColumn("least", least).where("squares = least")
+        ordered = F.array_sort(F.transform(F.flatten(F.collect_list("keys")), lambda k: F.struct(hash_order(F.lit(seed), F.lit("allocation"), k).alias("h"), k.alias("k"))))
+        states = step.groupBy("sum", "worst", "squares").agg(F.transform(F.slice(ordered, 1, TIED), lambda x: x["k"]).alias("keys"))
+        if n % 8 == 7:
+            states = settle(states, "states")  # a plan of many exchanges is cut
+    final = states.where(F.col("sum") == total).select("worst", "squares", F.explode("keys").alias("key"))
+    best = final.orderBy("worst", "squares", hash_order(F.lit(seed), F.lit("allocation"), F.col("key"))).first()
+    if best is None:
+        raise ValueError("no allocation fits the strata and the total")
+    rows = [(name, int(p), target - int(p)) for name, p in zip(options, best.key.split(","), strict=True)]
+    return capacities.sparkSession.createDataFrame(rows, f"{stratum} {dict(capacities.dtypes)[stratum]}, pilot long, extension long")
+
+
 def canonical_log(attempts: DataFrame, key: str, time: str, index: str, error: str) -> DataFrame:
     """One attempt for each key: the earliest without error, else the earliest; with how many it supersedes."""
     order = F.struct(F.col(error), F.col(time), F.col(index))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import settle
-from .cells import summarize
+from .cells import partial_assembly, summarize
 from .validate import require_empty
 
 #: Fields a run's manifest must have, those that must equal the release's, and kinds of run.
@@ -81,6 +81,27 @@ def with_identifiable(cells: DataFrame, excluded: list, *keys: str) -> DataFrame
     return whole.join(own, list(keys), "left") if keys else whole.crossJoin(own)
 
 
+#: What the release's summary counts, in its own order.
+CANONICAL_COUNTS = {
+    "cells": 3234, "models": 21, "prompts": 154, "execution": 2950, "assembly": 2944, "signature": 1703, "ordered": 1576, "parameter": 1545, "attrition": 6, "as_gap": 1241,
+    "assembly_without_signature": 1241, "signature_without_assembly": 0, "identifiable_cells": 3150, "identifiable_execution": 2890, "identifiable_signature": 1703, "identifiable_disagreement": 1187,
+}
+CANONICAL_REPEATS = {"cells": 4536, "models": 21, "prompts": 72, "runs": 3}
+
+
+def canonical_faults(cells: DataFrame, excluded: list) -> DataFrame:
+    """(key, expected, observed) where a release's cells don't count what they must. Cells of which only some have the assembly
+    endpoint are an error, not a null."""
+    require_empty(partial_assembly(cells), "only some cells have the assembly endpoint")
+    return count_mismatches(with_identifiable(cells, excluded), CANONICAL_COUNTS)
+
+
+def repeat_faults(runs: DataFrame) -> DataFrame:
+    """The same for the panel of repeated runs(model, prompt_id, run)."""
+    counts = runs.agg(F.count("*").alias("cells"), *[F.countDistinct(c).alias(n) for c, n in (("model", "models"), ("prompt_id", "prompts"), ("run", "runs"))])
+    return count_mismatches(counts, CANONICAL_REPEATS)
+
+
 def count_mismatches(summary: DataFrame, expected: dict[str, int]) -> DataFrame:
     """(key, expected, observed) where a summary's count isn't the expected one."""
     rows = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).cast("long").alias("expected"), F.col(k).cast("long").alias("observed")) for k, v in expected.items()]))

@@ -20,14 +20,12 @@ def _(spark, sf):
 
 
 def _tokens(df):
-    return df.withColumn("tokens", F.array(
-        F.concat(F.lit("lang="), X.normal_value(F.col("lang"))), F.concat(F.lit("source="), X.normal_value(F.col("source"))), F.concat(F.lit("chars_bin="), X.numeric_bin(F.col("n_chars").cast("string"))),
-        F.concat(F.lit("first="), F.coalesce(F.try_element_at(X.code_tokens(F.col("text")), F.lit(1)), F.lit("<none>"))),
-    ))
+    own = F.array(F.concat(F.lit("lang="), X.normal_value(F.col("lang"))), F.concat(F.lit("source="), X.normal_value(F.col("source"))), F.concat(F.lit("chars_bin="), X.numeric_bin(F.col("n_chars").cast("string"))))
+    return df.withColumn("tokens", F.concat(own, F.transform(X.code_tokens(F.col("text")), lambda t: F.concat(F.lit("code="), t))))
 
 
-_FIRST = r"coalesce(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?', 0), lambda w: lower(w)), lambda w: length(w) > 1 OR w IN ('h', 'x', 'y', 'z', 's', 't'))[1], '<none>')"
-_NB = f"""tk AS (SELECT doc_id, y, doc_id % 5 = 0 AS test, ['lang=' || trim(lang), 'source=' || trim(source), 'chars_bin=' || (SELECT {_BIN} FROM (SELECT CAST(n_chars AS DOUBLE) AS x)), 'first=' || {_FIRST}] AS tokens FROM labelled),
+_CODE = r"list_transform(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?', 0), lambda w: lower(w)), lambda w: length(w) > 1 OR w IN ('h', 'x', 'y', 'z', 's', 't'))[1:400], lambda w: 'code=' || w)"
+_NB = f"""tk AS (SELECT doc_id, y, doc_id % 5 = 0 AS test, ['lang=' || trim(lang), 'source=' || trim(source), 'chars_bin=' || (SELECT {_BIN} FROM (SELECT CAST(n_chars AS DOUBLE) AS x))] || {_CODE} AS tokens FROM labelled),
  pr AS (SELECT y, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM tk WHERE NOT test GROUP BY y), ct AS (SELECT y, term, count(*) AS c FROM (SELECT y, unnest(tokens) AS term FROM tk WHERE NOT test) GROUP BY 1, 2),
  sm AS (SELECT y, sum(c) AS t, (SELECT count(DISTINCT term) FROM ct) AS v FROM ct GROUP BY y), te AS (SELECT doc_id, y AS truth, unnest(tokens) AS term FROM tk WHERE test),
  sc AS (SELECT te.doc_id, pr.y, any_value(truth) AS truth, round(any_value(prior) + sum(ln((coalesce(c, 0) + 1) / (t + v))), 9) AS score FROM te CROSS JOIN pr JOIN sm ON sm.y = pr.y LEFT JOIN ct ON ct.y = pr.y AND ct.term = te.term GROUP BY 1, 2),

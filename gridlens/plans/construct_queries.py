@@ -111,6 +111,15 @@ def _(spark, sf):
     return C.quota_search(free.groupBy("stratum", "cohort").agg(F.count("*").alias("free")), "stratum", "cohort", "free", 12)
 
 
+@query("seeded_quotas", """WITH w AS (SELECT stratum, count(*) FILTER (WHERE NOT ext) AS pilot, count(*) FILTER (WHERE ext) AS extension FROM (SELECT prompt_id % 3 AS stratum, prompt_id >= 77 AS ext FROM features) GROUP BY 1),
+ k AS (SELECT stratum, p FROM (SELECT *, unnest(range(13)) AS p FROM w) WHERE p <= pilot AND 12 - p <= extension), g AS (SELECT a.p AS p0, b.p AS p1, c.p AS p2 FROM k a, k b, k c WHERE a.stratum = 0 AND b.stratum = 1 AND c.stratum = 2 AND a.p + b.p + c.p = 17),
+ best AS (SELECT * FROM g ORDER BY greatest(abs(p0 - 6), abs(p1 - 6), abs(p2 - 6)), pow(p0 - 6, 2) + pow(p1 - 6, 2) + pow(p2 - 6, 2), sha256('seed' || chr(0) || 'allocation' || chr(0) || p0 || ',' || p1 || ',' || p2) LIMIT 1)
+ SELECT 0 AS stratum, p0 AS pilot, 12 - p0 AS extension FROM best UNION ALL SELECT 1, p1, 12 - p1 FROM best UNION ALL SELECT 2, p2, 12 - p2 FROM best""")
+def _(spark, sf):
+    free = D.features(spark, sf).select((F.col("prompt_id") % 3).alias("stratum"), F.when(F.col("prompt_id") >= 77, "extension").otherwise("pilot").alias("cohort"))
+    return C.quota_table(free.groupBy("stratum", "cohort").agg(F.count("*").alias("free")), "stratum", "cohort", "free", 12, 17, "seed")
+
+
 @query("canonical_attempt_log", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY is_error, created_at, idx) AS r, count(*) OVER (PARTITION BY prompt_id) - 1 AS superseded FROM attempts)
  SELECT prompt_id, idx, is_error, superseded FROM r WHERE r = 1""")
 def _(spark, sf):

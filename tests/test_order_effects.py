@@ -111,3 +111,40 @@ def test_tau_b_of_a_million_rows(spark):
     frame = spark.range(1_000_000).select(F.xxhash64("id").alias("a"), (F.xxhash64("id") / 2 + F.xxhash64(F.col("id") + 7) / 2).alias("b"))
     got = O.tau_b(frame, "a", "b").first()
     assert got.n == 1_000_000 and 0.4 < got.tau_b < 0.6
+
+
+def test_quotas_are_those_of_enumeration(spark):
+    from hashlib import sha256
+    from itertools import product
+
+    from gridlens.operators import construct
+
+    r = random.Random(3)
+    for _ in range(3):
+        free = {s: (r.randint(4, 12), r.randint(4, 12)) for s in "abc"}
+        frame = spark.createDataFrame([(s, c, n) for s, (p, e) in free.items() for c, n in (("pilot", p), ("extension", e))], "s string, c string, n int")
+        fits = [p for p in product(range(9), repeat=3) if sum(p) == 12 and all(x <= free[s][0] and 8 - x <= free[s][1] for x, s in zip(p, "abc", strict=True))]
+        best = min(fits, key=lambda p: (max(abs(x - 4) for x in p), sum((x - 4) ** 2 for x in p), sha256(("q\0allocation\0" + ",".join(map(str, p))).encode()).hexdigest()))
+        got = construct.quota_table(frame, "s", "c", "n", 8, 12, "q").collect()
+        assert [(x.s, x.pilot, x.extension) for x in sorted(got)] == [(s, x, 8 - x) for s, x in zip("abc", best, strict=True)]
+    with pytest.raises(ValueError, match="no allocation"):
+        construct.quota_table(frame, "s", "c", "n", 8, 100, "q")
+
+
+def test_quotas_of_thirty_strata(spark):
+    from gridlens.operators import construct
+
+    frame = spark.createDataFrame([(k, c, 12 if c == "extension" else k % 9) for k in range(30) for c in ("pilot", "extension")], "s int, c string, n int")
+    got = construct.quota_table(frame, "s", "c", "n", 12, 100, "q").collect()
+    assert sum(x.pilot for x in got) == 100 and all(x.pilot + x.extension == 12 and x.pilot <= x.s % 9 for x in got)
+
+
+def test_partial_assembly_is_rejected(spark):
+    from gridlens.operators import release
+
+    cells = spark.createDataFrame([("m", "p", True, None, True, True, True), ("m", "q", True, True, True, True, True)], "model string, prompt_id string, execution boolean, assembly boolean, signature boolean, ordered boolean, parameter boolean")
+    with pytest.raises(ValueError, match="assembly"):
+        release.canonical_faults(cells, [])
+    faults = {r.key: (r.expected, r.observed) for r in release.canonical_faults(cells.fillna(True, ["assembly"]), []).collect()}
+    assert faults["cells"] == (3234, 2) and faults["attrition"] == (6, 0) and "signature_without_assembly" not in faults
+    assert {r.key for r in release.repeat_faults(spark.createDataFrame([("m", "p", 1)], "model string, prompt_id string, run int")).collect()} == {"cells", "models", "prompts", "runs"}
