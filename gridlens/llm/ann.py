@@ -21,6 +21,8 @@ PROBED, RECALL = 64, 0.95
 #: Vectors that the projections and the cuts between stretches are fitted on, and cuts of an ordering that are quantiles of
 #: these, at most; where a table needs more stretches, each piece between two cuts is parted evenly along the curve.
 FIT_ROWS, CUTS = 50_000, 20_000
+#: Queries that a stretch may meet in one group; a wider stretch is met by several groups of queries.
+ASKING = 50_000
 
 
 def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
@@ -244,7 +246,11 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, id_col: str = "ve
         return spark.createDataFrame([], schema)
     sample = matrix(each.orderBy("h1", "h2").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks())
     index = fit(sample, float(np.sqrt(size.s)), int(size.n), curves, stretch)
-    shared = spark.sparkContext.broadcast(widened(index, index.keys(sample, False), int(size.n), stretch, *probe(each, k)))
+    index = widened(index, index.keys(sample, False), int(size.n), stretch, *probe(each, k))
+    asking = each.where("asks").count()
+    stretches = min(index.last(c) + 1 for c in range(curves))
+    blocks = max(1, -(-3 * asking // (stretches * ASKING)))  # three stretches meet a query
+    shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -256,16 +262,18 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, id_col: str = "ve
                 asks = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
                 for c, own in enumerate(index.stretches(v, False)):
                     n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array((c << 48) + own), pa.array(np.ones(n, bool)), batch.column(0), batch.column(1), batch.column(3), batch.column(2)], names)
+                    for b in range(blocks):
+                        yield pa.RecordBatch.from_arrays([pa.array(((c << 40) + own) * blocks + b), pa.array(np.ones(n, bool)), batch.column(0), batch.column(1), batch.column(3), batch.column(2)], names)
                 if len(asks):
                     pick = pa.array(asks)
                     head = [batch.column(j).take(pick) for j in (0, 1)]
+                    block = head[0].to_numpy() % blocks
                     own_v, none = batch.column(2).take(pick), pa.nulls(len(asks), pa.list_(pa.int64()))
                     for c, own in enumerate(index.stretches(v[asks], True)):
                         last = index.last(c)
                         for side in (-1, 0, 1):
                             there = (own + side >= 0) & (own + side <= last)
-                            to = pa.array((c << 48) + own + side)
+                            to = pa.array(((c << 40) + own + side) * blocks + block)
                             part = pa.RecordBatch.from_arrays([to, pa.array(np.zeros(len(asks), bool)), *head, none, own_v], names)
                             yield part.filter(pa.array(there))
 

@@ -98,3 +98,10 @@ def test_stretches_widen_until_independent_vectors_are_found(spark):
         s[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
     assert hit / 4000 >= 0.9
+
+
+def test_queries_of_a_stretch_in_several_groups_find_the_same(spark, data, monkeypatch):
+    frame = spark.read.parquet(f"{data}/embeddings.parquet")
+    want = sorted(map(tuple, ann.search(frame, stretch=64, modulus=3).collect()))
+    monkeypatch.setattr(ann, "ASKING", 7)
+    assert sorted(map(tuple, ann.search(frame, stretch=64, modulus=3).collect())) == want
