@@ -89,8 +89,8 @@ def majority(items: DataFrame, *keys: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's and Spearman's correlation; NULL below two rows or without variation."""
     ranked = df.select(x, y, average_rank(F.col(x)).alias("rx"), average_rank(F.col(y)).alias("ry"))
-    defined = lambda c: F.when(F.isnan(c), None).otherwise(c)
-    return ranked.agg(F.count("*").alias("n"), defined(F.corr(x, y)).alias("pearson"), defined(F.corr("rx", "ry")).alias("spearman"))
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  corr() fails without variation
+    return ranked.agg(F.count("*").alias("n"), r(x, y).alias("pearson"), r("rx", "ry").alias("spearman"))
 
 
 def kendall_tau_b(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -108,3 +108,24 @@ def top_jaccard(df: DataFrame, x: str, y: str, key: str, k: int = 5) -> DataFram
     r = df.select(key, F.rank().over(every.orderBy(F.desc(x))).alias("rx"), F.rank().over(every.orderBy(F.desc(y))).alias("ry"))
     both, either = (F.col("rx") <= k) & (F.col("ry") <= k), (F.col("rx") <= k) | (F.col("ry") <= k)
     return r.agg(rate(F.sum(both.cast("int")), F.sum(either.cast("int"))).alias("jaccard"))
+
+
+def stability(rates: DataFrame, key: str, first: str, second: str, frontier: Column, k: int = 5) -> DataFrame:
+    """One row for two runs' rates of models (a small table): rank correlations, overlap of the first k with ties at the edge, and
+    mean rates of frontier models and of the others in either run."""
+    named = rates.select(key, F.col(first).alias("x"), F.col(second).alias("y"), frontier.alias("front"))
+    mean = lambda c, own: F.avg(F.when(F.col("front") == own, F.col(c)))
+    means = named.agg(*[mean(c, own).alias(f"{name}_{n}") for name, own in (("frontier", True), ("others", False)) for c, n in (("x", "first"), ("y", "second"))])
+    return spearman(named, "x", "y").select("spearman").crossJoin(kendall_tau_b(named, key, "x", "y")).crossJoin(top_jaccard(named, "x", "y", key, k)).crossJoin(means)
+
+
+def majority_summary(items: DataFrame, key: str) -> DataFrame:
+    """One row: items(a, b, c by endpoint as arrays) whose majority of runs executed and matched, the difference from the first
+    run in percentage points, and Spearman's correlation of models' rates by majority and in the first run."""
+    vote = lambda e: F.when(F.aggregate(e, F.lit(0), lambda t, x: t + x) >= 2, 1).otherwise(0)
+    each = items.select(key, vote("execution").alias("e"), vote("signature").alias("m"), F.col("execution")[0].alias("e1"), F.col("signature")[0].alias("m1"))
+    wrong = F.size(F.filter(F.arrays_zip("execution", "signature"), lambda r: (r["execution"] == 1) & (r["signature"] == 0))) >= 2
+    runwise = items.agg(F.sum(wrong.cast("long")).alias("runwise_wrong"))
+    whole = each.agg(F.count("*").alias("n"), F.sum("e").cast("long").alias("execution"), F.sum("m").cast("long").alias("signature"), (F.sum("e") - F.sum("m")).cast("long").alias("es_gap"), (100 * (F.avg("m") - F.avg("m1"))).alias("signature_change_pp"), (100 * (F.avg("e") - F.avg("e1"))).alias("execution_change_pp"))
+    models = each.groupBy(key).agg(F.sum("m").alias("x"), F.sum("m1").alias("y"))
+    return whole.crossJoin(runwise).crossJoin(spearman(models, "x", "y").select(F.col("spearman").alias("rank_correlation")))

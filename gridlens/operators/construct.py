@@ -157,6 +157,17 @@ def canonical_log(attempts: DataFrame, key: str, time: str, index: str, error: s
     return attempts.groupBy(key).agg(F.min_by(F.struct(time, index, error), order).alias("a"), (F.count("*") - 1).alias("superseded")).select(key, "a.*", "superseded")
 
 
+#: Why an attempt gave way to another one.
+DUPLICATE, RETRYABLE = "duplicate successful call", "retryable API error"
+
+
+def superseded(attempts: DataFrame, key: str, time: str, index: str, error: str) -> DataFrame:
+    """The attempts that canonical_log() leaves out, as they are, with the index that stands for them and the reason."""
+    kept = canonical_log(attempts, key, time, index, error).select(key, F.col(index).alias("kept_index"))
+    reason = F.when(F.col(error), RETRYABLE).otherwise(DUPLICATE)
+    return attempts.join(kept, key).where(~F.col(index).eqNullSafe(F.col("kept_index"))).withColumn("reason", reason)
+
+
 def last_write(attempts: DataFrame, key: str, time: str, index: str) -> DataFrame:
     others = [c for c in attempts.columns if c != key]
     return attempts.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(time, index)).alias("a")).select(key, "a.*")

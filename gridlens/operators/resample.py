@@ -88,6 +88,27 @@ def poststratified(cells: DataFrame, bins: DataFrame, endpoint: Column, shares:
     return each.withColumn("share", F.coalesce(w[F.col("bin")], F.lit(0.0))).groupBy(*keys).agg(F.try_divide(F.sum(F.col("rate") * F.col("share")), F.sum("share")).alias("rate"))
 
 
+def poststratified_bootstrap(cells: DataFrame, bins: DataFrame, endpoint: Column, shares: dict[str, float], reps: int, *keys: str) -> DataFrame:
+    """(rep, keys, estimate): models are drawn with replacement, and prompts within each bin; rates of bins are put together by
+    their shares. A bin that has no cells is an error: a rate without it would be of another population."""
+    spark = cells.sparkSession
+    sums = cells.join(F.broadcast(bins), "prompt_id").groupBy("model", "prompt_id", "bin", *keys).agg(F.sum(endpoint.cast("double")).alias("x"), F.count("*").alias("n"))
+    sizes = {r["bin"]: r["n"] for r in sums.select("bin", "prompt_id").distinct().groupBy("bin").agg(F.count("*").alias("n")).collect()}  # bins are few
+    if lacking := sorted(set(shares) - set(sizes)):
+        raise ValueError(f"no cells in bins {lacking}")
+    models = numbered(sums.select("model").distinct(), "model")
+    wm = weights(replicates(spark, reps), models.count(), "m").join(F.broadcast(models), "pos").select("rep", "model", F.col("w").alias("wm"))
+    wp = None
+    for name in sorted(shares):
+        prompts = numbered(sums.where(F.col("bin") == name).select("prompt_id").distinct(), "prompt_id")
+        own = weights(replicates(spark, reps), sizes[name], name).join(F.broadcast(prompts), "pos").select("rep", "prompt_id", F.col("w").alias("wp"))
+        wp = own if wp is None else wp.unionByName(own)
+    w, total = F.col("wm") * F.col("wp"), sum(shares.values())
+    each = wm.join(sums, "model").join(wp, ["rep", "prompt_id"]).groupBy("rep", "bin", *keys).agg((F.sum(w * F.col("x")) / F.sum(w * F.col("n"))).alias("rate"))
+    share = F.create_map(*[F.lit(v) for name, size in shares.items() for v in (name, size / total)])
+    return each.groupBy("rep", *keys).agg(F.sum(F.col("rate") * share[F.col("bin")]).alias("estimate"))
+
+
 def iid_difference(a: DataFrame, b: DataFrame, reps: int) -> DataFrame:
     """(rep, estimate): difference of the means of two independent resamples of the values x of a(unit, x) and b(unit, x)."""
 

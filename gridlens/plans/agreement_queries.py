@@ -90,6 +90,41 @@ def _(spark, sf):
     return r6(A.spearman(m, "x", "y").select("spearman").crossJoin(A.top_jaccard(m, "x", "y", "model")), "spearman", "jaccard")
 
 
+#: Models that stand for the frontier in this panel.
+FRONTIER = (0, 3, 7, 11)
+_MR3 = "m3 AS (SELECT model, avg(a) AS r1, avg(b) AS r2, avg(c) AS r3 FROM triples GROUP BY model)"
+
+
+def _pair(i: int, j: int) -> str:
+    t = f"(SELECT model, r{i} AS x, r{j} AS y, rank() OVER (ORDER BY r{i}) + (count(*) OVER (PARTITION BY r{i}) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY r{j}) + (count(*) OVER (PARTITION BY r{j}) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY r{i} DESC) <= 5 AS tx, rank() OVER (ORDER BY r{j} DESC) <= 5 AS ty FROM m3)"
+    means = ", ".join(f"round(avg({c}) FILTER (WHERE model {o}IN {FRONTIER}), 6) AS {n}_{w}" for n, o in (("frontier", ""), ("others", "NOT ")) for c, w in (("x", "first"), ("y", "second")))
+    tau = f"(SELECT round(sum(sign(p.r{i} - q.r{i}) * sign(p.r{j} - q.r{j})) / sqrt(sum(abs(sign(p.r{i} - q.r{i}))) * sum(abs(sign(p.r{j} - q.r{j})))), 6) FROM m3 p JOIN m3 q ON p.model < q.model)"
+    return f"SELECT '{i}-{j}' AS runs, round(corr(rx, ry), 6) AS spearman, {tau} AS tau_b, round(count(*) FILTER (WHERE tx AND ty) / count(*) FILTER (WHERE tx OR ty), 6) AS jaccard, {means} FROM {t}"
+
+
+@query("rank_stability_pairs", f"WITH {_MR3} " + " UNION ALL ".join(_pair(i, j) for i, j in ((1, 2), (1, 3), (2, 3))))
+def _(spark, sf):
+    rates = _items(spark, sf).groupBy("model").agg(F.avg("a").alias("r1"), F.avg("b").alias("r2"), F.avg("c").alias("r3"))
+    out = None
+    for i, j in ((1, 2), (1, 3), (2, 3)):
+        row = A.stability(rates, "model", f"r{i}", f"r{j}", F.col("model").isin(*FRONTIER)).select(F.lit(f"{i}-{j}").alias("runs"), "*")
+        out = row if out is None else out.unionByName(row)
+    return r6(out, *out.columns[1:])
+
+
+_V = "CAST(sum(CAST({e} AS INT)) >= 2 AS INT)"
+
+
+@query("majority_summary", f"""WITH i AS (SELECT model, prompt_id, {_V.format(e='execution')} AS e, {_V.format(e='signature')} AS m, {_V.format(e='(execution AND NOT signature)')} AS w, max(CASE WHEN run = 1 THEN CAST(execution AS INT) END) AS e1, max(CASE WHEN run = 1 THEN CAST(signature AS INT) END) AS m1 FROM runs GROUP BY 1, 2),
+ g AS (SELECT model, sum(m) AS x, sum(m1) AS y FROM i GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM g)
+ SELECT count(*) AS n, CAST(sum(e) AS BIGINT) AS execution, CAST(sum(m) AS BIGINT) AS signature, CAST(sum(e) - sum(m) AS BIGINT) AS es_gap, CAST(sum(w) AS BIGINT) AS runwise_wrong, round(100 * (avg(m) - avg(m1)), 6) AS signature_change_pp, round(100 * (avg(e) - avg(e1)), 6) AS execution_change_pp, (SELECT round(corr(rx, ry), 6) FROM k) AS rank_correlation FROM i""")
+def _(spark, sf):
+    runs = D.runs(spark, sf)
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("run", F.col(c).cast("int").alias("v")))), lambda r: r["v"]).alias(c)
+    items = runs.groupBy("model", "prompt_id").agg(in_order("execution"), in_order("signature"))
+    return r6(A.majority_summary(items, "model"), "signature_change_pp", "execution_change_pp", "rank_correlation")
+
+
 @query("kendall_tau_b", "WITH mr AS (SELECT model, avg(b) AS x, avg(c) AS y FROM triples GROUP BY model) SELECT round(sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 6) AS tau_b FROM mr p JOIN mr q ON p.model < q.model")
 def _(spark, sf):
     return r6(A.kendall_tau_b(_model_runs(spark, sf), "model", "x", "y"), "tau_b")

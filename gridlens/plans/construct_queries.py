@@ -126,6 +126,12 @@ def _(spark, sf):
     return C.canonical_log(D.attempts(spark, sf), "prompt_id", "created_at", "idx", "is_error").drop("created_at")
 
 
+@query("superseded_attempts", """WITH r AS (SELECT *, row_number() OVER w AS r, first_value(idx) OVER w AS kept_index FROM attempts WINDOW w AS (PARTITION BY prompt_id ORDER BY is_error, created_at, idx))
+ SELECT prompt_id, idx, kept_index, CASE WHEN is_error THEN 'retryable API error' ELSE 'duplicate successful call' END AS reason FROM r WHERE r > 1""")
+def _(spark, sf):
+    return C.superseded(D.attempts(spark, sf), "prompt_id", "created_at", "idx", "is_error").select("prompt_id", "idx", "kept_index", "reason")
+
+
 @query("last_write_wins", "SELECT prompt_id, idx, is_error FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY created_at DESC, idx DESC) AS r FROM attempts) WHERE r = 1")
 def _(spark, sf):
     return C.last_write(D.attempts(spark, sf), "prompt_id", "created_at", "idx").drop("created_at")

@@ -84,6 +84,25 @@ def _(spark, sf):
     return r6(R.poststratified(D.runs(spark, sf), bins, F.col("signature"), {"1-2": 42.0, "3-4": 85.0, "5+": 27.0}, "run"), "rate")
 
 
+#: Prompts of the whole set by bin of gate types. Draws of their bootstrap.
+BIN_COUNTS, STRATA_REPS = {"1-2": 42.0, "3-4": 85.0, "5+": 27.0}, 1000
+#: In this panel, where a prompt has at most three types of gate, its number stands for the bin.
+_BY_ID = "CASE prompt_id % 3 WHEN 0 THEN '1-2' WHEN 1 THEN '3-4' ELSE '5+' END"
+_DRAWN = "SELECT rep, {key}, count(*) AS w FROM (SELECT rep, {rnd} % size AS pos, {by} FROM (SELECT unnest(range(1, 1001)) AS rep) CROSS JOIN (SELECT pos AS i, size, {by} FROM {units})) JOIN {units} USING (pos, {by}) GROUP BY 1, 2"
+
+
+@query("poststratified_bootstrap", f"""WITH sm AS (SELECT model, prompt_id, run, {_BY_ID} AS bin, sum(CAST(signature AS INT)) AS x, count(*) AS n FROM runs GROUP BY 1, 2, 3),
+ mu AS (SELECT model, row_number() OVER (ORDER BY model) - 1 AS pos, count(*) OVER () AS size, 'm' AS salt FROM (SELECT DISTINCT model FROM sm)), pu AS (SELECT prompt_id, row_number() OVER (PARTITION BY bin ORDER BY prompt_id) - 1 AS pos, count(*) OVER (PARTITION BY bin) AS size, bin AS salt FROM (SELECT DISTINCT prompt_id, bin FROM sm)),
+ wm AS ({_DRAWN.format(key='model', units='mu', by='salt', rnd=_RND.format("salt || rep || ':' || i"))}), wp AS ({_DRAWN.format(key='prompt_id', units='pu', by='salt', rnd=_RND.format("salt || rep || ':' || i"))}),
+ es AS (SELECT rep, run, bin, sum(wm.w * wp.w * x) / sum(wm.w * wp.w * n) AS rate FROM wm JOIN sm USING (model) JOIN wp USING (rep, prompt_id) GROUP BY 1, 2, 3),
+ st AS (SELECT rep, run, sum(rate * CASE bin WHEN '1-2' THEN 42.0::DOUBLE WHEN '3-4' THEN 85.0 ELSE 27.0 END / 154) AS estimate FROM es GROUP BY 1, 2) SELECT run, {_CI} FROM st GROUP BY run""")
+def _(spark, sf):
+    runs = D.runs(spark, sf)
+    name = F.when(F.col("prompt_id") % 3 == 0, "1-2").when(F.col("prompt_id") % 3 == 1, "3-4").otherwise("5+")
+    bins = runs.select("prompt_id").distinct().withColumn("bin", name)
+    return r6(R.interval(R.poststratified_bootstrap(runs, bins, F.col("signature").cast("int"), BIN_COUNTS, STRATA_REPS, "run"), "run"), "mean", "low", "high")
+
+
 # --------------------------------------------------------------------------------------------- means, cohorts, two groups
 
 

@@ -148,3 +148,36 @@ def test_partial_assembly_is_rejected(spark):
     faults = {r.key: (r.expected, r.observed) for r in release.canonical_faults(cells.fillna(True, ["assembly"]), []).collect()}
     assert faults["cells"] == (3234, 2) and faults["attrition"] == (6, 0) and "signature_without_assembly" not in faults
     assert {r.key for r in release.repeat_faults(spark.createDataFrame([("m", "p", 1)], "model string, prompt_id string, run int")).collect()} == {"cells", "models", "prompts", "runs"}
+
+
+def test_superseded_attempts_have_reasons(spark):
+    from gridlens.operators import construct
+
+    rows = [(1, 5, 1, True), (1, 3, 2, False), (1, 4, 3, False), (1, 1, 4, True), (2, 1, 5, True), (2, 2, 6, True), (3, 1, 7, False)]
+    got = construct.superseded(spark.createDataFrame(rows, "p int, t int, i int, e boolean"), "p", "t", "i", "e").collect()
+    assert sorted((r.p, r.i, r.kept_index, r.reason) for r in got) == [(1, 1, 2, construct.RETRYABLE), (1, 3, 2, construct.DUPLICATE), (1, 4, 2, construct.RETRYABLE), (2, 6, 5, construct.RETRYABLE)]
+
+
+def test_poststratified_draws(spark):
+    from gridlens.operators import resample
+
+    cells = spark.createDataFrame([(m, p, q, (m + p + q) % 3 == 0) for m in range(4) for p in range(6) for q in (1, 2)], "model int, prompt_id int, run int, hit boolean")
+    bins = spark.createDataFrame([(p, "ab"[p % 2]) for p in range(6)], "prompt_id int, bin string")
+    draws = resample.poststratified_bootstrap(cells, bins, F.col("hit").cast("int"), {"a": 1.0, "b": 3.0}, 50, "run").collect()
+    assert len(draws) == 100 and all(0 <= r.estimate <= 1 for r in draws) and len({r.estimate for r in draws}) > 5
+    always = resample.poststratified_bootstrap(cells, bins, (F.col("prompt_id") % 2), {"a": 1.0, "b": 3.0}, 20, "run").collect()
+    assert {r.estimate for r in always} == {0.75}
+    with pytest.raises(ValueError, match="no cells"):
+        resample.poststratified_bootstrap(cells, bins, F.col("hit").cast("int"), {"a": 1.0, "c": 1.0}, 5)
+
+
+def test_majority_and_stability_of_a_small_panel(spark):
+    from gridlens.operators import agreement
+
+    items = spark.createDataFrame([("m", [1, 1, 0], [1, 0, 0]), ("m", [1, 1, 1], [0, 0, 0]), ("n", [0, 1, 1], [0, 1, 1]), ("n", [1, 1, 1], [1, 1, 1])], "model string, execution array<int>, signature array<int>")
+    r = agreement.majority_summary(items, "model").first()
+    assert (r.n, r.execution, r.signature, r.es_gap, r.runwise_wrong) == (4, 4, 2, 2, 1)
+    assert (r.signature_change_pp, r.execution_change_pp) == (0.0, 25.0) and r.rank_correlation is None
+    rates = spark.createDataFrame([(k, float(k), float(k * k)) for k in range(8)], "model int, a double, b double")
+    s = agreement.stability(rates, "model", "a", "b", F.col("model") < 2).first()
+    assert (s.spearman, s.tau_b, s.jaccard, s.frontier_first, s.others_second) == (1.0, 1.0, 1.0, 0.5, np.mean([k * k for k in range(2, 8)]))
