@@ -49,6 +49,7 @@ def differences(spark, con, sf_dir: str, query, sql: str) -> str:
 
 def main(args: list[str]) -> int:
     from .session import session
+    from .staging import clear
     from .plans.catalogue import ORACLE_SQL, QUERIES
 
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
@@ -58,6 +59,7 @@ def main(args: list[str]) -> int:
             said = differences(spark, con, sf_dir, QUERIES[name], ORACLE_SQL[name]) if name in ORACLE_SQL else f"no SQL; {QUERIES[name](spark, sf_dir).count()} rows"
         except Exception as e:
             said = f"{type(e).__name__}: {str(e)[:600]}"
+        clear(spark)
         bad += bool(said) and not said.startswith("no SQL")
         print(name, "ok" if not said else said, flush=True)
     return bad

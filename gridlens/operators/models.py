@@ -354,34 +354,6 @@ def two_way_effects(runs: DataFrame, endpoint: str = "signature") -> DataFrame:
     return effects.where("run > 1").crossJoin(F.broadcast(base)).crossJoin(F.broadcast(v)).select("run", (F.col("rate") - F.col("r1")).alias("effect"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("se"))
 
 
-def pca_scores(cells: DataFrame, unit: str, item: str, value: Column, axes: int = 2) -> DataFrame:
-    """(unit, pc1, pc2, share1, share2): units' item vectors centred by item; the Gram matrix of units is summed in Spark, its
-    eigenvectors are found on the driver (units are few). Signs are such that scores go with the units' rates."""
-    v = value.cast("double")
-    c = cells.select(unit, item, (v - F.avg(v).over(Window.partitionBy(item))).alias("x"), v.alias("raw"))
-    a, b = c.select(F.col(unit).alias("i"), item, F.col("x").alias("xi")), c.select(F.col(unit).alias("j"), item, F.col("x").alias("xj"))
-    pairs = a.join(b, item).groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g")).collect()
-    rates = {r[0]: r[1] for r in cells.groupBy(unit).agg(F.avg(v)).collect()}
-    units = sorted(rates)
-    at = {u: k for k, u in enumerate(units)}
-    g = np.zeros((len(units), len(units)))
-    for r in pairs:
-        g[at[r.i], at[r.j]] = r.g
-    w, vec = np.linalg.eigh(g)
-    w, vec = np.maximum(w[::-1], 0), vec[:, ::-1]
-    rate = np.array([rates[u] for u in units])
-    out = []
-    for k in range(min(axes, len(units))):
-        s = vec[:, k] * math.sqrt(w[k])
-        out.append(-s if s @ (rate - rate.mean()) < 0 else s)
-    total = w.sum() or 1.0
-    spark = cells.sparkSession
-    names = ", ".join(f"pc{k + 1} double" for k in range(len(out)))
-    shares = ", ".join(f"share{k + 1} double" for k in range(len(out)))
-    rows = [(u, *[float(s[i]) for s in out], *[float(w[k] / total) for k in range(len(out))]) for i, u in enumerate(units)]
-    return spark.createDataFrame(rows, f"{unit} long, {names}, {shares}")
-
-
 def hamming(cells: DataFrame, unit: str, item: str, flag: str) -> DataFrame:
     """(a, b, distance) of all pairs of units (models): the share of common items where flags differ."""
     own = cells.select(unit, item, flag)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import fixed_effects as E
 from ..operators import models as M
+from ..operators import spectrum
 from . import fixtures as D
 from .cells_queries import r6, signatures
 from .registry import query
@@ -189,7 +190,7 @@ def _(spark, sf):
 
 @query("pca_scores")
 def _(spark, sf):
-    return M.pca_scores(D.cells(spark, sf), "model", "prompt_id", F.col("signature").cast("int"))
+    return spectrum.scores(D.cells(spark, sf), "model", "prompt_id", F.col("signature").cast("int"))
 
 
 @query("hamming_pairs", "SELECT p.model AS a, q.model AS b, round(avg(CAST(p.signature <> q.signature AS INT)), 6) AS distance FROM cells p JOIN cells q ON p.prompt_id = q.prompt_id AND p.model < q.model GROUP BY 1, 2")

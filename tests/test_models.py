@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import classify as N
 from gridlens.operators import models as M
+from gridlens.operators import spectrum
 
 
 @pytest.fixture(scope="module")
@@ -102,7 +103,7 @@ def test_pca(spark):
     rng = np.random.default_rng(2)
     m = rng.integers(0, 2, (5, 30)).astype(float)
     cells = spark.createDataFrame([(u, i, float(m[u, i])) for u in range(5) for i in range(30)], "unit long, item long, v double")
-    got = M.pca_scores(cells, "unit", "item", F.col("v")).orderBy("unit").collect()
+    got = spectrum.scores(cells, "unit", "item", F.col("v")).orderBy("unit").collect()
     c = m - m.mean(0)
     u, w, _ = np.linalg.svd(c, full_matrices=False)
     for k in range(2):

@@ -181,3 +181,30 @@ def test_majority_and_stability_of_a_small_panel(spark):
     rates = spark.createDataFrame([(k, float(k), float(k * k)) for k in range(8)], "model int, a double, b double")
     s = agreement.stability(rates, "model", "a", "b", F.col("model") < 2).first()
     assert (s.spearman, s.tau_b, s.jaccard, s.frontier_first, s.others_second) == (1.0, 1.0, 1.0, 0.5, np.mean([k * k for k in range(2, 8)]))
+
+
+@pytest.mark.parametrize("width", [32, 6])
+def test_axes_are_those_of_a_dense_decomposition(spark, width):
+    from gridlens.operators import spectrum
+
+    r = np.random.default_rng(width)
+    for n, m in ((21, 60), (300, 40), (5, 3)):
+        x = r.normal(size=(n, 3)) @ np.diag([5, 3, 1.5]) @ r.normal(size=(3, m)) + 0.3 * r.normal(size=(n, m))
+        frame = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(m)], "unit long, item long, v double")
+        got = sorted(map(tuple, spectrum.scores(frame, "unit", "item", F.col("v"), width=width).collect()))
+        c = x - x.mean(0)
+        u, s, _ = np.linalg.svd(c, full_matrices=False)
+        want = u[:, :2] * s[:2]
+        want *= np.where(want.T @ (x.mean(1) - x.mean()) < 0, -1, 1)
+        assert np.allclose([g[1:3] for g in got], want, atol=1e-7 * s[0])
+        assert np.allclose(got[0][3:], s[:2] ** 2 / (s**2).sum(), rtol=1e-9)
+
+
+def test_axes_of_many_units_with_gaps_and_of_little_rank(spark):
+    from gridlens.operators import spectrum
+
+    many = spark.range(100_000).select(F.col("id").alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("item")).where("(unit + item) % 7 > 0").withColumn("v", F.sin(F.col("unit") * 0.01) * F.col("item") + F.cos(F.col("unit") * 0.1))
+    got = spectrum.scores(many, "unit", "item", F.col("v")).agg(F.count("*"), F.max("share1"), F.sum(F.col("pc1") * F.col("pc2"))).first()
+    assert got[0] == 100_000 and 0.5 < got[1] < 1 and abs(got[2]) < 1e-6
+    flat = spectrum.scores(spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], "unit long, item long, v double"), "unit", "item", F.col("v")).collect()
+    assert [tuple(r)[1:] for r in sorted(flat)] == [(0.0, 0.0, 0.0, 0.0)] * 2
