@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import settle
@@ -81,6 +81,23 @@ def with_identifiable(cells: DataFrame, excluded: list, *keys: str) -> DataFrame
     return whole.join(own, list(keys), "left") if keys else whole.crossJoin(own)
 
 
+def model_rows(reports: DataFrame, ordered: DataFrame, repeats: DataFrame, summary: DataFrame) -> DataFrame:
+    """Models' reports with their counts of ordered and parameter-aware matches and their repeat rates, best first (place from 1).
+
+    A model that either side lacks is an error, not a gap, and so are reports whose models or whose counts of execution, assembly
+    and signature don't add up to the summary's. Tables of models are small.
+    """
+    rows = reports.join(ordered.withColumn("has_ordered", F.lit(True)), "model", "left").join(repeats.withColumn("has_repeats", F.lit(True)), "model", "left")
+    require_empty(rows.where("has_ordered is null or has_repeats is null").select("model"), "inputs of a model are incomplete")
+    counts = ("execution", "assembly", "signature")
+    own = reports.agg(F.count("*").alias("models"), *[F.sum(c).alias(c) for c in counts]).select(F.struct("*").alias("own"))
+    pairs = [F.struct(F.lit(k).alias("key"), F.col(k).cast("long").alias("expected"), F.col(f"own.{k}").cast("long").alias("observed")) for k in ("models", *counts)]
+    off = summary.select("models", *counts).crossJoin(own).select(F.inline(F.array(*pairs))).where(~F.col("expected").eqNullSafe(F.col("observed")))
+    require_empty(off, "models' counts do not add up to the summary's")
+    best = Window.orderBy(F.desc("signature_rate"), F.desc("execution_rate"), F.lower(F.col("model").cast("string")))
+    return rows.drop("has_ordered", "has_repeats").withColumn("place", F.row_number().over(best))
+
+
 #: What the release's summary counts, in its own order.
 CANONICAL_COUNTS = {
     "cells": 3234, "models": 21, "prompts": 154, "execution": 2950, "assembly": 2944, "signature": 1703, "ordered": 1576, "parameter": 1545, "attrition": 6, "as_gap": 1241,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import cells as C
 from ..operators import release as G
 from . import fixtures as D
@@ -62,6 +63,25 @@ def _(spark, sf):
     return G.repeat_faults(D.runs(spark, sf))
 
 
+@query("identifiable_tidy", f"""WITH k AS (SELECT count(*) AS c, {_HAS.format('execution')} AS e, {_HAS.format('signature')} AS m FROM cells WHERE {_OUT})
+ SELECT 'identifiable' AS section, metric, true AS available, CAST(n AS BIGINT) AS count, CAST(d AS BIGINT) AS denominator, round(n / nullif(d, 0), 6) AS rate FROM (SELECT unnest(['identifiable_cells', 'identifiable_execution', 'identifiable_signature', 'identifiable_disagreement']) AS metric, unnest([c, e, m, e - m]) AS n, unnest([c, c, c, e]) AS d FROM k)""")
+def _(spark, sf):
+    return r6(C.tidy(G.with_identifiable(D.cells(spark, sf), [3, 50, 77, 120]), C.IDENTIFIABLE), "rate")
+
+
+@query("model_places", f"""WITH own AS (SELECT * FROM cells WHERE model IN (SELECT model FROM runs)), r AS (SELECT model, round(avg(CAST(signature AS INT)), 6) AS repeat_rate FROM runs GROUP BY 1),
+ m AS (SELECT model, {_HAS.format('execution')} AS execution, {_HAS.format('signature')} AS signature, {_HAS.format('ordered')} AS ordered_count, {_HAS.format('parameter')} AS parameter_count, count(*) AS cells FROM own GROUP BY 1)
+ SELECT model, execution, signature, ordered_count, parameter_count, repeat_rate, CAST(row_number() OVER (ORDER BY signature / cells DESC, execution / cells DESC, CAST(model AS VARCHAR)) AS INT) AS place FROM m JOIN r USING (model)""")
+def _(spark, sf):
+    runs = D.runs(spark, sf)
+    own = D.cells(spark, sf).join(runs.select("model").distinct(), "model", "left_semi")
+    reports = C.summarize(own, "model").drop("ordered", "parameter")
+    ordered = own.groupBy("model").agg(X.ones(F.col("ordered")).alias("ordered_count"), X.ones(F.col("parameter")).alias("parameter_count"))
+    repeats = runs.groupBy("model").agg(F.round(F.avg(F.col("signature").cast("int")), 6).alias("repeat_rate"))
+    out = G.model_rows(reports, ordered, repeats, C.summarize(own))
+    return out.select("model", "execution", "signature", "ordered_count", "parameter_count", "repeat_rate", "place")
+
+
 _RELEASE = {"benchmark_release": "1", "evaluator_version": "2", "predicate_version": "3", "schema_version": "4"}
 
 

@@ -208,3 +208,17 @@ def test_axes_of_many_units_with_gaps_and_of_little_rank(spark):
     assert got[0] == 100_000 and 0.5 < got[1] < 1 and abs(got[2]) < 1e-6
     flat = spectrum.scores(spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], "unit long, item long, v double"), "unit", "item", F.col("v")).collect()
     assert [tuple(r)[1:] for r in sorted(flat)] == [(0.0, 0.0, 0.0, 0.0)] * 2
+
+
+def test_model_rows_reject_gaps_and_totals_that_differ(spark):
+    from gridlens.operators import release
+
+    reports = spark.createDataFrame([("a", 5, 4, 3, 0.3, 0.5), ("b", 5, 5, 5, 0.5, 0.5)], "model string, execution long, assembly long, signature long, signature_rate double, execution_rate double")
+    ordered = spark.createDataFrame([("a", 1), ("b", 2)], "model string, ordered_count long")
+    repeats = spark.createDataFrame([("a", 0.4), ("b", 0.6)], "model string, repeat_rate double")
+    summary = spark.createDataFrame([(2, 10, 9, 8)], "models long, execution long, assembly long, signature long")
+    assert [(r.model, r.place) for r in release.model_rows(reports, ordered, repeats, summary).orderBy("place").collect()] == [("b", 1), ("a", 2)]
+    with pytest.raises(ValueError, match="incomplete"):
+        release.model_rows(reports, ordered.where("model = 'a'"), repeats, summary)
+    with pytest.raises(ValueError, match="add up"):
+        release.model_rows(reports, ordered, repeats, summary.withColumn("signature", F.lit(7)))

@@ -88,3 +88,16 @@ def test_digests_of_a_folder(spark, tmp_path):
     assert [tuple(r) for r in readers.verify(listed, changed).collect()] == [("deep/er/b.bin", "content")]
     (tmp_path / "none").mkdir()
     assert readers.digests(spark, f"{tmp_path}/none").collect() == [] and readers.inventory_root(readers.digests(spark, f"{tmp_path}/none")) == hashlib.sha256(b"").hexdigest()
+
+
+def test_settled_tables_are_deleted_once_results_are_stored(spark):
+    import os
+
+    from gridlens import staging
+
+    folder = staging.shared_folder(spark).removeprefix("file://")
+    staging.clear(spark)
+    before = set(os.listdir(folder))
+    kept = staging.settle(spark.range(5), "numbers")
+    assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert staging.clear(spark) == 1 and set(os.listdir(folder)) == before and staging.clear(spark) == 0
