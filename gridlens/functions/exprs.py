@@ -219,6 +219,27 @@ def normal_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
 
 
+def ascii_text(json: Column) -> Column:
+    """JSON text with everything beyond ASCII as \\uxxxx in lower case, a character beyond the first plane as two of them."""
+    escaped = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    runs = F.regexp_extract_all(json, F.lit(r"[\x00-\x7E]+|[^\x00-\x7E]+"), F.lit(0))
+    out = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^[\x00-\x7E]"), x).otherwise(escaped(x))), "")
+    for digit in "ABCDEF":  # control characters come with a capital
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return out
+
+
+def ascii_json(value: Column) -> Column:
+    """Compact JSON in ASCII of a struct whose fields are in order; nulls are left out."""
+    return ascii_text(F.to_json(value))
+
+
+def json_text(text: Column) -> Column:
+    """A text as JSON, in ASCII and in its quotes."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return ascii_text(F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text; an empty one has an empty digest."""
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.sha2(text, 256))
