@@ -129,3 +129,17 @@ def majority_summary(items: DataFrame, key: str) -> DataFrame:
     whole = each.agg(F.count("*").alias("n"), F.sum("e").cast("long").alias("execution"), F.sum("m").cast("long").alias("signature"), (F.sum("e") - F.sum("m")).cast("long").alias("es_gap"), (100 * (F.avg("m") - F.avg("m1"))).alias("signature_change_pp"), (100 * (F.avg("e") - F.avg("e1"))).alias("execution_change_pp"))
     models = each.groupBy(key).agg(F.sum("m").alias("x"), F.sum("m1").alias("y"))
     return whole.crossJoin(runwise).crossJoin(spearman(models, "x", "y").select(F.col("spearman").alias("rank_correlation")))
+
+
+def digest_agreement(rows: DataFrame, digest: str, key: str = "model", item: str = "prompt_id") -> DataFrame:
+    """(pair, items, same, rate): of items whose digests in both runs of a pair aren't empty, how many are equal; of those with all
+    three, "all" counts items whose runs all agree and "pairs" the mean over their three pairs. No items give a null rate."""
+    at = lambda k: F.nullif(F.max(F.when(F.col("run") == k, F.col(digest))), F.lit(""))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    whole = a.isNotNull() & b.isNotNull() & c.isNotNull()
+    same = (a == b).cast("int") + (a == c).cast("int") + (b == c).cast("int")
+    each = lambda n, of, hit: F.struct(F.lit(n).alias("pair"), of.cast("long").alias("of"), F.coalesce(hit, F.lit(0)).cast("long").alias("hit"))
+    two = lambda n, x, y: each(n, x.isNotNull() & y.isNotNull(), (x == y).cast("int"))
+    kinds = [two("1-2", a, b), two("1-3", a, c), two("2-3", b, c), each("all", whole, (same == 3).cast("int")), each("pairs", 3 * whole.cast("int"), F.when(whole, same))]
+    items = rows.groupBy(key, item).agg(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
+    return items.select(F.inline(F.array(*kinds))).groupBy("pair").agg(F.sum("of").alias("items"), F.sum("hit").alias("same"), rate(F.sum("hit"), F.sum("of")).alias("rate"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import draw
+from ..functions.exprs import average_rank, draw
 
 
 def replicates(spark: SparkSession, n: int) -> DataFrame:
@@ -81,6 +81,24 @@ def bootstrap_ranks(rates: DataFrame, key: str, estimate: str, tops: tuple[int,
     )
 
 
+def bootstrap_scores(rates: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Of each unit of seen(key, score), over replicates (rep, key, estimate): the score with its interval, its rank (ties share the
+    mean of their ranks) with median, interval and how often it is among the first three and five."""
+    ranked = rates.withColumn("r", average_rank(F.col("estimate"), "rep", descending=True).cast("double"))
+    q = lambda c, at: F.percentile(c, F.lit(at))
+    out = ranked.groupBy(key).agg(
+        q("estimate", 0.025).alias("score_low"), q("estimate", 0.975).alias("score_high"), q("r", 0.5).alias("rank_median"), q("r", 0.025).alias("rank_low"), q("r", 0.975).alias("rank_high"), *[F.avg((F.col("r") <= t).cast("int")).alias(f"top{t}") for t in (3, 5)]
+    )
+    return seen.select(key, "score", average_rank(F.col("score"), descending=True).cast("double").alias("rank")).join(out, key)
+
+
+def rank_correlations(rates: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """(rep, estimate): correlation of each replicate's ranks with those of seen(key, score); null where either has no variation."""
+    own = seen.select(key, average_rank(F.col("score")).alias("x"))
+    both = rates.withColumn("y", average_rank(F.col("estimate"), "rep")).join(F.broadcast(own), key)
+    return both.groupBy("rep").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("estimate"))
+
+
 def poststratified(cells: DataFrame, bins: DataFrame, endpoint: Column, shares: dict[str, float], *keys: str) -> DataFrame:
     """Rates of bins put together by fixed shares; bins without cells fall away and the shares of others are scaled up."""
     w = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])

@@ -148,6 +148,26 @@ def _(spark, sf):
     return h.agg(F.count("*").alias("pairs"), X.ones(F.col("a") == F.col("b")).alias("same"))
 
 
+# A document is a run of its item (three ids in a row); every seventh text is empty.
+_DIGESTS = "h AS (SELECT source AS model, doc_id // 3 AS prompt_id, doc_id % 3 + 1 AS run, CASE WHEN doc_id % 7 = 0 OR coalesce(text, '') = '' THEN '' ELSE sha256(text) END AS text, CASE WHEN coalesce(lang, '') = '' THEN '' ELSE sha256(lang) END AS lang FROM documents)"
+
+
+def _digest_pairs(d):
+    i = f"(SELECT model, prompt_id, nullif(max(CASE WHEN run = 1 THEN {d} END), '') AS a, nullif(max(CASE WHEN run = 2 THEN {d} END), '') AS b, nullif(max(CASE WHEN run = 3 THEN {d} END), '') AS c FROM h GROUP BY 1, 2)"
+    one = lambda n, x, y: f"SELECT '{n}' AS pair, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS items, count(*) FILTER (WHERE {x} = {y}) AS same FROM {i}"
+    three = "a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"
+    alike = f"SELECT 'all' AS pair, count(*) FILTER (WHERE {three}) AS items, count(*) FILTER (WHERE a = b AND a = c) AS same FROM {i} UNION ALL SELECT 'pairs', 3 * count(*) FILTER (WHERE {three}), count(*) FILTER (WHERE {three} AND a = b) + count(*) FILTER (WHERE {three} AND a = c) + count(*) FILTER (WHERE {three} AND b = c) FROM {i}"
+    return f"SELECT '{d}' AS form, pair, items, same, round(same / nullif(items, 0), 6) AS rate FROM ({one('1-2', 'a', 'b')} UNION ALL {one('1-3', 'a', 'c')} UNION ALL {one('2-3', 'b', 'c')} UNION ALL {alike})"
+
+
+@query("digest_agreement", f"WITH {_DIGESTS} {_digest_pairs('text')} UNION ALL {_digest_pairs('lang')}")
+def _(spark, sf):
+    d = F.col("doc_id")
+    docs = D.table(spark, sf, "documents").select(F.col("source").alias("model"), F.floor(d / 3).alias("prompt_id"), (d % 3 + 1).alias("run"), X.text_digest(F.when(d % 7 != 0, F.col("text"))).alias("text"), X.text_digest(F.col("lang")).alias("lang"))
+    both = [A.digest_agreement(docs, form).select(F.lit(form).alias("form"), "*") for form in ("text", "lang")]
+    return r6(both[0].unionByName(both[1]), "rate")
+
+
 @query("transport_complete_items", "WITH bad AS (SELECT DISTINCT model, prompt_id FROM runs WHERE (model * 7 + prompt_id * 3 + run) % 11 = 0) SELECT run, count(*) AS n FROM runs r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.model = r.model AND b.prompt_id = r.prompt_id) GROUP BY run")
 def _(spark, sf):
     hit = ((F.col("model") * 7 + F.col("prompt_id") * 3 + F.col("run")) % 11 == 0).cast("int")

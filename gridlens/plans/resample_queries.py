@@ -68,15 +68,38 @@ _BR = f"""s AS ({_SIG}), sm AS (SELECT model, sig, count(*) FILTER (WHERE signat
  rr AS (SELECT *, CAST(rank() OVER (PARTITION BY rep ORDER BY estimate DESC) AS DOUBLE) AS r FROM es)"""
 
 
-@query("bootstrap_ranks", f"WITH {_BR} SELECT model, round(median(r), 6) AS median_rank, round(quantile_cont(r, 0.025::DOUBLE), 6) AS low, round(quantile_cont(r, 0.975::DOUBLE), 6) AS high, round(avg(CAST(r <= 3 AS INT)), 6) AS in_top3, round(avg(CAST(r <= 5 AS INT)), 6) AS in_top5 FROM rr GROUP BY model")
-def _(spark, sf):
+def _model_scores(spark, sf):
+    """Models' rates in replicates that draw signatures, and as they are."""
     sums = D.cells(spark, sf).join(F.broadcast(signatures(spark, sf)), "prompt_id").groupBy("model", "sig").agg(X.ones(F.col("signature")).alias("x"), F.count("*").alias("n"))
     units = R.numbered(sums.select("sig").distinct(), "sig")
     w = R.weights(R.replicates(spark, RANK_REPS), units.count(), "b").join(F.broadcast(units), "pos")
     rates = w.join(F.broadcast(sums), "sig").groupBy("rep", "model").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("n")), 9).alias("estimate"))
+    return rates, sums.groupBy("model").agg(F.round(F.sum("x") / F.sum("n"), 9).alias("score"))
+
+
+@query("bootstrap_ranks", f"WITH {_BR} SELECT model, round(median(r), 6) AS median_rank, round(quantile_cont(r, 0.025::DOUBLE), 6) AS low, round(quantile_cont(r, 0.975::DOUBLE), 6) AS high, round(avg(CAST(r <= 3 AS INT)), 6) AS in_top3, round(avg(CAST(r <= 5 AS INT)), 6) AS in_top5 FROM rr GROUP BY model")
+def _(spark, sf):
+    rates = _model_scores(spark, sf)[0]
     return r6(R.bootstrap_ranks(rates, "model", "estimate"), "median_rank", "low", "high", "in_top3", "in_top5")
 
 
+_AVERAGE = lambda c, of, within="": f"rank() OVER ({within} ORDER BY {c}) + (count(*) OVER (PARTITION BY {of}{c.removesuffix(' DESC')}) - 1) / 2.0::DOUBLE"
+_SCORES = f"{_BR}, ob AS (SELECT model, round(sum(x) / sum(n), 9) AS score FROM sm GROUP BY 1)"
+
+
+@query("bootstrap_scores", f"""WITH {_SCORES}, ar AS (SELECT *, {_AVERAGE('estimate DESC', 'rep, ', 'PARTITION BY rep')} AS a FROM es), o2 AS (SELECT *, {_AVERAGE('score DESC', '')} AS rank FROM ob)
+ SELECT model, round(any_value(score), 6) AS score, any_value(rank) AS rank, round(quantile_cont(estimate, 0.025::DOUBLE), 6) AS score_low, round(quantile_cont(estimate, 0.975::DOUBLE), 6) AS score_high, median(a) AS rank_median, round(quantile_cont(a, 0.025::DOUBLE), 6) AS rank_low, round(quantile_cont(a, 0.975::DOUBLE), 6) AS rank_high,
+ round(avg(CAST(a <= 3 AS INT)), 6) AS top3, round(avg(CAST(a <= 5 AS INT)), 6) AS top5 FROM ar JOIN o2 USING (model) GROUP BY model""")
+def _(spark, sf):
+    out = R.bootstrap_scores(*_model_scores(spark, sf), "model")
+    return r6(out, *out.columns[1:])
+
+
+@query("bootstrap_rank_correlation", f"""WITH {_SCORES}, ar AS (SELECT *, {_AVERAGE('estimate', 'rep, ', 'PARTITION BY rep')} AS a FROM es), o2 AS (SELECT *, {_AVERAGE('score', '')} AS rank FROM ob), c AS (SELECT rep, corr(a, rank) AS estimate FROM ar JOIN o2 USING (model) GROUP BY rep) SELECT {_CI} FROM c""")
+def _(spark, sf):
+    return r6(R.interval(R.rank_correlations(*_model_scores(spark, sf), "model")), "mean", "low", "high")
+
+
 @query("poststratified_rates", """WITH b AS (SELECT prompt_id, CASE WHEN types <= 2 THEN '1-2' WHEN types <= 4 THEN '3-4' ELSE '5+' END AS bin FROM features), e AS (SELECT run, bin, avg(CAST(signature AS INT)) AS rate FROM runs JOIN b USING (prompt_id) GROUP BY 1, 2)
  SELECT run, round(sum(rate * share) / sum(share), 6) AS rate FROM (SELECT *, CASE bin WHEN '1-2' THEN 42.0 WHEN '3-4' THEN 85.0 ELSE 27.0 END AS share FROM e) GROUP BY run""")
 def _(spark, sf):
