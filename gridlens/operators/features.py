@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,58 @@ NAMED_FIELDS = (
 )
 
 
+#: Fields of the feature sets of the readiness baseline.
+PRIMITIVE = ("validation_status", "extraction_confidence", "contains_demo_scaffolding", "cleanup_candidate", "retrieval_strategy", "retrieval_mode", "mutation_suite_candidate")
+SOURCE_PROXY = ("source", "language", "retrieval_mode", "qiskit_version", "circuit_stats_available", "validation_error_type", "openqasm3_export_successful", "api_deprecated_usage")
+BROAD_ADDED = (
+    "circuit_stats_available", "context_sufficiency_class", "repairability_band", "domain_slice", "shift_axis", "source", "language",
+    "validation_error_type", "openqasm3_export_successful", "api_deprecated_usage",
+)
+TEXT_SIZES = ("prompt_length_chars", "prompt_word_count", "prompt_token_count_cl100k", "output_token_count_cl100k")
+CODE_SIZES = ("code_lines", "gate_count")
+#: Fields of the feature sets of the stress baseline.
+STRESS_SOURCE = ("source", "retrieval_strategy", "retrieval_mode", "language", "qiskit_version", "source_snapshot_granularity")
+STRUCTURE = (
+    "validation_status", "extraction_confidence", "materialized_circuit", "openqasm3_export_successful", "api_deprecated_usage", "contains_demo_scaffolding",
+    "cleanup_candidate", "circuit_stats_available", "has_measurement", "has_entangling_gates", "has_rotation_gates", "has_clifford_only", "has_barriers",
+    "is_parameterized", "size_class", "benchmark_difficulty", "circuit_expressiveness",
+)
+STRUCTURE_SIZES = (
+    "code_lines", "gate_count", "num_qubits", "num_clbits", "circuit_depth", "circuit_width", "num_gate_types", "two_qubit_gate_count", "measurement_count",
+    "output_token_count_cl100k",
+)
+
+
+@dataclass(frozen=True)
+class FeatureSet:
+    categorical: tuple[str, ...] = ()
+    numeric: tuple[str, ...] = ()
+    gates: bool = False
+    code: bool = False
+
+
+#: The feature sets by baseline and name.
+FEATURE_SETS = {
+    "readiness": {
+        "source_proxy_metadata": FeatureSet(SOURCE_PROXY, TEXT_SIZES),
+        "primitive_metadata": FeatureSet(PRIMITIVE, CODE_SIZES),
+        "broad_metadata": FeatureSet(PRIMITIVE + BROAD_ADDED, (*CODE_SIZES, "repairability_score", *TEXT_SIZES)),
+    },
+    "stress": {
+        "source_proxy_metadata": FeatureSet(STRESS_SOURCE),
+        "structural_metadata": FeatureSet(STRUCTURE, STRUCTURE_SIZES, gates=True),
+        "code_tokens": FeatureSet(code=True),
+        "structure_plus_code": FeatureSet(STRUCTURE, STRUCTURE_SIZES, gates=True, code=True),
+    },
+}
+
+
+def set_tokens(chosen: FeatureSet, fields: dict[str, Column], gates: Column, code: Column) -> Column:
+    """Tokens of a feature set; a field that a source doesn't have counts as missing in every row."""
+    own = lambda names: {n: fields.get(n, F.lit(None).cast("string")) for n in names}
+    return feature_tokens(own(chosen.categorical), own(chosen.numeric), gates if chosen.gates else None, code if chosen.code else None)
+
+
 def entries(gates: Column) -> Column:
     return F.array_sort(F.map_entries(F.coalesce(gates, F.create_map().cast("map<string,bigint>"))))
 

@@ -178,6 +178,18 @@ def marginal_effects(df: DataFrame, model: Logit, terms: dict[str, Column], weig
     return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("term"), F.col(n).alias("ame")) for n, _ in out])))
 
 
+def fit_summary(df: DataFrame, model: Logit, terms: dict[str, Column], successes: Column, trials: Column) -> DataFrame:
+    """One row for a fit: trials, the share of successes, both log-likelihoods, McFadden's R2, and the area under the curve of its
+    predictions, ties at one half; one half where all trials end alike."""
+    eta = model.linear({k: c.cast("double") for k, c in terms.items()})
+    each = df.select(eta.alias("eta"), successes.cast("double").alias("s"), trials.cast("double").alias("n"))
+    both = each.select("eta", F.inline(F.array(F.struct(F.lit(True).alias("hit"), F.col("s").alias("w")), F.struct(F.lit(False).alias("hit"), (F.col("n") - F.col("s")).alias("w"))))).where("w > 0")
+    area = auroc(both, "eta", F.col("hit"), F.col("w")).select(F.coalesce("auroc", F.lit(0.5)).alias("auc"))
+    sums = each.agg(F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("n")).alias("positive_rate"))
+    own = [F.lit(float(v)).alias(n) for n, v in (("log_likelihood", model.log_likelihood), ("null_log_likelihood", model.null_log_likelihood), ("mcfadden", model.mcfadden))]
+    return sums.select("n", "positive_rate", *own).crossJoin(F.broadcast(area))
+
+
 def standardised(df: DataFrame, names: list[str], by: DataFrame | None = None) -> DataFrame:
     """Adds z_<name>: (x - mean) / sample deviation, both of `by` (a training part) or of df; no spread counts as one."""
     stats = (by if by is not None else df).agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias(f"s_{n}") for n in names])

@@ -68,3 +68,12 @@ def key_mismatches(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Keys on one side only, for an exact one-to-one join."""
     both = a.select(*keys, F.lit(True).alias("in_left")).join(b.select(*keys, F.lit(True).alias("in_right")), list(keys), "full_outer")
     return both.where("in_left is null or in_right is null").select(*keys, F.when(F.col("in_left").isNull(), "right").otherwise("left").alias("only"))
+
+
+def dense(df: DataFrame, models: DataFrame, prompts: DataFrame, endpoint: str) -> DataFrame:
+    """(prompt_id, row): of each prompt, an endpoint of every model as 0/1 in the order of models. Raises with ten examples where a
+    cell is missing, is there twice or has no value; models(model) and prompts(prompt_id) are what is expected."""
+    own = df.join(F.broadcast(models), "model", "left_semi").join(prompts, "prompt_id", "left_semi").select("model", "prompt_id", F.col(endpoint).cast("int").alias("v"))
+    require_empty(missing_cells(own.where("v is not null"), prompts, models), f"no {endpoint}")
+    require_empty(duplicates(own, "model", "prompt_id"), "cells twice")
+    return own.groupBy("prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("model", "v"))), lambda x: x["v"]).alias("row"))

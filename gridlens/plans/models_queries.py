@@ -68,6 +68,16 @@ def _(spark, sf):
     return M.logit(df, F.col("s"), F.col("n"), _terms()).frame(spark)
 
 
+# A fit of one term orders rows as the term does, or the other way round where the rate falls with it, so areas are those of ranks.
+@query("fit_summary", """WITH r AS (SELECT prompt_id, count(*) FILTER (WHERE signature) AS s, count(*) AS n FROM cells GROUP BY 1), g AS (SELECT x, CAST(sum(s) AS DOUBLE) AS pos, CAST(sum(n - s) AS DOUBLE) AS neg FROM (SELECT s, n, CAST(n - s AS DOUBLE) AS f, CAST(gates AS DOUBLE) AS x FROM r JOIN features USING (prompt_id)) GROUP BY x),
+ t AS (SELECT sum(pos) AS p, sum(neg) AS q, sum(pos * x) / sum(pos) >= sum(neg * x) / sum(neg) AS rising FROM g), a AS (SELECT sum(g.pos * (coalesce(b.below, 0) + g.neg / 2)) / (any_value(p) * any_value(q)) AS area, any_value(rising) AS rising FROM g JOIN (SELECT x, sum(neg) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM g) b USING (x), t)
+ SELECT p + q AS n, round(p / (p + q), 6) AS positive_rate, round(p * ln(p / (p + q)) + q * ln(q / (p + q)), 4) AS null_log_likelihood, round(CASE WHEN a.rising THEN area ELSE 1 - area END, 6) AS auc FROM a, t""")
+def _(spark, sf):
+    df, term = _grouped(spark, sf).withColumn("gates", F.round(F.expm1("log_gates"))), {"gates": F.col("gates")}
+    out = M.fit_summary(df, M.logit(df, F.col("s"), F.col("n"), term), term, F.col("s"), F.col("n"))
+    return r6(out.select("n", "positive_rate", F.round("null_log_likelihood", 4).alias("null_log_likelihood"), "auc"), "positive_rate", "auc")
+
+
 @query("marginal_effects")
 def _(spark, sf):
     df = M.standardised(_grouped(spark, sf), ["entropy", "log_gates"])

@@ -15,7 +15,7 @@ from ..operators import records as R
 from ..staging import settle
 from . import fixtures as D
 from .cells_queries import r6
-from .classify_queries import _BIN
+from .classify_queries import _BIN, _CODE
 from .registry import query
 
 # --------------------------------------------------------------------------------------------------------------- harness
@@ -176,6 +176,32 @@ def _(spark, sf):
     return out
 
 
+# Fields of the declared sets that documents have; a document's characters stand for gates, its text for code.
+_FIELDS = {"source": "source", "language": "lang", "prompt_length_chars": "n_chars", "code_lines": "n_lines", "has_measurement": "n_chars > 500"}
+_DOC_GATES = "[{'g': 'cx', 'n': n_chars % 9}, {'g': 'h', 'n': doc_id % 4}]"
+
+
+def _set_sql(chosen):
+    norm = lambda n: f"'{n}=' || " + (f"CASE WHEN {_FIELDS[n]} IS NULL THEN '<missing>' WHEN trim(CAST({_FIELDS[n]} AS VARCHAR)) = '' THEN '<empty>' ELSE trim(CAST({_FIELDS[n]} AS VARCHAR)) END" if n in _FIELDS else "'<missing>'")
+    binned = lambda n: f"'{n}_bin=' || " + (f"CASE WHEN {_FIELDS[n]} IS NULL THEN '<missing>' ELSE (SELECT {_BIN} FROM (SELECT CAST({_FIELDS[n]} AS DOUBLE) AS x)) END" if n in _FIELDS else "'<missing>'")
+    parts = ["[" + ", ".join([*map(norm, chosen.categorical), *map(binned, chosen.numeric)]) + "]"] if chosen.categorical or chosen.numeric else []
+    if chosen.gates:
+        parts.append(f"flatten(list_transform({_DOC_GATES}, lambda x: list_transform(range(CAST(least(coalesce(nullif(x.n, 0), 1), 5) AS BIGINT)), lambda i: 'gate=' || x.g)))")
+    return " || ".join([*parts, _CODE] if chosen.code else parts)
+
+
+_DECLARED = {f"{base}/{name}": chosen for base, sets in T.FEATURE_SETS.items() for name, chosen in sets.items()}
+
+
+@query("declared_feature_sets", "WITH d AS (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS feature_set, term, count(*) AS n FROM (SELECT unnest({_set_sql(c)}) AS term FROM d) GROUP BY term" for n, c in _DECLARED.items()))
+def _(spark, sf):
+    docs = D.table(spark, sf, "documents").withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    gates = F.create_map(F.lit("cx"), F.col("n_chars") % 9, F.lit("h"), F.col("doc_id") % 4)
+    fields = {n: F.expr(e) for n, e in _FIELDS.items()}
+    each = [F.struct(F.lit(n).alias("feature_set"), T.set_tokens(c, fields, gates, F.col("text")).alias("terms")) for n, c in _DECLARED.items()]
+    return docs.select(F.inline(F.array(*each))).select("feature_set", F.explode("terms").alias("term")).groupBy("feature_set", "term").agg(F.count("*").alias("n"))
+
+
 _CODES = ["for i in range(n * 2): pass", "x = [0] * (n+1)", "2*n gates", "qc = f(n)"]
 
 

@@ -9,6 +9,8 @@ from ..operators import classify as N
 from ..operators import models as M
 from ..operators import records as R
 from ..operators import resample as B
+from ..operators import validate as V
+from ..staging import settle
 from . import fixtures as D
 from .cells_queries import _SIG, r6, signatures
 from .registry import query
@@ -119,6 +121,14 @@ def _(spark, sf):
     return own.unionByName(copied).groupBy("prompt_id").pivot("column", [*[f"m{m}" for m in range(21)], "copy_baseline"]).agg(F.max("v"))
 
 
+@query("dense_matrix", """WITH w AS (SELECT prompt_id FROM cells GROUP BY 1 HAVING count(*) = 21) SELECT prompt_id, string_agg(CAST(signature AS INT), '' ORDER BY model) AS row FROM cells JOIN w USING (prompt_id) GROUP BY 1""")
+def _(spark, sf):
+    cells = settle(D.cells(spark, sf), "cells")
+    whole = cells.groupBy("prompt_id").agg(F.count("*").alias("n")).where("n = 21").select("prompt_id")
+    models = spark.range(21).withColumnRenamed("id", "model")
+    return V.dense(cells, models, whole, "signature").select("prompt_id", F.array_join("row", "").alias("row"))
+
+
 @query("unpenalised_logit")
 def _(spark, sf):
     from .models_queries import _grouped

@@ -38,11 +38,16 @@ def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
 REPORT = "records array<struct<prompt_id string, execution struct<execution_success boolean, circuit_found boolean, error_type string, qasm3_export struct<success boolean>>, structural_checks struct<all_match boolean, ordered_match boolean, parameter_match boolean>>>"
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of folder/<model>/report.json; the model is the folder's name."""
+def reports(spark: SparkSession, folder: str, models: dict[str, str] | None = None) -> DataFrame:
+    """One row per record of folder/<model>/report.json; the model is the folder's name, or what models says for it, and then
+    folders that it doesn't name are skipped."""
     read = spark.read.schema(REPORT).option("multiLine", True).json(f"{folder}/*/report.json")
     model = F.regexp_extract("_metadata.file_path", r"([^/]+)/report\.json(?:/[^/]+)?$", 1)
-    return read.select(model.alias("model"), F.explode("records").alias("r")).select("model", "r.*")
+    if models is not None:  # a panel's models
+        named = F.create_map(*[F.lit(x) for kv in models.items() for x in kv]) if models else F.create_map().cast("map<string,string>")
+        model = F.try_element_at(named, model)
+    named = read.select(model.alias("model"), "records").where("model is not null")
+    return named.select("model", F.explode("records").alias("r")).select("model", "r.*")
 
 
 def report_cells(records: DataFrame) -> DataFrame:
