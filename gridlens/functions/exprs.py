@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -182,6 +182,12 @@ def code_tokens(text: Column, most: int = 400) -> Column:
     return F.slice(F.filter(raw, lambda w: (F.length(w) > 1) | w.isin(*SHORT_CODE_TOKENS)), 1, most)
 
 
+def each_of(df: DataFrame, values: Column, name: str, *keys: str | Column) -> DataFrame:
+    """(keys, name): a row for each element of an array that isn't null. An inner explode would have Catalyst filter on the array's
+    size first, and that makes an array that comes from a text a second time."""
+    return df.select(*keys, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def word_ngrams(words: Column, n: int = 2, sep: str = "__") -> Column:
     """Words followed by n-grams of neighbours, for n = 2."""
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(sep, a, b))

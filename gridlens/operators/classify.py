@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rate
+from ..functions.exprs import each_of, rate
 
 #: Ranges that the scores of a curve are cut into.
 RANGES = 64
@@ -20,7 +20,7 @@ def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0, pri
     n, all_, k = F.col("n"), F.sum("n").over(total), F.count("*").over(total)
     of = {"share": F.log(n / all_), "smoothed": F.log((n + alpha) / (all_ + alpha * k)), "uniform": -F.log(k.cast("double"))}
     priors = train.groupBy(label).agg(F.count("*").alias("n")).select(label, of[prior].alias("prior"))
-    counts = train.select(label, F.explode(tokens).alias("term")).groupBy(label, "term").agg(F.count("*").alias("c"))
+    counts = each_of(train, tokens, "term", label).groupBy(label, "term").agg(F.count("*").alias("c"))
     vocabulary = counts.agg(F.countDistinct("term").alias("v"))
     sums = counts.groupBy(label).agg(F.sum("c").alias("t")).crossJoin(F.broadcast(vocabulary))
     unseen = priors.join(sums, label, "left").select(label, F.log(F.lit(alpha) / (F.coalesce("t", F.lit(0)) + alpha * F.coalesce("v", F.lit(1)))).alias("none"))
@@ -34,7 +34,7 @@ def score_nb(rows: DataFrame, identity: str, label: str, tokens: Column, model:
     priors, terms, unseen = model
     own = rows.select(identity, F.size(tokens).alias("size"))
     base = own.crossJoin(F.broadcast(priors.join(unseen, label))).withColumn("base", F.col("prior") + F.col("size") * F.col("none"))
-    each = rows.select(identity, F.explode(tokens).alias("term")).groupBy(identity, "term").agg(F.count("*").alias("k"))
+    each = each_of(rows, tokens, "term", identity).groupBy(identity, "term").agg(F.count("*").alias("k"))
     gain = each.join(terms, "term").join(F.broadcast(unseen), label).groupBy(identity, label).agg(F.sum(F.col("k") * (F.col("lp") - F.col("none"))).alias("gain"))
     return base.join(gain, [identity, label], "left").select(identity, label, F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 9).alias("score"))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import each_of
+
 
 def postings(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     """(doc, term, tf)."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return each_of(docs, terms, "term", F.col(doc).alias("doc")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import each_of
 from ..staging import settle
 
 #: Scores count to nine digits; bounds are sums in another order.
@@ -30,8 +31,8 @@ class Lists:
 
 def counted(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     """(doc, dl, term, tf): postings with each document's number of terms, in one pass over the texts."""
-    each = docs.select(F.col(doc).alias("doc"), terms.alias("t"))
-    return each.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    each = docs.select(F.col(doc).alias("doc"), terms.alias("t")).select("doc", F.size("t").alias("dl"), "t")
+    return each_of(each, F.col("t"), "term", "doc", "dl").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def block_of(doc: str, length: str) -> Column:

@@ -171,7 +171,7 @@ def _(spark, sf):
     out, rows = None, D.harness(spark, sf)
     for name, (cats, nums, gates) in _SETS.items():
         tokens = T.feature_tokens({c: F.col(c) for c in cats}, {c: F.col(c) for c in nums}, _gates() if gates else None)
-        part = rows.select(F.lit(name).alias("feature_set"), F.explode(tokens).alias("term")).groupBy("feature_set", "term").agg(F.count("*").alias("n"))
+        part = X.each_of(rows, tokens, "term", F.lit(name).alias("feature_set")).groupBy("feature_set", "term").agg(F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -199,7 +199,7 @@ def _(spark, sf):
     gates = F.create_map(F.lit("cx"), F.col("n_chars") % 9, F.lit("h"), F.col("doc_id") % 4)
     fields = {n: F.expr(e) for n, e in _FIELDS.items()}
     each = [F.struct(F.lit(n).alias("feature_set"), T.set_tokens(c, fields, gates, F.col("text")).alias("terms")) for n, c in _DECLARED.items()]
-    return docs.select(F.inline(F.array(*each))).select("feature_set", F.explode("terms").alias("term")).groupBy("feature_set", "term").agg(F.count("*").alias("n"))
+    return X.each_of(docs.select(F.inline(F.array(*each))), F.col("terms"), "term", "feature_set").groupBy("feature_set", "term").agg(F.count("*").alias("n"))
 
 
 _CODES = ["for i in range(n * 2): pass", "x = [0] * (n+1)", "2*n gates", "qc = f(n)"]

@@ -39,14 +39,14 @@ def _(spark, sf):
 @query("word_ngrams", f"""WITH {_WORDS}, b AS (SELECT doc, unnest(list_transform(range(1, len(terms)), lambda i: terms[i] || '__' || terms[i + 1])) AS gram FROM words WHERE len(terms) > 1)
  SELECT gram, count(*) AS n FROM b GROUP BY gram""")
 def _(spark, sf):
-    grams = _docs(spark, sf).select(F.explode(X.word_ngrams(F.col("terms"))).alias("gram")).where(F.col("gram").contains("__"))
+    grams = X.each_of(_docs(spark, sf), X.word_ngrams(F.col("terms")), "gram").where(F.col("gram").contains("__"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("char_ngrams", """WITH p AS (SELECT ' ' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || ' ' AS t FROM benchmark), g AS (SELECT unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))))) AS gram FROM p)
  SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def _(spark, sf):
-    grams = D.table(spark, sf, "benchmark").select(F.explode(X.char_ngrams(F.col("text"))).alias("gram"))
+    grams = X.each_of(D.table(spark, sf, "benchmark"), X.char_ngrams(F.col("text")), "gram")
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -63,7 +63,7 @@ _FAMILY = "[" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{k}'
 @query("family_labels_rollup", f"""WITH f AS (SELECT n_chars, unnest(CASE WHEN len(l) = 0 THEN ['{X.NO_FAMILY}'] ELSE l END) AS family FROM (SELECT n_chars, list_filter({_FAMILY}, lambda x: x IS NOT NULL) AS l FROM documents))
  SELECT family, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM f GROUP BY family""")
 def _(spark, sf):
-    out = D.table(spark, sf, "documents").select("n_chars", F.explode(X.any_labels(F.col("text"))).alias("family")).groupBy("family")
+    out = X.each_of(D.table(spark, sf, "documents"), X.any_labels(F.col("text")), "family", "n_chars").groupBy("family")
     return r6(out.agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars")), "mean_chars")
 
 
