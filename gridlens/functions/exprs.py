@@ -194,9 +194,14 @@ def word_ngrams(words: Column, n: int = 2, sep: str = "__") -> Column:
     return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
 
 
+def padded_text(text: Column) -> Column:
+    """Lower-cased, spaces squeezed, padded by one space on either side."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(normal_text(text)), r"\s+", " ")), F.lit(" "))
+
+
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of the text, lower-cased, spaces squeezed, padded by one space on either side."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(normal_text(text)), r"\s+", " ")), F.lit(" "))
+    """Character n-grams of a text as padded_text() has it."""
+    padded = padded_text(text)
 
     def grams(chars: Column) -> Column:
         each = lambda n: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[chars[i + k] for k in range(n)]))

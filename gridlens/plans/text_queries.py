@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import retrieval as R
-from ..operators import topk as K
+from ..operators import ranking as K
 from ..staging import settle
 from . import fixtures as D
 from .cells_queries import r6
@@ -78,51 +78,41 @@ _TF = """dwr AS (SELECT doc, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) A
 _TOP = "SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {}"
 
 
-def _sizes(counts, docs):
-    """One row: documents, and terms of a document on average."""
-    return counts.agg(F.sum("tf").alias("terms")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", (F.col("terms") / F.col("n")).alias("avgdl"))
-
-
-def _parts(spark, sf):
-    """Documents' ids, term counts made in one pass over the texts and staged, their totals, and the queries' terms."""
-    counts = settle(K.counted(_docs(spark, sf), "doc", F.col("terms")), "counts")
-    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
-    queries = R.postings(D.table(spark, sf, "benchmark"), "item_id", X.tokens(F.col("text"))).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
-    return docs, counts, settle(_sizes(counts, docs), "sizes"), settle(queries, "queries")
-
-
-def _planned(found):
-    index, weights = found
-    return K.planned(weights, index), index
-
-
-def _bm25(spark, sf, parts=None):
-    _, counts, n, queries = parts or _parts(spark, sf)
-    return _planned(K.bm25_lists(counts, queries, n))
-
-
-def _tfidf(spark, sf, parts=None):
-    _, counts, n, queries = parts or _parts(spark, sf)
-    return _planned(K.tfidf_lists(counts, queries, n))
-
-
-def _chars(spark, sf):
-    """The same with runs of three to five characters for terms."""
-    grams = X.char_ngrams(F.col("text"))
-    docs = D.table(spark, sf, "documents").withColumnRenamed("doc_id", "doc")
-    counts = settle(K.counted(docs, "doc", grams), "grams")
-    queries = settle(R.postings(D.table(spark, sf, "benchmark"), "item_id", grams).select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf")), "queries")
-    return _planned(K.tfidf_lists(counts, queries, docs.agg(F.count("*").alias("n"))))
+def _sources(spark, sf, kind):
+    """Documents and items as bags of words, which are written, or of runs of characters."""
+    docs, items = D.table(spark, sf, "documents"), D.table(spark, sf, "benchmark")
+    if kind == "chars":
+        return K.chars(docs, "doc_id", F.col("text")), K.chars(items, "item_id", F.col("text"))
+    return tuple(K.words(t, key, X.tokens(F.col("text"))) for t, key in ((docs, "doc_id"), (items, "item_id")))
+
+
+def _ranked(spark, sf, methods, result):
+    """result(the scores of each method) for each block of items, all together. methods: bm25, words, chars."""
+    out, made = None, {}
+    n = D.table(spark, sf, "documents").count()
+    for kind in {"words" if m == "bm25" else m: None for m in methods}:
+        docs, items = _sources(spark, sf, kind)
+        made[kind] = (docs, settle(K.frequencies(docs), "df"), list(K.blocks(items)))
+    if "bm25" in methods:
+        avgdl = (made["words"][0].frame.agg(F.sum("dl")).first()[0] or 0) / n if n else 0.0
+    for k in range(len(next(iter(made.values()))[2])):
+        scores = []
+        for m in methods:
+            docs, df, asked = made["words" if m == "bm25" else m]
+            scores.append(K.bm25(docs, df, asked[k], n, avgdl) if m == "bm25" else K.tfidf(docs, df, asked[k], n))
+        part = result(*scores)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("bm25_topk", f"WITH {_INDEX}, {_BM} SELECT * FROM ({_TOP.format('bm')}) WHERE rank <= 10")
 def _(spark, sf):
-    return r6(K.best(*_bm25(spark, sf), 10)[0], "score")
+    return r6(_ranked(spark, sf, ["bm25"], lambda x: K.best(x, 10)), "score")
 
 
 @query("tfidf_topk", f"WITH {_INDEX}, {_TF} SELECT * FROM ({_TOP.format('ti')}) WHERE rank <= 10")
 def _(spark, sf):
-    return r6(K.best(*_tfidf(spark, sf), 10)[0], "score")
+    return r6(_ranked(spark, sf, ["words"], lambda x: K.best(x, 10)), "score")
 
 
 _RRF = f"rb AS ({_TOP.format('bm')}), rt AS ({_TOP.format('ti')}), fu AS (SELECT query, doc, round(sum(s), 9) AS score FROM (SELECT query, doc, 1.0 / (60 + rank) AS s FROM rb UNION ALL SELECT query, doc, 1.0 / (60 + rank) FROM rt) GROUP BY 1, 2)"
@@ -130,8 +120,7 @@ _RRF = f"rb AS ({_TOP.format('bm')}), rt AS ({_TOP.format('ti')}), fu AS (SELECT
 
 @query("rrf_fusion", f"WITH {_INDEX}, {_BM}, {_TF}, {_RRF} SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu QUALIFY rank <= 10")
 def _(spark, sf):
-    parts = _parts(spark, sf)
-    return K.fused([(*_bm25(spark, sf, parts), 1.0), (*_tfidf(spark, sf, parts), 1.0)], 10).drop("score")
+    return _ranked(spark, sf, ["bm25", "words"], lambda b, w: K.fused([(K.kept(b), 1.0), (w, 1.0)], 10)).drop("score")
 
 
 # By words twice and by runs of characters: three ranked lists and their fusion.
@@ -155,14 +144,9 @@ _FUSED = " UNION ALL ".join(f"SELECT query, doc, {w} / (60 + rank) AS s FROM ({_
 FUSION = (1.0, 1.0, 0.75)
 
 
-def _three(spark, sf):
-    parts = _parts(spark, sf)
-    return [_bm25(spark, sf, parts), _tfidf(spark, sf, parts), _chars(spark, sf)]
-
-
 @query("three_way_fusion", f"WITH {_THREE} SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(sum(s), 9) DESC, doc) AS rank FROM ({_FUSED}) GROUP BY query, doc) WHERE rank <= 5")
 def _(spark, sf):
-    return K.fused([(*x, w) for x, w in zip(_three(spark, sf), FUSION, strict=True)], 5).drop("score")
+    return _ranked(spark, sf, ["bm25", "words", "chars"], lambda b, w, c: K.fused(list(zip((K.kept(b), w, c), FUSION, strict=True)), 5)).drop("score")
 
 
 #: Documents are dealt into so many parts by id; an item's target is the document of least hash in a part.
@@ -174,11 +158,11 @@ def _targets(spark, sf):
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
     least = docs.groupBy((F.col("doc") % PARTS).alias("part")).agg(F.min_by("doc", F.sha2(F.col("doc").cast("string"), 256)).alias("target"))
     items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), ((F.col("item_id") * 31 + 7) % PARTS).alias("part"))
-    return settle(items.join(least, "part").select("query", "target"), "targets"), docs
+    return settle(items.join(least, "part").select("query", "target"), "targets")
 
 
-def _ranks(found, targets, docs):
-    return R.target_ranks(settle(K.at_least_targets(*found, targets), "reaching"), targets, docs)
+def _ranks(scores, targets):
+    return K.ranks(scores, targets.withColumnRenamed("target", "doc"), absent=True).select("query", "rank")
 
 
 _EV = """SELECT {p} AS pos, '{n}' AS method, avg(CAST(rank <= 1 AS INT)) AS r1, avg(CAST(rank <= 5 AS INT)) AS r5, avg(1 / rank) AS mrr FROM (
@@ -187,16 +171,21 @@ _EV = """SELECT {p} AS pos, '{n}' AS method, avg(CAST(rank <= 1 AS INT)) AS r1,
 
 @query("best_fair_baseline", f"WITH {_THREE}, {_TARGETS}, ev AS ({' UNION ALL '.join(_EV.format(p=k, n=n, t=t) for k, (n, t) in enumerate((('bm25', 'bm'), ('words', 'ti'), ('characters', 'ch'))))}) SELECT method, round(r1, 6) AS r1, round(r5, 6) AS r5, round(mrr, 6) AS mrr FROM ev ORDER BY r1 DESC, r5 DESC, mrr DESC, pos LIMIT 1")
 def _(spark, sf):
-    out, (targets, docs) = None, _targets(spark, sf)
-    for k, (name, found) in enumerate(zip(("bm25", "words", "characters"), _three(spark, sf), strict=True)):
-        at = lambda k: F.avg((F.col("rank") <= k).cast("int"))
-        row = _ranks(found, targets, docs).agg(F.lit(k).alias("pos"), F.lit(name).alias("method"), at(1).alias("r1"), at(5).alias("r5"), F.avg(1 / F.col("rank")).alias("mrr"))
-        out = row if out is None else out.unionByName(row)
+    targets, names = _targets(spark, sf), ("bm25", "words", "characters")
+
+    def each(*scores):
+        rows = [_ranks(x, targets).select(F.lit(k).alias("pos"), F.lit(names[k]).alias("method"), "rank") for k, x in enumerate(scores)]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+    at = lambda k: F.avg((F.col("rank") <= k).cast("int"))
+    found = _ranked(spark, sf, ["bm25", "words", "chars"], lambda b, w, c: each(K.kept(b), w, c))
+    out = found.groupBy("pos", "method").agg(at(1).alias("r1"), at(5).alias("r5"), F.avg(1 / F.col("rank")).alias("mrr"))
     return r6(R.best(out, "r1", "r5", "mrr"), "r1", "r5", "mrr").select("method", "r1", "r5", "mrr")
 
 
 def _target_ranks(spark, sf):
-    return _ranks(_bm25(spark, sf), *_targets(spark, sf))
+    targets = _targets(spark, sf)
+    return _ranked(spark, sf, ["bm25"], lambda x: _ranks(K.kept(x), targets))
 
 
 _TRUE_RANK = f"""WITH {_INDEX}, {_BM}, {_TARGETS}, al AS (SELECT t.query, t.target, w.doc, coalesce(b.score, 0) AS score FROM tg t CROSS JOIN words w LEFT JOIN bm b ON b.query = t.query AND b.doc = w.doc),
@@ -218,6 +207,8 @@ def _(spark, sf):
 @query("nearest_copy", f"""WITH {_INDEX}, {_BM}, top AS (SELECT * FROM ({_TOP.format('bm')}) WHERE rank = 1) SELECT top.query, top.doc, md5(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) AS copied, position(trim(regexp_replace(b.text, '\\s+', ' ', 'g')) IN trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) > 0 AS holds_item
  FROM top JOIN documents d ON d.doc_id = top.doc JOIN benchmark b ON b.item_id = top.query""")
 def _(spark, sf):
-    text = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), X.normal_code(F.col("text")).alias("t"))
-    items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), X.normal_code(F.col("text")).alias("i"))
-    return K.best(*_bm25(spark, sf), 1)[0].join(text, "doc").join(items, "query").select("query", "doc", F.md5("t").alias("copied"), F.col("t").contains(F.col("i")).alias("holds_item"))
+    text = D.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
+    found = F.broadcast(_ranked(spark, sf, ["bm25"], lambda x: K.best(x, 1)).select("query", "doc")).join(text, "doc").join(items, "query")
+    t, i = X.normal_code(F.col("text")), X.normal_code(F.col("item"))
+    return found.select("query", "doc", F.md5(t).alias("copied"), F.contains(t, i).alias("holds_item"))
