@@ -11,16 +11,17 @@ from ..functions.exprs import each_of, rate
 RANGES = 64
 
 
-def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0, prior: str = "share") -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0, prior: str = "share", n: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(priors(label, prior), terms(label, term, lp), unseen(label, lp)): log probabilities, smoothed by alpha over the vocabulary.
 
     prior: "share" of the rows, "smoothed" share, by alpha for each label, or "uniform". Labels are few.
+    n: a column that says how many rows a row stands for.
     """
-    total = Window.partitionBy()
-    n, all_, k = F.col("n"), F.sum("n").over(total), F.count("*").over(total)
-    of = {"share": F.log(n / all_), "smoothed": F.log((n + alpha) / (all_ + alpha * k)), "uniform": -F.log(k.cast("double"))}
-    priors = train.groupBy(label).agg(F.count("*").alias("n")).select(label, of[prior].alias("prior"))
-    counts = each_of(train, tokens, "term", label).groupBy(label, "term").agg(F.count("*").alias("c"))
+    total, times = Window.partitionBy(), F.col(n) if n else F.lit(1)
+    own, all_, k = F.col("n"), F.sum("n").over(total), F.count("*").over(total)
+    of = {"share": F.log(own / all_), "smoothed": F.log((own + alpha) / (all_ + alpha * k)), "uniform": -F.log(k.cast("double"))}
+    priors = train.groupBy(label).agg(F.sum(times).alias("n")).select(label, of[prior].alias("prior"))
+    counts = each_of(train, tokens, "term", label, times.alias("times")).groupBy(label, "term").agg(F.sum("times").alias("c"))
     vocabulary = counts.agg(F.countDistinct("term").alias("v"))
     sums = counts.groupBy(label).agg(F.sum("c").alias("t")).crossJoin(F.broadcast(vocabulary))
     unseen = priors.join(sums, label, "left").select(label, F.log(F.lit(alpha) / (F.coalesce("t", F.lit(0)) + alpha * F.coalesce("v", F.lit(1)))).alias("none"))
@@ -28,15 +29,16 @@ def fit_nb(train: DataFrame, label: str, tokens: Column, alpha: float = 1.0, pri
     return priors, terms, unseen
 
 
-def score_nb(rows: DataFrame, identity: str, label: str, tokens: Column, model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """(identity, label, score): every label's log score. A token that a label never had counts as unseen: each row starts with
+def score_nb(rows: DataFrame, identity: str, label: str, tokens: Column, model: tuple[DataFrame, DataFrame, DataFrame], digits: int | None = 9) -> DataFrame:
+    """(identity, label, score): every label's log score, to so many digits if any. A token that a label never had counts as unseen: each row starts with
     all its tokens unseen and terms that are known make good the difference, so no row meets the whole vocabulary."""
     priors, terms, unseen = model
     own = rows.select(identity, F.size(tokens).alias("size"))
     base = own.crossJoin(F.broadcast(priors.join(unseen, label))).withColumn("base", F.col("prior") + F.col("size") * F.col("none"))
     each = each_of(rows, tokens, "term", identity).groupBy(identity, "term").agg(F.count("*").alias("k"))
     gain = each.join(terms, "term").join(F.broadcast(unseen), label).groupBy(identity, label).agg(F.sum(F.col("k") * (F.col("lp") - F.col("none"))).alias("gain"))
-    return base.join(gain, [identity, label], "left").select(identity, label, F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 9).alias("score"))
+    score = F.col("base") + F.coalesce("gain", F.lit(0.0))
+    return base.join(gain, [identity, label], "left").select(identity, label, (score if digits is None else F.round(score, digits)).alias("score"))
 
 
 def predict(scores: DataFrame, identity: str, label: str) -> DataFrame:

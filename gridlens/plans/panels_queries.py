@@ -242,29 +242,39 @@ _NBH = f"""tk AS (SELECT row_id, label, {_STRESS} AS y, {_SPLIT} AS test, {_toke
 
 
 def _stress(spark, sf):
-    """Margins of the two-label classifier on structural tokens with smoothed and with uniform priors; ties go to stress."""
+    """(label, truth, n, smoothed, uniform): margins of the two-label classifier on structural tokens with smoothed and with uniform
+    priors, whole, for the n rows that have the same tokens, label and truth; ties go to stress. Each bag of tokens is scored once."""
     cats, nums, _ = _SETS["structural"]
     tokens = T.feature_tokens({c: F.col(c) for c in cats}, {c: F.col(c) for c in nums}, _gates())
-    rows = D.harness(spark, sf).select("row_id", "label", F.expr(_STRESS).alias("y"), (F.col("part") == 0).alias("test"), tokens.alias("tokens"))
-    out = rows.where("test").select("row_id", "label", F.col("y").alias("truth"))
+    rows = D.harness(spark, sf).select("label", F.expr(_STRESS).alias("y"), (F.col("part") == 0).alias("test"), F.array_sort(tokens).alias("tokens"))
+    counts = settle(rows.groupBy("label", "y", "test", "tokens").agg(F.count("*").alias("n")), "bags")
+    tests = counts.where("test")
+    out = tests.select("label", F.col("y").alias("truth"), "tokens", "n")
+    bags = tests.groupBy("tokens").agg(F.first("y").alias("y"))
     at = lambda y: F.max(F.when(F.col("y") == y, F.col("score")))
     for name in ("smoothed", "uniform"):
-        scores = N.score_nb(rows.where("test"), "row_id", "y", F.col("tokens"), N.fit_nb(rows.where("not test"), "y", F.col("tokens"), prior=name))
-        out = out.join(scores.groupBy("row_id").agg(F.round(at("mutation_stress") - at("clean_control"), 6).alias(name)), "row_id")
+        scores = N.score_nb(bags, "tokens", "y", F.col("tokens"), N.fit_nb(counts.where("not test"), "y", F.col("tokens"), prior=name, n="n"), digits=None)
+        out = out.join(scores.groupBy("tokens").agg((at("mutation_stress") - at("clean_control")).alias(name)), "tokens")
     return out
 
 
+def _called(margin):
+    """How many rows go to stress."""
+    return F.coalesce(F.sum(F.when(F.round(margin, 6) >= 0, F.col("n"))), F.lit(0))
+
+
 @query("stress_margins", f"WITH {_NBH} SELECT count(*) AS n, round(sum(m), 2) AS smoothed, round(sum(u), 2) AS uniform, count(*) FILTER (WHERE round(m, 6) >= 0) AS stress, count(*) FILTER (WHERE round(u, 6) >= 0) AS stress_uniform FROM pd")
 def _(spark, sf):
     s = _stress(spark, sf)
-    return s.agg(F.count("*").alias("n"), F.round(F.sum("smoothed"), 2).alias("smoothed"), F.round(F.sum("uniform"), 2).alias("uniform"), X.ones(F.col("smoothed") >= 0).alias("stress"), X.ones(F.col("uniform") >= 0).alias("stress_uniform"))
+    total = lambda c: F.round(F.sum(F.col(c) * F.col("n")), 2).alias(c)
+    return s.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), total("smoothed"), total("uniform"), _called("smoothed").alias("stress"), _called("uniform").alias("stress_uniform"))
 
 
 @query("false_positive_by_slice", f"WITH {_NBH} SELECT label AS slice, count(*) AS support, count(*) FILTER (WHERE round(m, 6) >= 0) AS false_stress, round(count(*) FILTER (WHERE round(m, 6) >= 0) / count(*), 6) AS rate FROM pd JOIN tk USING (row_id) WHERE y = 'clean_control' GROUP BY label")
 def _(spark, sf):
     clean = _stress(spark, sf).where("truth = 'clean_control'").groupBy(F.col("label").alias("slice"))
-    wrong = X.ones(F.col("smoothed") >= 0)
-    return r6(clean.agg(F.count("*").alias("support"), wrong.alias("false_stress"), X.rate(wrong, F.count("*")).alias("rate")), "rate")
+    wrong = _called("smoothed")
+    return r6(clean.agg(F.sum("n").alias("support"), wrong.alias("false_stress"), X.rate(wrong, F.sum("n")).alias("rate")), "rate")
 
 
 # -------------------------------------------------------------------------------------------------------------- families
