@@ -191,7 +191,7 @@ def _(spark, sf):
 
 def _target_ranks(spark, sf):
     targets = _targets(spark, sf)
-    return _ranked(spark, sf, ["bm25"], lambda x: _ranks(K.kept(x), targets))
+    return _ranked(spark, sf, ["bm25"], lambda x: _ranks(x, targets))
 
 
 _TRUE_RANK = f"""WITH {_INDEX}, {_BM}, {_TARGETS}, al AS (SELECT t.query, t.target, w.doc, coalesce(b.score, 0) AS score FROM tg t CROSS JOIN words w LEFT JOIN bm b ON b.query = t.query AND b.doc = w.doc),
