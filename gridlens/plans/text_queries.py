@@ -99,6 +99,8 @@ def _ranked(spark, sf, methods, result):
     for kind in {"words" if m == "bm25" else m: None for m in methods}:
         docs, items = _sources(spark, sf, kind)
         made[kind] = (docs, settle(K.frequencies(docs), "df"), list(K.blocks(items)))
+        if kind in methods and docs.written:
+            made[kind] = (K.normed(docs, made[kind][1], n), *made[kind][1:])
     if "bm25" in methods:
         avgdl = (made["words"][0].frame.agg(F.sum("dl")).first()[0] or 0) / n if n else 0.0
     for k in range(len(next(iter(made.values()))[2])):
@@ -126,7 +128,7 @@ _RRF = f"rb AS ({_TOP.format('bm')}), rt AS ({_TOP.format('ti')}), fu AS (SELECT
 
 @query("rrf_fusion", f"WITH {_INDEX}, {_BM}, {_TF}, {_RRF} SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu QUALIFY rank <= 10")
 def _(spark, sf):
-    return _ranked(spark, sf, ["bm25", "words"], lambda b, w: K.fused([(K.kept(b), 1.0), (w, 1.0)], 10)).drop("score")
+    return _ranked(spark, sf, ["bm25", "words"], lambda b, w: K.fused([(K.kept(b), 1.0), (K.kept(w), 1.0)], 10)).drop("score")
 
 
 # By words twice and by runs of characters: three ranked lists and their fusion.
@@ -152,7 +154,7 @@ FUSION = (1.0, 1.0, 0.75)
 
 @query("three_way_fusion", f"WITH {_THREE} SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(sum(s), 9) DESC, doc) AS rank FROM ({_FUSED}) GROUP BY query, doc) WHERE rank <= 5")
 def _(spark, sf):
-    return _ranked(spark, sf, ["bm25", "words", "chars"], lambda b, w, c: K.fused(list(zip((K.kept(b), w, c), FUSION, strict=True)), 5)).drop("score")
+    return _ranked(spark, sf, ["bm25", "words", "chars"], lambda b, w, c: K.fused(list(zip((K.kept(b), K.kept(w), c), FUSION, strict=True)), 5)).drop("score")
 
 
 #: Documents are dealt into so many parts by id; an item's target is the document of least hash in a part.
@@ -184,7 +186,7 @@ def _(spark, sf):
         return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
     at = lambda k: F.avg((F.col("rank") <= k).cast("int"))
-    found = _ranked(spark, sf, ["bm25", "words", "chars"], lambda b, w, c: each(K.kept(b), w, c))
+    found = _ranked(spark, sf, ["bm25", "words", "chars"], each)
     out = found.groupBy("pos", "method").agg(at(1).alias("r1"), at(5).alias("r5"), F.avg(1 / F.col("rank")).alias("mrr"))
     return r6(R.best(out, "r1", "r5", "mrr"), "r1", "r5", "mrr").select("method", "r1", "r5", "mrr")
 
