@@ -36,17 +36,22 @@ def _(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-#: Characters of text whose n-grams one task counts.
+#: Characters of text that one task takes apart or whose n-grams it counts.
 CHARS = 1 << 22
 
 
+def _parts(spark, sf):
+    """Parts by the size of the input."""
+    chars = D.table(spark, sf, "documents").agg(F.sum("n_chars")).first()[0] or 0
+    return max(8, chars // CHARS)
+
+
 @query("word_ngrams", f"""WITH {_WORDS}, b AS (SELECT doc, unnest(list_transform(range(1, len(terms)), lambda i: terms[i] || '__' || terms[i + 1])) AS gram FROM words WHERE len(terms) > 1)
  SELECT gram, count(*) AS n FROM b GROUP BY gram""")
 def _(spark, sf):
-    chars = D.table(spark, sf, "documents").agg(F.sum("n_chars")).first()[0] or 0
     grams = X.each_of(_docs(spark, sf), X.word_ngrams(F.col("terms")), "gram").where(F.col("gram").contains("__"))
     # parts by the input's size, so that the distinct n-grams of a task don't grow with it
-    return grams.repartition(max(8, chars // CHARS), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.repartition(_parts(spark, sf), "gram").groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("char_ngrams", """WITH p AS (SELECT ' ' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || ' ' AS t FROM benchmark), g AS (SELECT unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))))) AS gram FROM p)
@@ -89,6 +94,8 @@ def _sources(spark, sf, kind):
     docs, items = D.table(spark, sf, "documents"), D.table(spark, sf, "benchmark")
     if kind == "chars":
         return K.chars(docs, "doc_id", F.col("text")), K.chars(items, "item_id", F.col("text"))
+    # a file is read by one task for each of its row groups, however many texts one holds
+    docs = docs.select("doc_id", "text").repartition(_parts(spark, sf), "doc_id")
     return tuple(K.words(t, key, X.tokens(F.col("text"))) for t, key in ((docs, "doc_id"), (items, "item_id")))
 
 
